@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, shards, simhash, suffix_dedup
+from . import ctw, secrets, shards, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,11 @@ def op9_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_virtual_slots, op4_simhash, op6_blob_ledger, op9_bucket_refinement)
+    f.__name__: f for f in (op3_virtual_slots, op4_simhash, op6_blob_ledger, op9_bucket_refinement, op10_context_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
