@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, secrets, shards, simhash, suffix_dedup
+from . import ctw, licenses, quality, secrets, shards, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judged(table(spark, sf_dir, "documents")))
+
+
+def op8_winnowed_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.deduplicated(table(spark, sf_dir, "documents")))
 
@@ -34,6 +42,6 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_virtual_slots, op4_simhash, op6_blob_ledger, op9_bucket_refinement, op10_context_tree)
+    f.__name__: f for f in (op3_virtual_slots, op4_simhash, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
