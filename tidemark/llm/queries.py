@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, licenses, quality, secrets, shards, simhash, suffix_dedup
+from . import ctw, decontam, licenses, packing, quality, secrets, shards, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -21,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -42,6 +56,6 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_virtual_slots, op4_simhash, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
+    f.__name__: f for f in (op1_spaced_seeds, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
 }
 ORACLE_SQL: dict[str, str] = {}
