@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, licenses, packing, quality, secrets, shards, simhash, suffix_dedup
+from . import ctw, decontam, licenses, packing, quality, secrets, shards, simhash, suffix_dedup, warc_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archived(table(spark, sf_dir, "pages"))
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -56,6 +60,6 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seeds, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
+    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_capture_index": warc_index.ORACLE}

@@ -147,7 +147,7 @@ def masked(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ledger = Ledger(spark, ledger_path or new_path(spark, "blob-ledger"))
     ledger.scan(versions_of(docs))
-    found = current(ledger.findings(), RULES + MORE_RULES)
+    found = keep(current(ledger.findings(), RULES + MORE_RULES), "findings-by-blob")  # so that Spark may split a hot blob
     keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     joined = keyed.join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).hint("shuffle_hash"), "__blob", "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
