@@ -1,0 +1,31 @@
+"""The pipeline's stages, one after the other, against what each must leave."""
+
+import corpus_pipeline
+from tidemark.llm import decontam, packing
+from tidemark.llm.queries import vocabulary
+
+from .conftest import lines, prose
+
+
+def test_pipeline(spark, tmp_path):
+    item = prose(700, 25)
+    near = lines(1, 20)
+    table = [
+        (1, near), (2, near), (3, lines(3, 10) + "\n" + item + "\n" + lines(4, 10)), (4, "too short"), (5, None), (6, lines(6, 10) + " token = abcdefgh12345 end"), (7, "x y z " * 60), (8, lines(8, 30)), (8, lines(8, 30)),
+    ]
+    path = f"file://{tmp_path}"
+    spark.createDataFrame([(i, t, "en", "h", len(t or ""), "extra") for i, t in table], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == columns
+        left.append(sorted(r["doc_id"] for r in docs.collect()))
+    assert left == [[1, 2, 3, 6, 8, 8], [1, 3, 6, 8], [1, 6, 8], [1, 6, 8]]
+    assert {r["doc_id"]: "[ASSIGN] end" in r["text"] for r in docs.collect()} == {1: False, 6: True, 8: False}
+    got = corpus_pipeline.run(spark, path).collect()
+    size = {r["doc_id"]: len(packing.encoder(vocabulary()).ids(r["text"])) // 2 + 1 for r in docs.collect()}
+    assert {i: sum(r["length"] for r in got if r["doc_id"] == i) for i in size} == size and {r["doc_id"] for r in got} == set(size)
+    assert decontam.LENGTH <= 25

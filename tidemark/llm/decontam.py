@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts become tokens (ASCII punctuation and white space separate, A-Z lower-cased) and token hashes. A seed is a fixed mask of
+Texts become lower-cased tokens (ASCII punctuation and white space separate) and token hashes. A seed is a fixed mask of
 positions; the hash of the tokens at its ones ignores the others, so a substituted token at an ignored place doesn't hide a hit.
 The three masks are lossless: any 13 tokens with up to 2 substitutions, 15 with 3 or 20 with 4 hold a hit of one of them.
 Seed hashes of benchmark items are joined with those of all documents; each hit fixes a diagonal (places in item and
@@ -36,11 +36,11 @@ _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _PLAIN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
-def token_hashes(text: bytes) -> list[int]:
+def token_hashes(text: str) -> list[int]:
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    return [digest(w) for w in text.lower().translate(_PLAIN).split()]
+    return [digest(w) for w in text.lower().encode().translate(_PLAIN).split()]
 
 
 def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -57,7 +57,7 @@ class Block:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int | None, bytes]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         tokens = [np.array(token_hashes(t), np.uint64) for _, t in items]
         self.ids = [i for i, _ in items]
         self.bounds = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int64)
@@ -126,14 +126,14 @@ FOUND = "doc_id bigint, __id bigint, __hash bigint, item_id bigint, doc_begin in
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each row of docs(doc_id, text) and of items(item_id, text) that overlap: the place and size of the best overlap in tokens."""
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = []
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(Block([(r["item_id"], bytes(r["text"])) for r in part.toLocalIterator()]))
+        shared = spark.sparkContext.broadcast(Block([(r["item_id"], r["text"]) for r in part.toLocalIterator()]))
         out.append(texts.mapInArrow(_scan(shared), FOUND))
     return reduce(DataFrame.union, out)
 

@@ -97,7 +97,7 @@ def align(template: list[str], tokens: list[str], begin: int, band: int) -> tupl
     width = 2 * band + 1
     worst = (-1, 0, 0, 0)
     # cell k of row i: document tokens up to begin - band + i + k are consumed; (matches, -gaps, first, last) of the best path
-    row = [(0, 0, -1, -1)] * width
+    row = [(0, -abs(k - band), -1, -1) for k in range(width)]
     for i, word in enumerate(template):
         new = [worst] * width
         for k in range(width):
@@ -137,7 +137,7 @@ def scan(text: str, least: float = LEAST) -> list[tuple[str, float, int, int, in
     for name, diagonals in hits.items():
         template = templates[name]
         band = max(BAND_LEAST, int(len(template) * BAND_SHARE))
-        done = -1
+        done = -len(template) - 1
         for d in sorted(diagonals):
             if d <= done:
                 continue
