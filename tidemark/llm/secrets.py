@@ -148,18 +148,18 @@ def masked(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     ledger = Ledger(spark, ledger_path or new_path(spark, "blob-ledger"))
     ledger.scan(versions_of(docs))
     found = keep(current(ledger.findings(), RULES + MORE_RULES), "findings-by-blob")  # so that Spark may split a hot blob
-    keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    joined = keyed.join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).hint("shuffle_hash"), "__blob", "left")
+    text = F.col("row.text")
+    keyed = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
+    joined = keyed.join(found.hint("shuffle_hash"), "blob", "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         begin, end = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        piece = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
+        piece = F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
         said = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(end.alias("at"), F.concat(acc["out"], piece, said).alias("out"))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, tail))
-    out = joined.withColumn("__text", text)
-    n_chars = [F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*n_chars)
+    tail = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    out = joined.withColumn("masked", F.when(F.col("spans").isNull(), text).otherwise(F.aggregate("spans", start, step, tail)))
+    changed = {"text": F.col("masked"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("masked"))} if "n_chars" in docs.columns else {"text": F.col("masked")}
+    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

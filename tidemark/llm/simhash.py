@@ -103,5 +103,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the component's id (of equal ids, one)."""
     found = near_duplicates(docs)
     bad = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__id", "__hash").distinct()
-    keyed = docs.select("*", *row_key(docs)).join(bad.hint("shuffle_hash"), ["__id", "__hash"], "left_anti")
-    return keyed.dropDuplicates(["__id"]).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("kept"), *row_key(docs)).join(bad.hint("shuffle_hash"), ["__id", "__hash"], "left_anti")
+    return keyed.dropDuplicates(["__id"]).select("kept.*")
