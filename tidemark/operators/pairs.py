@@ -31,7 +31,7 @@ def correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
     bound = lambda v, s: v > 1e-12 * s * s + 1e-300  # noqa: E731  a constant's variance is rounding noise
     r = F.when(bound(vx, sx) & bound(vy, sy), F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))
 
 
 def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
