@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ctw, decontam, licenses, packing, quality, secrets, shards, simhash, suffix_dedup, warc_index
+from .oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +63,5 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
 }
-ORACLE_SQL: dict[str, str] = {"op2_capture_index": warc_index.ORACLE}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
