@@ -16,7 +16,7 @@ suffix array (whose sorted suffixes would take many times the input on disk):
 Which rows take part in the next refinement is told to the tasks by a bitmap of fixed size; its false hits cost rows, not
 correctness, as every count is of windows that exist. Groups are only ever counted by aggregation: no pairs, no group in a task.
 
-Bucket identifiers are 64-bit rolling hashes; two of them, so 128 bits, tell 400-byte strings apart.
+Bucket identifiers are 64-bit rolling hashes; a string is told apart by two of them or by one and a 64-bit hash of three.
 
 Nulls and empty texts: no bytes, nothing removed. Repeated rows: two rows of equal id and text are two documents, so their
 windows are repeats of each other. Null ids count as an id. Texts shorter than 400 bytes are never changed by others. Very
@@ -28,10 +28,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import bitmap_of, columns_of_binary, in_bitmap, keep, lookup, mixed, row_key
+from .util import bitmap_of, columns_of_binary, hot_from, in_bitmap, keep, lookup, mixed, row_key, small_batches
 
 LENGTH = 400
 Q = 200
@@ -111,31 +111,42 @@ def runs(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
         d = e
 
 
-def pair(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of tuples of identifiers."""
-    one, two = np.zeros(len(parts[0]), np.uint64), np.zeros(len(parts[0]), np.uint64)
+def string_hash(*parts: np.ndarray) -> np.ndarray:
+    """A hash of tuples of identifiers."""
+    out = np.zeros(len(parts[0]), np.uint64)
     for i, p in enumerate(parts):
-        one = mixed(one + p * np.uint64(2 * i + 3))
-        two = mixed((two ^ p) * np.uint64(0xA24BAED4963EE407) + np.uint64(i))
-    return one, two
+        out = mixed(out + p * np.uint64(2 * i + 3))
+    return out
 
 
-def text_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the strings from begin to end, 2 Q to 3 Q bytes long."""
-    return pair(ids[begin], ids[begin + Q], ids[end - Q])
+def text_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the strings from begin to end, 2 Q to 3 Q bytes long."""
+    return string_hash(ids[begin], ids[begin + Q], ids[end - Q])
 
 
-def core_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the strings from begin to end, Q to 2 Q bytes long."""
-    return pair(ids[begin], ids[end - Q])
+def core_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the strings from begin to end, Q to 2 Q bytes long."""
+    return string_hash(ids[begin], ids[end - Q])
 
 
 def ticket(h: np.ndarray, row_hash: np.ndarray, row_id: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return h ^ row_hash ^ row_id ^ (anchor.astype(np.uint64) << np.uint64(13))
 
 
-def ticket_column(h: str) -> str:
-    return f"`{h}` ^ __hash ^ __id ^ shiftleft(anchor, 13)"
+def ticket_column(h: str) -> Column:
+    """As ticket(): what names a member to the tasks."""
+    return F.expr(f"`{h}` ^ __hash ^ __id ^ shiftleft(anchor, 13)")
+
+
+def classes_of(rows: DataFrame, shape: list[str], h: str) -> DataFrame:
+    """Rows of equal shape with their number n and the ticket of one of them."""
+    return keep(rows.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), F.min(ticket_column(h)).alias("rep")), "classes")
+
+
+def shared_rows(rows: DataFrame, classes: DataFrame, shape: list[str], n: int) -> DataFrame:
+    """The rows whose class has more than one."""
+    again = classes.where("n > 1").select(*shape, F.lit(True).alias("again"))
+    return lookup(rows, again, shape, n, "inner", hot=classes.where(F.col("n") > hot_from(n)))
 
 
 def _long(x: np.ndarray):
@@ -159,6 +170,7 @@ def _joined(parts: list[tuple], n: int) -> list[np.ndarray]:
 def repeated(docs: DataFrame) -> DataFrame:
     """__id, __hash, lo, hi: runs of windows (by their first bytes) that occur elsewhere too. Runs may overlap."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(*row_key(docs), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def count(batches: Iterator) -> Iterator:
@@ -178,31 +190,30 @@ def repeated(docs: DataFrame) -> DataFrame:
             use = in_bitmap(first.value, ids[place])
             if use.any():
                 doc, anchor, lo, hi, place, p, q = (x[use] for x in (doc, anchor, lo, hi, place, p, q))
-                yield (row_id[doc], row_hash[doc], ids[place], *text_of(ids, p, q + LENGTH), anchor, lo, hi), ids, place
+                yield (row_id[doc], row_hash[doc], ids[place], text_of(ids, p, q + LENGTH), anchor, lo, hi), ids, place
 
-    names = ("__id", "__hash", "bucket", "x1", "x2", "anchor", "lo", "hi")
+    names = ("__id", "__hash", "bucket", "string", "anchor", "lo", "hi")
 
     def members(batches: Iterator) -> Iterator:
         for b in batches:
             if parts := [row for row, _, _ in member_runs(b)]:
-                yield _batch(dict(zip(names, _joined(parts, 8), strict=True)))
+                yield _batch(dict(zip(names, _joined(parts, 7), strict=True)))
 
     member = keep(texts.mapInArrow(members, _longs(*names)), "runs")
     n_members = member.count()
-    shape = ["bucket", "x1", "x2", "before", "after"]
+    shape = ["bucket", "string", "before", "after"]
     member = member.withColumns({"before": F.col("anchor") - F.col("lo"), "after": F.col("anchor") - F.col("hi")})
-    least = F.min(F.struct("__id", "__hash", "anchor")).alias("rep")
-    of_run = keep(member.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), least), "classes")
-    whole = lookup(member, of_run.where("n > 1").select(*shape, F.lit(True).alias("again")), shape, n_members, "inner").select("__id", "__hash", "lo", "hi")
+    of_run = classes_of(member, shape, "string")
+    whole = shared_rows(member, of_run, shape, n_members).select("__id", "__hash", "lo", "hi")
 
     several = of_run.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    reps = lookup(of_run, several, ["bucket"], n_members, "inner").select("x1", "rep.*").selectExpr(f"{ticket_column('x1')} AS t")
-    second = spark.sparkContext.broadcast(bitmap_of(reps, "t", BITS))
+    reps = lookup(of_run.select("bucket", "rep"), several, ["bucket"], n_members, "inner")
+    second = spark.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
 
     def pieces(b) -> Iterator[tuple]:
         """Pieces of the runs that refinement is left for."""
-        for (row_id, row_hash, _, x1, _, anchor, lo, hi), ids, place in member_runs(b):
-            use = in_bitmap(second.value, ticket(x1, row_hash, row_id, anchor))
+        for (row_id, row_hash, _, string, anchor, lo, hi), ids, place in member_runs(b):
+            use = in_bitmap(second.value, ticket(string, row_hash, row_id, anchor))
             if not use.any():
                 continue
             row_id, row_hash, anchor, lo, hi, place = (x[use] for x in (row_id, row_hash, anchor, lo, hi, place))
@@ -213,29 +224,29 @@ def repeated(docs: DataFrame) -> DataFrame:
             near, far = np.maximum(k * PIECE, (anchor - hi)[at]), np.minimum(k * PIECE + PIECE - 1, (anchor - lo)[at])
             place = place[at]
             core = core_of(ids, place - k * PIECE, place - np.minimum(k * PIECE + PIECE - 1, LENGTH - Q) + LENGTH)
-            yield (row_id[at], row_hash[at], k, *core, *text_of(ids, place - far, place - near + LENGTH), near, far, anchor[at]), ids, place
+            yield (row_id[at], row_hash[at], k, core, text_of(ids, place - far, place - near + LENGTH), near, far, anchor[at]), ids, place
 
-    piece_names = ("__id", "__hash", "k", "c1", "c2", "h1", "h2", "near", "far", "anchor")
+    piece_names = ("__id", "__hash", "k", "core", "string", "near", "far", "anchor")
 
     def cut(batches: Iterator) -> Iterator:
         for b in batches:
             if parts := [row for row, _, _ in pieces(b)]:
-                yield _batch(dict(zip(piece_names, _joined(parts, 10), strict=True)))
+                yield _batch(dict(zip(piece_names, _joined(parts, 8), strict=True)))
 
     piece = keep(texts.mapInArrow(cut, _longs(*piece_names)), "pieces")
     n_pieces = piece.count()
-    shape = ["k", "c1", "c2", "h1", "h2", "near", "far"]
-    of_piece = keep(piece.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), least), "classes")
-    part = lookup(piece, of_piece.where("n > 1").select(*shape, F.lit(True).alias("again")), shape, n_pieces, "inner").selectExpr("__id", "__hash", "anchor - far AS lo", "anchor - near AS hi")
-    several = of_piece.groupBy("k", "c1", "c2").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    reps = lookup(of_piece, several, ["k", "c1", "c2"], n_pieces, "inner").select("h1", "rep.*").selectExpr(f"{ticket_column('h1')} AS t")
-    third = spark.sparkContext.broadcast(bitmap_of(reps, "t", BITS))
+    shape = ["k", "core", "string", "near", "far"]
+    of_piece = classes_of(piece, shape, "string")
+    part = shared_rows(piece, of_piece, shape, n_pieces).selectExpr("__id", "__hash", "anchor - far AS lo", "anchor - near AS hi")
+    several = of_piece.groupBy("k", "core").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    reps = lookup(of_piece.select("k", "core", "rep"), several, ["k", "core"], n_pieces, "inner")
+    third = spark.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
 
     def windows(batches: Iterator) -> Iterator:
         for b in batches:
             parts = []
-            for (row_id, row_hash, _, _, _, h1, _, near, far, anchor), ids, place in pieces(b):
-                use = in_bitmap(third.value, ticket(h1, row_hash, row_id, anchor))
+            for (row_id, row_hash, _, _, string, near, far, anchor), ids, place in pieces(b):
+                use = in_bitmap(third.value, ticket(string, row_hash, row_id, anchor))
                 if not use.any():
                     continue
                 row_id, row_hash, near, far, anchor, place = (x[use] for x in (row_id, row_hash, near, far, anchor, place))
@@ -248,8 +259,9 @@ def repeated(docs: DataFrame) -> DataFrame:
                 yield _batch(dict(zip(("__id", "__hash", "s1", "s2", "lo"), _joined(parts, 5), strict=True)))
 
     window = keep(texts.mapInArrow(windows, _longs("__id", "__hash", "s1", "s2", "lo")), "windows")
-    again = window.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = lookup(window, again, ["s1", "s2"], window.count(), "inner").selectExpr("__id", "__hash", "lo", "lo AS hi")
+    n_windows = window.count()
+    of_window = keep(window.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
+    single = shared_rows(window, of_window, ["s1", "s2"], n_windows).selectExpr("__id", "__hash", "lo", "lo AS hi")
     return whole.union(part).union(single)
 
 

@@ -40,19 +40,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, how: str = "left") -> DataFrame:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows at most, so that a batch of long ones fits beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """left with right's other columns. right has one row per key (keys not null); left may have any number per key.
 
     Keys with more than rows/HOT_SHARE rows in left, HOT_SHARE of them at most, are joined by a broadcast; their rows
     then take part in the shuffled join under keys of their own and so don't meet in one task. rows: left's row count.
-    Null keys match nothing. how: left or inner. left should be a stored table, as it is read twice.
+    Null keys match nothing. how: left or inner. left should be a stored table, as it is read twice; not where the hot keys
+    are known and given.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    hot = (
+    hot = hot.select(*keys) if hot is not None else (
         left.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > max(1, rows // HOT_SHARE))
+        .where(F.col("__n") > hot_from(rows))
         .select(*keys)
     )
     head = right.join(F.broadcast(hot), keys, "left_semi")
@@ -69,6 +77,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, ho
     return joined.select(*left.columns, *taken)
 
 
+def hot_from(rows: int) -> int:
+    return max(1, rows // HOT_SHARE)
+
+
 def text_bytes(text: Column) -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
@@ -81,8 +93,8 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
 
 def keep_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs without the rows whose (__id, __hash), as row_key() has them, are in bad (distinct)."""
-    keyed = docs.select("*", *row_key(docs))
-    return keyed.join(bad.select("__id", "__hash").hint("shuffle_hash"), ["__id", "__hash"], "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("kept"), *row_key(docs))  # a struct, as docs may have columns of any name
+    return keyed.join(bad.select("__id", "__hash").hint("shuffle_hash"), ["__id", "__hash"], "left_anti").select("kept.*")
 
 
 def columns_of_binary(array) -> tuple[np.ndarray, np.ndarray]:
