@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evidence, merge, pairs, profile, referees, relations, sampling, scoring, temporal
+from tidemark.operators import asof, briefs, evidence, merge, pairs, profile, referees, relations, sampling, scoring, temporal
 from tidemark.operators.asof import Contract
 
 T0 = datetime(2025, 1, 1)
@@ -232,6 +232,11 @@ def test_missing_text_isnt_a_broker(spark):
     assert frame.where(scoring.is_broker(F.col("op"))).count() == 1 and frame.where(scoring.is_carrier(F.col("op"), F.col("entity"))).count() == 2
 
 
+def test_food_safety(spark):
+    frame = spark.createDataFrame([("390.3T", None), ("39093", "x"), (None, "Pest control"), (None, None)], "code string, description string")
+    assert [r["f"] for r in frame.select(scoring.food_safety(F.col("code"), F.col("description")).alias("f")).collect()] == [True, False, True, False]
+
+
 def test_expected_rows(spark):
     rows = spark.createDataFrame([("union",), ("join",), ("consolidate",)], "t string").select("t", relations.expected_rows(F.lit(450), F.col("t")).alias("n"))
     assert {r["t"]: r["n"] for r in rows.collect()} == {"union": 450, "join": 315, "consolidate": 360}
@@ -305,3 +310,20 @@ def test_leave_one_out_against_refits(spark):
 
 def test_few_rows_give_no_verdict(spark):
     assert referees.judge(line(spark, 0.3, n=9), "chow").collect() == []
+
+
+# briefs
+
+
+def test_briefs(spark):
+    assert briefs.readable_name("orderTotal_amount") == "Order Total Amount" and briefs.readable_name("X", {"x": "known"}) == "known"
+    v = lambda text, *a: spark.range(1).select(briefs.contract_value(F.lit(text), *a).alias("v")).first()["v"]
+    assert [v("yes", "binary"), v("no", "binary"), v("b", "categorical", {"a": 0.0, "b": 1.0, "__unknown__": 2.0}), v("z", "categorical", {"a": 0.0, "__unknown__": 2.0}), v("$5", "numeric"), v("x", "numeric")] == [1, 0, 1, 2, 5, 0]
+    flags = {r["k"]: r["flags"] for r in briefs.warnings(spark.createDataFrame([("a", "mutual_information", 50, 0.01), ("a", "pearson", 50, 0.5), ("b", "pearson", 10, 0.5)], "k string, sense string, n int, p double"), ["k"]).collect()}
+    assert flags == {"a": ["nonlinear_only"], "b": ["low_sample_size"]}
+
+
+def test_registry_hash_ignores_order(spark):
+    frame = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert briefs.registry_hash(frame, ["k", "v"]).first() == briefs.registry_hash(frame.orderBy(F.desc("k")), ["k", "v"]).first()
+    assert briefs.registry_hash(frame, ["k", "v"]).first() != briefs.registry_hash(frame.withColumn("v", F.col("v") + 1), ["k", "v"]).first()

@@ -135,6 +135,15 @@ def new_since(df: DataFrame, dates: Sequence[str], days: int, as_of: Column) ->
     return df.limit(0) if name is None else df.where(F.col(name) >= as_of - F.expr(f"INTERVAL '{days}' DAY")).orderBy(F.desc(name))
 
 
+# Codes and words of food-safety violations.
+FOOD_CODES = (r"390\.3",)
+FOOD_WORDS = ("food", "perishable", "refrigerated", "temperature", "sanitary", "contamination", "pest")
+
+
+def food_safety(code: Column, description: Column) -> Column:
+    return has(code, *FOOD_CODES) | has(description, *FOOD_WORDS)
+
+
 def grouped_violations(inspections: DataFrame) -> DataFrame:
     """Per dot_number and violation_code: first description and number of dated rows, the most first; null keys go."""
     keyed = inspections.where("dot_number IS NOT NULL AND violation_code IS NOT NULL")

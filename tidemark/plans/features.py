@@ -39,7 +39,7 @@ _WINDOW = "AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY"
 query(_ASOF.format("arg_max(value, struct_pack(a := ts, b := event_id))", "purchase", ""), "asof_latest")(_one(Contract("v", "latest_value_as_of", "purchase")))
 query(_ASOF.format("count(*)::DOUBLE", "click", _WINDOW), "asof_count_window")(_one(Contract("v", "count_over_window", "click", 7)))
 query(_ASOF.format("sum(value)", "purchase", _WINDOW), "asof_sum_window")(_one(Contract("v", "sum_over_window", "purchase", 7)))
-query(_ASOF.format("1.0", "error", ""), "asof_exists")(_one(Contract("v", "exists_as_of", "error")))
+query(_ASOF.format("1.0::DOUBLE", "error", ""), "asof_exists")(_one(Contract("v", "exists_as_of", "error")))
 
 CONTRACTS = [Contract("last_purchase", "latest_value_as_of", "purchase"), Contract("clicks_7d", "count_over_window", "click", 7), Contract("spend_14d", "sum_over_window", "purchase", 14), Contract("had_error", "exists_as_of", "error")]
 

@@ -206,10 +206,10 @@ def _stream(spark, d):
     return streams.events(spark, d, schema, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMPTZ AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hourly(spark, d):
     out = streams.completed(streams.bucketed(_stream(spark, d), "hour"), spark, "stream_hourly", "complete")
-    return rounded(out.select("bucket", "event_type", "n", "total"), "total", digits=4)
+    return rounded(out.select(F.unix_seconds("bucket").alias("bucket"), "event_type", "n", "total"), "total", digits=4)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
