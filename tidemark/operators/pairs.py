@@ -17,6 +17,8 @@ from tidemark.functions import columns as C
 from tidemark.functions import special
 
 MOST_VARIABLES, MOST_PAIRS = 2000, 500_000
+#: Up to so many pairs have aggregates of their own in one row a group; more are unfolded into rows.
+FEW_PAIRS = 15
 
 
 def check_size(variables: int, most_variables: int = MOST_VARIABLES, most_pairs: int = MOST_PAIRS) -> None:
@@ -35,10 +37,11 @@ def correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy
 
 
 def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """x, y, n and the sums of every pair of columns over the rows where both are finite. Values are taken about each column's
-    first value per group's rough centre only where the caller has shifted them; sums are exact to doubles."""
+    """x, y, n and the sums of every pair of columns over the rows where both are finite."""
     check_size(len(columns))
     finite = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in columns]
+    if len(columns) * (len(columns) - 1) // 2 <= FEW_PAIRS:
+        return _few_moments(df.select(*by, *[f.alias(f"__{i}") for i, f in enumerate(finite)]), columns, by)
     wide = df.select(*by, F.array(*finite).alias("v"))
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(len(columns)), 2)])
     each = wide.select(*by, "v", F.explode(pairs).alias("p")).select(*by, "p.i", "p.j", F.col("v")[F.col("p.i")].alias("a"), F.col("v")[F.col("p.j")].alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
@@ -48,6 +51,17 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     return sums.select(*by, names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), "n", "sx", "sy", "sxx", "syy", "sxy")
 
 
+def _few_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    aggs, structs = [], []
+    for i, j in combinations(range(len(columns)), 2):
+        a, b = F.col(f"__{i}"), F.col(f"__{j}")
+        a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        parts = {"n": F.count(a + b), "sx": F.sum(a), "sy": F.sum(b), "sxx": F.sum(a * a), "syy": F.sum(b * b), "sxy": F.sum(a * b)}
+        aggs += [e.alias(f"{k}_{i}_{j}") for k, e in parts.items()]
+        structs.append(F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), *[F.col(f"{k}_{i}_{j}").alias(k) for k in parts]))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*structs)).alias("p")).select(*by, "p.*").where("n > 0")
+
+
 def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), least: int = 3, p_value: bool = True) -> DataFrame:
     """x, y, n, r, t and the two-sided p of every pair with at least `least` common values."""
     r = correlation(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
