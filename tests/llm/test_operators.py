@@ -473,3 +473,27 @@ def test_tree_learns_and_probabilities_sum_to_one(spark):
     assert np.allclose((10.0 ** tree.log10p).sum(axis=1), 1, atol=1e-3)
     data, where = ctw.padded(np.frombuffer(prose(99, 200).encode(), np.uint8), np.array([0, len(prose(99, 200).encode())]), ctw.DEPTH)
     assert -tree.score(data, where).sum() / np.log10(2) / len(where) < 4
+
+
+def edited(text, every, start=7):
+    words = text.split(" ")
+    return " ".join(f"w{i}" if i % every == start else w for i, w in enumerate(words))
+
+
+def test_near_copies_at_similarity(spark):
+    """Groups of edited copies at .8 and more meet over their original; texts that share a passage don't."""
+    passage = prose(5000, 40)
+    table, want = [], {}
+    for g in range(6):
+        base = prose(5100 + g, 300)
+        members = [base] + [edited(base, 60, k) for k in range(0, 60, 7)]
+        for i, t in enumerate(members):
+            table.append((100 * g + i, t))
+            want[100 * g + i] = 100 * g
+    for i in range(60):
+        table.append((1000 + i, prose(6000 + i, 50) + " " + passage + " " + prose(7000 + i, 40)))
+        want[1000 + i] = 1000 + i
+    frame = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, 5, 0.8).collect()}
+    assert got == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(frame).collect()) == sorted(set(want.values()))

@@ -6,6 +6,12 @@ segment the Hamming ball around a fingerprint's value is enumerated, the table's
 join, and complete distances are verified inside the join. Only different fingerprints are joined; copies share theirs.
 Linked fingerprints form components (components.py).
 
+Texts that share 80 % of their 5-word shingles differ in 10 of 64 bits as a rule, too far for any table of Hamming balls to
+scale. Where that similarity is asked for (one_of_each), the operator adds links: the least values of 48 hash functions over
+the same shingle hashes, in bands of 4, put like texts into common buckets; the text of a bucket that shares the most buckets
+in all (of edited copies, their original) is its hub; each other text is compared with its buckets' hubs, shingle by shingle.
+So a bucket of any size takes as many comparisons as it has texts.
+
 Nulls and texts without words: fingerprint zero, linked like any other. Fewer words than a shingle: the whole sequence is
 one shingle. Repeated rows: each gets its row. Null ids: the least non-null id of the component counts; null if there is none.
 Very long texts are hashed whole. An empty table gives an empty result. Extra columns don't matter.
@@ -20,28 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import keep, lookup, row_key
+from .util import hot_from, keep, keep_rows, lookup, mixed, row_key, small_batches
 
 WORDS = 4
 DISTANCE = 4
+#: Bands of least values, and values in each: a pair at .8 meets in one of them with a chance of .998.
+BANDS, BAND = 12, 4
 #: Bits of the segments, from the lowest, and their radii.
 SEGMENTS = ((23, 1), (23, 1), (18, 0))
 assert sum(bits for bits, _ in SEGMENTS) == 64 and sum(r + 1 for _, r in SEGMENTS) > DISTANCE
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The SimHash of a UTF-8 text: a bit is 1 if set in over half of the hashes of its word shingles, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of a UTF-8 text's word shingles, repeats included; of the whole sequence if it is shorter."""
     import xxhash
 
     tokens = text.lower().split()  # bytes: A-Z and the six white-space bytes alone
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     k = min(words, len(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash: a bit is 1 if set in over half of the hashes; 0 of none."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -49,17 +61,40 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, __id, __hash (util.row_key) and fp, a signed long, of every row."""
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of BAND least values; none of no hashes."""
+    if not len(hashes):
+        return []
+    draw = np.random.default_rng(11)
+    a = draw.integers(1, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = draw.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
+    least = np.full(BANDS * BAND, np.uint64(2**64 - 1))
+    distinct = mixed(np.unique(hashes))
+    for at in range(0, len(distinct), 2048):
+        least = np.minimum(least, (distinct[at : at + 2048, None] * a + b).min(axis=0))
+    out = np.zeros(BANDS, np.uint64)
+    for i, part in enumerate(mixed(least).reshape(BANDS, BAND).T):
+        out = mixed(out + part * np.uint64(2 * i + 1))
+    return out.view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, bands: bool = False) -> DataFrame:
+    """doc_id, __id, __hash (util.row_key), fp, a signed long, and keys, its bands' if asked for, of every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            fp = [fingerprint(t.encode()) if t else 0 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__id"), b.column("__hash"), pa.array(fp, pa.int64())], ["doc_id", "__id", "__hash", "fp"])
+            fp, keys = [], []
+            for t in b.column("text").to_pylist():
+                h = shingle_hashes((t or "").encode(), words)
+                fp.append(fingerprint(h))
+                keys.append(band_keys(h) if bands else [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__id"), b.column("__hash"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "__id", "__hash", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, __id bigint, __hash bigint, fp bigint")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id bigint, __id bigint, __hash bigint, fp bigint, keys array<bigint>")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -78,10 +113,46 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return asked.join(table.hint("shuffle_hash"), near).select("a", "b")
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """component_id (least doc_id) of each fingerprint of prints(doc_id, fp): fp, component_id."""
+def similar(prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: fingerprints of different texts with a common share of distinct shingles of `similarity` or more, over hubs."""
+    texts = prints.groupBy("__hash").agg(F.min("__id").alias("__id"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    rows = keep(texts.select("__hash", "__id", "fp", F.posexplode("keys").alias("band", "key")), "bands")
+    n = rows.count()
+    sizes = keep(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = keep(lookup(rows, sizes, ["band", "key"], n, "inner", hot=sizes.where(F.col("n") > hot_from(n))), "shared-buckets")
+    score = shared.groupBy("__hash").agg(F.sum("n").alias("score"))
+    hubs = shared.join(score, "__hash").groupBy("band", "key").agg(F.max(F.struct("score", "__hash", "__id", "fp")).alias("hub"))
+    m = shared.count()
+    met = lookup(shared, hubs, ["band", "key"], m, "inner").where("__hash <> hub.__hash")
+    pairs = keep(met.select("__hash", "__id", "fp", F.col("hub.__hash").alias("hub"), F.col("hub.__id").alias("hub_id"), F.col("hub.fp").alias("hub_fp")).distinct(), "candidates")
+    wanted = pairs.select("__id", "__hash").union(pairs.select("hub_id", "hub")).distinct()
+    keyed = docs.select(*row_key(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = keep(keyed.join(wanted.hint("shuffle_hash"), ["__id", "__hash"]).select("__hash", "text"), "candidate-texts").dropDuplicates(["__hash"])
+    ours = pairs.join(found.withColumnRenamed("text", "ours"), "__hash").select("fp", "hub", "hub_fp", "ours")
+    both = lookup(ours, found.select(F.col("__hash").alias("hub"), F.col("text").alias("theirs")), ["hub"], pairs.count(), "inner", hot=pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(m)))
+
+    def verify(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = []
+            last: tuple = (None, None)  # the hub's shingles, as its rows often follow each other
+            for ours, theirs in zip(batch.column("ours").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                if last[0] != theirs:
+                    last = (theirs, np.unique(shingle_hashes(theirs.encode(), words)))
+                own = np.unique(shingle_hashes(ours.encode(), words))
+                common = len(np.intersect1d(own, last[1], assume_unique=True))
+                kept.append(common >= similarity * (len(own) + len(last[1]) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("hub_fp")], ["a", "b"]).filter(pa.array(kept))
+
+    return both.select("fp", "hub_fp", "ours", "theirs").mapInArrow(verify, "a bigint, b bigint")
+
+
+def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """component_id (least doc_id) of each fingerprint of prints(doc_id, fp): fp, component_id. more: further links(a, b)."""
     own = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    joined = components(links(own.select("fp")))
+    near = links(own.select("fp"))
+    joined = components(near if more is None else near.union(more.select("a", "b")))
     n = own.count()
     named = lookup(own, joined.withColumnRenamed("node", "fp"), ["fp"], n).select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = keep(named, "named")
@@ -89,19 +160,26 @@ def classes(prints: DataFrame) -> DataFrame:
     return lookup(named, first, ["component"], n).select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, __id, __hash, fp and component_id of every row."""
-    prints = keep(fingerprints(docs), "simhash")
-    return lookup(prints, classes(prints), ["fp"], prints.count())
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """doc_id, __id, __hash, fp and component_id of every row; with a similarity, texts that are that alike are linked too."""
+    prints = keep(fingerprints(docs, words, similarity is not None), "simhash")
+    more = None if similarity is None else similar(prints, docs, words, similarity)
+    prints = prints.drop("keys")
+    return lookup(prints, classes(prints, more), ["fp"], prints.count())
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the component's id (of equal ids, one)."""
-    found = near_duplicates(docs)
-    bad = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__id", "__hash").distinct()
-    keyed = docs.select(F.struct("*").alias("kept"), *row_key(docs)).join(bad.hint("shuffle_hash"), ["__id", "__hash"], "left_anti")
-    return keyed.dropDuplicates(["__id"]).select("kept.*")
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component: that of the component's id (of equal ids, that with the least hash)."""
+    found = keep(near_duplicates(docs, words, similarity), "near-duplicates")
+    other = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__id", "__hash")
+    ids = found.groupBy("__id").agg(F.min("__hash").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    second = found.select("__id", "__hash").join(ids.select("__id", "first"), "__id").where("__hash <> first").select("__id", "__hash")
+    out = keep_rows(docs, other.union(second).distinct())
+    if found.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # rows equal in id and text
+        keyed = out.select(F.struct("*").alias("kept"), *row_key(out))
+        out = keyed.dropDuplicates(["__id", "__hash"]).select("kept.*")
+    return out
