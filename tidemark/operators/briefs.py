@@ -23,10 +23,10 @@ def senses(df: DataFrame, x: str, y: str, ids: Sequence[str], bins: int = 4) ->
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     one = lambda f, name: f.select(F.lit(name).alias("sense"), "n", F.col("r").alias("effect"))
     ranks = PA.ranked(base, [x, y], ids, average_ties=False)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    binned = ranks.select(*[F.least(F.floor((F.col(c) - 1) * bins / n), F.lit(bins - 1)).cast("int").alias(c) for c in (x, y)])
+    total = ranks.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    binned = ranks.crossJoin(F.broadcast(total)).select(*[F.least(F.floor((F.col(c) - 1) * bins / F.col("__n")), F.lit(bins - 1)).cast("int").alias(c) for c in (x, y)])
     cells = PA.contingency(binned, x, y)
-    p = F.col("observed") / F.sum("observed").over(Window.partitionBy(F.lit(1)))
+    p = F.col("observed") / F.sum("observed").over(Window.partitionBy(F.lit(1)))  # bins x bins rows
     info = cells.where("observed > 0").select("observed", (p * F.log2(F.col("observed") / F.col("expected"))).alias("i")).agg(F.sum("observed").alias("n"), (F.sum("i") / F.log2(F.lit(float(bins)))).alias("r"))
     v = PA.chi_square(binned, x, y, p_value=False).select("n", F.col("cramers_v").alias("r"))
     return reduce(DataFrame.union, [one(PA.pearson(base, [x, y], p_value=False), "pearson"), one(PA.spearman(base, [x, y], ids, p_value=False), "spearman"), one(v, "chi_square"), one(info, "mutual_information")])

@@ -76,19 +76,26 @@ def fisher_interval(r: Column, n: Column, z: float = 1.96) -> tuple[Column, Colu
     return F.when(n > 3, F.tanh(centre - half)).otherwise(-1.0), F.when(n > 3, F.tanh(centre + half)).otherwise(1.0)
 
 
-def ranked(df: DataFrame, columns: Sequence[str], ids: Sequence[str], average_ties: bool = True) -> DataFrame:
+def ranked(df: DataFrame, columns: Sequence[str], ids: Sequence[str], average_ties: bool = True, ranges: int = 64) -> DataFrame:
     """df's ids with each column as its rank. Average ranks for ties, or ordinal ranks (ties by the ids).
 
-    Each distinct value's rank comes from counts per value and a running sum over the distinct values, partitioned by column.
+    Values are counted first, so a frequent value is one row; distinct values are dealt into ranges by approximate quantiles, a
+    window numbers each range, and a range's start is the sum of those before it. No task sorts a whole column.
     """
     rows = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(ids), list(columns), "field", "value").where("value IS NOT NULL AND NOT isnan(value)")
+    counts = rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("k"))
+    cuts = counts.groupBy("field").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
+    dealt = counts.join(F.broadcast(cuts), "field").select("field", "value", "k", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("part"))  # a row per column
+    sizes = dealt.groupBy("field", "part").agg(F.sum("k").alias("n"))
+    starts = sizes.select("field", "part", (F.sum("n").over(Window.partitionBy("field").orderBy("part")) - F.col("n")).alias("start"))
+    before = F.col("start") + F.sum("k").over(Window.partitionBy("field", "part").orderBy("value")) - F.col("k")
+    placed = dealt.join(F.broadcast(starts), ["field", "part"]).select("field", "value", before.alias("before"), "k")  # a row per column and range
+    both = rows.join(placed, ["field", "value"])
     if average_ties:
-        counts = rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("k"))
-        below = F.sum("k").over(Window.partitionBy("field").orderBy("value"))
-        rows = rows.join(counts.select("field", "value", (below - (F.col("k") - 1) / 2.0).alias("rank")), ["field", "value"])
+        rank = F.col("before") + (F.col("k") + 1) / 2.0
     else:
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy("value", *ids)).cast("double"))
-    return rows.groupBy(*ids).pivot("field", list(columns)).agg(F.first("rank"))
+        rank = (F.col("before") + F.row_number().over(Window.partitionBy("field", "value").orderBy(*ids))).cast("double")
+    return both.withColumn("rank", rank).groupBy(*ids).pivot("field", list(columns)).agg(F.first("rank"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str], ids: Sequence[str], average_ties: bool = True, p_value: bool = True) -> DataFrame:

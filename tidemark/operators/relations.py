@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import profile as P
+from tidemark.session import stored
 from tidemark.operators.merge import TIME_NAMES, TIME_WORDS
 
 # Words of numeric and categorical names, and of frequencies.
@@ -103,18 +104,13 @@ def inclusion(child: DataFrame, column: str, parent: DataFrame, key: str) -> Dat
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its least node) by least labels with pointer jumping; edges(a, b), undirected. Rounds are checkpointed."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         new = labels.join(near, "node").select("node", F.least("component", "least").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = new.join(jump, "component").select("node", F.col("up").alias("component")).checkpoint()
+        new = stored(new.join(jump, "component").select("node", F.col("up").alias("component")))
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         labels = new
         if not changed:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import stored
+
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "__i") -> DataFrame:
     """df with its place from 0 in a total order, without sorting in one task: sorted ranges are counted, then numbered."""
@@ -24,7 +26,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "__i") -> DataFram
             at += b.num_rows
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    tagged = ordered.mapInArrow(tag, f"{fields}, __part int, __at bigint").persist()
+    tagged = stored(ordered.mapInArrow(tag, f"{fields}, __part int, __at bigint"))
     sizes = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
     return tagged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps day and hour boundaries the same everywhere; AQE re-plans partitions and skewed joins from what ran.
 SETTINGS = {
@@ -22,3 +24,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder (a temp folder only where none is set), so that later steps read the same rows however
+    often they run and whatever executors are lost."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
