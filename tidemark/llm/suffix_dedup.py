@@ -207,7 +207,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     whole = shared_rows(member, of_run, shape, n_members).select("__id", "__hash", "lo", "hi")
 
     several = of_run.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    reps = lookup(of_run.select("bucket", "rep"), several, ["bucket"], n_members, "inner")
+    n_classes = of_run.count()
+    reps = lookup(of_run.select("bucket", "rep"), several, ["bucket"], n_classes, "inner", hot=several.where(F.col("classes") > hot_from(n_classes)))
     second = spark.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
 
     def pieces(b) -> Iterator[tuple]:
@@ -239,7 +240,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     of_piece = classes_of(piece, shape, "string")
     part = shared_rows(piece, of_piece, shape, n_pieces).selectExpr("__id", "__hash", "anchor - far AS lo", "anchor - near AS hi")
     several = of_piece.groupBy("k", "core").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    reps = lookup(of_piece.select("k", "core", "rep"), several, ["k", "core"], n_pieces, "inner")
+    n_classes = of_piece.count()
+    reps = lookup(of_piece.select("k", "core", "rep"), several, ["k", "core"], n_classes, "inner", hot=several.where(F.col("classes") > hot_from(n_classes)))
     third = spark.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
 
     def windows(batches: Iterator) -> Iterator:

@@ -67,9 +67,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, ho
     named = head.select(*[F.col(k).alias(f"__h_{k}") for k in keys], *[F.col(v).alias(f"__h_{v}") for v in values], F.lit(True).alias("__h"))
     on = [F.col(k) == F.col(f"__h_{k}") for k in keys]
     met = left.join(F.broadcast(named), on, "left")
-    spread = F.monotonically_increasing_id()
-    met = met.withColumn("__lone", F.when(F.col("__h") | F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys)), spread).otherwise(F.lit(-1).cast("long")))
-    cold = right.select(*[F.col(k).alias(f"__c_{k}") for k in keys], *[F.col(v).alias(f"__c_{v}") for v in values], F.lit(-1).cast("long").alias("__c_lone"), F.lit(True).alias("__c"))
+    # a further key on both sides: a hash of the keys, or for rows that are done a number of their own, so that they spread
+    done = F.coalesce(F.col("__h"), F.lit(False)) | F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    met = met.withColumn("__lone", F.when(done, F.monotonically_increasing_id()).otherwise(F.xxhash64(*keys)))
+    cold = right.select(*[F.col(k).alias(f"__c_{k}") for k in keys], *[F.col(v).alias(f"__c_{v}") for v in values], F.xxhash64(*keys).alias("__c_lone"), F.lit(True).alias("__c"))
     joined = met.join(cold, [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__lone") == F.col("__c_lone")], "left")
     if how == "inner":
         joined = joined.where("__h OR __c")
