@@ -381,8 +381,16 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.deduplicated(none).collect() == []
 
 
-def test_suffix_dedup_with_partial_overlaps(spark, monkeypatch):
+@pytest.mark.parametrize("marks", [(0, 0), (1 << 22, 1 << 22), (0, 1 << 22), (1 << 22, 0)])
+def test_suffix_dedup_with_partial_overlaps(spark, monkeypatch, marks):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1500)  # so that texts are cut
+    turn, of = iter(marks), suffix_dedup.marked
+
+    def by_turn(*x):  # each refinement by a bitmap or by a join
+        monkeypatch.setattr(suffix_dedup, "MARKS", next(turn))
+        return of(*x)
+
+    monkeypatch.setattr(suffix_dedup, "marked", by_turn)
     texts = [prose(900 + i, 300) for i in range(6)]
     for i, (a, b, n) in enumerate([(0, 1, 399), (1, 2, 400), (2, 3, 401), (3, 4, 450), (4, 5, 600), (5, 0, 1000)]):
         texts[b] = texts[b][: 100 * i] + texts[a][37 * i : 37 * i + n] + texts[b][100 * i :]

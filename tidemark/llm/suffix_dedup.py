@@ -13,8 +13,10 @@ suffix array (whose sorted suffixes would take many times the input on disk):
    grouped by the identifiers of the string that all their windows share, and only pieces of groups with several classes are
    refined to single windows.
 
-Which rows take part in the next refinement is told to the tasks by a bitmap of fixed size; its false hits cost rows, not
-correctness, as every count is of windows that exist. Groups are only ever counted by aggregation: no pairs, no group in a task.
+Which rows take part in the next refinement is told to the tasks by a bitmap of fixed size if it holds them with few false hits
+(MARKS of them); more are joined with their documents, whose texts are then shuffled. Both give the same result: a false hit
+costs rows, not correctness, as every count is of windows that exist. The bitmap of the first buckets, however full, lets through
+one row per anchor at most. Groups are only ever counted by aggregation: no pairs, no group in a task.
 
 Bucket identifiers are 64-bit rolling hashes; a string is told apart by two of them or by one and a 64-bit hash of three.
 
@@ -25,7 +27,7 @@ long texts are worked through in pieces. An empty table gives an empty result. E
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,8 @@ Q = 200
 PIECE = 16
 CHUNK = 1 << 19
 BITS = 26
+#: A bitmap is used for so many marks at most (one bit in 16 is set); more go to their documents by a join.
+MARKS = 1 << (BITS - 4)
 #: A chunk's positions fit into so many bits.
 PLACE_BITS = 21
 
@@ -149,6 +153,22 @@ def shared_rows(rows: DataFrame, classes: DataFrame, shape: list[str], n: int) -
     return lookup(rows, again, shape, n, "inner", hot=classes.where(F.col("n") > hot_from(n)))
 
 
+def marked(texts: DataFrame, rows: DataFrame, reps: DataFrame, n: int) -> tuple[DataFrame, Callable, bool]:
+    """For the n members of rows whose tickets are reps(rep): the texts to scan for them (all, or those of their documents), a
+    function of a batch of those texts that gives the test of tickets, and whether that test holds for batches of any texts."""
+    if n <= MARKS:
+        bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
+        return texts, lambda b: lambda tickets: in_bitmap(bitmap.value, tickets), True
+    owners = rows.select("__id", "__hash", ticket_column("string").alias("rep")).join(reps.select("rep"), "rep", "left_semi")
+    asked = owners.groupBy("__id", "__hash").agg(F.collect_set("rep").alias("tickets"))  # at most one for each run or piece of a text
+
+    def known(b) -> Callable:
+        tickets = np.unique(b.column("tickets").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        return lambda t: np.isin(t, tickets)
+
+    return texts.join(asked.hint("shuffle_hash"), ["__id", "__hash"]), known, False
+
+
 def _long(x: np.ndarray):
     return np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
 
@@ -209,12 +229,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     several = of_run.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     n_classes = of_run.count()
     reps = lookup(of_run.select("bucket", "rep"), several, ["bucket"], n_classes, "inner", hot=several.where(F.col("classes") > hot_from(n_classes)))
-    second = spark.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
+    unsettled, in_second, anywhere = marked(texts, member, reps, several.agg(F.sum("classes")).first()[0] or 0)
 
-    def pieces(b) -> Iterator[tuple]:
-        """Pieces of the runs that refinement is left for."""
+    def pieces(b, left: Callable | None) -> Iterator[tuple]:
+        """Pieces of the runs that refinement is left for: those whose tickets pass the test, or all."""
         for (row_id, row_hash, _, string, anchor, lo, hi), ids, place in member_runs(b):
-            use = in_bitmap(second.value, ticket(string, row_hash, row_id, anchor))
+            use = left(ticket(string, row_hash, row_id, anchor)) if left else np.ones(len(anchor), bool)
             if not use.any():
                 continue
             row_id, row_hash, anchor, lo, hi, place = (x[use] for x in (row_id, row_hash, anchor, lo, hi, place))
@@ -231,10 +251,10 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator) -> Iterator:
         for b in batches:
-            if parts := [row for row, _, _ in pieces(b)]:
+            if parts := [row for row, _, _ in pieces(b, in_second(b))]:
                 yield _batch(dict(zip(piece_names, _joined(parts, 8), strict=True)))
 
-    piece = keep(texts.mapInArrow(cut, _longs(*piece_names)), "pieces")
+    piece = keep(unsettled.mapInArrow(cut, _longs(*piece_names)), "pieces")
     n_pieces = piece.count()
     shape = ["k", "core", "string", "near", "far"]
     of_piece = classes_of(piece, shape, "string")
@@ -242,13 +262,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     several = of_piece.groupBy("k", "core").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     n_classes = of_piece.count()
     reps = lookup(of_piece.select("k", "core", "rep"), several, ["k", "core"], n_classes, "inner", hot=several.where(F.col("classes") > hot_from(n_classes)))
-    third = spark.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
+    unsettled, in_third, _ = marked(texts, piece, reps, several.agg(F.sum("classes")).first()[0] or 0)
 
     def windows(batches: Iterator) -> Iterator:
         for b in batches:
-            parts = []
-            for (row_id, row_hash, _, _, string, near, far, anchor), ids, place in pieces(b):
-                use = in_bitmap(third.value, ticket(string, row_hash, row_id, anchor))
+            parts, left = [], in_third(b)
+            for (row_id, row_hash, _, _, string, near, far, anchor), ids, place in pieces(b, in_second(b) if anywhere else None):
+                use = left(ticket(string, row_hash, row_id, anchor))
                 if not use.any():
                     continue
                 row_id, row_hash, near, far, anchor, place = (x[use] for x in (row_id, row_hash, near, far, anchor, place))
@@ -260,7 +280,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             if parts:
                 yield _batch(dict(zip(("__id", "__hash", "s1", "s2", "lo"), _joined(parts, 5), strict=True)))
 
-    window = keep(texts.mapInArrow(windows, _longs("__id", "__hash", "s1", "s2", "lo")), "windows")
+    window = keep(unsettled.mapInArrow(windows, _longs("__id", "__hash", "s1", "s2", "lo")), "windows")
     n_windows = window.count()
     of_window = keep(window.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     single = shared_rows(window, of_window, ["s1", "s2"], n_windows).selectExpr("__id", "__hash", "lo", "lo AS hi")
