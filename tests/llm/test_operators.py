@@ -429,6 +429,23 @@ def F_round():
     return F.round("base_score", 6).alias("base_score")
 
 
+def test_every_context_counts_however_rare(spark, monkeypatch):
+    """scores() against the tree of all contexts, in a corpus where most contexts are rare; with few grams by broadcast too."""
+    texts = [(i, prose(i, 400)) for i in range(60)] + [(900 + i, lines(i, 3)) for i in range(6)] + [(990, None), (991, "")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    train = spark.createDataFrame([((t or "").encode(),) for i, t in texts if zlib.crc32(str(i).encode()) % ctw.PARTS != ctw.HELD_OUT], "text binary")
+    tree = ctw.grow(ctw.counts(train).where("kind = 0"), contexts=1 << 40)
+    want = {}
+    for i, t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        want[i] = float(tree.score(*ctw.padded(raw, np.array([0, len(raw)]), ctw.DEPTH)).sum(dtype=np.float64))
+    for grams in (ctw.GRAMS, 300):
+        monkeypatch.setattr(ctw, "GRAMS", grams)
+        got = {r["doc_id"]: r["score"] for r in ctw.scores(frame).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i]) < 1e-5 * (1 + abs(want[i])) for i in want)
+
+
 def test_tree_is_the_weighted_mixture():
     """Against a sequential context-tree weighting of depth 2: the code length of the next byte is the ratio of block probabilities."""
     r = np.random.default_rng(3)
