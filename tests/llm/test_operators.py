@@ -210,6 +210,14 @@ def test_one_of_each_keeps_the_least_id(docs):
     assert simhash.one_of_each(docs).columns == docs.columns
 
 
+def test_one_of_each_keeps_a_row_of_each_component(spark):
+    """Unlike texts without an id, and unlike texts of one id, one of them a copy of a lesser id's."""
+    a, b = prose(801, 80), prose(802, 80)
+    odd = [prose(810 + i, 80) for i in range(6)]
+    frame = spark.createDataFrame([(None, t) for t in odd] + [(3, a), (5, a), (5, b), (None, b)], "doc_id bigint, text string").repartition(3)
+    same(simhash.one_of_each(frame).collect(), [(None, t) for t in odd] + [(3, a), (5, b)])
+
+
 # 5: packing
 
 

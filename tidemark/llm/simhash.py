@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import hot_from, keep, keep_rows, lookup, mixed, row_key, small_batches
+from .util import hot_from, keep, lookup, mixed, row_key, small_batches
 
 WORDS = 4
 DISTANCE = 4
@@ -149,7 +149,7 @@ def similar(prints: DataFrame, docs: DataFrame, words: int, similarity: float) -
 
 
 def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """component_id (least doc_id) of each fingerprint of prints(doc_id, fp): fp, component_id. more: further links(a, b)."""
+    """component_id (least doc_id) of each fingerprint of prints(doc_id, fp): fp, component (its label), component_id. more: further links(a, b)."""
     own = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     near = links(own.select("fp"))
     joined = components(near if more is None else near.union(more.select("a", "b")))
@@ -157,11 +157,11 @@ def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
     named = lookup(own, joined.withColumnRenamed("node", "fp"), ["fp"], n).select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = keep(named, "named")
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return lookup(named, first, ["component"], n).select("fp", "component_id")
+    return lookup(named, first, ["component"], n).select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
-    """doc_id, __id, __hash, fp and component_id of every row; with a similarity, texts that are that alike are linked too."""
+    """doc_id, __id, __hash, fp, component (a label) and component_id of every row; with a similarity, texts that are that alike are linked too."""
     prints = keep(fingerprints(docs, words, similarity is not None), "simhash")
     more = None if similarity is None else similar(prints, docs, words, similarity)
     prints = prints.drop("keys")
@@ -173,13 +173,13 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component: that of the component's id (of equal ids, that with the least hash)."""
+    """docs with one row of each component: that of the least id (null counts last; of equal ids, that with the least hash).
+
+    Each component keeps a row, so unlike texts that share an id, or have none, all stay."""
     found = keep(near_duplicates(docs, words, similarity), "near-duplicates")
-    other = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__id", "__hash")
-    ids = found.groupBy("__id").agg(F.min("__hash").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    second = found.select("__id", "__hash").join(ids.select("__id", "first"), "__id").where("__hash <> first").select("__id", "__hash")
-    out = keep_rows(docs, other.union(second).distinct())
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "__id", "__hash")).alias("first")).select("first.__id", "first.__hash")
+    keyed = docs.select(F.struct("*").alias("kept"), *row_key(docs))  # a struct, as docs may have columns of any name
+    out = keyed.join(first.hint("shuffle_hash"), ["__id", "__hash"], "left_semi")
     if found.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):  # rows equal in id and text
-        keyed = out.select(F.struct("*").alias("kept"), *row_key(out))
-        out = keyed.dropDuplicates(["__id", "__hash"]).select("kept.*")
-    return out
+        out = out.dropDuplicates(["__id", "__hash"])
+    return out.select("kept.*")
