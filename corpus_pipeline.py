@@ -15,7 +15,7 @@ from tidemark.llm.util import keep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the line frequencies reject go."""
+    """Documents that the rules and the line frequencies reject go, and boilerplate lines go from the others; n_chars follows."""
     return quality.good(docs)
 
 

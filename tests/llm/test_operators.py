@@ -339,6 +339,16 @@ def test_boilerplate_is_removed_and_copies_count_once(spark):
     same([(r["doc_id"],) for r in quality.good(frame).collect()], [(i,) for i in kept if i >= 100])
 
 
+def test_boilerplate_lines_are_gone_from_kept_texts(spark):
+    """The line goes from its host's kept documents, in whatever case and spacing; in another host it stays."""
+    bodies = {i: lines(900 + i, 8) for i in range(30)}
+    texts = {i: t.replace("\n", "\nSubscribe  to OUR letter\n\n", 1) for i, t in bodies.items()}
+    rows = [(i, t, "a", 0, "x") for i, t in texts.items()] + [(0, texts[0], "b", 0, "y"), (None, texts[1] + "\nsubscribe to our letter", None, 0, "z")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int, `row` string").repartition(3)
+    clean = {i: t.replace("\n", "\n\n", 1) for i, t in bodies.items()}
+    same(quality.good(frame).collect(), [(i, t, "a", len(t), "x") for i, t in clean.items()] + [(r[0], r[1], r[2], 0, r[4]) for r in rows[30:]])
+
+
 def test_boilerplate_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
     test_boilerplate_is_removed_and_copies_count_once(spark)

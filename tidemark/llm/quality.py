@@ -2,7 +2,7 @@ r"""Quality rules, with lines that many documents of a host share.
 
 Lines are normalised (ASCII lower case, white-space runs as one space) and hashed. For each host (`source`) and line the
 distinct documents are counted; copies of one text are one document. A line above the limits (LEAST documents and a SHARE of
-the host's distinct documents) is boilerplate: it is removed, and a document is rejected if too few of its words remain.
+the host's distinct documents) is boilerplate: good() removes it, and a document is rejected if too few of its words remain.
 Base rules (length, repeated word windows) reject on their own.
 
 Nulls and empty texts: no words, rejected as too short. A null host is a host of its own. Repeated rows: each gets its
@@ -15,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import keep, keep_rows, lookup, row_key
+from .util import keep, lookup, row_key, small_batches
 
 #: A line is boilerplate in a host if it is in more documents than LEAST and than SHARE of the host's.
 LEAST = 10
@@ -102,7 +103,7 @@ def boilerplate(rows: DataFrame, least: int = LEAST, share: float = SHARE) -> Da
 
 
 def judged(docs: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """doc_id, __id, __hash, the measures, n_removed_words, base_failed and kept of every row."""
+    """doc_id, __id, __hash, the measures, n_removed_words, cut (hashes of the boilerplate lines or null), base_failed and kept of every row."""
     rows = keep(measured(docs).withColumn("row", F.monotonically_increasing_id()), "measures")
     bad = keep(boilerplate(rows, least, share), "boilerplate").withColumn("bad", F.lit(True))
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit("null")).alias("host")
@@ -113,7 +114,7 @@ def judged(docs: DataFrame, least: int = LEAST, share: float = SHARE, left: floa
     else:
         lines = keep(lines, "document-lines")
         hit = lookup(lines, bad, ["host", "line"], lines.count(), "inner")
-    removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    removed = hit.groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("cut"))
     out = rows.drop("lines", "words").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed_words") >= left * F.col("n_words")))
@@ -123,6 +124,31 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def without(text: str, cut: set[int]) -> str:
+    """The text without its lines whose normalised hash (as measure() has it) is in cut, signed; the other lines stay as they are."""
+    import xxhash
+
+    kept = []
+    for line in text.encode().split(b"\n"):
+        words = line.split()
+        h = xxhash.xxh3_64_intdigest(b" ".join(words).lower()) if words else 0
+        if not words or (h - (1 << 64) if h >> 63 else h) not in cut:
+            kept.append(line)
+    return b"\n".join(kept).decode()
+
+
 def good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject."""
-    return keep_rows(docs, judged(docs).where(~F.col("kept")).select("__id", "__hash").distinct())
+    """docs without the rows that the rules reject, and their texts without the host's boilerplate lines; n_chars follows."""
+    small_batches(docs.sparkSession)
+    host = lambda c: F.coalesce(F.concat(F.lit("h"), c), F.lit("null")).alias("__host")
+    found = judged(docs).where("kept").select(host(F.col("host")), "__id", "__hash", "cut").dropDuplicates(["__host", "__id", "__hash"])
+    keyed = docs.select(F.struct("*").alias("kept"), *row_key(docs), host(F.col("source").cast("string")))  # a struct, as docs may have columns of any name
+    met = keep(keyed.join(found.hint("shuffle_hash"), ["__host", "__id", "__hash"]).select("kept", "cut"), "kept-documents")
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([without(t, set(c)) for t, c in zip(texts, cuts, strict=True)], dtype=object)
+
+    some = met.where(F.col("cut").isNotNull()).withColumn("text", cleaned(F.col("kept.text").cast("string"), "cut"))
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return met.where(F.col("cut").isNull()).select("kept.*").union(some.select(*[fresh[c].alias(c) if c in fresh else F.col("kept").getField(c).alias(c) for c in docs.columns]))
