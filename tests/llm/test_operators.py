@@ -390,7 +390,10 @@ def brute_dedup(texts, length):
                     spans.append([i, i + length])
         kept = b"".join(d[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(d)], strict=True))
         out.append((len(d), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()))
-    return out
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    n = Counter(tuple(w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    inside = [len({i + k for i in range(len(w) - 49) if n[tuple(w[i : i + 50])] > 1 for k in range(50)}) for w in words]
+    return [(*x, k) for x, k in zip(out, inside, strict=True)]
 
 
 def test_suffix_dedup(docs, rows, none):
@@ -402,7 +405,7 @@ def test_suffix_dedup(docs, rows, none):
 @pytest.mark.parametrize("marks", [(0, 0), (1 << 22, 1 << 22), (0, 1 << 22), (1 << 22, 0)])
 def test_suffix_dedup_with_partial_overlaps(spark, monkeypatch, marks):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1500)  # so that texts are cut
-    turn, of = iter(marks), suffix_dedup.marked
+    turn, of = iter(marks * 2), suffix_dedup.marked  # bytes, then words
 
     def by_turn(*x):  # each refinement by a bitmap or by a join
         monkeypatch.setattr(suffix_dedup, "MARKS", next(turn))
@@ -412,11 +415,24 @@ def test_suffix_dedup_with_partial_overlaps(spark, monkeypatch, marks):
     texts = [prose(900 + i, 300) for i in range(6)]
     for i, (a, b, n) in enumerate([(0, 1, 399), (1, 2, 400), (2, 3, 401), (3, 4, 450), (4, 5, 600), (5, 0, 1000)]):
         texts[b] = texts[b][: 100 * i] + texts[a][37 * i : 37 * i + n] + texts[b][100 * i :]
-    texts += [texts[0][200:900], "ab" * 700, texts[1][:500] + "é" + texts[1][500:]]
+    for i, n in enumerate((49, 50, 51, 60, 75)):  # passages of so many words of two letters: far below 400 bytes
+        passage = "  \n ".join(chr(97 + j % 26) + chr(97 + (j * 7 + i) % 26) for j in range(n))
+        texts[i] += " " + passage
+        texts[i + 1] = passage + "\t" + texts[i + 1] + (" " + passage if i == 3 else "")
+    texts += [texts[0][200:900], "ab" * 700, texts[1][:500] + "é" + texts[1][500:], None, "a " * 300, "word" * 3000 + " " + "end " * 49]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     same(suffix_dedup.digest(suffix_dedup.deduplicated(frame)).collect(), [(i, *x) for i, x in enumerate(brute_dedup(texts, 400))])
 
 
+def test_repeated_rows_share_their_spans(spark):
+    """Rows equal in id and text are copies of each other; each loses all, and none gathers the others' spans."""
+    text = lines(31, 8)
+    frame = spark.createDataFrame([(None, text)] * 150 + [(1, prose(3, 100))], "doc_id bigint, text string").repartition(6)
+    found = suffix_dedup.deduplicated(frame)
+    assert {len(r["spans"]) for r in found.where("doc_id IS NULL").collect()} == {1}
+    same(suffix_dedup.digest(found).collect(), [(i, *x) for i, x in zip([None] * 150 + [1], brute_dedup([text] * 150 + [prose(3, 100)], 400), strict=True)])
+
+
 # 10: context trees
 
 

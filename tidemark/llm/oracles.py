@@ -38,13 +38,16 @@ a AS (SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0) AS word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept, n_removed_words FROM a
 """
 
-#: Bytes as hex digits, so that strings of bytes are strings of text; all 400-byte strings are compared.
-REPEATS = """
+#: Bytes as hex digits, so that strings of bytes are strings of text; all 400-byte strings are compared. Then all sequences of 50 words.
+REPEATS = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT row, unnest(range(0, length(h) // 2 - 399)) AS i, h FROM d WHERE length(h) >= 800),
 s AS (SELECT row, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM p), k AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY m) AS n FROM s) WHERE n > 1),
 g AS (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run FROM (SELECT row, i, CASE WHEN i > lag(i) OVER (PARTITION BY row ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM k)), r AS (SELECT row, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY 1, 2),
-q AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS last FROM r), x AS (SELECT row, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN d USING (row) GROUP BY row)
-SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (row)
+q AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS last FROM r), x AS (SELECT row, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN d USING (row) GROUP BY row),
+w AS (SELECT row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), wp AS (SELECT row, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+wk AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY m) AS n FROM (SELECT row, i, md5(array_to_string(w[i:i + 49], ' ')) AS m FROM wp)) WHERE n > 1),
+wc AS (SELECT row, sum(least(50, coalesce(following - i, 50)))::BIGINT AS n FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS following FROM wk) GROUP BY row)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(wc.n, 0) AS n_passage_words FROM d LEFT JOIN x USING (row) LEFT JOIN wc USING (row)
 """
 
 ORACLE_SQL = {"op2_capture_index": warc_index.ORACLE, "op6_blob_ledger": SECRETS, "op7_line_frequency": QUALITY, "op9_bucket_refinement": REPEATS}

@@ -20,14 +20,19 @@ one row per anchor at most. Groups are only ever counted by aggregation: no pair
 
 Bucket identifiers are 64-bit rolling hashes; a string is told apart by two of them or by one and a 64-bit hash of three.
 
+The same refinement runs over words (WORDS: 50 words, buckets of 25) to tell passages: 50 words are often fewer than 400 bytes, so
+removal alone doesn't see them. Words are those of the text as it is, by white space; nothing is removed for them.
+
 Nulls and empty texts: no bytes, nothing removed. Repeated rows: two rows of equal id and text are two documents, so their
-windows are repeats of each other. Null ids count as an id. Texts shorter than 400 bytes are never changed by others. Very
+windows are repeats of each other; their equal spans are gathered once. Null ids count as an id. Texts shorter than 400 bytes
+are never changed by others. Very
 long texts are worked through in pieces. An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,9 +40,22 @@ from pyspark.sql import functions as F
 
 from .util import bitmap_of, columns_of_binary, hot_from, in_bitmap, keep, lookup, mixed, row_key, small_batches
 
-LENGTH = 400
-Q = 200
-PIECE = 16
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: `length` symbols make a string that is looked for, q (half of them) a bucket's."""
+
+    name: str
+    length: int
+    piece: int
+
+    @property
+    def q(self) -> int:
+        return self.length // 2
+
+
+BYTES = Unit("bytes", 400, 16)
+WORDS = Unit("words", 50, 8)
 CHUNK = 1 << 19
 BITS = 26
 #: A bitmap is used for so many marks at most (one bit in 16 is set); more go to their documents by a join.
@@ -47,12 +65,15 @@ PLACE_BITS = 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+#: The value of a word's byte depends on its place up to here, and then on the place in turn.
+_WORD_PLACES = 1 << 16
 
 
 def _ready() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the base, of its inverse, and a value for each byte."""
     if not _powers:
-        n = CHUNK + 2 * LENGTH + 1
+        n = CHUNK + 2 * BYTES.length + 1
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(n, np.uint64(base))
             p[0] = 1
@@ -61,19 +82,45 @@ def _ready() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"], _powers["byte"]
 
 
-def buckets(data: np.ndarray) -> np.ndarray:
-    """The identifier of the Q bytes at each position."""
+def symbols(unit: Unit, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts (bytes raw, offsets at): the bytes themselves or hashes of the words, and the texts' offsets in symbols."""
+    if unit == BYTES or not len(raw):
+        return raw, at
+    up, _, byte = _ready()
+    space = _SPACE[raw]
+    first = ~space
+    after = np.append(True, space[:-1])
+    after[at[:-1][at[:-1] < len(raw)]] = True
+    first &= after
+    starts = np.flatnonzero(first)
+    out = np.zeros(len(starts), np.uint64)
+    for b in range(0, len(raw) if len(starts) else 0, 1 << 20):
+        e = min(b + (1 << 20), len(raw))
+        i, j = np.searchsorted(starts, (b, e))
+        owner, cuts = np.arange(i, j), starts[i:j]
+        if i == j or cuts[0] > b:  # the rest of a word that began before, or spaces
+            owner, cuts = np.append(max(i - 1, 0), owner), np.append(b, cuts)
+        place = np.arange(b, e) - np.repeat(starts[owner], np.diff(np.append(cuts, e)))
+        value = byte[raw[b:e]] * up[place & (_WORD_PLACES - 1)]
+        value[space[b:e]] = 0
+        np.add.at(out, owner, np.add.reduceat(value, cuts - b))
+    return mixed(out), np.searchsorted(starts, at)
+
+
+def buckets(data: np.ndarray, q: int) -> np.ndarray:
+    """The identifier of the q symbols at each position."""
     up, down, byte = _ready()
+    values = byte[data] if data.dtype == np.uint8 else data
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[Q:] - sums[:-Q]) * down[: len(data) - Q + 1])
+    np.cumsum(values * up[: len(data)], out=sums[1:])
+    return mixed((sums[q:] - sums[:-q]) * down[: len(data) - q + 1])
 
 
-def anchors(ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The anchor of each window: the place of the least of its length - Q + 1 identifiers, leftmost if tied."""
+def anchors(ids: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of each window: the place of the least of its `width` identifiers, leftmost if tied."""
     low = np.uint64((1 << PLACE_BITS) - 1)
     x = (ids & ~low) | np.arange(len(ids), dtype=np.uint64)
-    width, done = length - Q + 1, 1
+    done = 1
     while done < width:
         step = min(done, width - done)
         x = np.minimum(x[:-step], x[step:])
@@ -81,24 +128,24 @@ def anchors(ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return (x & low).astype(np.int64)
 
 
-def runs(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-    """For chunks of documents (bytes raw, offsets at): document number, anchor, first and last window of each run, all counted
+def runs(raw: np.ndarray, at: np.ndarray, unit: Unit) -> Iterator[tuple]:
+    """For chunks of documents (symbols raw, offsets at): document number, anchor, first and last window of each run, all counted
     from the document's start; the chunk's identifiers; the places of anchor, first and last window in it."""
-    n, d = len(at) - 1, 0
+    n, d, length = len(at) - 1, 0, unit.length
     while d < n:
         e = d + 1  # documents d to e-1, or a piece of one that is longer than a chunk
         while e < n and at[e + 1] - at[d] <= CHUNK:
             e += 1
-        for begin in range(int(at[d]), max(int(at[e]) - LENGTH + 1, int(at[d])), CHUNK):
-            data = raw[begin : min(begin + CHUNK + LENGTH - 1, int(at[e]))]
-            if len(data) < LENGTH:
+        for begin in range(int(at[d]), max(int(at[e]) - length + 1, int(at[d])), CHUNK):
+            data = raw[begin : min(begin + CHUNK + length - 1, int(at[e]))]
+            if len(data) < length:
                 continue
-            ids = buckets(data)
-            anchor = anchors(ids)
+            ids = buckets(data, unit.q)
+            anchor = anchors(ids, length - unit.q + 1)
             m = len(anchor)
             ends = at[d + 1 : e + 1] - begin
             out = np.zeros(m + 1, np.int32)  # windows over a document's end
-            np.add.at(out, np.clip(ends - LENGTH + 1, 0, m), 1)
+            np.add.at(out, np.clip(ends - length + 1, 0, m), 1)
             np.add.at(out, np.clip(ends, 0, m), -1)
             good = np.cumsum(out[:m]) == 0
             new = np.ones(m, bool)
@@ -123,14 +170,14 @@ def string_hash(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the strings from begin to end, 2 Q to 3 Q bytes long."""
-    return string_hash(ids[begin], ids[begin + Q], ids[end - Q])
+def text_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the strings from begin to end, 2 q to 3 q symbols long."""
+    return string_hash(ids[begin], ids[begin + q], ids[end - q])
 
 
-def core_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the strings from begin to end, Q to 2 Q bytes long."""
-    return string_hash(ids[begin], ids[end - Q])
+def core_of(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the strings from begin to end, q to 2 q symbols long."""
+    return string_hash(ids[begin], ids[end - q])
 
 
 def ticket(h: np.ndarray, row_hash: np.ndarray, row_id: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -187,15 +234,15 @@ def _joined(parts: list[tuple], n: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(n)]
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """__id, __hash, lo, hi: runs of windows (by their first bytes) that occur elsewhere too. Runs may overlap."""
-    spark = docs.sparkSession
+def repeated(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """__id, __hash, lo, hi: runs of windows (by their first symbols) that occur elsewhere too. Runs may overlap."""
+    spark, length, q, size = docs.sparkSession, unit.length, unit.q, unit.piece
     small_batches(spark)
     texts = docs.select(*row_key(docs), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def count(batches: Iterator) -> Iterator:
         for b in batches:
-            found = [ids[place] for _, _, _, _, ids, place, _, _ in runs(*columns_of_binary(b.column("text")))]
+            found = [ids[place] for _, _, _, _, ids, place, _, _ in runs(*symbols(unit, *columns_of_binary(b.column("text"))), unit)]
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield _batch({"bucket": h, "n": np.minimum(n, 2)})
@@ -206,11 +253,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     def member_runs(b) -> Iterator[tuple]:
         """Runs in shared buckets with the hashes of their strings."""
         row_id, row_hash = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("__id", "__hash"))
-        for doc, anchor, lo, hi, ids, place, p, q in runs(*columns_of_binary(b.column("text"))):
+        for doc, anchor, lo, hi, ids, place, p, r in runs(*symbols(unit, *columns_of_binary(b.column("text"))), unit):
             use = in_bitmap(first.value, ids[place])
             if use.any():
-                doc, anchor, lo, hi, place, p, q = (x[use] for x in (doc, anchor, lo, hi, place, p, q))
-                yield (row_id[doc], row_hash[doc], ids[place], text_of(ids, p, q + LENGTH), anchor, lo, hi), ids, place
+                doc, anchor, lo, hi, place, p, r = (x[use] for x in (doc, anchor, lo, hi, place, p, r))
+                yield (row_id[doc], row_hash[doc], ids[place], text_of(ids, p, r + length, q), anchor, lo, hi), ids, place
 
     names = ("__id", "__hash", "bucket", "string", "anchor", "lo", "hi")
 
@@ -238,14 +285,14 @@ def repeated(docs: DataFrame) -> DataFrame:
             if not use.any():
                 continue
             row_id, row_hash, anchor, lo, hi, place = (x[use] for x in (row_id, row_hash, anchor, lo, hi, place))
-            d0, d1 = (anchor - hi) // PIECE, (anchor - lo) // PIECE
+            d0, d1 = (anchor - hi) // size, (anchor - lo) // size
             times = d1 - d0 + 1
             at = np.repeat(np.arange(len(times)), times)
             k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + d0[at]
-            near, far = np.maximum(k * PIECE, (anchor - hi)[at]), np.minimum(k * PIECE + PIECE - 1, (anchor - lo)[at])
+            near, far = np.maximum(k * size, (anchor - hi)[at]), np.minimum(k * size + size - 1, (anchor - lo)[at])
             place = place[at]
-            core = core_of(ids, place - k * PIECE, place - np.minimum(k * PIECE + PIECE - 1, LENGTH - Q) + LENGTH)
-            yield (row_id[at], row_hash[at], k, core, text_of(ids, place - far, place - near + LENGTH), near, far, anchor[at]), ids, place
+            core = core_of(ids, place - k * size, place - np.minimum(k * size + size - 1, length - q) + length, q)
+            yield (row_id[at], row_hash[at], k, core, text_of(ids, place - far, place - near + length, q), near, far, anchor[at]), ids, place
 
     piece_names = ("__id", "__hash", "k", "core", "string", "near", "far", "anchor")
 
@@ -276,7 +323,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 at = np.repeat(np.arange(len(times)), times)
                 d = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + near[at]
                 p = place[at] - d
-                parts.append((row_id[at], row_hash[at], ids[p], ids[p + Q], anchor[at] - d))
+                parts.append((row_id[at], row_hash[at], ids[p], ids[p + q], anchor[at] - d))
             if parts:
                 yield _batch(dict(zip(("__id", "__hash", "s1", "s2", "lo"), _joined(parts, 5), strict=True)))
 
@@ -287,10 +334,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     return whole.union(part).union(single)
 
 
-def removed_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the maximal runs of bytes that the windows starting at lo to hi cover."""
+def covered(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of symbols that the windows starting at lo to hi cover."""
     order = np.argsort(lo, kind="stable")
-    lo, end = lo[order], hi[order] + LENGTH
+    lo, end = lo[order], hi[order] + length
     reach = np.maximum.accumulate(end)
     new = np.ones(len(lo), bool)
     new[1:] = lo[1:] > reach[:-1]
@@ -298,35 +345,43 @@ def removed_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return lo[begins], reach[np.append(begins[1:] - 1, len(lo) - 1)]
 
 
+FOUND = "doc_id bigint, kept binary, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, passages array<struct<begin:bigint,end:bigint>>"
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (the bytes that remain), n_bytes, and spans (array of begin, end) of every row."""
-    spans = keep(repeated(docs), "repeats").groupBy("__id", "__hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    """doc_id, kept (the bytes that remain), n_bytes, spans (array of begin, end: the bytes removed) and passages (the same in words, of
+    passages of 50 words that start elsewhere too; they aren't removed for it) of every row."""
+    found = [keep(repeated(docs, unit), f"repeats-{unit.name}").withColumn("words", F.lit(unit == WORDS)) for unit in (BYTES, WORDS)]
+    runs_of = lambda words: F.collect_set(F.when(F.col("words") == words, F.struct("lo", "hi")))  # noqa: E731  sets: rows equal in id and text share them
+    spans = found[0].union(found[1]).groupBy("__id", "__hash").agg(runs_of(False).alias("runs"), runs_of(True).alias("word_runs"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    joined = keyed.join(spans.hint("shuffle_hash"), ["__id", "__hash"], "left").select("doc_id", "text", "runs")
+    joined = keyed.join(spans.hint("shuffle_hash"), ["__id", "__hash"], "left").select("doc_id", "text", "runs", "word_runs")
+
+    def merged(runs, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if not runs.is_valid or not len(runs.values):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return covered(*(runs.values.field(f).to_numpy() for f in ("lo", "hi")), length)
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            kept, sizes, all_spans = [], [], []
-            for text, found in zip(b.column("text").to_pylist(), b.column("runs"), strict=True):
+            kept, sizes, spans, passages = [], [], [], []
+            for text, by_bytes, by_words in zip(b.column("text").to_pylist(), b.column("runs"), b.column("word_runs"), strict=True):
                 sizes.append(len(text))
-                if not found.is_valid:
-                    kept.append(text)
-                    all_spans.append([])
-                    continue
-                begins, ends = removed_spans(*(found.values.field(f).to_numpy() for f in ("lo", "hi")))
-                all_spans.append([{"begin": x, "end": y} for x, y in zip(begins.tolist(), ends.tolist(), strict=True)])
-                kept.append(b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(text)], strict=True)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["doc_id", "kept", "n_bytes", "spans"])
+                begins, ends = merged(by_bytes, BYTES.length)
+                kept.append(b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(text)], strict=True)) if len(begins) else text)
+                for out, (x, y) in ((spans, (begins, ends)), (passages, merged(by_words, WORDS.length))):
+                    out.append([{"begin": i, "end": j} for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(passages, kind)], ["doc_id", "kept", "n_bytes", "spans", "passages"])
 
-    return joined.mapInArrow(cut, "doc_id bigint, kept binary, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>")
+    return joined.mapInArrow(cut, FOUND)
 
 
 def digest(found: DataFrame) -> DataFrame:
+    size = lambda spans: F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"]), F.lit(0)).cast("long")
     return found.select(
-        "doc_id", "n_bytes",
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"]), F.lit(0)).cast("long").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        "doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        size("passages").alias("n_passage_words"),
     )
