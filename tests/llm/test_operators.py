@@ -84,6 +84,50 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i, i) for i in range(30)}
 
 
+def brute_overlaps(docs, items):
+    """Every diagonal of every document and item, every stretch of it."""
+    out = []
+    for doc_id, text in docs:
+        t = decontam.token_hashes(text or "")
+        for item_id, item in items:
+            q, best = decontam.token_hashes(item or ""), None
+            for shift in range(1 - len(q), len(t)):
+                begin, end = max(0, -shift), min(len(q), len(t) - shift)
+                equal = [q[i] == t[i + shift] for i in range(begin, end)]
+                if not any(all(equal[i + k] for k in mask) for mask in decontam.MASKS for i in range(len(equal) - mask[-1])):
+                    continue
+                sums = np.concatenate(([0], np.cumsum(equal)))
+                a, b = max(((x, y) for x in range(len(equal)) for y in range(x + 1, len(equal) + 1) if 5 * (sums[y] - sums[x]) >= 4 * (y - x)), key=lambda s: (s[1] - s[0], -s[0]))
+                if b - a >= 13 or len(q) < 13 and b - a >= 5 and 5 * (b - a) >= 4 * len(q):
+                    found = (int(sums[b] - sums[a]), -(begin + a + shift), -shift, begin + a, b - a)
+                    best = max(best or found, found)
+            if best:
+                out.append((doc_id, item_id, -best[1], best[3], best[4], best[0], len(q)))
+    return out
+
+
+def test_decontamination_against_all_diagonals(spark):
+    """Texts of few different words, periodic ones, single words, ties, repeated rows; clashing extra columns."""
+    r = np.random.default_rng(5)
+    some = lambda n, letters: " ".join(r.choice(list("abcdefgh")[:letters], n))
+    items = [(1, "a " * 30), (2, "a b " * 9), (3, some(40, 2)), (4, some(40, 6)), (4, some(25, 6)), (None, "a b c d e f g"), (6, "a a a a a"), (7, None), (8, "x, Y! z")]
+    docs = [(1, "a " * 90), (2, "a b " * 40), (3, some(120, 2)), (4, some(150, 6)), (5, items[3][1] + " " + some(60, 6) + " " + items[3][1]), (5, "q a b c d e f g q"), (None, "a a a a"), (8, None), (9, ""), (10, some(70, 3)), (10, "b a " * 20)]
+    docs += docs[:2]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id bigint, text string, item_id int, `__id` string").repartition(3)
+    table = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, doc_id int")
+    got = decontam.digest(decontam.contaminated(frame, table))
+    same(got.collect(), brute_overlaps(docs, items))
+    assert decontam.contaminated(frame, table.limit(0)).collect() == [] and decontam.contaminated(frame.limit(0), table).collect() == []
+
+
+def test_decontamination_of_long_repetitive_texts():
+    """Work follows the texts' lengths, not the number of hits (here 10**8 a mask)."""
+    for text in ("a " * 200_000, "a b " * 100_000):
+        block = decontam.Block([(1, " ".join(text.split()[:500])), (2, prose(1, 50))])
+        tokens = np.array(decontam.token_hashes(text), np.uint64)
+        assert decontam.overlaps(block, tokens, np.array([0, len(tokens)])) == [(0, 0, 0, 0, 500, 500)]
+
+
 def test_masks_are_lossless():
     from itertools import combinations
 
