@@ -9,7 +9,7 @@ from math import log10
 import numpy as np
 import pytest
 
-from tidemark.llm import components, ctw, decontam, licenses, packing, quality, secrets, shards, simhash, suffix_dedup, warc_index
+from tidemark.llm import components, ctw, decontam, licenses, packing, quality, resemblance, secrets, shards, simhash, suffix_dedup, warc_index
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.util import lookup
 
@@ -244,7 +244,7 @@ def test_simhash_links_against_all_pairs(spark):
                 y ^= 1 << int(b)
             prints.add(y)
     prints = sorted(prints)
-    got = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint")).distinct().collect()
+    got = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), len(prints)).distinct().collect()
     same(got, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4])
 
 
@@ -262,6 +262,78 @@ def test_one_of_each_keeps_a_row_of_each_component(spark):
     same(simhash.one_of_each(frame).collect(), [(None, t) for t in odd] + [(3, a), (5, b)])
 
 
+def like_groups(texts, words, similarity, bits=4):
+    """Sets of texts (by place) that all pairs of `similarity` or more, and of fingerprints at `bits` or fewer, connect."""
+    hashes = [resemblance.shingle_hashes(t.encode(), words) for t in texts]
+    sets, fps = [set(h.tolist()) for h in hashes], [simhash.fingerprint(h) & (2**64 - 1) for h in hashes]
+    group = {i: {i} for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common) or (fps[i] ^ fps[j]).bit_count() <= bits:
+                whole = group[i] | group[j]
+                for x in whole:
+                    group[x] = whole
+    return {frozenset(g) for g in group.values()}
+
+
+def test_one_of_each_against_all_pairs(spark):
+    """Chains of versions (neighbours alike, ends not), a group of near copies, texts with much boilerplate in common, ties."""
+    r = np.random.default_rng(3)
+    texts = []
+    for chain in range(3):
+        words = prose(8000 + chain, 130).split()
+        for version in range(30):
+            words[(version * 13) % 130] = f"new{chain}x{version}"
+            if version % 2:
+                words.append(f"more{version}")
+            texts.append(" ".join(words))
+    boiler = prose(8100, 90)
+    texts += [boiler + " " + prose(8200 + i, 60) for i in range(40)]
+    base = prose(8300, 120).split()
+    for i in range(40):
+        copy = list(base)
+        for at in r.choice(120, i % 4, replace=False):
+            copy[at] = f"edit{i}"
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    want = like_groups(texts, 5, 0.8)
+    assert max(map(len, want)) > 20 and len(want) > 40
+    same([(x["doc_id"],) for x in simhash.one_of_each(frame).collect()], [(min(g),) for g in want])
+
+
+def test_left_over_texts_are_settled_without_bands(spark):
+    """The exact join alone (every text left over) joins what is alike, over several rounds of hubs."""
+    texts = [prose(8400 + i // 25, 60) + f" {i} " + prose(8500 + i // 5, 12) + f" {i}" for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "__hash bigint, text string")
+    nodes = frame.selectExpr("__hash", "__hash AS component")
+    entries = resemblance.prefixes(frame, 5, 0.8)
+    links = [tuple(x) for part in resemblance.settled(entries, nodes, frame, 5, 0.8) for x in part.collect()]
+    group = {i: {i} for i in range(60)}
+    for a, b in links:
+        whole = group[a] | group[b]
+        for x in whole:
+            group[x] = whole
+    assert {frozenset(g) for g in group.values()} == like_groups(texts, 5, 0.8, -1)
+
+
+@pytest.mark.parametrize("cut", [0, 1])
+def test_links_at_all_distances_with_crowded_segments(spark, monkeypatch, cut):
+    r = np.random.default_rng(9)
+    base = [int(x) for x in r.integers(0, 2**64, 12, dtype=np.uint64)]
+    fps = {b ^ sum(1 << int(i) for i in r.choice(64, k, replace=False)) for b in base for k in range(7) for _ in range(5)} | {int(x) << 23 for x in r.integers(0, 2**41, 40)}
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    monkeypatch.setattr(simhash, "segments_for", lambda n: simhash.CUTS[cut])
+    monkeypatch.setattr(simhash, "hot_from", lambda n: 3)
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), len(signed)).distinct().collect()
+    same(got, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+
+
+def test_cut_follows_the_number_of_fingerprints():
+    assert simhash.segments_for(1_000_000) == simhash.CUTS[0] and simhash.segments_for(10**10) == simhash.CUTS[1]
+    assert len(simhash.ball(23, 1)) == 24 and len(simhash.ball(32, 2)) == 529
+
+
 # 5: packing
 
 

@@ -1,16 +1,15 @@
 r"""SimHash near-duplicates by multi-index hashing.
 
-A fingerprint of 64 bits is cut into three segments, searched with the radii 1, 1 and 0: fingerprints at 4 or fewer differing
-bits agree within a segment's radius in one of them at least, as otherwise they would differ in 2 + 2 + 1 bits. For each
-segment the Hamming ball around a fingerprint's value is enumerated, the table's entries with those values are fetched by a
-join, and complete distances are verified inside the join. Only different fingerprints are joined; copies share theirs.
-Linked fingerprints form components (components.py).
+A fingerprint of 64 bits is cut into segments, each searched with a radius, so that fingerprints at 4 or fewer differing bits agree
+within a segment's radius in one of them at least (segments of 23, 23 and 18 bits with radii 1, 1 and 0: otherwise they would
+differ in 2 + 2 + 1 bits). Which cut is used depends on how many fingerprints there are: long segments have larger balls to
+enumerate and fewer strangers in common (segments_for). For each segment the Hamming ball around a fingerprint's value is
+enumerated, the table's entries with those values are fetched by a join, and complete distances are verified inside the join.
+Values with many entries are split over tasks. Only different fingerprints are joined; copies share theirs. Linked fingerprints
+form components (components.py).
 
 Texts that share 80 % of their 5-word shingles differ in 10 of 64 bits as a rule, too far for any table of Hamming balls to
-scale. Where that similarity is asked for (one_of_each), the operator adds links: the least values of 48 hash functions over
-the same shingle hashes, in bands of 4, put like texts into common buckets; the text of a bucket that shares the most buckets
-in all (of edited copies, their original) is its hub; each other text is compared with its buckets' hubs, shingle by shingle.
-So a bucket of any size takes as many comparisons as it has texts.
+scale. Where that similarity is asked for (one_of_each), resemblance.py adds the links between such texts.
 
 Nulls and texts without words: fingerprint zero, linked like any other. Fewer words than a shingle: the whole sequence is
 one shingle. Repeated rows: each gets its row. Null ids: the least non-null id of the component counts; null if there is none.
@@ -20,36 +19,33 @@ Very long texts are hashed whole. An empty table gives an empty result. Extra co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .resemblance import BAND, BANDS, shingle_hashes, similar
 from .util import hot_from, keep, lookup, mixed, row_key, small_batches
 
 WORDS = 4
 DISTANCE = 4
-#: Bands of least values, and values in each: a pair at .8 meets in one of them with a chance of .998.
-BANDS, BAND = 12, 4
-#: Bits of the segments, from the lowest, and their radii.
-SEGMENTS = ((23, 1), (23, 1), (18, 0))
-assert sum(bits for bits, _ in SEGMENTS) == 64 and sum(r + 1 for _, r in SEGMENTS) > DISTANCE
+#: Cuts into segments: bits, from the lowest, and radii.
+CUTS = (((23, 1), (23, 1), (18, 0)), ((32, 2), (32, 2)))
+assert all(sum(bits for bits, _ in cut) == 64 and sum(r + 1 for _, r in cut) > DISTANCE for cut in CUTS)
+#: Entries of a segment value with many go to so many tasks.
+SPLIT = 64
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """Hashes of a UTF-8 text's word shingles, repeats included; of the whole sequence if it is shorter."""
-    import xxhash
+def ball(bits: int, radius: int) -> list[int]:
+    """The differences of a segment's values within the radius."""
+    return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
-    tokens = text.lower().split()  # bytes: A-Z and the six white-space bytes alone
-    if not tokens:
-        return np.zeros(0, "<u8")
-    joined = b" ".join(tokens)
-    k = min(words, len(tokens))
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+def segments_for(n: int) -> tuple[tuple[int, int], ...]:
+    """The cut with the least work for n fingerprints: probes, and entries that they meet if the values are even."""
+    return min(CUTS, key=lambda cut: sum(len(ball(*s)) * (1 + n / 2 ** s[0]) for s in cut))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -97,63 +93,30 @@ def fingerprints(docs: DataFrame, words: int = WORDS, bands: bool = False) -> Da
     return texts.mapInArrow(run, "doc_id bigint, __id bigint, __hash bigint, fp bigint, keys array<bigint>")
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a < b at `distance` or fewer differing bits, for distinct longs fp."""
+def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """a < b at `distance` or fewer differing bits, for n distinct longs fp."""
     entries, probes, at = [], [], 0
-    for number, (bits, radius) in enumerate(SEGMENTS):
+    for number, (bits, radius) in enumerate(segments_for(n)):
         segment = f"(shiftrightunsigned(fp, {at}) & {(1 << bits) - 1}L)"
-        entries.append(f"struct({number} AS segment, {segment} AS value)")
-        probes.append(f"struct({number} AS segment, {segment} AS value)")
-        if radius:
-            probes += [f"struct({number} AS segment, {segment} ^ {1 << i}L AS value)" for i in range(bits)]
+        entries.append(f"array(struct({number} AS segment, {segment} AS value))")
+        probes.append(f"transform(array({', '.join(f'{d}L' for d in ball(bits, radius))}), d -> struct({number} AS segment, {segment} ^ d AS value))")
         at += bits
-    table = fps.select(F.col("fp").alias("b"), F.explode(F.expr(f"array({', '.join(entries)})")).alias("k")).select("b", "k.segment", "k.value")
-    asked = fps.select(F.col("fp").alias("a"), F.explode(F.expr(f"array({', '.join(probes)})")).alias("k")).select("a", F.col("k.segment").alias("s"), F.col("k.value").alias("v"))
-    near = (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    table = fps.select("fp", F.explode(F.expr(f"concat({', '.join(entries)})")).alias("k")).select(F.col("fp").alias("b"), "k.segment", "k.value")
+    crowded = table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n)).select("segment", "value", F.lit(SPLIT).alias("parts"))
+    crowded = F.broadcast(keep(crowded, "crowded"))  # HOT_SHARE values of each segment at most
+    table = table.join(crowded, ["segment", "value"], "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    asked = fps.select(F.col("fp").alias("a"), F.explode(F.expr(f"concat({', '.join(probes)})")).alias("k")).select("a", "k.segment", "k.value").join(crowded, ["segment", "value"], "left")
+    asked = asked.select("a", F.col("segment").alias("s"), F.col("value").alias("v"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("p"))
+    near = (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")) & (F.col("part") == F.col("p")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return asked.join(table.hint("shuffle_hash"), near).select("a", "b")
 
 
-def similar(prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b: fingerprints of different texts with a common share of distinct shingles of `similarity` or more, over hubs."""
-    texts = prints.groupBy("__hash").agg(F.min("__id").alias("__id"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
-    rows = keep(texts.select("__hash", "__id", "fp", F.posexplode("keys").alias("band", "key")), "bands")
-    n = rows.count()
-    sizes = keep(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = keep(lookup(rows, sizes, ["band", "key"], n, "inner", hot=sizes.where(F.col("n") > hot_from(n))), "shared-buckets")
-    score = shared.groupBy("__hash").agg(F.sum("n").alias("score"))
-    hubs = shared.join(score, "__hash").groupBy("band", "key").agg(F.max(F.struct("score", "__hash", "__id", "fp")).alias("hub"))
-    m = shared.count()
-    met = lookup(shared, hubs, ["band", "key"], m, "inner").where("__hash <> hub.__hash")
-    pairs = keep(met.select("__hash", "__id", "fp", F.col("hub.__hash").alias("hub"), F.col("hub.__id").alias("hub_id"), F.col("hub.fp").alias("hub_fp")).distinct(), "candidates")
-    wanted = pairs.select("__id", "__hash").union(pairs.select("hub_id", "hub")).distinct()
-    keyed = docs.select(*row_key(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = keep(keyed.join(wanted.hint("shuffle_hash"), ["__id", "__hash"]).select("__hash", "text"), "candidate-texts").dropDuplicates(["__hash"])
-    ours = pairs.join(found.withColumnRenamed("text", "ours"), "__hash").select("fp", "hub", "hub_fp", "ours")
-    both = lookup(ours, found.select(F.col("__hash").alias("hub"), F.col("text").alias("theirs")), ["hub"], pairs.count(), "inner", hot=pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(m)))
-
-    def verify(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            kept = []
-            last: tuple = (None, None)  # the hub's shingles, as its rows often follow each other
-            for ours, theirs in zip(batch.column("ours").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
-                if last[0] != theirs:
-                    last = (theirs, np.unique(shingle_hashes(theirs.encode(), words)))
-                own = np.unique(shingle_hashes(ours.encode(), words))
-                common = len(np.intersect1d(own, last[1], assume_unique=True))
-                kept.append(common >= similarity * (len(own) + len(last[1]) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("hub_fp")], ["a", "b"]).filter(pa.array(kept))
-
-    return both.select("fp", "hub_fp", "ours", "theirs").mapInArrow(verify, "a bigint, b bigint")
-
-
 def classes(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """component_id (least doc_id) of each fingerprint of prints(doc_id, fp): fp, component (its label), component_id. more: further links(a, b)."""
     own = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    near = links(own.select("fp"))
-    joined = components(near if more is None else near.union(more.select("a", "b")))
     n = own.count()
+    near = links(own.select("fp"), n)
+    joined = components(near if more is None else near.union(more.select("a", "b")))
     named = lookup(own, joined.withColumnRenamed("node", "fp"), ["fp"], n).select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = keep(named, "named")
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
