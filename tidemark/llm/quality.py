@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,17 +137,27 @@ def without(text: str, cut: set[int]) -> str:
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject, and their texts without the host's boilerplate lines; n_chars follows."""
+    """docs without the rows that the rules reject, and their texts without the host's boilerplate lines; n_chars follows.
+
+    Nulls, empty and too short texts are rejected, of repeated rows all or none; an empty table stays empty; other columns, of
+    whatever names, stay as they are."""
     small_batches(docs.sparkSession)
     host = lambda c: F.coalesce(F.concat(F.lit("h"), c), F.lit("null")).alias("__host")
     found = judged(docs).where("kept").select(host(F.col("host")), "__id", "__hash", "cut").dropDuplicates(["__host", "__id", "__hash"])
     keyed = docs.select(F.struct("*").alias("kept"), *row_key(docs), host(F.col("source").cast("string")))  # a struct, as docs may have columns of any name
-    met = keep(keyed.join(found.hint("shuffle_hash"), ["__host", "__id", "__hash"]).select("kept", "cut"), "kept-documents")
+    met = keyed.join(found.hint("shuffle_hash"), ["__host", "__id", "__hash"]).select("kept", "cut")
+    names = docs.columns
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([without(t, set(c)) for t, c in zip(texts, cuts, strict=True)], dtype=object)
+    def cleaned(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    some = met.where(F.col("cut").isNotNull()).withColumn("text", cleaned(F.col("kept.text").cast("string"), "cut"))
-    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return met.where(F.col("cut").isNull()).select("kept.*").union(some.select(*[fresh[c].alias(c) if c in fresh else F.col("kept").getField(c).alias(c) for c in docs.columns]))
+        for b in batches:
+            columns = dict(zip(names, b.column("kept").flatten(), strict=True))
+            texts = [without(t, set(c)) if c else t for t, c in zip(columns["text"].to_pylist(), b.column("cut").to_pylist(), strict=True)]
+            if "n_chars" in columns:
+                sizes = [len(t) if c else n for t, c, n in zip(texts, b.column("cut").to_pylist(), columns["n_chars"].to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            columns["text"] = pa.array(texts, columns["text"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return met.mapInArrow(cleaned, docs.schema)
