@@ -193,13 +193,37 @@ def test_shards(docs, rows, none):
 
 def test_rebalancing_moves_slots_into_the_new_shard_only():
     sums = {s: (100 + s % 7, 3) for s in range(512)}
-    old = shards.balanced_map(sums, 4, 512)
+    old = shards.levelled(shards.dealt_map(4, 512), sums, 4)
     new = shards.rebalanced(old, sums, 5)
     assert all(b == 4 for a, b in zip(old, new, strict=True) if a != b)
     load = np.bincount(new, [sums[s][0] for s in range(512)])
     assert load.max() - load.min() < 0.05 * load.mean()
 
 
+@pytest.mark.parametrize("one_text", [False, True])
+def test_shards_stay_equal_where_ids_are_null_or_repeated(spark, tmp_path, one_text):
+    table = [(None if i % 2 else i % 40, prose(1 if one_text and i % 2 else i, 5 + i % 30)) for i in range(6000)]
+    path = f"file://{tmp_path}/map"
+    got = shards.assign(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3), 16, 512, path).collect()
+    load = np.bincount([r["shard"] for r in got], [r["size"] for r in got])
+    assert len(load) == 16 and load.max() - load.min() < 0.02 * load.mean()
+    assert max(Counter(r["virtual_slot"] for r in got).values()) < 12 * 6000 / 512
+    same([(r["doc_id"], r["size"]) for r in got], [(i, len(t.encode()) + 1) for i, t in table])
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    first, last = shards.load_map(spark, path, 1), shards.load_map(spark, path)
+    assert first == shards.dealt_map(16, 512) and 0 < sum(a != b for a, b in zip(first, last, strict=True)) < 256
+    assert all(last[r["virtual_slot"]] == r["shard"] for r in got)
+
+
+def test_levelling_ends_at_equal_loads():
+    r = np.random.default_rng(2)
+    for weights in (r.integers(1, 100, 300), r.pareto(1, 300).astype(int) + 1, np.zeros(300, int), np.append(np.ones(299, int), 10_000)):
+        sums = {i: (int(w), 1) for i, w in enumerate(weights)}
+        load = np.bincount(shards.levelled([0] * 300, sums, 7), weights, 7)
+        assert load.max() - load.min() <= max(2, weights.max())
+
+
 def test_map_versions(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     shards.store_map(spark, path, 1, [0, 1, 0])
@@ -489,6 +513,22 @@ def test_licenses(spark, docs, none):
     assert licenses.find_licenses(docs).collect() == [] and licenses.find_licenses(none).collect() == []
 
 
+def test_each_template_is_found_whole_and_edited():
+    rules = licenses.index()
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        for body in (text, " ".join("swap" if i % 17 == 16 else w for i, w in enumerate(words))):
+            got = licenses.scan(prose(1, 30) + " " + body + " " + prose(2, 30), rules)
+            assert [x[0] for x in got] == [name] and (got[0][1] == 1) == (body == text), name
+
+
+def test_own_templates_and_many_notices(spark):
+    """Occurrences of given templates; many of them in one text take a moment, and none is lost."""
+    frame = spark.createDataFrame([(1, "use it as you like, but say who made it"), (2, "All rights reserved")], "doc_id bigint, text string")
+    assert [tuple(r)[:3] for r in licenses.find_licenses(frame, {"own": "Use it as you like but say who made it"}).collect()] == [(1, "own", 1.0)]
+    assert len(licenses.scan("All rights reserved. " * 30_000, licenses.index())) == 30_000
+
+
 # 9: repeated byte strings
 
 

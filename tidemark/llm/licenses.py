@@ -1,13 +1,13 @@
 r"""License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
 Templates are tokenised (ASCII words, lower case) and their k-grams hashed; of each window of WINDOW hashes the least is kept.
-An inverted index leads from a kept hash to (template, place). A document's winnowed hashes are looked up in it; hits of a
-template near a diagonal make a candidate, and a banded alignment of the whole template with the document's tokens around the
+An inverted index leads from a kept hash to (template, place). All k-grams of a document are looked up in it, so no fingerprint of a
+template is missed; hits of a template near a diagonal make a candidate, and a banded alignment of the whole template with the document's tokens around the
 diagonal gives the matched share of the template and the span. Templates shorter than a window keep all hashes, so that notices
-of a single line are found. The template set is a fixed rule table, a few thousand tokens, so tasks get it with the code;
-documents never move.
+of a single line are found. The template set is a rule table given by parameter (TEMPLATES if none is); tasks get its index by
+broadcast; documents never move.
 
-Of overlapping occurrences that with the most matched tokens counts. Rows: doc_id, license, coverage (matched template tokens / template tokens), matched, begin, end (the span in tokens) and
+Of overlapping occurrences that with the most matched tokens counts (of equal ones the shorter template). Rows: doc_id, license, coverage (matched template tokens / template tokens), matched, begin, end (the span in tokens) and
 start_char, end_char (in code points), one for each separate occurrence with coverage of LEAST or more.
 
 Nulls and empty texts: no rows. Repeated rows give their rows each. Very long texts are scanned whole; only stretches around
@@ -17,9 +17,9 @@ hits are aligned. An empty table gives an empty result. Extra columns don't matt
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +61,24 @@ and/or other materials provided with the distribution.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
 the above copyright notice and this permission notice appear in all copies.""",
     "all-rights-reserved": "All rights reserved",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+or promote products derived from this software without specific prior written permission.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Lesser General Public License for more details.""",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU Affero General Public License for more details.""",
+    "cc0-1.0-notice": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
 
@@ -78,10 +96,12 @@ def winnowed(tokens: list[str], window: int = WINDOW) -> dict[int, int]:
     return out
 
 
-@cache
-def index() -> tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], frozenset[str]]:
+Index = tuple[dict[str, list[str]], dict[int, list[tuple[str, int]]], frozenset[str]]
+
+
+def index(templates: dict[str, str] = TEMPLATES) -> Index:
     """The templates' tokens, the inverted index, and the words that begin an indexed gram (a cheap test of a document's place)."""
-    tokens = {name: WORD.findall(text.lower()) for name, text in TEMPLATES.items()}
+    tokens = {name: WORD.findall(text.lower()) for name, text in templates.items()}
     inverted = defaultdict(list)
     for name, words in tokens.items():
         # A document's window around a short template holds foreign hashes too: all of a short one's are indexed and asked for.
@@ -121,11 +141,11 @@ def align(template: list[str], tokens: list[str], begin: int, band: int) -> tupl
     return m, first, last + 1
 
 
-def scan(text: str, least: float = LEAST) -> list[tuple[str, float, int, int, int, int, int]]:
+def scan(text: str, rules: Index, least: float = LEAST) -> list[tuple[str, float, int, int, int, int, int]]:
     """license, coverage, matched, begin, end, start_char, end_char of each occurrence, by place."""
     import xxhash
 
-    templates, inverted, heads = index()
+    templates, inverted, heads = rules
     lower = text.encode().lower().decode()  # A-Z alone, so places stay
     tokens = WORD.findall(lower)
     hits = defaultdict(set)
@@ -147,26 +167,28 @@ def scan(text: str, least: float = LEAST) -> list[tuple[str, float, int, int, in
                 done = max(done, end - len(template) // 2)
     if not out:
         return []
-    best: list[tuple[str, int, int, int]] = []  # of overlapping occurrences the longest match counts
-    for x in sorted(out, key=lambda x: (-x[1], x[3] - x[2], x[2], x[0])):
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in best):
-            best.append(x)
+    best: list[tuple[int, int, str, int]] = []  # of overlapping occurrences the longest match counts; by place, without overlaps
+    for name, matched, begin, end in sorted(out, key=lambda x: (-x[1], len(templates[x[0]]), x[3] - x[2], x[2], x[0])):
+        at = bisect_left(best, (begin, -1, "", 0))
+        if (at == len(best) or end <= best[at][0]) and (at == 0 or best[at - 1][1] <= begin):
+            best.insert(at, (begin, end, name, matched))
     places = [m.span() for m in WORD.finditer(lower)]
-    return sorted(((name, matched / len(templates[name]), matched, begin, end, places[begin][0], places[end - 1][1]) for name, matched, begin, end in best), key=lambda x: (x[3], x[0]))
+    return sorted(((name, matched / len(templates[name]), matched, begin, end, places[begin][0], places[end - 1][1]) for begin, end, name, matched in best), key=lambda x: (x[3], x[0]))
 
 
 FOUND = "doc_id bigint, license string, coverage double, matched int, begin int, end int, start_char int, end_char int"
 
 
-def find_licenses(docs: DataFrame) -> DataFrame:
-    """A row for each occurrence of a template in each row of docs."""
+def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """A row for each occurrence of a template (by name, its text) in each row of docs."""
+    rules = docs.sparkSession.sparkContext.broadcast(index(templates))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.string(), pa.float64(), *[pa.int32()] * 5]
         for b in batches:
-            rows = [(i, *x) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t for x in scan(t)]
+            rows = [(i, *x) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t for x in scan(t, rules.value)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], [x.split()[0] for x in FOUND.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)

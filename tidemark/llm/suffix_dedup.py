@@ -200,11 +200,13 @@ def shared_rows(rows: DataFrame, classes: DataFrame, shape: list[str], n: int) -
     return lookup(rows, again, shape, n, "inner", hot=classes.where(F.col("n") > hot_from(n)))
 
 
-def marked(texts: DataFrame, rows: DataFrame, reps: DataFrame, n: int) -> tuple[DataFrame, Callable, bool]:
+def marked(texts: DataFrame, rows: DataFrame, reps: DataFrame, n: int, passing: list) -> tuple[DataFrame, Callable, bool]:
     """For the n members of rows whose tickets are reps(rep): the texts to scan for them (all, or those of their documents), a
-    function of a batch of those texts that gives the test of tickets, and whether that test holds for batches of any texts."""
+    function of a batch of those texts that gives the test of tickets, and whether that test holds for batches of any texts. passing: gets
+    the broadcast."""
     if n <= MARKS:
         bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(reps, "rep", BITS))
+        passing.append(bitmap)
         return texts, lambda b: lambda tickets: in_bitmap(bitmap.value, tickets), True
     owners = rows.select("__id", "__hash", ticket_column("string").alias("rep")).join(reps.select("rep"), "rep", "left_semi")
     asked = owners.groupBy("__id", "__hash").agg(F.collect_set("rep").alias("tickets"))  # at most one for each run or piece of a text
@@ -249,6 +251,7 @@ def repeated(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
 
     shared = texts.mapInArrow(count, _longs("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
     first = spark.sparkContext.broadcast(bitmap_of(shared, "bucket", BITS))
+    passing = [first]  # broadcasts that nothing needs once the windows are stored
 
     def member_runs(b) -> Iterator[tuple]:
         """Runs in shared buckets with the hashes of their strings."""
@@ -276,7 +279,7 @@ def repeated(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     several = of_run.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     n_classes = of_run.count()
     reps = lookup(of_run.select("bucket", "rep"), several, ["bucket"], n_classes, "inner", hot=several.where(F.col("classes") > hot_from(n_classes)))
-    unsettled, in_second, anywhere = marked(texts, member, reps, several.agg(F.sum("classes")).first()[0] or 0)
+    unsettled, in_second, anywhere = marked(texts, member, reps, several.agg(F.sum("classes")).first()[0] or 0, passing)
 
     def pieces(b, left: Callable | None) -> Iterator[tuple]:
         """Pieces of the runs that refinement is left for: those whose tickets pass the test, or all."""
@@ -309,7 +312,7 @@ def repeated(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     several = of_piece.groupBy("k", "core").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     n_classes = of_piece.count()
     reps = lookup(of_piece.select("k", "core", "rep"), several, ["k", "core"], n_classes, "inner", hot=several.where(F.col("classes") > hot_from(n_classes)))
-    unsettled, in_third, _ = marked(texts, piece, reps, several.agg(F.sum("classes")).first()[0] or 0)
+    unsettled, in_third, _ = marked(texts, piece, reps, several.agg(F.sum("classes")).first()[0] or 0, passing)
 
     def windows(batches: Iterator) -> Iterator:
         for b in batches:
@@ -329,6 +332,8 @@ def repeated(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
 
     window = keep(unsettled.mapInArrow(windows, _longs("__id", "__hash", "s1", "s2", "lo")), "windows")
     n_windows = window.count()
+    for bitmap in passing:
+        bitmap.destroy()
     of_window = keep(window.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     single = shared_rows(window, of_window, ["s1", "s2"], n_windows).selectExpr("__id", "__hash", "lo", "lo AS hi")
     return whole.union(part).union(single)

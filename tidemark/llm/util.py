@@ -115,9 +115,10 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits, each set if a hash in the column ends in its number. Its size is fixed, however many the hashes."""
     at = F.col(column).bitwiseAND((1 << bits) - 1)
     words = hashes.select(F.shiftright(at, 5).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 31L AS INT))").alias("bit"))
-    table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    out[table["word"].to_numpy(dtype=np.int64)] = table["bit"].to_numpy(dtype=np.int64).astype(np.uint32)
+    for b in table.to_batches():
+        out[b.column("word").to_numpy()] = b.column("bit").to_numpy().astype(np.uint32)
     return out
 
 

@@ -4,8 +4,10 @@ Writing: each task writes its pages as one gzip-per-record archive. Of records w
 page_id is a response and the others are revisits that refer to it; payloads below MIN_BYTES are always responses.
 
 Index: captures (reversed-host URL key, then archive, offset) are range-sorted; each range is one index file of compressed
-blocks of BLOCK captures. The sparse directory has a row for each block: its first key, and where it lies. A lookup finds the
-range, binary-searches that range's directory for the block, binary-searches the block, and then range-reads the record.
+blocks of BLOCK captures. The sparse directory has a row for each block: its first key, and where it lies; beside each index file
+lies that file's part of it. A lookup finds the range, binary-searches that range's directory for the block, binary-searches the
+block, and then range-reads the record. Keys that are looked up come to the tasks in order, so a task holds one directory and one
+block at a time.
 
 Files are written under names of the task attempt and renamed when whole; only files named in the committed tables are read,
 so a lost executor's half-written files don't count. Paths may be any that pyarrow's file systems open (file, hdfs, s3, gs).
@@ -137,6 +139,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return keep(with_responses(pages).mapInArrow(run, CAPTURES), "captures")
 
 
+DIRECTORY_END = ".directory"
 DIRECTORY = "part int, first string, last string, file string, offset bigint, length bigint, captures int"
 
 
@@ -174,6 +177,7 @@ def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
             return
         batches = _chain(first, batches)
         _write(folder, name, chunks())
+        _write(folder, name + DIRECTORY_END, iter([gzip.compress(json.dumps([e[1:3] + e[4:6] for e in entries], ensure_ascii=False).encode(), 6, mtime=0)]))
         kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in entries], k) for j, k in enumerate(kinds)], [x.split()[0] for x in DIRECTORY.split(", ")])
 
@@ -188,12 +192,10 @@ def _chain(first, rest: Iterator) -> Iterator:
 
 def find(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     """The captures (CAPTURES) of keys(key), distinct strings. Keys meet the index ranges that may hold them (a row for each range
-    is broadcast: as many as the index has files), then the range's directory is searched in the task that has the range's keys."""
+    is broadcast: as many as the index has files); then each range's keys, in order, are searched for in that range's directory."""
     spark = keys.sparkSession
-    bounds = directory.groupBy("part").agg(F.min("first").alias("low"), F.max("last").alias("high"))
-    at_least = directory.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("first", "last", "file", "offset", "length"))).alias("blocks"))
-    ranged = sorted((r["low"].encode(), r["high"].encode(), r["part"]) for r in bounds.collect())
-    shared = spark.sparkContext.broadcast(ranged)
+    ranges = directory.groupBy("part").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.first("file").alias("file"))
+    shared = spark.sparkContext.broadcast(sorted((r["low"].encode(), r["high"].encode(), r["file"]) for r in ranges.collect()))
 
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -204,37 +206,44 @@ def find(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
             for key in b.column("key").to_pylist():
                 k = key.encode()
                 out += [(key, shared.value[i][2]) for i in range(bisect_left(highs, k), bisect_right(lows, k))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], ["key", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["key", "file"])
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         system, base = _open(folder)
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+        def read(name: str, offset: int, length: int | None) -> bytes:
+            with system.open_input_file(f"{base}/{name}") as f:
+                return gzip.decompress(f.read_at(f.size() if length is None else length, offset))
+
+        at: str | None = None
+        blocks: list[tuple[bytes, bytes, int, int]] = []
+        opened, names, lines = -1, [], []
         for b in batches:
             out = []
-            opened: dict[tuple[str, int], list] = {}
-            for keys_of, blocks in zip(b.column("keys").to_pylist(), b.column("blocks").to_pylist(), strict=True):
-                lasts = [x["last"].encode() for x in blocks]
-                for key in sorted(keys_of, key=str.encode):
-                    k = key.encode()
-                    i = bisect_left(lasts, k)  # the first block whose last key isn't below
-                    while i < len(blocks) and blocks[i]["first"].encode() <= k:
-                        x = blocks[i]
-                        if (x["file"], x["offset"]) not in opened:
-                            opened = {}  # keys come in order, so a block is done when the next is opened
-                            with system.open_input_file(f"{base}/{x['file']}") as f:
-                                lines = [json.loads(s) for s in gzip.decompress(f.read_at(x["length"], x["offset"])).decode().split("\n")]
-                            opened[x["file"], x["offset"]] = [[r[0].encode() for r in lines], lines]
-                        names, lines = opened[x["file"], x["offset"]]
-                        out += [tuple(r) for r in lines[bisect_left(names, k) : bisect_right(names, k)]]
-                        i += 1
-            for i in range(0, max(len(out), 1), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out[i : i + 10_000]], k) for j, k in enumerate(kinds)], [x.split()[0] for x in CAPTURES.split(", ")])
-
-    dealt = keys.mapInArrow(deal, "key string, part int")
-    asked = dealt.groupBy("part", F.pmod(F.xxhash64("key"), F.lit(4)).alias("salt")).agg(F.collect_list("key").alias("keys"))
-    return asked.join(at_least, "part").select("keys", "blocks").mapInArrow(search, CAPTURES)
+            for key, file in zip(b.column("key").to_pylist(), b.column("file").to_pylist(), strict=True):
+                if file != at:
+                    at, opened = file, -1
+                    blocks = [(first.encode(), last.encode(), offset, length) for first, last, offset, length in json.loads(read(file + DIRECTORY_END, 0, None))]
+                k = key.encode()
+                i = bisect_left(blocks, k, key=lambda x: x[1])  # the first block whose last key isn't below
+                while i < len(blocks) and blocks[i][0] <= k:
+                    if i != opened:  # keys come in order, so a block is done when the next is opened
+                        lines = [json.loads(x) for x in read(file, *blocks[i][2:]).decode().split("\n")]
+                        opened, names = i, [r[0].encode() for r in lines]
+                    out += [tuple(r) for r in lines[bisect_left(names, k) : bisect_right(names, k)]]
+                    i += 1
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in CAPTURES.split(", ")])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in CAPTURES.split(", ")])
+
+    dealt = keys.mapInArrow(deal, "key string, file string")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = dealt.repartition(partitions, "file", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("file", "key")
+    return asked.mapInArrow(search, CAPTURES)
 
 
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
