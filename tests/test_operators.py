@@ -1,12 +1,13 @@
 """Operators on small frames with pinned values, edge rows and invariants."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, briefs, evidence, merge, pairs, profile, referees, relations, sampling, scoring, temporal
+from tidemark.operators import asof, briefs, evidence, merge, pairs, profile, referees, relations, sampling, scoring, temporal, vectors
 from tidemark.operators.asof import Contract
 
 T0 = datetime(2025, 1, 1)
@@ -261,8 +262,8 @@ def test_hypothesis_kinds(spark):
 # referees
 
 
-def line(spark, noise, n=120, slope=2.0):
-    r = np.random.default_rng(0)
+def line(spark, noise, n=120, slope=2.0, seed=0):
+    r = np.random.default_rng(seed)
     x = r.normal(size=n)
     return spark.createDataFrame([("p", i + 1, float(a), float(slope * a + noise * e)) for i, (a, e) in enumerate(zip(x, r.normal(size=n), strict=True))], "pair string, idx int, x double, y double")
 
@@ -273,15 +274,82 @@ def test_referee_names():
         referees.resolve("nobody")
 
 
-@pytest.mark.parametrize("name", ["permutation", "conditional_mi", "intervention", "functional_form"])
+@pytest.mark.parametrize("name", ["permutation", "mutual_information", "intervention", "functional_form", "spectral_analysis", "wavelet_coherence"])
 def test_vector_referees_tell_signal_from_noise(spark, name):
-    signal, = referees.judge(line(spark, 0.3), name).collect()
-    assert signal["passed"]
+    n = 700 if name in ("spectral_analysis", "wavelet_coherence") else 120
+    signal, = vectors.TESTS[name](line(spark, 0.3, n)).collect()
+    assert signal["passed"] and signal["n"] == n
     if name != "functional_form":
-        noise, = referees.judge(line(spark, 1.0, slope=0.0), name).collect()
+        noise, = vectors.TESTS[name](line(spark, 1.0, n, slope=0.0, seed=1)).collect()
         assert not noise["passed"]
 
 
+def test_vector_referees_on_one_chunk_are_the_plain_forms(spark):
+    frame = line(spark, 0.8, 200)
+    rows = frame.orderBy("idx").toPandas()
+    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+    z = (x - x.mean()) / x.std()
+    sse = {d: sum(((y[i % 5 == f] - np.polyval(np.polyfit(z[i % 5 != f], y[i % 5 != f], d), z[i % 5 == f])) ** 2).sum() for f in range(5)) for i in [rows["idx"].to_numpy()] for d in (1, 3)}
+    got = {k: vectors.TESTS[k](frame).first() for k in ("permutation", "functional_form", "mutual_information", "spectral_analysis", "lempel_ziv", "transfer_entropy")}
+    assert got["permutation"]["statistic"] == pytest.approx(abs(np.corrcoef(x, y)[0, 1])) and got["permutation"]["p"] == pytest.approx(1 / 2501)
+    assert got["functional_form"]["statistic"] == pytest.approx((sse[1] - sse[3]) / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+    d = lambda v: np.abs(v[:, None] - v) / v.std()
+    reach = np.sort(np.maximum(d(x), d(y)) + np.diag([np.inf] * 200), axis=1)[:, 4:5]
+    psi = lambda k: -0.5772156649015329 + sum(1 / i for i in range(1, int(k)))
+    mi = psi(5) + psi(200) - np.mean([psi(a) + psi(b) for a, b in zip((d(x) < reach).sum(1), (d(y) < reach).sum(1), strict=True)])
+    assert got["mutual_information"]["statistic"] == pytest.approx(mi)
+    size = 44
+    cut = lambda v: np.array([np.fft.rfft((v[i : i + size] - v[i : i + size].mean()) * np.hanning(size))[1:] for i in range(0, 200 - size + 1, size // 2)])
+    a, b = cut(z), cut((y - y.mean()) / y.std())
+    assert got["spectral_analysis"]["statistic"] == pytest.approx((np.abs((a * b.conj()).sum(0)) ** 2 / ((np.abs(a) ** 2).sum(0) * (np.abs(b) ** 2).sum(0))).mean())
+    code = lambda v: sum(v > c for c in np.quantile(v, vectors.EIGHTHS, method="inverted_cdf"))
+    ca, cb = code(x), code(y)
+    lz = vectors.lempel_ziv
+    assert got["lempel_ziv"]["statistic"] == pytest.approx((lz(ca) + lz(cb) - lz(ca * 8 + cb)) / max(lz(ca), lz(cb)))
+    h = lambda *c: -sum(k / 199 * np.log2(k / 199) for k in Counter(zip(*c, strict=True)).values())
+    te = lambda own, other: h(own[1:], own[:-1]) - h(own[:-1]) - h(own[1:], own[:-1], other[:-1]) + h(own[:-1], other[:-1])
+    qa, qb = (ca // 2).tolist(), (cb // 2).tolist()
+    assert got["transfer_entropy"]["statistic"] == pytest.approx(te(qb, qa) / te(qa, qb))
+
+
+def test_vector_referees_over_several_chunks(spark, monkeypatch):
+    """All points count, however they are cut; what is summed doesn't depend on the cut."""
+    frame = line(spark, 0.5, 600)
+    whole = {k: vectors.TESTS[k](frame).first() for k in ("permutation", "functional_form", "intervention", "homology")}
+    monkeypatch.setattr(vectors, "CHUNK", 100)
+    for k, w in whole.items():
+        part = vectors.TESTS[k](frame).first()
+        assert part["n"] == 600 and part["statistic"] == pytest.approx(w["statistic"]) and part["passed"] == w["passed"]
+    for k in ("cross_mapping", "complexity", "transfer_entropy", "lempel_ziv", "spectral_analysis", "wavelet_coherence", "mutual_information"):
+        assert vectors.TESTS[k](frame).first()["n"] in (599, 600)
+
+
+def test_confounders_are_held(spark):
+    """With the common cause known, nothing is left; with another variable, much is; without any, the test passes."""
+    r = np.random.default_rng(4)
+    z = r.normal(size=900)
+    rows = [("p", i, float(z[i] + 0.5 * r.normal()), float(z[i] + 0.5 * r.normal()), float(z[i]), float(r.normal())) for i in range(900)]
+    frame = spark.createDataFrame(rows, "pair string, idx int, x double, y double, z double, z_other double")
+    test = vectors.TESTS["conditional_mi"]
+    none, both, other = (test(f).first() for f in (frame.drop("z", "z_other"), frame, frame.drop("z")))
+    assert none["passed"] and none["statistic"] == 0 and both["statistic"] < 0.05 and other["statistic"] > 0.3 and not other["passed"]
+
+
+def test_cross_mapping_finds_the_driver(spark):
+    x, y = [0.4], [0.2]
+    for _ in range(800):
+        x.append(x[-1] * (3.8 - 3.8 * x[-1]))
+        y.append(y[-1] * (3.5 - 3.5 * y[-1] - 0.1 * x[-2]))
+    frame = spark.createDataFrame([("p", i + 1, a, b) for i, (a, b) in enumerate(zip(x, y, strict=True))], "pair string, idx int, x double, y double")
+    assert vectors.TESTS["cross_mapping"](frame).first()["statistic"] > 0.5
+
+
+def test_running_sums_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(referees, "STRETCH", 25)
+    test_closed_referees(spark)
+    test_leave_one_out_against_refits(spark)
+
+
 def test_closed_referees(spark):
     calm = line(spark, 0.3)
     broken = calm.withColumn("y", F.when(F.col("idx") > 60, -F.col("y")).otherwise(F.col("y")))

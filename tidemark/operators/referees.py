@@ -1,23 +1,20 @@
-"""Falsification tests of pairs. Input: pairs(pair, idx, x, y), idx a gapless order from 1 within each pair.
+"""Falsification tests of pairs. Input: pairs(pair, idx, x, y), idx an order without repeats within each pair.
 
-Tests with a closed form run as windows and aggregates over all pairs at once. Those that need whole vectors (neighbours,
-transforms, permutations) are grouped Arrow functions of numpy; a pair's vectors go to one task, so those take at most `most`
-points per pair, evenly spaced by index, and report the number used.
+Tests with a closed form are aggregations and running sums over all pairs at once; running sums are taken in stretches of the order
+and started from the sums before them, so no task holds a whole pair. Tests of whole vectors (neighbours, transforms, shuffles) are in
+vectors.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from zlib import crc32
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import special
+from tidemark.operators import vectors
 from tidemark.operators.pairs import correlation
+from tidemark.session import stored
 
 # Names under which each test is asked for, with its category.
 REGISTRY = {
@@ -36,7 +33,8 @@ REGISTRY = {
     "lempel_ziv": ("THERMODYNAMIC", ("lempel_ziv_complexity",)),
     "complexity": ("THERMODYNAMIC", ("algorithmic_complexity", "compression_complexity")),
     "intervention": ("COUNTERFACTUAL", ("synthetic_intervention", "g_computation")),
-    "coherence": ("SPECTRAL", ("wavelet_coherence", "spectral_analysis")),
+    "wavelet_coherence": ("SPECTRAL", ("wavelet_coherence",)),
+    "spectral_analysis": ("SPECTRAL", ("spectral_analysis",)),
 }
 
 
@@ -55,10 +53,40 @@ def compatible(names: list[str]) -> bool:
     return len(found) == 3 and len({t for t, _ in found}) == 3 and len({c for _, c in found}) == 3
 
 
+#: Rows of a stretch, about.
+STRETCH = 4096
+
+
 def checked(pairs: DataFrame, least: int = 10) -> DataFrame:
-    """Pairs with enough rows, x and y finite."""
+    """Rows with x and y finite of pairs with enough of them; size: their number, stretch: the part of the order they lie in."""
     ok = pairs.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    return ok.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("pair"))).where(F.col("__n") >= least).drop("__n")
+    of = ok.groupBy("pair").agg(F.count(F.lit(1)).alias("size"), F.min("idx").alias("__from"), F.max("idx").alias("__to")).where(F.col("size") >= least)
+    stretch = F.floor((F.col("idx") - F.col("__from")) * F.ceil(F.col("size") / STRETCH) / (F.col("__to") - F.col("__from") + 1))
+    return ok.join(of, "pair").withColumn("stretch", stretch).drop("__from", "__to")
+
+
+def running(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """pair, idx, size and the sums of values up to each row of checked() rows."""
+    at = rows.select("pair", "idx", "size", "stretch", *[c.alias(k) for k, c in values.items()])
+    parts = at.groupBy("pair", "stretch").agg(*[F.sum(k).alias(f"__{k}") for k in values])
+    order = Window.partitionBy("pair").orderBy("stretch")  # a row per stretch
+    starts = parts.select("pair", "stretch", *[(F.sum(f"__{k}").over(order) - F.col(f"__{k}")).alias(f"__{k}") for k in values])
+    inside = Window.partitionBy("pair", "stretch").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    sums = at.select("pair", "idx", "size", "stretch", *[F.sum(k).over(inside).alias(k) for k in values])
+    return sums.join(starts, ["pair", "stretch"]).select("pair", "idx", "size", *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in values])
+
+
+def ranked(rows: DataFrame, keys: list[str], column: str, name: str, ranges: int = 64) -> DataFrame:
+    """rows with `before`, the rows of the same keys with a lesser value, and `name`, the average rank of the value among them.
+    Values are counted, dealt into ranges by approximate quantiles and numbered there; a range starts at the sum of those before."""
+    counts = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__k"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
+    dealt = counts.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(column)))).drop("__cuts")
+    sizes = dealt.groupBy(*keys, "__part").agg(F.sum("__k").alias("__n"))
+    starts = sizes.select(*keys, "__part", (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__n")).alias("__start"))
+    before = F.col("__start") + F.sum("__k").over(Window.partitionBy(*keys, "__part").orderBy(column)) - F.col("__k")
+    placed = dealt.join(starts, [*keys, "__part"]).select(*keys, column, before.alias("before"), "__k")
+    return rows.join(placed, [*keys, column]).withColumn(name, F.col("before") + (F.col("__k") + 1) / 2.0).drop("__k")
 
 
 def moments() -> dict[str, Column]:
@@ -73,11 +101,15 @@ def _sse(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Colum
     return F.greatest(cy - F.coalesce(F.try_divide(cxy * cxy, F.when(cx > 1e-12 * F.abs(sxx), cx)), F.lit(0.0)), F.lit(0.0))
 
 
+def _with_totals(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """rows with the pair's sums of moments() over source, named t..."""
+    return rows.join(source.groupBy("pair").agg(*[F.sum(c).alias(f"t{k}") for k, c in moments().items()]), "pair")
+
+
 def chow(pairs: DataFrame, trim: float = 0.15, limit: float = 6.91) -> DataFrame:
     """The largest F of a break in the line over all splits of the middle 70 %; stable if under the limit."""
-    w = Window.partitionBy("pair").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("pair")
-    run = checked(pairs).select("pair", "idx", *[F.sum(c).over(w).alias(k) for k, c in moments().items()], *[F.sum(c).over(whole).alias(f"t{k}") for k, c in moments().items()])
+    rows = checked(pairs)
+    run = _with_totals(running(rows, moments()), rows)
     left = _sse(*[F.col(k) for k in moments()])
     right = _sse(*[F.col(f"t{k}") - F.col(k) for k in moments()])
     total = _sse(*[F.col(f"t{k}") for k in moments()])
@@ -90,8 +122,8 @@ def chow(pairs: DataFrame, trim: float = 0.15, limit: float = 6.91) -> DataFrame
 def leave_one_out(pairs: DataFrame) -> DataFrame:
     """Slope of all rows, mean squared error of the left-out rows, spread of the slopes, and stability 1 / (1 + cv of slopes).
     Each row's fit is all sums less its own."""
-    whole = Window.partitionBy("pair")
-    t = checked(pairs).select("pair", "x", "y", *[F.sum(c).over(whole).alias(f"t{k}") for k, c in moments().items()])
+    rows = checked(pairs)
+    t = _with_totals(rows.select("pair", "x", "y"), rows)
     n, sx, sy, sxx, sxy = (F.col(f"t{k}") - c for k, c in moments().items() if k != "syy")
     slope = F.coalesce(F.try_divide(n * sxy - sx * sy, F.when(n * sxx - sx * sx > 1e-12 * n * sxx, n * sxx - sx * sx)), F.lit(0.0))
     fits = t.withColumn("slope", slope).withColumn("error", F.pow(F.col("y") - (sy / n + F.col("slope") * (F.col("x") - sx / n)), 2))
@@ -103,20 +135,20 @@ def leave_one_out(pairs: DataFrame) -> DataFrame:
 def cusum(pairs: DataFrame, limit: float = 5.0, slack: float = 0.5) -> DataFrame:
     """The last upper and lower CUSUM of residuals of the line through the first third, in their deviations.
 
-    The recursion max(0, c + z - slack) is the running sum less its least value so far, and so a window.
+    The recursion max(0, c + z - slack) is the running sum less its least value so far; at the end that is the least of all.
     """
-    whole = Window.partitionBy("pair")
-    rows = checked(pairs).withColumns({"n": F.count(F.lit(1)).over(whole), "k": F.row_number().over(whole.orderBy("idx"))})
-    base = F.col("k") <= F.floor(F.col("n") / 3)
-    fit = rows.withColumns({f"b{k}": F.sum(F.when(base, c)).over(whole) for k, c in moments().items()})
+    rows = checked(pairs)
+    place = rows.join(running(rows, {"k": F.lit(1)}).select("pair", "idx", "k"), ["pair", "idx"])
+    base = F.col("k") <= F.floor(F.col("size") / 3)
+    fit = place.groupBy("pair").agg(*[F.sum(F.when(base, c)).alias(f"b{k}") for k, c in moments().items()])
     n, sx, sy, sxx, syy, sxy = (F.col(f"b{k}") for k in moments())
     slope = F.coalesce(F.try_divide(n * sxy - sx * sy, F.when(n * sxx - sx * sx > 0, n * sxx - sx * sx)), F.lit(0.0))
     spread = F.sqrt(_sse(n, sx, sy, sxx, syy, sxy) / F.greatest(n - 2, F.lit(1.0)))
-    z = fit.select("pair", "k", "n", F.coalesce(F.try_divide(F.col("y") - (sy / n + slope * (F.col("x") - sx / n)), F.when(spread > 1e-12, spread)), F.lit(0.0)).alias("z"))
-    run = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    sums = z.withColumns({"up": F.sum(F.col("z") - slack).over(run), "down": F.sum(F.col("z") + slack).over(run)})
-    ends = sums.withColumns({"up": F.col("up") - F.least(F.lit(0.0), F.min("up").over(run)), "down": F.col("down") - F.greatest(F.lit(0.0), F.max("down").over(run))})
-    out = ends.where("k = n").select("pair", "n", F.col("up").alias("upper"), F.col("down").alias("lower"), F.greatest(F.col("up"), -F.col("down")).alias("statistic"))
+    z = rows.join(fit, "pair").withColumn("z", F.coalesce(F.try_divide(F.col("y") - (sy / n + slope * (F.col("x") - sx / n)), F.when(spread > 1e-12, spread)), F.lit(0.0)))
+    sums = running(z, {"n": F.lit(1), "up": F.col("z") - slack, "down": F.col("z") + slack})
+    ends = sums.groupBy("pair").agg(F.max("n").alias("n"), F.max_by("up", "n").alias("up"), F.max_by("down", "n").alias("down"), F.min("up").alias("least"), F.max("down").alias("most"))
+    upper, lower = F.col("up") - F.least(F.lit(0.0), "least"), F.col("down") - F.greatest(F.lit(0.0), "most")
+    out = ends.select("pair", "n", upper.alias("upper"), lower.alias("lower"), F.greatest(upper, -lower).alias("statistic"))
     return out.withColumn("passed", F.col("statistic") <= limit)
 
 
@@ -136,234 +168,36 @@ def partial(triples: DataFrame, limit: float = 0.3, p_value: bool = True) -> Dat
 
 def monotonic(pairs: DataFrame, least: int = 10, limit: float = 0.9) -> DataFrame:
     """The mean |rank correlation| within quarters of x that have enough points; passes above the limit."""
-    q = F.ntile(4).over(Window.partitionBy("pair").orderBy("x", "idx"))
-    rows = checked(pairs).withColumn("q", q).withColumn("key", F.concat_ws(":", "pair", "q"))
-    ranks = {c: (F.rank().over(Window.partitionBy("key").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("key", c)) - 1) / 2.0) for c in ("x", "y")}
-    r = rows.select("pair", "q", ranks["x"].alias("x"), ranks["y"].alias("y")).groupBy("pair", "q").agg(*[F.sum(c).alias(k) for k, c in moments().items()]).where(F.col("n") >= least)
+    rows = ranked(stored(checked(pairs).select("pair", "idx", "x", "y", "size")), ["pair"], "x", "__rank")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("pair", "x").orderBy("idx"))
+    base, more = F.floor(F.col("size") / 4), F.col("size") % 4  # the first `more` quarters have one row more
+    quarter = F.when(place <= (base + 1) * more, F.ceil(place / (base + 1))).otherwise(more + F.ceil((place - (base + 1) * more) / base))
+    rows = stored(rows.select("pair", "x", "y", quarter.cast("int").alias("q")))
+    rows = ranked(stored(ranked(rows, ["pair", "q"], "x", "__x").drop("before")), ["pair", "q"], "y", "__y")
+    r = rows.select("pair", "q", F.col("__x").alias("x"), F.col("__y").alias("y")).groupBy("pair", "q").agg(*[F.sum(c).alias(k) for k, c in moments().items()]).where(F.col("n") >= least)
     out = r.select("pair", "q", F.abs(correlation(*[F.col(k) for k in moments()])).alias("rho")).groupBy("pair").agg(F.count(F.lit(1)).alias("bins"), F.avg("rho").alias("statistic"))
     return out.withColumn("passed", F.col("statistic") > limit)
 
 
 def alpha_decay(pairs: DataFrame, cuts: int = 20, least: int = 30, limit: float = 0.3) -> DataFrame:
     """Spread of the second differences of r over growing prefixes, over r's spread; passes under the limit (a smooth path)."""
-    w = Window.partitionBy("pair").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("pair")
-    run = checked(pairs, least).select("pair", *[F.sum(c).over(w).alias(k) for k, c in moments().items()], F.count(F.lit(1)).over(whole).alias("size"))
+    run = running(checked(pairs, least), moments())
     step = F.greatest(F.floor(F.col("size") / cuts), F.lit(1))
     at = run.where((F.col("n") >= 10) & (F.col("n") % step == 0)).select("pair", "n", correlation(*[F.col(k) for k in moments()]).alias("r"))
-    o = Window.partitionBy("pair").orderBy("n")
+    o = Window.partitionBy("pair").orderBy("n")  # about `cuts` rows, 2 * cuts at most
     second = at.withColumn("d", F.col("r") - 2 * F.lag("r").over(o) + F.lag("r", 2).over(o))
     out = second.groupBy("pair").agg(F.stddev_pop("d").alias("bend"), F.stddev_pop("r").alias("spread"), F.count("d").alias("points"))
     return out.select("pair", "points", F.coalesce(F.try_divide("bend", F.when(F.col("spread") > 1e-12, F.col("spread"))), F.lit(0.0)).alias("statistic")).withColumn("passed", F.col("statistic") < limit)
 
 
-# --- tests of whole vectors
-
-RESULT = "pair string, n int, statistic double, p double, passed boolean"
-Kernel = Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple[float, float, bool]]
-
-
-def by_vector(pairs: DataFrame, kernel: Kernel, most: int = 2000, seed: int = 42) -> DataFrame:
-    """RESULT of a kernel for each pair, over at most `most` evenly spaced points. The seed depends on the pair alone."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        x, y = part["x"].to_numpy(float), part["y"].to_numpy(float)
-        name = str(part["pair"].iloc[0])
-        statistic, p, passed = kernel(x, y, np.random.default_rng([seed, crc32(name.encode())]))
-        return pd.DataFrame({"pair": [name], "n": [len(x)], "statistic": [float(statistic)], "p": [float(p)], "passed": [bool(passed)]})
-
-    rows = checked(pairs).withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy("pair")), "__k": F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1})
-    thin = F.floor(F.col("__k") * most / F.col("__n")) != F.floor((F.col("__k") - 1) * most / F.col("__n"))
-    kept = rows.where((F.col("__n") <= most) | thin).select(F.col("pair").cast("string").alias("pair"), "idx", "x", "y")
-    return kept.groupBy("pair").applyInPandas(run, RESULT)
-
-
-def _r(x: np.ndarray, y: np.ndarray) -> float:
-    return float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 and y.std() > 0 else 0.0
-
-
-def permutation_kernel(x, y, rng, rounds: int = 2500, alpha: float = 0.001):
-    observed, xs = abs(_r(x, y)), (x - x.mean()) / (x.std() or 1)
-    ys = (y - y.mean()) / (y.std() or 1)
-    null = np.array([abs(xs @ rng.permutation(ys)) / len(xs) for _ in range(rounds)])
-    p = (1 + (null >= observed - 1e-12).sum()) / (rounds + 1)
-    return observed, p, p <= alpha
-
-
-def _codes(x: np.ndarray, bins: int) -> np.ndarray:
-    return np.minimum(np.argsort(np.argsort(x, kind="stable"), kind="stable") * bins // len(x), bins - 1)
-
-
-def _entropy(*codes: np.ndarray) -> float:
-    n = np.unique(np.stack(codes), axis=1, return_counts=True)[1]
-    p = n / n.sum()
-    return float(-(p * np.log2(p)).sum())
-
-
-def transfer(x: np.ndarray, y: np.ndarray, bins: int = 4) -> float:
-    """Bits of y's next value that x's present tells beyond y's present (equally filled bins)."""
-    a, b = _codes(x, bins), _codes(y, bins)
-    return _entropy(b[1:], b[:-1]) - _entropy(b[:-1]) - _entropy(b[1:], b[:-1], a[:-1]) + _entropy(b[:-1], a[:-1])
-
-
-def transfer_kernel(x, y, rng, rounds: int = 500, alpha: float = 0.001):
-    there, back = transfer(x, y), transfer(y, x)
-    null = np.array([transfer(rng.permutation(x), y) for _ in range(rounds)])
-    p = (1 + (null >= there).sum()) / (rounds + 1)
-    return there / back if back > 1e-12 else float(there > 0) * 1e6, p, there > 1.1 * back and p <= max(alpha, 1 / (rounds + 1))
-
-
-def cross_mapping_kernel(x, y, rng, dimension: int = 3):
-    """Skill of y's shadow manifold in telling x from a long and a short library (simplex projection)."""
-
-    def skill(size: int) -> float:
-        m = np.stack([y[i : len(y) - dimension + 1 + i] for i in range(dimension)], 1)[:size]
-        target = x[dimension - 1 :][:size]
-        d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
-        np.fill_diagonal(d, np.inf)
-        near = np.argpartition(d, dimension + 1, axis=1)[:, : dimension + 1]
-        w = np.take_along_axis(d, near, 1)
-        w = np.exp(-w / np.maximum(w.min(1, keepdims=True), 1e-12))
-        return _r((w * target[near]).sum(1) / w.sum(1), target)
-
-    n = min(len(x) - dimension + 1, 600)
-    full, part = skill(n), skill(max(dimension + 3, n // 4))
-    return full, 1 - max(0.0, full), full > 0.3 and full - part > 0.1
-
-
-def knn_information(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
-    """Mutual information by the k-nearest-neighbour estimate of Kraskov, Stoegbauer and Grassberger, natural units."""
-    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
-    d = np.maximum(dx, dy)
-    np.fill_diagonal(d, np.inf)
-    reach = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    nx, ny = (dx < reach).sum(1) - 1, (dy < reach).sum(1) - 1
-    digamma = np.concatenate(([0.0], -0.5772156649015329 + np.concatenate(([0.0], np.cumsum(1 / np.arange(1, len(x) + 2))))))
-    return max(0.0, float(digamma[k] + digamma[len(x)] - (digamma[nx + 1] + digamma[ny + 1]).mean()))
-
-
-def information_kernel(x, y, rng, k: int = 5):
-    mi = knn_information(x, y, min(k, len(x) - 1))
-    return mi, 1 - min(mi / 2, 1), mi > 0.1
-
-
-def functional_form_kernel(x, y, rng, folds: int = 5):
-    """How much better a cubic tells left-out values than a line."""
-    z = (x - x.mean()) / (x.std() or 1)
-    fold = np.arange(len(x)) % folds
-    sse = {1: 0.0, 3: 0.0}
-    for degree in sse:
-        for f in range(folds):
-            c = np.polyfit(z[fold != f], y[fold != f], degree)
-            sse[degree] += ((y[fold == f] - np.polyval(c, z[fold == f])) ** 2).sum()
-    total = ((y - y.mean()) ** 2).sum() or 1.0
-    gain = (sse[1] - sse[3]) / total
-    f = max(0.0, (sse[1] - sse[3]) / 2 / (sse[3] / max(1, len(x) - 4) or 1e-12))
-    p = float(special.f_upper(f, 2, max(1, len(x) - 4)))
-    return gain, p, gain < 0.05 or p > 0.05
-
-
-def homology_kernel(x, y, rng, rounds: int = 50):
-    """Persistence of connected components: the longest edge of the points' least spanning tree over the median one, against shuffles."""
-
-    def ratio(a, b):
-        points = np.stack([(a - a.min()) / (np.ptp(a) or 1), (b - b.min()) / (np.ptp(b) or 1)], 1)[:300]
-        best, done, edges = np.full(len(points), np.inf), np.zeros(len(points), bool), []
-        at = 0
-        for _ in range(len(points) - 1):
-            done[at] = True
-            best = np.minimum(best, np.sqrt(((points - points[at]) ** 2).sum(1)))
-            at = int(np.argmin(np.where(done, np.inf, best)))
-            edges.append(best[at])
-        return max(edges) / (np.median(edges) or 1e-12)
-
-    observed = ratio(x, y)
-    null = np.array([ratio(x, rng.permutation(y)) for _ in range(rounds)])
-    p = (1 + (null >= observed).sum()) / (rounds + 1)
-    return observed, p, observed >= 3 and p < 0.05
-
-
-def lempel_ziv(codes: np.ndarray) -> int:
-    """Phrases of the incremental (1978) parse."""
-    seen, phrase, count = set(), (), 0
-    for c in codes.tolist():
-        phrase += (c,)
-        if phrase not in seen:
-            seen.add(phrase)
-            phrase, count = (), count + 1
-    return count + bool(phrase)
-
-
-def lempel_ziv_kernel(x, y, rng, rounds: int = 200):
-    """Joint against single complexities of eight-letter codes: (cx + cy - cxy) / max(cx, cy), against shuffles."""
-    a, b = _codes(x, 8), _codes(y, 8)
-    synergy = lambda b: (lempel_ziv(a) + lempel_ziv(b) - lempel_ziv(a * 8 + b)) / max(lempel_ziv(a), lempel_ziv(b))
-    observed = synergy(b)
-    null = np.array([synergy(rng.permutation(b)) for _ in range(rounds)])
-    p = (1 + (np.abs(null - null.mean()) >= abs(observed - null.mean())).sum()) / (rounds + 1)
-    return observed, p, abs(observed) > 0.3 and p < 0.05
-
-
-def complexity_kernel(x, y, rng, width: int = 30):
-    """Stability over windows of the compressed length of y's codes (1 - cv), against shuffles."""
-    import zlib
-
-    def stability(v):
-        codes = _codes(v, 8).astype(np.uint8)
-        sizes = np.array([len(zlib.compress(codes[i : i + width].tobytes(), 9)) for i in range(0, max(1, len(v) - width + 1), max(1, len(v) // 10))], float)
-        return 1 - sizes.std() / sizes.mean()
-
-    observed = stability(y)
-    null = np.array([stability(rng.permutation(y)) for _ in range(100)])
-    p = (1 + (null <= observed).sum()) / 101
-    return observed, p, observed > 0.6 and p > 0.05
-
-
-def intervention_kernel(x, y, rng, rounds: int = 1000):
-    """The mean effect on y of setting x to five of its quantiles instead of its median (a line), with a 99.9 % bootstrap interval."""
-    at = np.quantile(x, (0.1, 0.25, 0.6, 0.75, 0.9))
-
-    def effect(a, b):
-        return (np.polyfit(a, b, 1)[0] if a.std() > 0 else 0.0) * np.abs(at - np.median(x)).mean()
-
-    i = rng.integers(0, len(x), (rounds, len(x)))
-    draws = np.array([effect(x[k], y[k]) for k in i])
-    low, high = np.quantile(draws, (0.0005, 0.9995))
-    p = min(1.0, 2 * (1 + min((draws <= 0).sum(), (draws >= 0).sum())) / (rounds + 1))
-    return effect(x, y), p, low > 0 or high < 0
-
-
-def coherence(x: np.ndarray, y: np.ndarray, segments: int = 8) -> np.ndarray:
-    """Welch's coherence: cross spectra averaged over half-overlapping Hann windows, without the mean."""
-    size = max(8, 2 * len(x) // (segments + 1))
-    starts = range(0, len(x) - size + 1, max(1, size // 2))
-    window = np.hanning(size)
-    a = np.array([np.fft.rfft((x[i : i + size] - x[i : i + size].mean()) * window) for i in starts])
-    b = np.array([np.fft.rfft((y[i : i + size] - y[i : i + size].mean()) * window) for i in starts])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        c = np.abs((a * b.conj()).mean(0)) ** 2 / ((np.abs(a) ** 2).mean(0) * (np.abs(b) ** 2).mean(0))
-    return np.nan_to_num(c)[1:]
-
-
-def coherence_kernel(x, y, rng, rounds: int = 200):
-    observed = coherence(x, y).mean()
-    null = np.array([coherence(x, rng.permutation(y)).mean() for _ in range(rounds)])
-    p = (1 + (null >= observed).sum()) / (rounds + 1)
-    return observed, p, observed > 0.4 and p < 0.05
-
-
-KERNELS: dict[str, Kernel] = {
-    "permutation": permutation_kernel, "transfer_entropy": transfer_kernel, "cross_mapping": cross_mapping_kernel, "conditional_mi": information_kernel, "functional_form": functional_form_kernel,
-    "homology": homology_kernel, "lempel_ziv": lempel_ziv_kernel, "complexity": complexity_kernel, "intervention": intervention_kernel, "coherence": coherence_kernel,
-}
 CLOSED = {"chow": chow, "cusum": cusum, "leave_one_out": leave_one_out, "monotonic": monotonic, "alpha_decay": alpha_decay}
 
 
 def judge(pairs: DataFrame, name: str) -> DataFrame:
-    """pair, referee, statistic, passed of one test by any of its names."""
+    """pair, referee, statistic, passed of one test by any of its names. Columns z... are the confounders of conditional_mi; partial
+    takes a column z."""
     test, _ = resolve(name)
-    out = CLOSED[test](pairs) if test in CLOSED else by_vector(pairs, KERNELS[test])
+    out = CLOSED[test](pairs) if test in CLOSED else partial(pairs, p_value=False) if test == "partial" else vectors.TESTS[test](pairs)
     return out.select(F.col("pair").cast("string").alias("pair"), F.lit(test).alias("referee"), "statistic", "passed")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
-from tidemark.operators import evidence, pairs, referees, relations
+from tidemark.operators.merge import TIME_NAMES, TIME_WORDS
+from tidemark.operators import evidence, pairs, referees, relations, vectors
 from tidemark.plans.registry import query, rounded, table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -27,12 +28,15 @@ def pearson_by_group(spark, d):
     return rounded(pairs.pearson(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"], p_value=False).drop("x", "y", "t"), "r")
 
 
-#: The p-value stand-in of the ranking oracles: falls with |r|, has a closed form in SQL.
 def _screened(spark, d):
-    return pairs.pearson(table(spark, d, "lineitem"), COLUMNS, p_value=False).withColumn("p", F.round(F.exp(-F.abs("t") / 2), 9))
+    """Pairs with the t distribution's p, to 9 digits (so that its order is the same everywhere)."""
+    return pairs.pearson(table(spark, d, "lineitem"), COLUMNS).withColumn("p", F.round("p", 9))
 
 
-_P = f"""s AS ({_PAIRS.replace("round(", "(").replace(", 6) + 0 AS r", ") AS r")}), p AS (SELECT x, y, n, r, round(exp(-abs(r * sqrt((n - 2) / greatest(1 - r * r, 1e-15))) / 2), 9) AS p FROM s),
+#: The t distribution's two-sided p for whole degrees of freedom is a finite sum (even and odd ones have their own).
+_P = f"""s AS ({_PAIRS.replace("round(", "(").replace(", 6) + 0 AS r", ") AS r")}), th AS (SELECT *, n - 2 AS df, atan(abs(r) / sqrt(greatest(1 - r * r, 1e-15))) AS th FROM s), j AS (SELECT *, unnest(range(0, df // 2)) AS j FROM th),
+p AS (SELECT x, y, n, r, round(greatest(0, 1 - CASE WHEN df % 2 = 0 THEN sin(th) * sum(exp(lgamma(j + 0.5) - lgamma(j + 1.0) - ln(pi()) / 2 + 2 * j * ln(cos(th))))
+  ELSE 2 / pi() * (th + sin(th) * sum(exp(2 * j * ln(2) + 2 * lgamma(j + 1.0) - lgamma(2 * j + 2.0) + (2 * j + 1) * ln(cos(th))))) END), 9) AS p FROM j GROUP BY x, y, n, r, df, th),
 k AS (SELECT *, row_number() OVER (ORDER BY p, x, y) AS rank, count(*) OVER () AS m FROM p)"""
 
 
@@ -51,10 +55,11 @@ def association_sweep(spark, d):
     return rounded(pairs.sweep(table(spark, d, "lineitem"), COLUMNS).select("x", "y", "n", "r"), "r")
 
 
-@query()
+@query(f"""WITH {_P} SELECT x, y, n, round(r, 6) + 0 AS r, round(p, 6) AS p, round(min(least(1, p * m / rank)) OVER (ORDER BY rank DESC), 6) AS q,
+  CASE WHEN n < 50 THEN 'INSUFFICIENT_DATA' WHEN p <= 0.01 AND n >= 200 THEN 'STRONG' WHEN p <= 0.05 AND n >= 100 THEN 'MODERATE' WHEN p <= 0.05 THEN 'WEAK' ELSE 'FAIL' END AS verdict FROM k""")
 def pearson_p_values(spark, d):
-    """With t-distribution p-values, step-up q and verdicts (no SQL form: the incomplete beta function)."""
-    return pairs.relationships(pairs.adjusted(pairs.pearson(table(spark, d, "lineitem"), COLUMNS), ties=["x", "y"]))
+    out = pairs.adjusted(_screened(spark, d), ties=["x", "y"])
+    return rounded(out.select("x", "y", "n", "r", "p", "q", C.verdict(F.col("p"), F.col("n")).alias("verdict")))
 
 
 @query("""WITH k AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM orders)
@@ -158,25 +163,38 @@ def referee_cusum(spark, d):
     return rounded(referees.cusum(_lines(spark, d)).select("pair", "n", "upper", "lower"), digits=4)
 
 
-@query()
+@query(f"""WITH {_LINES}, q AS (SELECT pair, x, y, ntile(4) OVER (PARTITION BY pair ORDER BY x, idx) AS q FROM l),
+r AS (SELECT pair, q, rank() OVER (PARTITION BY pair, q ORDER BY x) + (count(*) OVER (PARTITION BY pair, q, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pair, q ORDER BY y) + (count(*) OVER (PARTITION BY pair, q, y) - 1) / 2.0 AS b FROM q),
+c AS (SELECT pair, q, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN abs(corr(a, b)) ELSE 0 END AS rho FROM r GROUP BY 1, 2 HAVING count(*) >= 10)
+SELECT pair, count(*) AS bins, round(avg(rho), 6) AS statistic, avg(rho) > 0.9 AS passed FROM c GROUP BY 1""")
 def referee_monotonic(spark, d):
     return rounded(referees.monotonic(_lines(spark, d)))
 
 
-@query()
+@query(f"""WITH {_LINES}, s AS (SELECT pair, {_SUMS} FROM l WINDOW w AS (PARTITION BY pair ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY pair)),
+r AS (SELECT pair, cn, CASE WHEN csxx - csx * csx / cn > 1e-12 AND csyy - csy * csy / cn > 1e-12 THEN (csxy - csx * csy / cn) / sqrt((csxx - csx * csx / cn) * (csyy - csy * csy / cn)) ELSE 0 END AS r FROM s WHERE tn >= 30 AND cn >= 10 AND cn % greatest(floor(tn / 20), 1) = 0),
+e AS (SELECT pair, r, r - 2 * lag(r) OVER o + lag(r, 2) OVER o AS d FROM r WINDOW o AS (PARTITION BY pair ORDER BY cn))
+SELECT pair, count(d) AS points, round(coalesce(stddev_pop(d) / stddev_pop(r), 0), 5) AS statistic, coalesce(stddev_pop(d) / stddev_pop(r), 0) < 0.3 AS passed FROM e GROUP BY 1""")
 def referee_alpha_decay(spark, d):
-    return rounded(referees.alpha_decay(_lines(spark, d)))
+    return rounded(referees.alpha_decay(_lines(spark, d)), "statistic", digits=5)
+
 
+def _with_confounders(spark, d):
+    """_lines() with what may stand behind x and y: the hour and the user's number."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("__id"), F.hour("ts").cast("double").alias("z_hour"), (F.col("user_id") % 7).cast("double").alias("z_user"), F.col("event_type").alias("pair"))
+    idx = F.row_number().over(Window.partitionBy("pair").orderBy("__id"))
+    return _lines(spark, d).join(e.select("pair", idx.alias("idx"), "z_hour", "z_user"), ["pair", "idx"])
 
-def _kernel(name):
+
+def _vector(name):
     def run(spark, d):
-        return rounded(referees.by_vector(_lines(spark, d), referees.KERNELS[name], most=300))
+        return rounded(vectors.TESTS[name](_with_confounders(spark, d) if name == "conditional_mi" else _lines(spark, d)))
 
     return run
 
 
-for _name in referees.KERNELS:  # seeded tests of whole vectors: no SQL form
-    query(name=f"referee_{_name}")(_kernel(_name))
+for _name in vectors.TESTS:  # seeded tests of whole vectors: no SQL form
+    query(name=f"referee_{_name}")(_vector(_name))
 
 
 @query()
@@ -282,18 +300,36 @@ def twin_segments(spark, d):
 
 
 def _fingerprints(spark, d):
-    e = table(spark, d, "events")
-    first = relations.fingerprint(e.where(F.col("ts") < F.lit(datetime(2024, 1, 15))).select("event_type", "value", "user_id"), ["event_type", "value", "user_id"])
-    late = e.where(F.col("ts") >= F.lit(datetime(2024, 1, 15))).select("event_type", F.col("value").cast("string").alias("value"), (F.col("user_id") * 1).alias("user_id"), F.col("props").alias("props"))
-    return first, relations.fingerprint(late.where("event_type <> 'error'"), ["event_type", "user_id", "value", "props"])
+    """Two halves of a month of events. The later one has other types, fields, values and fewer users."""
+    e = table(spark, d, "events").withColumns({"half": F.col("ts") < F.lit(datetime(2024, 1, 15)), "day": F.dayofmonth("ts"), "hour": F.hour("ts")})
+    first, late = e.where("half"), e.where("NOT half")
+    shifted = late.where("event_type <> 'error'").select("event_type", F.col("value").cast("string").alias("value"), (F.col("user_id") % 10).alias("user_id"), "day", (F.col("hour") * F.col("hour") * F.col("hour") * F.col("hour") * F.col("hour")).alias("hour"), "props")
+    return relations.fingerprint(first, ["event_type", "value", "user_id", "day", "hour", "event_id"]), relations.fingerprint(shifted, ["event_type", "value", "user_id", "day", "hour", "props"])
+
+
+def _fields(side: str, where: str, fields: dict[str, tuple[str, str]]) -> str:
+    """Type, entropy, kurtosis and distinct values of each field (an expression and its type) of a half."""
+    each = " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS type, ({x})::VARCHAR AS raw, " + (f"round({x})::VARCHAR AS v, ({x})::DOUBLE AS num" if t == "numeric" else f"({x})::VARCHAR AS v, NULL::DOUBLE AS num") + f" FROM events WHERE {where}" for f, (x, t) in fields.items())
+    return f"""{side}_rows AS ({each}), {side}_p AS (SELECT field, count(*) / sum(count(*)) OVER (PARTITION BY field) AS p FROM {side}_rows GROUP BY field, v), {side}_e AS (SELECT field, -sum(p * log2(p)) AS entropy FROM {side}_p GROUP BY 1),
+{side} AS (SELECT field, type, entropy, kurtosis_pop(num) AS kurtosis, count(DISTINCT raw) AS d FROM {side}_rows JOIN {side}_e USING (field) GROUP BY ALL)"""
 
 
-@query("""WITH d(field, change, severity) AS (VALUES ('props', 'field_added', 1), ('value', 'type_changed', 2)) SELECT * FROM d""")
+_BEFORE = {"event_type": ("event_type", "string"), "value": ("value", "numeric"), "user_id": ("user_id", "numeric"), "day": ("day(ts)", "numeric"), "hour": ("hour(ts)", "numeric"), "event_id": ("event_id", "numeric")}
+_AFTER = {"event_type": ("event_type", "string"), "value": ("value", "string"), "user_id": ("user_id % 10", "numeric"), "day": ("day(ts)", "numeric"), "hour": ("hour(ts) ** 5", "numeric"), "props": ("props", "string")}
+_DRIFT = f"""{_fields("a", "ts < TIMESTAMP '2024-01-15'", _BEFORE)}, {_fields("b", "ts >= TIMESTAMP '2024-01-15' AND event_type <> 'error'", _AFTER)},
+both_ AS (SELECT coalesce(a.field, b.field) AS field, a.type AS ta, b.type AS tb, a.entropy AS ea, b.entropy AS eb, a.kurtosis AS ka, b.kurtosis AS kb, a.d AS da, b.d AS db FROM a FULL JOIN b ON a.field = b.field),
+same AS (SELECT * FROM both_ WHERE ta = tb),
+drift AS (SELECT field, 'field_removed' AS change, 3 AS severity FROM both_ WHERE tb IS NULL UNION ALL SELECT field, 'field_added', 1 FROM both_ WHERE ta IS NULL UNION ALL SELECT field, 'type_changed', 2 FROM both_ WHERE ta <> tb
+  UNION ALL SELECT field, 'entropy_spike', 2 FROM same WHERE CASE WHEN ea = 0 THEN eb > 0.3 ELSE abs(eb - ea) / ea > 0.3 END UNION ALL SELECT field, 'kurtosis_shift', 2 FROM same WHERE abs(kb - ka) > 2 UNION ALL SELECT field, 'cardinality_change', 1 FROM same WHERE CASE WHEN da = 0 THEN db > 10 ELSE abs(db - da) / da::DOUBLE > 0.5 END)"""
+
+
+@query(f"WITH {_DRIFT} SELECT field, change, severity FROM drift")
 def drift_report(spark, d):
     return relations.drift(*_fingerprints(spark, d))
 
 
-@query("""SELECT 2::BIGINT AS changes, 2 AS severity, round((1 * 0.5 + 2 * 3.0) / (2 * 4 * 5.0), 6)::DOUBLE AS impact, true AS handled, false AS quarantined""")
+@query(f"""WITH {_DRIFT} SELECT count(*) AS changes, max(severity) AS severity, round(least(1.0, sum(severity * CASE change WHEN 'field_removed' THEN 5.0 WHEN 'type_changed' THEN 3.0 WHEN 'field_added' THEN 0.5 WHEN 'cardinality_change' THEN 1.5 ELSE 2.0 END)::DOUBLE / (count(*) * 4 * 5.0)::DOUBLE), 6) AS impact,
+  max(severity) >= 2 AS handled, max(severity) >= 3 AS quarantined FROM drift""")
 def drift_impact(spark, d):
     return rounded(relations.drift_summary(relations.drift(*_fingerprints(spark, d))))
 
@@ -303,21 +339,42 @@ def key_inclusion(spark, d):
     return relations.inclusion(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey")
 
 
-def _catalogue(spark):
-    rows = [("w", "customer_data", ["customer_id", "name", "email"], 1000, 3), ("w", "purchase_history", ["customer_id", "product_name", "purchase_date", "amount"], 5000, 4), ("w", "daily_sales", ["date", "amount", "daily_total"], 365, 3), ("w", "daily_visits", ["date", "visits", "daily_total"], 365, 3)]
-    return spark.createDataFrame(rows, "workspace string, id string, fields array<string>, record_count bigint, field_count int")
+_POOL = ["customer_id", "name", "email", "purchase_date", "amount", "daily_total", "visits", "status", "event_time", "code"]
+
+
+def _catalogue(spark, d):
+    """A data set per nation; its region is the workspace, its key picks the fields."""
+    picked = F.filter(F.array(*[F.when((F.col("n_nationkey") * 7 + i * i) % 5 < 3, F.lit(f)) for i, f in enumerate(_POOL)]), lambda f: f.isNotNull())
+    n = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("workspace"), F.col("n_name").alias("id"), picked.alias("fields"), (F.col("n_nationkey") * 137 + 10).cast("bigint").alias("record_count"))
+    return n.withColumn("field_count", F.size("fields"))
+
 
+_CATALOGUE = f"""pool AS (SELECT unnest(range({len(_POOL)})) AS i, unnest({_POOL}) AS f), fields AS (SELECT n_regionkey AS ws, n_name AS id, n_nationkey AS k, i, f FROM nation CROSS JOIN pool WHERE (n_nationkey * 7 + i * i) % 5 < 3),
+named AS (SELECT ws, id, k, count(*) AS nf, coalesce(min_by(f, list_position({list(TIME_NAMES)}, f)) FILTER (list_contains({list(TIME_NAMES)}, f)), min_by(f, i) FILTER (regexp_matches(f, '{"|".join(TIME_WORDS)}'))) AS t, CASE WHEN bool_or(f LIKE '%daily%') THEN 'day' END AS fr FROM fields GROUP BY ALL),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM fields x JOIN fields y ON x.f = y.f AND x.ws = y.ws AND x.id < y.id GROUP BY ALL),
+both_ AS (SELECT a.id AS a, b.id AS b, a.k * 137 + 10 + b.k * 137 + 10 AS n, greatest(a.nf, b.nf) AS nf, a.t AS ta, b.t AS tb, a.fr AS fa, b.fr AS fb, 2.0::DOUBLE * coalesce(c, 0) / (a.nf + b.nf) AS fit FROM named a JOIN named b ON a.ws = b.ws AND a.id < b.id LEFT JOIN shared s ON s.a = a.id AND s.b = b.id),
+rel AS (SELECT a, b, n, nf, CASE WHEN fit > 0.8 THEN 'schema_match' WHEN fit > 0.5 THEN 'partial_schema_match' ELSE 'weak_schema_match' END AS type, (fit * CASE WHEN fit > 0.8 THEN 1.0 WHEN fit > 0.5 THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence FROM both_ WHERE fit > 0
+  UNION ALL SELECT a, b, n, nf, 'temporal_relationship', 0.6::DOUBLE FROM both_ WHERE ta IS NOT NULL AND tb IS NOT NULL
+  UNION ALL SELECT a, b, n, nf, 'timeseries_merge_candidate', (CASE WHEN ta = tb THEN 0.9 ELSE 0.7 END + CASE WHEN fa = fb THEN 0.1 ELSE 0 END)::DOUBLE FROM both_ WHERE ta IS NOT NULL AND tb IS NOT NULL)"""
 
-@query("""WITH t(a, b, type, confidence) AS (VALUES ('customer_data', 'purchase_history', 'weak_schema_match', 0.171429), ('daily_sales', 'purchase_history', 'timeseries_merge_candidate', 0.7), ('daily_sales', 'daily_visits', 'timeseries_merge_candidate', 1.0), ('daily_visits', 'purchase_history', 'timeseries_merge_candidate', 0.7)) SELECT a, b, type, confidence::DOUBLE AS confidence FROM t""")
+
+@query(f"WITH {_CATALOGUE}, o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY round(confidence, 9) DESC, type) AS k FROM rel) SELECT a, b, type, round(confidence, 6) AS confidence FROM o WHERE k = 1")
 def schema_compat(spark, d):
-    return rounded(relations.best_relation(relations.relations(_catalogue(spark))).drop("workspace"))
+    found = relations.relations(_catalogue(spark, d)).withColumn("confidence", F.round("confidence", 9))
+    return rounded(relations.best_relation(found).drop("workspace"))
+
 
+_PLAIN = "replace({}, '_', '')"
 
-@query("""WITH t(a, b, "column") AS (VALUES ('customer_data', 'purchase_history', 'customer_id'), ('customer_data', 'purchase_history', 'name'), ('daily_sales', 'daily_visits', 'date'), ('daily_sales', 'daily_visits', 'daily_total'), ('daily_sales', 'purchase_history', 'date'), ('daily_sales', 'purchase_history', 'amount'), ('daily_visits', 'purchase_history', 'date')) SELECT * FROM t""")
+
+@query(f"""WITH {_CATALOGUE} SELECT DISTINCT x.id AS a, y.id AS b, x.f AS "column" FROM fields x JOIN fields y ON x.ws = y.ws AND x.id < y.id AND (x.f = y.f OR (length({_PLAIN.format("x.f")}) > 3 AND length({_PLAIN.format("y.f")}) > 3 AND (contains({_PLAIN.format("x.f")}, {_PLAIN.format("y.f")}) OR contains({_PLAIN.format("y.f")}, {_PLAIN.format("x.f")}))))""")
 def common_columns(spark, d):
-    return relations.common_columns(_catalogue(spark))
+    return relations.common_columns(_catalogue(spark, d))
 
 
-@query()
+@query(f"""WITH {_CATALOGUE}, w AS (SELECT *, CASE type WHEN 'schema_match' THEN 3.0 WHEN 'partial_schema_match' THEN 2.0 WHEN 'temporal_relationship' THEN 1.5 ELSE 1.0 END::DOUBLE AS w FROM rel),
+g AS (SELECT a, b, any_value(n) AS n, any_value(nf) AS nf, CASE WHEN bool_or(type = 'timeseries_merge_candidate') THEN 'join' WHEN bool_or(type IN ('schema_match', 'partial_schema_match')) THEN 'union' ELSE 'union' END AS merge_type, least(0.95, sum(confidence * w) / sum(w)) AS confidence FROM w GROUP BY a, b)
+SELECT a, b, merge_type, round(confidence, 6) AS confidence, floor(n * CASE WHEN merge_type = 'join' THEN 0.7 ELSE 1.0 END::DOUBLE)::BIGINT AS "rows", nf::INT AS columns FROM g""")
 def merge_plan(spark, d):
-    return rounded(relations.merge_plan(relations.relations(_catalogue(spark)), _catalogue(spark)))
+    datasets = _catalogue(spark, d)
+    return rounded(relations.merge_plan(relations.relations(datasets), datasets))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder that the cluster names; None where it names none and a temp folder will do, as all run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder.rstrip("/") if folder else None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark) or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder (a temp folder only where none is set), so that later steps read the same rows however
     often they run and whatever executors are lost."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark._jsc.sc().getCheckpointDir().isEmpty():
+    if checkpoint_folder(spark) is None and spark._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
