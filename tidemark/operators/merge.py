@@ -122,8 +122,16 @@ def resampled(points: DataFrame, grain: str, ts: str = "ts", value: str = "value
     return marks.select(*by, F.col("t").alias("bucket"), (F.coalesce(between, F.col("l")) if linear else F.col("l")).alias("value"))
 
 
+def report(parts: Sequence[DataFrame], result: DataFrame) -> DataFrame:
+    """rows_in, rows_out, duplicates (rows that the merge dropped) and n_columns of a merge, as one row."""
+    before = reduce(lambda a, b: a.union(b), [p.agg(F.count(F.lit(1)).alias("n")) for p in parts]).agg(F.sum("n").alias("rows_in"))
+    after = result.agg(F.count(F.lit(1)).alias("rows_out"))
+    return before.crossJoin(after).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("duplicates"), F.lit(len(result.columns)).alias("n_columns"))  # two rows of one number
+
+
 def spline(grid: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
-    """Missing grid values by a natural cubic through each series' observed ones (series-wise, with numpy)."""
+    """Missing grid values by a natural cubic through each series' observed ones. A series' grid, bounded by its span over its step, is one
+    Arrow group; its tridiagonal system is solved by one sweep forward and one back."""
     import numpy as np
     import pandas as pd
 
@@ -134,11 +142,14 @@ def spline(grid: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
         if len(x) < 3:
             return part.assign(value=np.interp(part["bucket"], x, y) if len(x) else np.nan)
         h = np.diff(x)
-        system, side = np.eye(len(x)), np.zeros(len(x))
+        slope = np.diff(y) / h
+        up, side = np.zeros(len(x)), np.zeros(len(x))  # the ends' curvature is 0
         for i in range(1, len(x) - 1):
-            system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            side[i] = 3 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-        c = np.linalg.solve(system, side)
+            pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * up[i - 1]
+            up[i], side[i] = h[i] / pivot, (3 * (slope[i] - slope[i - 1]) - h[i - 1] * side[i - 1]) / pivot
+        c = side
+        for i in range(len(x) - 2, 0, -1):
+            c[i] -= up[i] * c[i + 1]
         at = np.clip(np.searchsorted(x, part["bucket"], "right") - 1, 0, len(h) - 1)
         d = part["bucket"].to_numpy(float) - x[at]
         b = (y[at + 1] - y[at]) / h[at] - h[at] * (2 * c[at] + c[at + 1]) / 3

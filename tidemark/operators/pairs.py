@@ -122,25 +122,30 @@ def sweep(df: DataFrame, columns: Sequence[str], threshold: float = 0.3, least:
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Observed and expected counts of all cells of two categories, also empty ones. NaN counts as missing.
-
-    Cells are one row per pair of categories, built from the margins (which are as small as the category sets)."""
+    """Observed and expected counts of the cells of two categories that hold rows, with the margins na and nb and the total n. NaN
+    counts as missing. Empty cells aren't built: their expected counts add up to n less those of the others."""
     clean = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a NOT IN ('NaN', 'Infinity', '-Infinity') AND b NOT IN ('NaN', 'Infinity', '-Infinity')")
     cells = clean.groupBy("a", "b").agg(F.count(F.lit(1)).alias("observed"))
     rows, cols = cells.groupBy("a").agg(F.sum("observed").alias("na")), cells.groupBy("b").agg(F.sum("observed").alias("nb"))
-    total = cells.agg(F.sum("observed").alias("n"))
-    grid = rows.crossJoin(cols).crossJoin(total)  # distinct categories only
-    return grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("observed", F.lit(0)).alias("observed"), (F.col("na") * F.col("nb") / F.col("n")).alias("expected"))
+    total = cells.agg(F.sum("observed").alias("n"))  # one row
+    met = cells.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(total))
+    return met.select("a", "b", "observed", (F.col("na") * F.col("nb") / F.col("n")).alias("expected"), "na", "nb", "n")
 
 
 def chi_square(df: DataFrame, a: str, b: str, p_value: bool = True) -> DataFrame:
-    """n, chi2 (with Yates's correction for 2 x 2 tables), df and Cramer's V of two categories."""
+    """n, chi2 (with Yates's correction for 2 x 2 tables), df and Cramer's V of two categories.
+
+    Over cells that hold rows; an empty one adds its expected count. The cells of a 2 x 2 table all differ by the same amount."""
     cells = contingency(df, a, b)
-    shape = cells.agg(F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
-    gap = F.abs(F.col("observed") - F.col("expected"))
-    yates = F.when((F.col("r") == 2) & (F.col("c") == 2), F.greatest(gap - 0.5, F.lit(0.0))).otherwise(gap)
-    stat = cells.crossJoin(shape).groupBy().agg(F.sum("observed").alias("n"), F.sum(yates * yates / F.col("expected")).alias("chi2"), F.first("r").alias("r"), F.first("c").alias("c"))
-    out = stat.select("n", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.coalesce(F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.least("r", "c") - 1))), F.lit(0.0)).alias("cramers_v"))
+    o, e = F.col("observed"), F.col("expected")
+    s = cells.agg(
+        F.sum("observed").alias("n"), F.sum((o - e) * (o - e) / e - e).alias("gaps"), F.max(F.abs(o - e)).alias("gap"),
+        F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"),
+    )
+    gap, n, na, nb = F.greatest(F.col("gap") - 0.5, F.lit(0.0)), F.col("n"), F.col("na"), F.col("nb")
+    yates = gap * gap * n * (1 / na + F.try_divide(F.lit(1.0), n - na)) * (1 / nb + F.try_divide(F.lit(1.0), n - nb))
+    chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), yates).otherwise(F.greatest(F.col("gaps") + n, F.lit(0.0)))
+    out = s.withColumn("chi2", chi2).select("n", "chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.coalesce(F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.least("r", "c") - 1))), F.lit(0.0)).alias("cramers_v"))
     return out.withColumn("p", special.p_chi2("chi2", F.col("df").cast("double"))) if p_value else out
 
 

@@ -162,3 +162,14 @@ def encoding(df: DataFrame, column: str, most: int = 10) -> DataFrame:
 def mode_column(value: Column) -> Column:
     """The most frequent value, the least of tied ones."""
     return F.mode(value, True)
+
+
+def json_kinds(records: DataFrame, column: str, fields: Sequence[str]) -> DataFrame:
+    """field, type (string, numeric, boolean, mixed, or unknown if it never has a value) and missing, over JSON objects."""
+    v = F.try_parse_json(column)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    each = records.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(kind(f), F.lit("VOID")).alias("kind")) for f in fields])).alias("k")).select("k.*")
+    text, truth = F.col("kind") == "STRING", F.col("kind") == "BOOLEAN"
+    s = each.groupBy("field").agg(F.coalesce(F.bool_or(text), F.lit(False)).alias("t"), F.coalesce(F.bool_or(truth), F.lit(False)).alias("b"), F.coalesce(F.bool_or(~text & ~truth), F.lit(False)).alias("n"), F.count_if(F.col("kind").isNull()).alias("missing"))
+    several = F.col("t").cast("int") + F.col("b").cast("int") + F.col("n").cast("int")
+    return s.select("field", F.when(several == 0, "unknown").when(several > 1, "mixed").when(F.col("t"), "string").when(F.col("b"), "boolean").otherwise("numeric").alias("type"), "missing")

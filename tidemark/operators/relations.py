@@ -102,11 +102,12 @@ def inclusion(child: DataFrame, column: str, parent: DataFrame, key: str) -> Dat
 # --- graphs
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its least node) by least labels with pointer jumping; edges(a, b), undirected. Rounds are checkpointed."""
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) by least labels with pointer jumping, until nothing changes; edges(a, b), undirected. Rounds
+    are checkpointed."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         new = labels.join(near, "node").select("node", F.least("component", "least").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
@@ -114,8 +115,7 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def blast_radius(edges: DataFrame, least: float = 0.3, depth: int = 3) -> DataFrame:

@@ -104,9 +104,31 @@ def fleet_and_age_score(df: DataFrame, fleet: str, added: str) -> DataFrame:
     return df.crossJoin(F.broadcast(newest)).withColumn("score", row_mean([size, F.when(F.col(added).isNotNull(), age)])).drop("__newest")  # one row
 
 
+def legacy_score(df: DataFrame, fleet: str, added: str, safety: str) -> DataFrame:
+    """df with the older lead score: .3 of the fleet bucket's points (none outside the buckets), .2 of 6 less the years since the newest
+    date (1 at least; 3 without a date), .3 of the safety bucket's points (2.5 stands for a missing score)."""
+    newest = df.agg(F.max(added).alias("__newest"))
+    size = F.coalesce(bucketize(F.coalesce(number(F.col(fleet)), F.lit(0.0)), (0, 1, 5, 20, 100, INF), (1.0, 2.0, 3.0, 4.0, 5.0)), F.lit(0.0))
+    age = F.coalesce(F.greatest(F.lit(1.0), 6 - age_days(F.col(added), F.col("__newest")) / 365.25), F.lit(3.0))
+    safe = F.coalesce(bucketize(F.coalesce(F.col(safety).cast("double"), F.lit(2.5)), (0, 1, 2, 3, 4, INF), (5.0, 4.0, 3.0, 2.0, 1.0)), F.lit(0.0))
+    return df.crossJoin(F.broadcast(newest)).withColumn("score", F.when(F.col(added).isNull(), 0.3 * size + 0.2 * 3.0 + 0.3 * safe).otherwise(0.3 * size + 0.2 * age + 0.3 * safe)).drop("__newest")  # one row
+
+
 # --- filters
 
 
+def in_city(city: Column, wanted: str, state: Column | None = None, code: str | None = None) -> Column:
+    """The city's name holds the wanted text, whatever the case, and the state is the one named, if one is."""
+    there = F.coalesce(F.contains(F.lower(city), F.lit(wanted.lower())), F.lit(False))
+    return there & in_state(state, code) if state is not None and code else there
+
+
+def high_risk(df: DataFrame, least: float = 3.0) -> DataFrame:
+    """Rows whose first column with score or rating in its name is a number of `least` or more, the largest first; none without one."""
+    name = next((c for c in df.columns if "score" in c.lower() or "rating" in c.lower()), None)
+    return df.limit(0) if name is None else df.where(number(F.col(name)) >= least).orderBy(F.desc(number(F.col(name))))
+
+
 def in_state(state: Column, wanted: str) -> Column:
     return F.upper(F.trim(state)) == wanted.upper()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.operators import relations
+from tidemark.session import scratch
 
 #: A week's window begins on Monday.
 OFFSETS = {"hour": ("1 hour", "0 seconds"), "day": ("1 day", "0 seconds"), "week": ("1 week", "4 days")}
@@ -64,17 +66,20 @@ def released(stream: DataFrame) -> DataFrame:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, ids, needs = (list(x) for x in state.get) if state.exists else ([], [], [])
-        waiting = list(zip(ids, needs, strict=True))
-        for part in parts:
-            waiting += [(r.id, r.waits_for) for r in part.itertuples()]
-        out, moved, here = [], True, set(done)
-        while moved:
-            free = [w for w in waiting if w[1] is None or w[1] != w[1] or w[1] in here]
-            waiting = [w for w in waiting if w not in free]
-            out += [w[0] for w in free]
-            here |= {w[0] for w in free}
-            moved = bool(free)
-        state.update((sorted(here), [w[0] for w in waiting], [w[1] for w in waiting]))
+        here, waiting = set(done), defaultdict(list)
+        free, out = [], []
+        for i, need in [*zip(ids, needs, strict=True), *((r.id, r.waits_for) for part in parts for r in part.itertuples())]:
+            if need is None or need != need or need in here:
+                free.append(i)
+            else:
+                waiting[need].append(i)
+        while free:  # each item is let through once
+            i = free.pop()
+            out.append(i)
+            here.add(i)
+            free += waiting.pop(i, [])
+        left = [(i, need) for need, those in waiting.items() for i in those]
+        state.update((sorted(here), [i for i, _ in left], [need for _, need in left]))
         yield pd.DataFrame({"scope": [k[0]] * len(out), "id": out})
 
     return stream.groupBy("scope").applyInPandasWithState(step, "scope string, id string", "done array<string>, ids array<string>, needs array<string>", "append", GroupStateTimeout.NoTimeout)
@@ -93,10 +98,17 @@ def drift_guard(baseline: DataFrame, columns: list[str], accept: Callable[[DataF
 
 
 def completed(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns the result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns the result, written as Parquet to the shared folder with its checkpoint: appended
+    batch by batch, or in complete mode the last batch's whole table."""
+    path = scratch(spark, name)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{path}/rows")
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows")
+        query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows")).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
