@@ -81,7 +81,8 @@ def labelled(nodes: DataFrame, found: DataFrame, n: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """__hash, h: the rarest shingles of texts(__hash, text) that occur in several, as many as a like text must share one of. Stored."""
+    """__hash, h, place, size: the rarest shingles of texts(__hash, text) that occur in several, as many as a like text must share one
+    of; the shingle's place (from 1) in the order by rarity, and the text's number of shingles. Stored."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -99,13 +100,16 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     ranked = lookup(each, often, ["h"], n, hot=often.where(F.col("n") > hot_from(n))).withColumn("n", F.coalesce("n", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("__hash").orderBy("n", "h"))
     first = ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
-    return keep(first.where("n > 1").select("__hash", "h"), "prefixes")
+    return keep(first.where("n > 1").select("__hash", "h", F.col("place").cast("long").alias("place"), "size"), "prefixes")
 
 
 def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
-    """Links between texts of different components of nodes(__hash, component) that share an h of entries(__hash, h); enough of them
-    to join the components that hold like texts."""
+    """Links between texts of different components of nodes(__hash, component) that share an h of entries (as prefixes() has them);
+    enough of them to join the components that hold like texts. Two texts are compared only if the shingles from the shared one on
+    can still be enough: like texts meet at the first shingle that they share, and there all that they share is yet to come."""
     n, n_nodes, hubs = entries.count(), nodes.count(), HUBS
+    rest = 1 + F.least(F.col("size") - F.col("place"), F.col("hub_rest"))
+    enough = rest >= (F.col("size") + F.col("hub_size")) * (similarity / (1 + similarity)) - 1e-9
     links: list[DataFrame] = []
     done: list[DataFrame] = []
     while True:
@@ -119,8 +123,8 @@ def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
         mixed = lookup(at, buckets, ["h"], n, "inner", hot=buckets.where(F.col("all") > hot_from(n)))
         mixed = keep(mixed, "mixed-members")
         drawn = F.pmod(F.xxhash64("__hash", F.lit(7)), F.lit(1 << 30)) * F.col("outside") < F.lit(hubs << 30)
-        hub = mixed.where((F.col("component") != F.col("big")) & drawn).select("h", F.col("__hash").alias("hub"), F.col("component").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
-        met = mixed.withColumn("part", F.pmod(F.xxhash64("__hash"), F.lit(SPLIT)).cast("int")).join(hub, ["h", "part"]).where("component <> of")
+        hub = mixed.where((F.col("component") != F.col("big")) & drawn).select("h", F.col("__hash").alias("hub"), F.col("component").alias("of"), (F.col("size") - F.col("place")).alias("hub_rest"), F.col("size").alias("hub_size"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
+        met = mixed.withColumn("part", F.pmod(F.xxhash64("__hash"), F.lit(SPLIT)).cast("int")).join(hub, ["h", "part"]).where((F.col("component") != F.col("of")) & enough)
         pairs = met.select(F.least("__hash", "hub").alias("x"), F.greatest("__hash", "hub").alias("y")).distinct()
         for before in done:
             pairs = pairs.join(before, ["x", "y"], "left_anti")
