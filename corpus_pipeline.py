@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run() writes
 each stage's rows as Parquet in the shared folder and reads them again as the next one's docs, so a lost executor costs a task
 and not the stages before it.
+
+Each stage keeps its input's columns, of whatever names and types (packing alone returns pieces). Rows with null texts, and empty or
+too short ones, fail the quality rules; a null doc_id counts as an id, after all others where a choice is by the least id; repeated rows
+are near-duplicates of each other, so one stays; an empty documents table gives no pieces, an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -15,27 +19,29 @@ from tidemark.llm.util import keep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the line frequencies reject go, and boilerplate lines go from the others; n_chars follows."""
+    """Documents that the rules and the line frequencies reject go (null and empty texts with them), and boilerplate lines go from the
+    others; n_chars follows."""
     return quality.good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, .8 in common or more) stays: that of the least doc_id."""
+    """One document of each group of near copies (5-word shingles, .8 in common or more) stays: that of the least doc_id (null counts
+    last; of equal ids, that with the least hash)."""
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; items without text match nothing."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret found is replaced by a mark of its kind; n_chars follows."""
+    """Each secret found is replaced by a mark of its kind; n_chars follows. Null texts stay null."""
     return secrets.masked(docs)
 
 
 def packing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences' pieces."""
+    """The packed sequences' pieces, of all rows; a null text is an empty document of one token."""
     return packing.digest(packing.packed(docs, vocabulary()))
 
 
