@@ -13,6 +13,7 @@ from tidemark.llm import components, ctw, decontam, licenses, packing, quality,
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.util import lookup
 
+from . import small_tree
 from .conftest import lines, prose
 
 
@@ -624,7 +625,7 @@ def test_every_context_counts_however_rare(spark, monkeypatch):
     texts = [(i, prose(i, 400)) for i in range(60)] + [(900 + i, lines(i, 3)) for i in range(6)] + [(990, None), (991, "")]
     frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     train = spark.createDataFrame([((t or "").encode(),) for i, t in texts if zlib.crc32(str(i).encode()) % ctw.PARTS != ctw.HELD_OUT], "text binary")
-    tree = ctw.grow(ctw.counts(train).where("kind = 0"), contexts=1 << 40)
+    tree = small_tree.grow(ctw.counts(train).where("kind = 0"), contexts=1 << 40)
     want = {}
     for i, t in texts:
         raw = np.frombuffer((t or "").encode(), np.uint8)
@@ -673,7 +674,7 @@ def test_tree_is_the_weighted_mixture():
     table = np.zeros((len(nodes), 256))
     for (d, c, x), n in contexts.items():
         table[nodes.index((d, c)), x] = n
-    tree = ctw.Tree(nodes, table)
+    tree = small_tree.Tree(nodes, table)
     before = weighted(padded)
     for x in b"abcz":
         whole = np.frombuffer(padded + bytes([x]), np.uint8)
@@ -684,7 +685,7 @@ def test_tree_is_the_weighted_mixture():
 def test_tree_learns_and_probabilities_sum_to_one(spark):
     texts = [prose(i, 200) for i in range(40)]
     counted = ctw.counts(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
-    tree = ctw.grow(counted.where("kind = 0"), contexts=64)
+    tree = small_tree.grow(counted.where("kind = 0"), contexts=64)
     assert np.allclose((10.0 ** tree.log10p).sum(axis=1), 1, atol=1e-3)
     data, where = ctw.padded(np.frombuffer(prose(99, 200).encode(), np.uint8), np.array([0, len(prose(99, 200).encode())]), ctw.DEPTH)
     assert -tree.score(data, where).sum() / np.log10(2) / len(where) < 4
