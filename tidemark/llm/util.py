@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpoint_folder
+
 #: A key is hot if it holds more than one row in so many; so at most that many keys are hot.
 HOT_SHARE = 256
 
@@ -19,10 +21,9 @@ _own_folder: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temp folder of its own only where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
+    """The shared folder named by spark.checkpoint.dir; a temp folder of its own only where that is unset and the master is local."""
+    if folder := checkpoint_folder(spark):
+        return folder
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
