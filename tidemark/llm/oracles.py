@@ -50,4 +50,20 @@ wc AS (SELECT row, sum(least(50, coalesce(following - i, 50)))::BIGINT AS n FROM
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(wc.n, 0) AS n_passage_words FROM d LEFT JOIN x USING (row) LEFT JOIN wc USING (row)
 """
 
-ORACLE_SQL = {"op2_capture_index": warc_index.ORACLE, "op6_blob_ledger": SECRETS, "op7_line_frequency": QUALITY, "op9_bucket_refinement": REPEATS}
+#: CRC-32 byte by byte: the table of the 256 remainders is made by eight steps of the polynomial's division.
+_CRC = """
+polynomial AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM (SELECT unnest(range(256)) AS i))),
+coded AS (SELECT f, xor(list_reduce([4294967295] || list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM own UNION SELECT f FROM wanted)), polynomial)"""
+_RUNS = r"unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f"
+RESAMPLING = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents), own AS (SELECT row, {_RUNS} FROM d), wanted AS (SELECT {_RUNS} FROM benchmark), {_CRC},
+s AS (SELECT bucket, count(*) AS s FROM own JOIN coded USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM wanted JOIN coded USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM own) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS weight FROM own JOIN coded USING (f) JOIN g USING (bucket) GROUP BY row),
+c AS (SELECT row, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM c LEFT JOIN r USING (row)
+"""
+
+ORACLE_SQL = {"op2_capture_index": warc_index.ORACLE, "op6_blob_ledger": SECRETS, "op7_line_frequency": QUALITY, "op9_bucket_refinement": REPEATS, "op12_gain_array": RESAMPLING}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, licenses, packing, quality, secrets, shards, simhash, suffix_dedup, warc_index
+from . import ctw, decontam, licenses, packing, quality, resample, secrets, shards, simhash, suffix_dedup, warc_index
 from .oracles import ORACLE_SQL
 
 
@@ -60,8 +60,12 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
 
+def op12_gain_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree)
+    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree, op12_gain_array)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]

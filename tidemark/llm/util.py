@@ -99,6 +99,22 @@ def keep_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return keyed.join(bad.select("__id", "__hash").hint("shuffle_hash"), ["__id", "__hash"], "left_anti").select("kept.*")
 
 
+def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """rows with their rank (1, 2, 3...) in an order, which should end in a column that tells rows apart. Ranges of the order are sorted
+    in tasks of their own; one number per range comes to the driver."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    numbered = keep(ordered.withColumn("__at", F.monotonically_increasing_id()), "ranks")  # the range above bit 33, the place in it below
+    part = F.shiftright("__at", 33)
+    starts, at = [], 0
+    for r in sorted(numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["part"], at))
+        at += r["n"]
+    begins = rows.sparkSession.createDataFrame(starts, "__part bigint, __begin bigint")
+    placed = numbered.join(F.broadcast(begins), part == F.col("__part"))
+    return placed.select(*rows.columns, (F.col("__begin") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
+
+
 def columns_of_binary(array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow binary or string array's bytes and its n+1 offsets, counted from the first of those bytes. Nulls are empty."""
     import pyarrow as pa
