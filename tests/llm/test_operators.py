@@ -392,6 +392,24 @@ def test_encoder_agrees_with_the_library():
         assert np.frombuffer(own.ids(text), "<u2").tolist() == coder.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \n"])
+def test_encoder_takes_long_white_space(blank):
+    from tokenizers import Tokenizer
+
+    coder, own = Tokenizer.from_file(vocabulary()), packing.encoder(vocabulary())
+    for n in (1, 999, 1000, 1001, 1_200_000 // len(blank)):
+        run = blank * n
+        for text in (run, f"a{run}b") if n > 2000 else (run, "a" + run, run + "b", f"a{run}b {run}é{run}.{run}<|endoftext|>{run}"):
+            assert np.frombuffer(own.ids(text), "<u2").tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "x" + "\n" * 1_000_000), (3, "y")], "doc_id long, text string")
+    pieces = packing.digest(packing.packed(docs, vocabulary())).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == {1: 1_000_002, 2: 500_002, 3: 2}
+    assert sum(r["length"] for r in pieces) == 1_500_006
+
+
 def test_hilbert_keys_are_a_walk():
     n = 8
     grid = np.stack(np.meshgrid(*[np.arange(n)] * 3, indexing="ij"), -1).reshape(-1, 3)

@@ -9,7 +9,8 @@ The order is made on small rows (key, row, tokens): a range partitioning sorts t
 written once, joined with the places and cut; no task sees more than its documents.
 
 Ids are those of the tokenizer's vocabulary file. Most words are encoded once a worker and then looked up: a space between two
-characters that aren't white space always begins a new pre-token, so texts are split there.
+characters that aren't white space always begins a new pre-token, so texts are split there. A long run of white space is one
+pre-token (without its last character, if a word follows); it is cut out before the coder's pattern, which backtracks over it.
 
 Nulls and empty texts: the final id alone. Repeated rows: each is packed. Null ids are ids like any other. Ties on the curve
 (copies) are ordered by row. Very long texts are cut over as many sequences as they need. An empty table gives an empty result.
@@ -18,6 +19,7 @@ Extra columns don't matter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ BUCKETS = 256
 DIMENSIONS, KEY_BITS = 3, 20
 #: A worker remembers the ids of so many different words; others are encoded each time.
 REMEMBERED = 400_000
+#: Runs of white space (Unicode's) that are cut out before the pattern sees them.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 
 
 class Encoder(dict):
@@ -56,19 +60,26 @@ class Encoder(dict):
         self.size = max([*vocabulary.values(), *self.special.values()]) + 1
         self.coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
+    def ordinary(self, text: str) -> list[int]:
+        """The ids of a text whose special tokens' strings are plain text."""
+        out, at = [], 0
+        for run in LONG_BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))  # the last one goes with the word that follows
+            out += self.coder.encode_ordinary(text[at : run.start()]) + self.coder._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.coder.encode_ordinary(text[at:])
+
     def plain(self, text: str) -> bytes:
-        ids = self.coder.encode(text, allowed_special="all") if self.special else self.coder.encode_ordinary(text)
-        return np.array(ids, "<u2").tobytes()
+        parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
+        return np.array([i for p in parts for i in ([self.special[p]] if p in self.special else self.ordinary(p))], "<u2").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.coder.encode_ordinary(" " + word), "<u2").tobytes()
+        ids = np.array(self.ordinary(" " + word), "<u2").tobytes()
         if len(self) < REMEMBERED and len(word) < 40:
             self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        import re
-
         if re.search(r"\s | \s", text) or any(s in text for s in self.special):
             return self.plain(text)
         first, *words = text.split(" ")
