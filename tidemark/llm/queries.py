@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, licenses, packing, quality, resample, secrets, shards, simhash, suffix_dedup, warc_index
+from . import alignment, ctw, decontam, licenses, packing, quality, resample, secrets, shards, simhash, suffix_dedup, warc_index
 from .oracles import ORACLE_SQL
 
 
@@ -14,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_gain_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree, op12_gain_array)
+    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree, op12_gain_array, op13_token_alignment)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
