@@ -66,4 +66,14 @@ r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM c LEFT JOIN r USING (row)
 """
 
-ORACLE_SQL = {"op2_capture_index": warc_index.ORACLE, "op6_blob_ledger": SECRETS, "op7_line_frequency": QUALITY, "op9_bucket_refinement": REPEATS, "op12_gain_array": RESAMPLING}
+#: All pairs of different sets that share a shingle; then the least id spreads along the links.
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+g AS (SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM d),
+k AS (SELECT md5(array_to_string(s, chr(10))) AS k, min(doc_id) AS least, any_value(s) AS s, any_value(len(s)) AS n FROM g WHERE len(s) > 0 GROUP BY 1), e AS (SELECT k, n, unnest(s) AS x FROM k),
+p AS (SELECT a.k AS a, b.k AS b, any_value(a.n + b.n) AS n, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY 1, 2), l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(k, i) AS (SELECT k, least FROM k UNION SELECT u.b, r.i FROM r JOIN u ON r.k = u.a), c AS (SELECT k, min(i) AS i FROM r GROUP BY k)
+SELECT doc_id, len(s) AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE c.i END AS component_id FROM g LEFT JOIN c ON c.k = md5(array_to_string(g.s, chr(10)))
+"""
+
+ORACLE_SQL = {"op2_capture_index": warc_index.ORACLE, "op6_blob_ledger": SECRETS, "op7_line_frequency": QUALITY, "op9_bucket_refinement": REPEATS, "op11_universe_partition": JACCARD, "op12_gain_array": RESAMPLING}

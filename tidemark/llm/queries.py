@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ctw, decontam, licenses, packing, quality, resample, secrets, shards, simhash, suffix_dedup, warc_index
+from . import alignment, ctw, decontam, licenses, ngram_join, packing, quality, resample, secrets, shards, simhash, suffix_dedup, warc_index
 from .oracles import ORACLE_SQL
 
 
@@ -60,6 +60,10 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op12_gain_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +73,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree, op12_gain_array, op13_token_alignment)
+    f.__name__: f for f in (op1_spaced_seeds, op2_capture_index, op3_virtual_slots, op4_simhash, op5_hilbert_packing, op6_blob_ledger, op7_line_frequency, op8_winnowed_licenses, op9_bucket_refinement, op10_context_tree, op11_universe_partition, op12_gain_array, op13_token_alignment)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]

@@ -103,13 +103,19 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     return keep(first.where("n > 1").select("__hash", "h", F.col("place").cast("long").alias("place"), "size"), "prefixes")
 
 
-def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
+def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, sketches: DataFrame | None = None) -> list[DataFrame]:
     """Links between texts of different components of nodes(__hash, component) that share an h of entries (as prefixes() has them);
     enough of them to join the components that hold like texts. Two texts are compared only if the shingles from the shared one on
-    can still be enough: like texts meet at the first shingle that they share, and there all that they share is yet to come."""
+    can still be enough: like texts meet at the first shingle that they share, and there all that they share is yet to come.
+    sketches(__hash, sketch): parities of the shingles in each of some cells, as longs; no more of them differ than shingles do."""
     n, n_nodes, hubs = entries.count(), nodes.count(), HUBS
     rest = 1 + F.least(F.col("size") - F.col("place"), F.col("hub_rest"))
     enough = rest >= (F.col("size") + F.col("hub_size")) * (similarity / (1 + similarity)) - 1e-9
+    extra = []
+    if sketches is not None:
+        extra = [F.col("sketch").alias("hub_sketch")]
+        differing = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda sum, d: sum + d)
+        enough = enough & (differing * (1 + similarity) <= (F.col("size") + F.col("hub_size")) * (1 - similarity) + 1e-6)
     links: list[DataFrame] = []
     done: list[DataFrame] = []
     while True:
@@ -122,8 +128,10 @@ def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
             return links
         mixed = lookup(at, buckets, ["h"], n, "inner", hot=buckets.where(F.col("all") > hot_from(n)))
         mixed = keep(mixed, "mixed-members")
+        if sketches is not None:
+            mixed = keep(lookup(mixed, sketches, ["__hash"], mixed.count(), "inner"), "mixed-members")
         drawn = F.pmod(F.xxhash64("__hash", F.lit(7)), F.lit(1 << 30)) * F.col("outside") < F.lit(hubs << 30)
-        hub = mixed.where((F.col("component") != F.col("big")) & drawn).select("h", F.col("__hash").alias("hub"), F.col("component").alias("of"), (F.col("size") - F.col("place")).alias("hub_rest"), F.col("size").alias("hub_size"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
+        hub = mixed.where((F.col("component") != F.col("big")) & drawn).select("h", F.col("__hash").alias("hub"), F.col("component").alias("of"), (F.col("size") - F.col("place")).alias("hub_rest"), F.col("size").alias("hub_size"), *extra, F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
         met = mixed.withColumn("part", F.pmod(F.xxhash64("__hash"), F.lit(SPLIT)).cast("int")).join(hub, ["h", "part"]).where((F.col("component") != F.col("of")) & enough)
         pairs = met.select(F.least("__hash", "hub").alias("x"), F.greatest("__hash", "hub").alias("y")).distinct()
         for before in done:
