@@ -69,9 +69,9 @@ def plain(rows):
     return out
 
 
-@pytest.mark.parametrize("head", [alignment.HEAD, 8, 1])
-def test_alignment_equals_that_of_whole_texts(spark, docs, rows, none, head):
-    got = alignment.aligned(docs, A, B, head)
+@pytest.mark.parametrize("head,pairs", [(alignment.HEAD, alignment.PAIRS), (40, 50), (0, 0)])
+def test_alignment_equals_that_of_whole_texts(spark, docs, rows, none, head, pairs):
+    got = alignment.aligned(docs, A, B, head, pairs)
     assert got.columns == COLUMNS
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain([(r[0], r[1]) for r in rows]), key=repr)
     assert alignment.aligned(none, A, B).count() == 0
@@ -102,11 +102,13 @@ def test_counting_in_parts(spark, docs, rows, monkeypatch):
 
 
 def test_tokens_move_once(spark, docs, capsys):
-    texts = spark.createDataFrame([(1, 2, [(5, 1)], [(6, 1)])], f"key long, n long, a {alignment.TOKENS}, b {alignment.TOKENS}")
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    texts = spark.createDataFrame([(1, "x", 2, [[5], [6]], [[1], [1]])], "key long, stretch string, n long, ids array<array<int>>, sizes array<array<int>>")
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(setting, "false")
     try:
         alignment.groups(texts.repartition("key")).explain("formatted")
     finally:
-        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset(setting)
     plan = capsys.readouterr().out
-    assert "hashpartitioning(key" in plan and "hashpartitioning(key#" in plan and plan.count("ENSURE_REQUIREMENTS") == 0
+    assert plan.count("hashpartitioning(key") == plan.count("REPARTITION_BY_COL") > 0 == plan.count("ENSURE_REQUIREMENTS")
+    assert alignment.co_located(texts, "x").count() == 1 and spark.conf.get(setting) == "true"

@@ -2,15 +2,16 @@ r"""Alignment of two tokenizers' tokens over the same bytes, corpus-wide.
 
 Both sides' tokens cover a document's bytes. Where a token of A and one of B end together there is a cut (and a link of the two);
 cuts part the tokens into groups. The work is relational: posexplode the tokens, cumulate their lengths in a window, equi-join the sides on
-text and end, count the cuts before a token for its group's number, and group.
+text and end, count the cuts before a token for its group's number, and group. Texts are dealt out once; all of this stays where they are.
 
 What is exploded are not the documents but the corpus' different stretches. Both tokenizers always end a token before a space that follows
 a character other than white space, and none of theirs goes beyond: so a document's alignment is that of its stretches (a word
 with the white space before it, as a rule) one after the other, and a stretch is aligned once, however often it occurs. Counts of
 links weigh a stretch by its occurrences.
 
-Documents get their figures back from their stretches: those with at least 1/HEAD of all occurrences (so HEAD at most, and short ones) are
-broadcast; a text's others are joined by stretch, gathered by text, and joined with the texts.
+Documents get their figures back from their stretches: the most frequent short ones, HEAD at most, are broadcast; a text's others are joined
+by stretch, gathered by text, and joined with the texts. So are the corpus-wide counts of id pairs: the most frequent, PAIRS at most, are
+broadcast, the others joined.
 
 Nulls, empty texts and texts that B can't reproduce (those with its mark for the space, U+2581) have no tokens: zeros and ''. Texts of
 white space alone are one stretch. Repeated rows: each counts and gets its row. Null ids are ids like any other. Very long texts are taken
@@ -24,15 +25,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .packing import encoder
-from .util import hot_from, keep, lookup, row_key, small_batches
+from .util import head_of, hot_from, keep, lookup, row_key, small_batches
 
-#: A stretch is frequent if it makes up one in so many occurrences; longer ones than LONG characters never are.
-HEAD, LONG = 1 << 19, 32
+#: So many stretches at most are broadcast, of up to LONG characters; and so many id pairs.
+HEAD, LONG, PAIRS = 1 << 19, 32, 1 << 19
 #: Different stretches a task counts before it hands them on.
 COUNTED = 500_000
 #: Stands for the space in the pieces of B.
@@ -60,7 +62,7 @@ class Pieces:
 
         self.coder = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.coder.get_piece_size()
-        self.lengths = [1 if self.coder.is_byte(i) else len(self.coder.id_to_piece(i).replace(MARK, " ").encode()) for i in range(n)]
+        self.sizes = np.array([1 if self.coder.is_byte(i) else len(self.coder.id_to_piece(i).replace(MARK, " ").encode()) for i in range(n)], np.int32)
         # Else a document's tokens weren't those of its stretches.
         assert sum(map(self.coder.is_byte, range(n))) == 256 and not any(MARK in self.coder.id_to_piece(i).lstrip(MARK) for i in range(n))
 
@@ -102,59 +104,68 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
 
 
-TOKENS = "array<struct<id:int,size:int>>"
-
-
 def encoded(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The rows of found with a and b, the tokens of their stretches: arrays of (id, size in bytes)."""
-    schema = found.select("stretch", "n").schema
+    """The rows of found(stretch, n) with ids and sizes (in bytes) of their tokens, those of A and those of B."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         a, b = encoder(path_a), pieces(path_b)
-        size_a = {i: len(a.coder.decode_single_token_bytes(i)) for i in a.coder._mergeable_ranks.values()}
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
+        size_a = np.zeros(a.size, np.int32)
+        for token, i in a.coder._mergeable_ranks.items():
+            size_a[i] = len(token)
         for batch in batches:
-            texts = batch.column("stretch").to_pylist()
-            sides = [[{"id": i, "size": size_a[i]} for i in a.ordinary(t)] for t in texts], [[{"id": i, "size": b.lengths[i]} for i in b.ids(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), *(pa.array(s, kind) for s in sides)], ["stretch", "n", "a", "b"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return found.select("stretch", "n").mapInArrow(run, f"{fields}, a {TOKENS}, b {TOKENS}")
-
-
-def ends(texts: DataFrame, side: str) -> DataFrame:
-    """key, n, pos, id and end (in bytes) of a side's tokens."""
-    each = texts.select("key", "n", F.posexplode(side).alias("pos", "t")).select("key", "n", "pos", "t.id", "t.size")
+            flat, counts = [], []
+            for t in batch.column("stretch").to_pylist():
+                for ids in (a.ordinary(t), b.ids(t)):
+                    flat += ids
+                    counts.append(len(ids))
+            flat, counts = np.array(flat, np.int32), np.array(counts, np.int64)
+            of_b = np.repeat(np.arange(len(counts)) % 2 == 1, counts)
+            sizes = np.zeros(len(flat), np.int32)
+            sizes[~of_b], sizes[of_b] = size_a[flat[~of_b]], b.sizes[flat[of_b]]
+            inner = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            outer = pa.array(np.arange(0, len(counts) + 1, 2, dtype=np.int32))
+            nested = [pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(x))) for x in (flat, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), *nested], ["stretch", "n", "ids", "sizes"])
+
+    return found.select("stretch", "n").mapInArrow(run, "stretch string, n bigint, ids array<array<int>>, sizes array<array<int>>")
+
+
+def ends(texts: DataFrame, side: int) -> DataFrame:
+    """key, pos, id and end (in bytes) of a side's tokens; at the first one also stretch and n."""
+    tokens = F.arrays_zip(F.col("ids")[side].alias("id"), F.col("sizes")[side].alias("size"))
+    each = texts.select("key", "stretch", "n", F.posexplode(tokens).alias("pos", "t"))
+    first = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("stretch", "n")]
     before = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("key", "n", "pos", "id", F.sum("size").over(before).alias("end"))
+    return each.select("key", "pos", *first, F.col("t.id").alias("id"), F.col("t.size").alias("size")).withColumn("end", F.sum("size").over(before))
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """key, n, end, a, b: the tokens of both sides that end together in texts(key, n, a, b)."""
-    a, b = ends(texts, "a"), ends(texts, "b").select("key", "end", F.col("id").alias("b"))
-    return a.join(b, ["key", "end"]).select("key", "n", "end", F.col("id").alias("a"), "b")
+def numbered(texts: DataFrame, side: int) -> DataFrame:
+    """A side's ends() with other (the other side's token that ends there; null: no cut) and group, the number of cuts before."""
+    other = ends(texts, 1 - side).select("key", "end", F.col("id").alias("other"))
+    so_far = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return ends(texts, side).join(other, ["key", "end"], "left").withColumn("group", F.coalesce(F.count("other").over(so_far), F.lit(0)))
 
 
 def groups(texts: DataFrame) -> DataFrame:
-    """key, n_a, n_b, n_groups and groups ('a1,a2|b1;a3|b2'): the tokens between cuts, in order."""
-    cuts = links(texts).select("key", "end").distinct().withColumn("cut", F.lit(1))
-    so_far = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    sides = []
-    for side in ("a", "b"):
-        told = ends(texts, side).join(cuts, ["key", "end"], "left")
-        numbered = told.select("key", "pos", "id", F.coalesce(F.sum("cut").over(so_far), F.lit(0)).alias("group"))
-        members = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"].cast("string"))
-        sides.append(numbered.groupBy("key", "group").agg(F.array_join(members, ",").alias(side), F.count(F.lit(1)).alias(f"n_{side}")))
-    both = sides[0].join(sides[1], ["key", "group"])  # both sides end at a text's end, so each group has tokens of both
-    said = F.transform(F.sort_array(F.collect_list(F.struct("group", F.concat_ws("|", "a", "b").alias("s")))), lambda g: g["s"])
-    return both.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.array_join(said, ";").alias("groups"))
-
-
-def co_located(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """stretch, n, n_a, n_b, n_groups, groups ('a1,a2|b1;a3|b2': the tokens between cuts, in order) and links (the pairs that end together)
+    of texts(key, stretch, n, ids, sizes)."""
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string")), ",")
+    linked = F.when(F.col("other").isNotNull(), F.struct(F.col("id").alias("a"), F.col("other").alias("b")))
+    a = numbered(texts, 0).groupBy("key", "group").agg(said.alias("a"), F.count(F.lit(1)).alias("n_a"), F.collect_list(linked).alias("links"), F.max("stretch").alias("stretch"), F.max("n").alias("n"))
+    b = numbered(texts, 1).groupBy("key", "group").agg(said.alias("b"), F.count(F.lit(1)).alias("n_b"))
+    both = a.join(b, ["key", "group"])  # both sides end at a text's end, so each group has tokens of both
+    parts = F.sort_array(F.collect_list(F.struct("group", F.concat_ws("|", "a", "b").alias("said"))))
+    return both.groupBy("key").agg(
+        F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"),
+        F.array_join(F.transform(parts, lambda g: g["said"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
+    ).drop("key")
+
+
+def co_located(df: DataFrame, name: str) -> DataFrame:
     """df stored; joins on more columns than the rows are dealt by stay where the rows are."""
-    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark, setting = df.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "false")
     try:
@@ -163,75 +174,124 @@ def co_located(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(setting, before)
 
 
-FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+def _code(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32) + b
 
 
-def figures(texts: DataFrame) -> DataFrame:
-    """key and FIGURES of the stored texts(key, n, a, b), whose links weigh n; a key's rows are dealt to one task once and stay there."""
-    spark = texts.sparkSession
-    dealt = texts.repartition("key")
-    linked = co_located(spark, links(dealt), "links")
-    grouped = co_located(spark, groups(dealt), "groups")
-    count = keep(linked.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("rows")), "counts")
-    most = keep(count.groupBy("b").agg(F.max("count").alias("most")), "highest")
-    n_pairs, n = count.count(), linked.count()
-    count = keep(lookup(count, most, ["b"], n_pairs).select("a", "b", "rows", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "counts-and-highest")
-    scored = lookup(linked.select("key", "a", "b"), count.drop("rows"), ["a", "b"], n, hot=count.where(F.col("rows") > hot_from(n)))
-    sums = scored.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return keep(grouped.join(sums, "key").select("key", *FIGURES), "figures")
+def counts(aligned: DataFrame) -> DataFrame:
+    """code (of the pair), rows, count (links corpus-wide) and best (1 if no pair with this id of B has more). Stored."""
+    each = aligned.select("n", F.explode("links").alias("l")).groupBy("l.a", "l.b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("rows"))
+    each = keep(each, "counts")
+    most = keep(each.groupBy("b").agg(F.max("count").alias("most")), "highest")
+    told = lookup(each, most, ["b"], each.count())
+    return keep(told.select(_code(F.col("a"), F.col("b")).alias("code"), "rows", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "counts-and-highest")
 
 
-class Told:
-    """Figures by stretch, from rows of the stretch and FIGURES."""
+FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
-    def __init__(self, rows: list[tuple]):
-        self.of = {r[0]: r[1:] for r in rows}
 
+def scored(aligned: DataFrame, pairs: int) -> DataFrame:
+    """stretch, n and FIGURES of the stored groups()."""
+    spark = aligned.sparkSession
+    count = counts(aligned)
+    frequent = head_of(count, "rows", pairs)
+    often = count.where(frequent).select("code", "count", "best").toArrow()
+    order = np.argsort(often["code"].to_numpy())
+    known = spark.sparkContext.broadcast(tuple(often[c].to_numpy()[order] for c in ("code", "count", "best")))
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        code, count, best = known.value
+        for b in batches:
+            lists = b.column("codes")
+            at = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()[at[0] : at[-1]]
+            at -= at[0]
+            place = np.minimum(np.searchsorted(code, flat), max(len(code) - 1, 0))
+            hit = code[place] == flat if len(code) else np.zeros(len(flat), bool)
+            sums = [np.concatenate(([0], np.cumsum(np.where(hit, x[place], 0) if len(code) else hit.astype(np.int64)))) for x in (best, count)]
+            n_rare = np.concatenate(([0], np.cumsum(~hit)))
+            rare = pa.ListArray.from_arrays(pa.array(n_rare[at].astype(np.int32)), pa.array(flat[~hit]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), *(pa.array(x[at[1:]] - x[at[:-1]]) for x in (np.arange(len(flat) + 1), *sums)), rare], [*b.schema.names[:7], "n_links", "n_best", "count_sum", "rare"])
+
+    own = aligned.select(F.monotonically_increasing_id().alias("key"), "stretch", "n", "n_a", "n_b", "n_groups", "groups", F.transform("links", lambda p: _code(p["a"], p["b"])).alias("codes"))
+    schema = "key bigint, stretch string, n bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, n_links bigint, n_best bigint, count_sum bigint, rare array<bigint>"
+    told = keep(own.mapInArrow(run, schema), "figures")
+    if count.where(~frequent).take(1):
+        left = keep(told.select("key", F.explode("rare").alias("code")), "rare-links")
+        met = lookup(left, count.where(~frequent).select("code", "best", "count"), ["code"], left.count(), "inner")
+        more = met.groupBy("key").agg(F.sum("best").alias("more_best"), F.sum("count").alias("more_sum"))
+        told = told.join(more.hint("shuffle_hash"), "key", "left")
+        told = told.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0)))
+        told = keep(told.select("stretch", "n", *FIGURES), "all-figures")
+    return told.select("stretch", "n", *FIGURES)
+
+
+class Told:
+    """Figures by stretch, from columns of stretches, FIGURES without groups, and groups."""
+
+    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str]):
+        self.place = {s: i for i, s in enumerate(stretches)}
+        self.numbers = np.stack(numbers, axis=1) if numbers[0].size else np.zeros((0, 6), np.int64)
+        self.groups = [g.encode() for g in groups]
+
+    def of(self, text: str | None, more: list[str] | None) -> tuple[np.ndarray, str]:
+        """The sums and the groups' hash of a text; more: its rare stretches, each after its figures."""
+        each = stretches(text or "")
+        if not each:
+            return np.zeros(6, np.int64), ""
+        own, get = {}, self.place.get
+        for m in more or ():
+            *numbers, groups, stretch = m.split(" ", 7)
+            own[stretch] = np.array(numbers, np.int64), groups.encode()
+        places = [get(s, -1) for s in each]
+        known = np.array(places)
+        sums = self.numbers[known[known >= 0]].sum(axis=0)
+        parts = [self.groups[p] if p >= 0 else b"" for p in places]
+        for i in np.flatnonzero(known < 0).tolist():
+            numbers, parts[i] = own[each[i]]
+            sums = sums + numbers
+        return sums, hashlib.sha256(b";".join(parts)).hexdigest()
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs: int = PAIRS) -> DataFrame:
     """doc_id, FIGURES without groups, and groups_sha256 of every row."""
     spark = docs.sparkSession
     found = keep(counted(docs), "stretches")
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     coded = keep(encoded(found, path_a, path_b).withColumn("key", F.monotonically_increasing_id()), "tokens")
-    told = coded.select("key", "stretch", "n").join(figures(coded), "key")
-    told = keep(told.withColumn("frequent", (F.col("n") > total // head) & (F.length("stretch") <= LONG)).drop("key"), "stretches-aligned")
-    often = told.where("frequent").select("stretch", *FIGURES).toArrow()
-    known = spark.sparkContext.broadcast(Told(list(zip(*(c.to_pylist() for c in often.columns), strict=True))))
+    told = scored(co_located(groups(coded.repartition("key")), "stretches-aligned"), pairs)
+    short = F.length("stretch") <= LONG
+    frequent = head_of(told.where(short), "n", head) & short
+    often = told.where(frequent).select("stretch", *FIGURES).toArrow()
+    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs)[1], F.col("text").cast("string").alias("text"))
 
     def seldom(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        of = known.value.of
+        of = known.value.place
         for b in batches:
             each = [list(set(stretches(t)).difference(of)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__hash"), pa.array(each, pa.list_(pa.string()))], ["__hash", "rare"])
 
     rare = keep(texts.select("__hash", "text").mapInArrow(seldom, "__hash bigint, rare array<string>"), "rare-stretches")
-    n_rows = rare.count()
+    n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
-    copies = keep(copies, "texts-with-rare-stretches")
-    asked = keep(copies.select("__hash", F.explode("rare").alias("stretch")), "asked")
-    met = lookup(asked, told.where("NOT frequent").select("stretch", F.struct("stretch", *FIGURES).alias("figures")), ["stretch"], asked.count(), "inner")
+    asked = copies.select("__hash", F.explode("rare").alias("stretch"))
+    rest = told.where(~frequent).select("stretch", F.concat_ws(" ", *FIGURES, "stretch").alias("figures"))
+    met = lookup(asked, rest, ["stretch"], n_rare, "inner", hot=told.where(~frequent & (F.col("n") > hot_from(n_rare))))
     more = met.groupBy("__hash").agg(F.collect_list("figures").alias("more"))
-    hot = copies.where(F.col("n") > hot_from(n_rows))
-    joined = lookup(texts, more, ["__hash"], n_rows, hot=hot)
+    joined = lookup(texts, more, ["__hash"], n_rows, hot=rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n_rows)))
 
     def told_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        of = known.value.of
         for batch in batches:
-            rows = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                own = {m["stretch"]: tuple(m[f] for f in FIGURES) for m in more or ()}
-                each = [of.get(s) or own[s] for s in stretches(text)]
-                sums = [sum(x) for x in list(zip(*each, strict=True))[:-1]] if each else [0] * 6
-                rows.append((*sums, hashlib.sha256(";".join([x[-1] for x in each]).encode()).hexdigest() if each else ""))
-            columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:-1]] if rows else [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([r[-1] for r in rows], pa.string())], ["doc_id", *FIGURES[:-1], "groups_sha256"])
+            rows = [known.value.of(*x) for x in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)]
+            sums = np.array([r[0] for r in rows], np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sums[:, i].copy()) for i in range(6)), pa.array([r[1] for r in rows], pa.string())], ["doc_id", *FIGURES[:-1], "groups_sha256"])
 
     kinds = ", ".join(f"{f} bigint" for f in FIGURES[:-1])
     return joined.select("doc_id", "text", "more").mapInArrow(told_of, f"doc_id bigint, {kinds}, groups_sha256 string")

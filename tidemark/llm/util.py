@@ -99,6 +99,18 @@ def keep_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return keyed.join(bad.select("__id", "__hash").hint("shuffle_hash"), ["__id", "__hash"], "left_anti").select("kept.*")
 
 
+def head_of(rows: DataFrame, column: str, most: int) -> Column:
+    """A condition that holds for the rows with the largest positive numbers in the column, `most` rows at most. Rows are counted by
+    eighths of powers of two, so a few hundred counts come to the driver; of rows in one such step all or none are taken."""
+    step = F.floor(F.log2(F.col(column)) * 8)
+    least, so_far = 1 << 10, 0
+    for r in sorted(rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if (so_far := so_far + r["n"]) > most:
+            break
+        least = r["step"]
+    return step >= least
+
+
 def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """rows with their rank (1, 2, 3...) in an order, which should end in a column that tells rows apart. Ranges of the order are sorted
     in tasks of their own; one number per range comes to the driver."""
