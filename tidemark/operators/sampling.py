@@ -32,6 +32,13 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "__i") -> DataFram
     return tagged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
+def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with its place from 1 among the rows of the same keys, in a total order; a key's rows may lie in many tasks."""
+    placed = numbered(df, [*keys, *order], "__place")
+    first = placed.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    return placed.join(first, list(keys)).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+
+
 def even_sample(df: DataFrame, order: Sequence[str], size: int = 100, head_until: int = 1000) -> DataFrame:
     """All of up to `size` rows, the first `size` of up to head_until, else `size` evenly spaced ones from first to last."""
     n = df.count()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
 from tidemark.operators.merge import TIME_NAMES, TIME_WORDS
-from tidemark.operators import evidence, pairs, referees, relations, vectors
+from tidemark.operators import evidence, pairs, referees, relations, sampling, vectors
 from tidemark.plans.registry import query, rounded, table
+from tidemark.session import stored
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 _R = "CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) ELSE 0 END"
@@ -117,9 +119,7 @@ def normality_k2(spark, d):
 
 def _lines(spark, d):
     """A pair per event kind: the value against its hour, in the order of events."""
-    e = table(spark, d, "events")
-    idx = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return e.select(F.col("event_type").alias("pair"), idx.alias("idx"), F.col("value").alias("y"), (F.hour("ts") + F.col("user_id") % 7).cast("double").alias("x"))
+    return _with_confounders(spark, d).select("pair", "idx", "y", "x")
 
 
 _LINES = "l AS (SELECT event_type AS pair, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS idx, value AS y, (hour(ts) + user_id % 7)::DOUBLE AS x FROM events)"
@@ -143,24 +143,39 @@ def referee_chow(spark, d):
 
 @query(f"""WITH {_LINES}, s AS (SELECT pair, x, y, {_SUMS} FROM l WINDOW w AS (PARTITION BY pair ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY pair)),
 m AS (SELECT pair, x, y, tn - 1 AS n, tsx - x AS sx, tsy - y AS sy, tsxx - x * x AS sxx, tsxy - x * y AS sxy, (tn * tsxy - tsx * tsy) / (tn * tsxx - tsx * tsx) AS full_slope FROM s), f AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM m)
-SELECT pair, count(*) AS n, round(any_value(full_slope), 6) AS slope, round(avg((y - (sy / n + b * (x - sx / n))) ** 2), 4) AS mse, round(1 / (1 + abs(stddev_pop(b) / avg(b))), 5) AS statistic FROM f GROUP BY pair""")
+SELECT pair, count(*) AS n, round(any_value(full_slope), 6) AS slope, round(avg((y - (sy / n + b * (x - sx / n))) ** 2), 4) AS mse, round(1 / (1 + abs(stddev_pop(b) / avg(b))), 5) AS statistic, 1 / (1 + abs(stddev_pop(b) / avg(b))) > 0.8 AS beyond FROM f GROUP BY pair""")
 def referee_leave_one_out(spark, d):
-    out = referees.leave_one_out(_lines(spark, d)).select("pair", "n", "slope", "mse", "statistic")
+    out = referees.leave_one_out(_lines(spark, d)).select("pair", "n", "slope", "mse", "statistic", (F.col("statistic") > 0.8).alias("beyond"))
     return rounded(rounded(rounded(out, "slope"), "mse", digits=4), "statistic", digits=5)
 
 
-@query("""SELECT event_type AS pair, count(*) AS n, round(corr(value, hour(ts)), 6) AS r, round((corr(value, hour(ts)) - corr(value, user_id) * corr(hour(ts), user_id)) / sqrt((1 - corr(value, user_id) ** 2) * (1 - corr(hour(ts), user_id) ** 2)), 6) AS statistic FROM events GROUP BY 1""")
+def _residuals(y, of, name):
+    """SQL: what is left of y when the line through two others, whose sums stand in the row, is taken away."""
+    return f"({y} - {of}b0 - {of}b1 * z1 - {of}b2 * z2) AS {name}"
+
+
+_PLANE = ", ".join(
+    f"(covar_pop({v}, z1) * var_pop(z2) - covar_pop({v}, z2) * covar_pop(z1, z2)) / (var_pop(z1) * var_pop(z2) - covar_pop(z1, z2) ** 2) AS {v}b1, (covar_pop({v}, z2) * var_pop(z1) - covar_pop({v}, z1) * covar_pop(z1, z2)) / (var_pop(z1) * var_pop(z2) - covar_pop(z1, z2) ** 2) AS {v}b2"
+    for v in "xy"
+)
+
+
+#: Two controls: residuals of both columns about their planes. The interval is Fisher's, whose verdict the bootstrap's must share.
+@query(f"""WITH e AS (SELECT event_type AS pair, (hour(ts) + user_id % 7)::DOUBLE AS x, value AS y, hour(ts)::DOUBLE AS z1, (user_id % 3)::DOUBLE AS z2 FROM events), f AS (SELECT pair, avg(x) AS mx, avg(y) AS my, avg(z1) AS m1, avg(z2) AS m2, {_PLANE} FROM e GROUP BY 1),
+s AS (SELECT pair, x, y, {_residuals("x", "x", "u").replace("xb0", "(mx - xb1 * m1 - xb2 * m2)")}, {_residuals("y", "y", "v").replace("yb0", "(my - yb1 * m1 - yb2 * m2)")} FROM e JOIN f USING (pair))
+SELECT pair, count(*) AS n, round(corr(x, y), 6) AS r, round(corr(u, v), 6) AS statistic, tanh(atanh(corr(u, v)) - 1.96 / sqrt(count(*) - 5)) > -0.3 AND tanh(atanh(corr(u, v)) + 1.96 / sqrt(count(*) - 5)) < 0.3 AS passed FROM s GROUP BY 1""")
 def referee_partial(spark, d):
-    t = table(spark, d, "events").select(F.col("event_type").alias("pair"), F.hour("ts").alias("x"), F.col("value").alias("y"), F.col("user_id").alias("z"))
-    return rounded(referees.partial(t, p_value=False).select("pair", "n", "r", "statistic"))
+    t = table(spark, d, "events").select(F.col("event_type").alias("pair"), F.col("event_id").alias("idx"), (F.hour("ts") + F.col("user_id") % 7).alias("x"), F.col("value").alias("y"), F.hour("ts").alias("z1"), (F.col("user_id") % 3).alias("z2"))
+    return rounded(referees.partial(t, ("z1", "z2")).select("pair", "n", "r", "statistic", "passed"))
 
 
 @query(f"""WITH {_LINES}, b AS (SELECT *, count(*) OVER (PARTITION BY pair) AS n FROM l), f AS (SELECT pair, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2)) AS s FROM b WHERE idx <= floor(n / 3) GROUP BY 1),
 z AS (SELECT pair, idx, n, (y - (f.a + f.b * x)) / s AS z FROM b JOIN f USING (pair)), u AS (SELECT *, sum(z - 0.5) OVER w AS up, sum(z + 0.5) OVER w AS down FROM z WINDOW w AS (PARTITION BY pair ORDER BY idx ROWS UNBOUNDED PRECEDING)),
 e AS (SELECT *, up - least(0, min(up) OVER w) AS upper, down - greatest(0, max(down) OVER w) AS lower FROM u WINDOW w AS (PARTITION BY pair ORDER BY idx ROWS UNBOUNDED PRECEDING))
-SELECT pair, n, round(upper, 4) AS upper, round(lower, 4) AS lower FROM e WHERE idx = n""")
+SELECT pair, n, round(upper, 4) AS upper, round(lower, 4) AS lower, greatest(upper, -lower) <= 5 AS below FROM e WHERE idx = n""")
 def referee_cusum(spark, d):
-    return rounded(referees.cusum(_lines(spark, d)).select("pair", "n", "upper", "lower"), digits=4)
+    out = referees.cusum(_lines(spark, d)).select("pair", "n", "upper", "lower", (F.col("statistic") <= 5).alias("below"))
+    return rounded(out, digits=4)
 
 
 @query(f"""WITH {_LINES}, q AS (SELECT pair, x, y, ntile(4) OVER (PARTITION BY pair ORDER BY x, idx) AS q FROM l),
@@ -168,7 +183,7 @@ r AS (SELECT pair, q, rank() OVER (PARTITION BY pair, q ORDER BY x) + (count(*)
 c AS (SELECT pair, q, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN abs(corr(a, b)) ELSE 0 END AS rho FROM r GROUP BY 1, 2 HAVING count(*) >= 10)
 SELECT pair, count(*) AS bins, round(avg(rho), 6) AS statistic, avg(rho) > 0.9 AS passed FROM c GROUP BY 1""")
 def referee_monotonic(spark, d):
-    return rounded(referees.monotonic(_lines(spark, d)))
+    return rounded(referees.monotonic(_lines(spark, d)).drop("p"))
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT pair, {_SUMS} FROM l WINDOW w AS (PARTITION BY pair ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY pair)),
@@ -176,14 +191,22 @@ r AS (SELECT pair, cn, CASE WHEN csxx - csx * csx / cn > 1e-12 AND csyy - csy *
 e AS (SELECT pair, r, r - 2 * lag(r) OVER o + lag(r, 2) OVER o AS d FROM r WINDOW o AS (PARTITION BY pair ORDER BY cn))
 SELECT pair, count(d) AS points, round(coalesce(stddev_pop(d) / stddev_pop(r), 0), 5) AS statistic, coalesce(stddev_pop(d) / stddev_pop(r), 0) < 0.3 AS passed FROM e GROUP BY 1""")
 def referee_alpha_decay(spark, d):
-    return rounded(referees.alpha_decay(_lines(spark, d)), "statistic", digits=5)
+    return rounded(referees.alpha_decay(_lines(spark, d)).drop("p"), "statistic", digits=5)
+
+
+@query()
+def referee_gates(spark, d):
+    """statistic, p and verdict of the tests whose certainty is a seeded bootstrap's: no SQL form."""
+    rows = stored(_lines(spark, d))
+    told = [referees.CLOSED[t](rows).select("pair", F.lit(t).alias("referee"), "statistic", "p", "passed") for t in ("cusum", "leave_one_out", "monotonic", "alpha_decay")]
+    return reduce(DataFrame.union, told)
 
 
 def _with_confounders(spark, d):
     """_lines() with what may stand behind x and y: the hour and the user's number."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("__id"), F.hour("ts").cast("double").alias("z_hour"), (F.col("user_id") % 7).cast("double").alias("z_user"), F.col("event_type").alias("pair"))
-    idx = F.row_number().over(Window.partitionBy("pair").orderBy("__id"))
-    return _lines(spark, d).join(e.select("pair", idx.alias("idx"), "z_hour", "z_user"), ["pair", "idx"])
+    hour, user = F.hour("ts").cast("double"), (F.col("user_id") % 7).cast("double")
+    e = table(spark, d, "events").select(F.col("event_type").alias("pair"), "event_id", F.col("value").alias("y"), (hour + user).alias("x"), hour.alias("z_hour"), user.alias("z_user"))
+    return sampling.numbered_within(e, ["pair"], ["event_id"], "idx").drop("event_id")
 
 
 def _vector(name):
