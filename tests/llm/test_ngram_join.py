@@ -70,7 +70,7 @@ def test_components_equal_those_of_all_pairs(spark, upgrade):
         assert sorted(map(tuple, got.collect()), key=repr) == plain(rows)
 
 
-@pytest.mark.parametrize("percent,upgrade", [(90, 0), (90, 64), (70, 0), (70, 2)])
+@pytest.mark.parametrize("percent,upgrade", [(90, 0), (90, 1 << 14), (70, 0), (70, 2)])
 def test_all_partners_meet_in_a_bucket(spark, percent, upgrade):
     rows = copies(7, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

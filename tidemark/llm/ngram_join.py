@@ -38,8 +38,9 @@ from .util import bitmap_of, hot_from, in_bitmap, keep, lookup, mixed, row_key,
 
 WORDS = 3
 PERCENT = 90
-#: A shared subset with more holders than this costs more than the one-deletion neighbourhood of an unshared one.
-UPGRADE = 64
+#: What a neighbourhood costs, in candidates. Candidates of one subset are compared with a hub, each once, while neighbourhoods take a further pass
+#: over all documents; so they are for subsets that very many sets hold.
+UPGRADE = 1 << 14
 #: Bits of the bitmaps that thin out keys before a join; their size is fixed.
 BITS = 26
 #: Longs of a set's sketch.
