@@ -2,7 +2,8 @@ r"""Alignment of two tokenizers' tokens over the same bytes, corpus-wide.
 
 Both sides' tokens cover a document's bytes. Where a token of A and one of B end together there is a cut (and a link of the two);
 cuts part the tokens into groups. The work is relational: posexplode the tokens, cumulate their lengths in a window, equi-join the sides on
-text and end, count the cuts before a token for its group's number, and group. Texts are dealt out once; all of this stays where they are.
+text and end, count the cuts before a token for its group's number, and group. Texts are dealt out once; all of this stays where they are
+(the full outer equi-join is written as a grouping of both sides' rows by text and end, as Spark forgets how such a join's rows are dealt).
 
 What is exploded are not the documents but the corpus' different stretches. Both tokenizers always end a token before a space that follows
 a character other than white space, and none of theirs goes beyond: so a document's alignment is that of its stretches (a word
@@ -66,9 +67,10 @@ class Pieces:
         # Else a document's tokens weren't those of its stretches.
         assert sum(map(self.coder.is_byte, range(n))) == 256 and not any(MARK in self.coder.id_to_piece(i).lstrip(MARK) for i in range(n))
 
-    def ids(self, stretch: str) -> list[int]:
-        """The ids of a stretch, whose first space the model adds."""
-        return self.coder.encode(stretch[1:]) if len(stretch) > 1 else [self.coder.piece_to_id(MARK)]
+    def ids(self, stretches: list[str]) -> list[list[int]]:
+        """The ids of stretches, whose first space the model adds."""
+        space = [self.coder.piece_to_id(MARK)]
+        return [ids if len(s) > 1 else space for s, ids in zip(stretches, self.coder.encode([s[1:] for s in stretches], num_threads=1), strict=True)]
 
 
 _pieces: dict[str, Pieces] = {}
@@ -104,8 +106,12 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
 
 
+#: A token is its id and, in the lowest bits, its size in bytes.
+SIZE_BITS = 10
+
+
 def encoded(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The rows of found(stretch, n) with ids and sizes (in bytes) of their tokens, those of A and those of B."""
+    """The rows of found(stretch, n) with their tokens, those of A (n_a of them) and then those of B."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -114,64 +120,52 @@ def encoded(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
         size_a = np.zeros(a.size, np.int32)
         for token, i in a.coder._mergeable_ranks.items():
             size_a[i] = len(token)
+        assert max(size_a.max(), b.sizes.max()) < 1 << SIZE_BITS
         for batch in batches:
+            texts = batch.column("stretch").to_pylist()
             flat, counts = [], []
-            for t in batch.column("stretch").to_pylist():
-                for ids in (a.ordinary(t), b.ids(t)):
-                    flat += ids
-                    counts.append(len(ids))
+            for own_a, own_b in zip(map(a.ordinary, texts), b.ids(texts), strict=True):
+                flat += own_a
+                flat += own_b
+                counts += (len(own_a), len(own_b))
             flat, counts = np.array(flat, np.int32), np.array(counts, np.int64)
             of_b = np.repeat(np.arange(len(counts)) % 2 == 1, counts)
-            sizes = np.zeros(len(flat), np.int32)
-            sizes[~of_b], sizes[of_b] = size_a[flat[~of_b]], b.sizes[flat[of_b]]
-            inner = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-            outer = pa.array(np.arange(0, len(counts) + 1, 2, dtype=np.int32))
-            nested = [pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(x))) for x in (flat, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), *nested], ["stretch", "n", "ids", "sizes"])
+            flat[~of_b] = flat[~of_b] << SIZE_BITS | size_a[flat[~of_b]]
+            flat[of_b] = flat[of_b] << SIZE_BITS | b.sizes[flat[of_b]]
+            at = pa.array(np.concatenate(([0], np.cumsum(counts)[1::2])).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), pa.array(counts[::2].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(flat))], ["stretch", "n", "n_a", "tokens"])
 
-    return found.select("stretch", "n").mapInArrow(run, "stretch string, n bigint, ids array<array<int>>, sizes array<array<int>>")
+    return found.select("stretch", "n").mapInArrow(run, "stretch string, n bigint, n_a int, tokens array<int>")
 
 
-def ends(texts: DataFrame, side: int) -> DataFrame:
-    """key, pos, id and end (in bytes) of a side's tokens; at the first one also stretch and n."""
-    tokens = F.arrays_zip(F.col("ids")[side].alias("id"), F.col("sizes")[side].alias("size"))
-    each = texts.select("key", "stretch", "n", F.posexplode(tokens).alias("pos", "t"))
-    first = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in ("stretch", "n")]
-    before = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("key", "pos", *first, F.col("t.id").alias("id"), F.col("t.size").alias("size")).withColumn("end", F.sum("size").over(before))
+def ends(texts: DataFrame) -> DataFrame:
+    """key, side (0: A, 1: B), id and end (in bytes) of all tokens of texts(key, n_a, tokens)."""
+    each = texts.select("key", "n_a", F.posexplode("tokens").alias("pos", "t")).select("key", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "t")
+    before = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("key", "side", F.shiftright("t", SIZE_BITS).alias("id"), F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(before).alias("end"))
 
 
-def numbered(texts: DataFrame, side: int) -> DataFrame:
-    """A side's ends() with other (the other side's token that ends there; null: no cut) and group, the number of cuts before."""
-    other = ends(texts, 1 - side).select("key", "end", F.col("id").alias("other"))
+def numbered(texts: DataFrame) -> DataFrame:
+    """key, end, a, b (the tokens that end there, one of them null if it isn't a cut) and group, the number of cuts before."""
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))  # noqa: E731  no token is empty, so a side has one there
+    met = ends(texts).groupBy("key", "end").agg(of(0).alias("a"), of(1).alias("b"))
     so_far = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return ends(texts, side).join(other, ["key", "end"], "left").withColumn("group", F.coalesce(F.count("other").over(so_far), F.lit(0)))
+    return met.withColumn("group", F.coalesce(F.sum(F.expr("if(a IS NOT NULL AND b IS NOT NULL, 1, 0)")).over(so_far), F.lit(0)))
 
 
 def groups(texts: DataFrame) -> DataFrame:
     """stretch, n, n_a, n_b, n_groups, groups ('a1,a2|b1;a3|b2': the tokens between cuts, in order) and links (the pairs that end together)
-    of texts(key, stretch, n, ids, sizes)."""
-    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda t: t["id"].cast("string")), ",")
-    linked = F.when(F.col("other").isNotNull(), F.struct(F.col("id").alias("a"), F.col("other").alias("b")))
-    a = numbered(texts, 0).groupBy("key", "group").agg(said.alias("a"), F.count(F.lit(1)).alias("n_a"), F.collect_list(linked).alias("links"), F.max("stretch").alias("stretch"), F.max("n").alias("n"))
-    b = numbered(texts, 1).groupBy("key", "group").agg(said.alias("b"), F.count(F.lit(1)).alias("n_b"))
-    both = a.join(b, ["key", "group"])  # both sides end at a text's end, so each group has tokens of both
-    parts = F.sort_array(F.collect_list(F.struct("group", F.concat_ws("|", "a", "b").alias("said"))))
-    return both.groupBy("key").agg(
-        F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"),
-        F.array_join(F.transform(parts, lambda g: g["said"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
-    ).drop("key")
-
-
-def co_located(df: DataFrame, name: str) -> DataFrame:
-    """df stored; joins on more columns than the rows are dealt by stay where the rows are."""
-    spark, setting = df.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        return keep(df, name)
-    finally:
-        spark.conf.set(setting, before)
+    of texts(key, stretch, n, n_a, tokens)."""
+    token = lambda side, c: F.when(F.col(c).isNotNull(), F.struct("group", F.lit(side).alias("side"), "end", F.col(c).alias("id")))
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    each = numbered(texts).groupBy("key").agg(
+        F.count("b").alias("n_b"), F.count_if(cut).alias("n_groups"), F.collect_list(token(0, "a")).alias("of_a"), F.collect_list(token(1, "b")).alias("of_b"), F.collect_list(F.when(cut, F.struct("a", "b"))).alias("links")
+    )
+    each = each.withColumn("told", F.sort_array(F.concat("of_a", "of_b")))
+    before = lambda t, last: F.when(last.isNull(), "").when(last["group"] != t["group"], ";").when(last["side"] != t["side"], "|").otherwise(",")
+    said = F.array_join(F.transform("told", lambda t, i: F.concat(before(t, F.get("told", i - 1)), t["id"].cast("string"))), "")
+    each = each.select("key", "n_b", "n_groups", said.alias("groups"), "links")
+    return texts.select("key", "stretch", "n", F.col("n_a").cast("long").alias("n_a")).join(each, "key").select("stretch", "n", "n_a", "n_b", "n_groups", "groups", "links")
 
 
 def _code(a: Column, b: Column) -> Column:
@@ -260,7 +254,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     spark = docs.sparkSession
     found = keep(counted(docs), "stretches")
     coded = keep(encoded(found, path_a, path_b).withColumn("key", F.monotonically_increasing_id()), "tokens")
-    told = scored(co_located(groups(coded.repartition("key")), "stretches-aligned"), pairs)
+    told = scored(keep(groups(coded.repartition("key")), "stretches-aligned"), pairs)
     short = F.length("stretch") <= LONG
     frequent = head_of(told.where(short), "n", head) & short
     often = told.where(frequent).select("stretch", *FIGURES).toArrow()

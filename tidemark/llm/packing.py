@@ -62,6 +62,8 @@ class Encoder(dict):
 
     def ordinary(self, text: str) -> list[int]:
         """The ids of a text whose special tokens' strings are plain text."""
+        if len(text) < 1000:
+            return self.coder.encode_ordinary(text)
         out, at = [], 0
         for run in LONG_BLANK.finditer(text):
             end = run.end() - (run.end() < len(text))  # the last one goes with the word that follows
