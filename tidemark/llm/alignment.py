@@ -184,42 +184,47 @@ def counts(aligned: DataFrame) -> DataFrame:
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
 
-def scored(aligned: DataFrame, pairs: int) -> DataFrame:
-    """stretch, n and FIGURES of the stored groups()."""
-    spark = aligned.sparkSession
-    count = counts(aligned)
-    frequent = head_of(count, "rows", pairs)
-    often = count.where(frequent).select("code", "count", "best").toArrow()
-    order = np.argsort(often["code"].to_numpy())
-    known = spark.sparkContext.broadcast(tuple(often[c].to_numpy()[order] for c in ("code", "count", "best")))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        code, count, best = known.value
-        for b in batches:
-            lists = b.column("codes")
-            at = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy()[at[0] : at[-1]]
-            at -= at[0]
-            place = np.minimum(np.searchsorted(code, flat), max(len(code) - 1, 0))
-            hit = code[place] == flat if len(code) else np.zeros(len(flat), bool)
-            sums = [np.concatenate(([0], np.cumsum(np.where(hit, x[place], 0) if len(code) else hit.astype(np.int64)))) for x in (best, count)]
-            n_rare = np.concatenate(([0], np.cumsum(~hit)))
-            rare = pa.ListArray.from_arrays(pa.array(n_rare[at].astype(np.int32)), pa.array(flat[~hit]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), *(pa.array(x[at[1:]] - x[at[:-1]]) for x in (np.arange(len(flat) + 1), *sums)), rare], [*b.schema.names[:7], "n_links", "n_best", "count_sum", "rare"])
-
-    own = aligned.select(F.monotonically_increasing_id().alias("key"), "stretch", "n", "n_a", "n_b", "n_groups", "groups", F.transform("links", lambda p: _code(p["a"], p["b"])).alias("codes"))
-    schema = "key bigint, stretch string, n bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, n_links bigint, n_best bigint, count_sum bigint, rare array<bigint>"
-    told = keep(own.mapInArrow(run, schema), "figures")
-    if count.where(~frequent).take(1):
-        left = keep(told.select("key", F.explode("rare").alias("code")), "rare-links")
-        met = lookup(left, count.where(~frequent).select("code", "best", "count"), ["code"], left.count(), "inner")
-        more = met.groupBy("key").agg(F.sum("best").alias("more_best"), F.sum("count").alias("more_sum"))
-        told = told.join(more.hint("shuffle_hash"), "key", "left")
-        told = told.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0)))
-        told = keep(told.select("stretch", "n", *FIGURES), "all-figures")
-    return told.select("stretch", "n", *FIGURES)
+class Scorer:
+    """Turns rows of the stored groups() into stretch, n and FIGURES, with the corpus-wide counts of their links."""
+
+    def __init__(self, aligned: DataFrame, pairs: int):
+        self.count = counts(aligned)
+        self.frequent = head_of(self.count, "rows", pairs)
+        often = self.count.where(self.frequent).select("code", "count", "best").toArrow()
+        order = np.argsort(often["code"].to_numpy())
+        self.known = aligned.sparkSession.sparkContext.broadcast(tuple(often[c].to_numpy()[order] for c in ("code", "count", "best")))
+        self.all_known = not self.count.where(~self.frequent).take(1)
+
+    def told(self, aligned: DataFrame) -> DataFrame:
+        known = self.known
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            code, count, best = known.value
+            for b in batches:
+                lists = b.column("codes")
+                at = lists.offsets.to_numpy().astype(np.int64)
+                flat = lists.values.to_numpy()[at[0] : at[-1]]
+                at -= at[0]
+                place = np.minimum(np.searchsorted(code, flat), max(len(code) - 1, 0))
+                hit = code[place] == flat if len(code) else np.zeros(len(flat), bool)
+                sums = [np.concatenate(([0], np.cumsum(np.where(hit, x[place], 0) if len(code) else hit.astype(np.int64)))) for x in (best, count)]
+                n_rare = np.concatenate(([0], np.cumsum(~hit)))
+                rare = pa.ListArray.from_arrays(pa.array(n_rare[at].astype(np.int32)), pa.array(flat[~hit]))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), *(pa.array(x[at[1:]] - x[at[:-1]]) for x in (np.arange(len(flat) + 1), *sums)), rare], [*b.schema.names[:7], "n_links", "n_best", "count_sum", "rare"])
+
+        own = aligned.select(F.monotonically_increasing_id().alias("key"), "stretch", "n", "n_a", "n_b", "n_groups", "groups", F.transform("links", lambda p: _code(p["a"], p["b"])).alias("codes"))
+        schema = "key bigint, stretch string, n bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, n_links bigint, n_best bigint, count_sum bigint, rare array<bigint>"
+        told = own.mapInArrow(run, schema)
+        if not self.all_known:
+            told = keep(told, "figures")
+            left = keep(told.select("key", F.explode("rare").alias("code")), "rare-links")
+            met = lookup(left, self.count.where(~self.frequent).select("code", "best", "count"), ["code"], left.count(), "inner")
+            more = met.groupBy("key").agg(F.sum("best").alias("more_best"), F.sum("count").alias("more_sum"))
+            told = told.join(more.hint("shuffle_hash"), "key", "left")
+            told = told.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))).withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0)))
+        return told.select("stretch", "n", *FIGURES)
 
 
 class Told:
@@ -252,12 +257,12 @@ class Told:
 def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs: int = PAIRS) -> DataFrame:
     """doc_id, FIGURES without groups, and groups_sha256 of every row."""
     spark = docs.sparkSession
-    found = keep(counted(docs), "stretches")
-    coded = keep(encoded(found, path_a, path_b).withColumn("key", F.monotonically_increasing_id()), "tokens")
-    told = scored(keep(groups(coded.repartition("key")), "stretches-aligned"), pairs)
+    coded = keep(encoded(counted(docs), path_a, path_b).withColumn("key", F.monotonically_increasing_id()), "tokens")
+    each = keep(groups(coded.repartition("key")), "stretches-aligned")
+    scorer = Scorer(each, pairs)
     short = F.length("stretch") <= LONG
-    frequent = head_of(told.where(short), "n", head) & short
-    often = told.where(frequent).select("stretch", *FIGURES).toArrow()
+    frequent = head_of(each.where(short), "n", head) & short
+    often = scorer.told(each.where(frequent)).select("stretch", *FIGURES).toArrow()
     known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs)[1], F.col("text").cast("string").alias("text"))
@@ -274,8 +279,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
     asked = copies.select("__hash", F.explode("rare").alias("stretch"))
-    rest = told.where(~frequent).select("stretch", F.concat_ws(" ", *FIGURES, "stretch").alias("figures"))
-    met = lookup(asked, rest, ["stretch"], n_rare, "inner", hot=told.where(~frequent & (F.col("n") > hot_from(n_rare))))
+    others = each.where(~frequent)
+    rest = scorer.told(others).select("stretch", F.concat_ws(" ", *FIGURES, "stretch").alias("figures"))
+    met = lookup(asked, rest, ["stretch"], n_rare, "inner", hot=others.where(F.col("n") > hot_from(n_rare)))
     more = met.groupBy("__hash").agg(F.collect_list("figures").alias("more"))
     joined = lookup(texts, more, ["__hash"], n_rows, hot=rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n_rows)))
 
