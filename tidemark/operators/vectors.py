@@ -3,8 +3,8 @@
 A pair's rows are cut into chunks of about CHUNK rows: stretches of the order where neighbours in time matter, random parts
 otherwise. A kernel turns a chunk into sums of fixed length, the sums of all chunks are added by an aggregation, and `finish` turns
 them into the statistic. A pair of up to CHUNK rows is one chunk, and so gives what the plain form gives. Shuffled versions
-permute y within chunks: under the null hypothesis these are as likely as any others. Neighbours (shadow manifolds, distances) are
-those within the chunk, a library of bounded size; the estimates are means over all points.
+permute y within chunks: under the null hypothesis these are as likely as any others. Tests by nearest neighbours are in
+information.py; theirs are those among all points.
 
 Seeds depend on the pair and the chunk alone, so a lost task's rerun gives the same numbers.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import special
+from tidemark.operators import information
 
 CHUNK = 2048
 SEED = 42
@@ -61,12 +62,6 @@ def chunks(rows: DataFrame, ordered: bool) -> DataFrame:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("pair", "idx", F.lit(SEED)), parts))
 
 
-def followed(rows: DataFrame) -> DataFrame:
-    """rows with the codes na and nb of the pair's next row; without the last."""
-    following = rows.select("pair", (F.col("idx") - 1).alias("idx"), F.col("a").alias("na"), F.col("b").alias("nb"))
-    return rows.join(following, ["pair", "idx"])
-
-
 def judged(pairs: DataFrame, test: Test, least: int = 10) -> DataFrame:
     """RESULT of a test for each pair."""
     return summed(chunks(facts(pairs, least), test.ordered), test)
@@ -129,143 +124,6 @@ def permutation(rounds: int = 2500, alpha: float = 0.001) -> Test:
     return Test(kernel, finish)
 
 
-# --- direction
-
-
-def _bits(counts: np.ndarray, *axes: int) -> np.ndarray:
-    """Entropies of tables of counts (the first axis numbers the tables), summed over the named axes."""
-    t = counts.sum(axis=axes).reshape(len(counts), -1) if axes else counts.reshape(len(counts), -1)
-    q = t / t.sum(axis=1, keepdims=True)
-    return -np.where(q > 0, q * np.log2(np.where(q > 0, q, 1)), 0).sum(axis=1)
-
-
-def transfer_of(counts: np.ndarray) -> np.ndarray:
-    """Bits of the next value that the other series' present tells beyond the own present; counts[table, next, own, other]."""
-    return _bits(counts, 3) - _bits(counts, 1, 3) - _bits(counts) + _bits(counts, 1)
-
-
-def transfer(rounds: int = 500, alpha: float = 0.001) -> Test:
-    """Transfer entropy both ways in quarters of the values; rows are followed()."""
-
-    def kernel(part, rng):
-        a, b, na, nb = (part[c].to_numpy(np.int64) // 2 for c in ("a", "b", "na", "nb"))
-        table = lambda following, own, other: np.bincount(following * 16 + own * 4 + other, minlength=64)
-        return np.concatenate([table(na, a, b), table(nb, b, a), *(table(nb, b, rng.permutation(a)) for _ in range(rounds))])
-
-    def finish(n, sums, rng):
-        back, there, *null = transfer_of(sums.reshape(-1, 4, 4, 4))
-        p = _p(np.array(null), there)
-        return there / back if back > 1e-12 else float(there > 0) * 1e6, p, there > 1.1 * back and p <= max(alpha, 1 / (rounds + 1))
-
-    return Test(kernel, finish)
-
-
-def _r(s: np.ndarray) -> float:
-    """Correlation from n, sums, squares and products."""
-    n, a, b, aa, bb, ab = s
-    va, vb = aa - a * a / n, bb - b * b / n
-    return float((ab - a * b / n) / np.sqrt(va * vb)) if va > 1e-12 and vb > 1e-12 else 0.0
-
-
-def cross_mapping(dimension: int = 3) -> Test:
-    """Skill of y's shadow manifold in telling x from a chunk's points, and from a quarter of them (simplex projection)."""
-
-    def kernel(part, rng):
-        x, y = _columns(part, "x", "y")
-        m = np.stack([y[i : len(y) - dimension + 1 + i] for i in range(dimension)], 1)
-        target = x[dimension - 1 :]
-        if len(m) < dimension + 3:
-            return np.zeros(12)
-        d = sum((m[:, i, None] - m[None, :, i]) ** 2 for i in range(dimension))
-        np.fill_diagonal(d, np.inf)
-
-        def sums(library: np.ndarray) -> np.ndarray:
-            k = min(dimension + 1, len(library) - 1)
-            near = np.argpartition(d[:, library], k - 1, axis=1)[:, :k]
-            w = np.sqrt(np.take_along_axis(d[:, library], near, 1))
-            w = np.where(np.isfinite(w), np.exp(-w / np.maximum(w.min(1, keepdims=True), 1e-12)), 0)
-            told = (w * target[library][near]).sum(1) / np.maximum(w.sum(1), 1e-300)
-            return np.array([len(told), told.sum(), target.sum(), told @ told, target @ target, told @ target])
-
-        part_of = np.sort(rng.permutation(len(m))[: max(dimension + 3, len(m) // 4)])
-        return np.concatenate([sums(np.arange(len(m))), sums(part_of)])
-
-    def finish(n, sums, rng):
-        full, part = _r(sums[:6]), _r(sums[6:])
-        return full, 1 - max(0.0, full), full > 0.3 and full - part > 0.1
-
-    return Test(kernel, finish, ordered=True)
-
-
-# --- information by nearest neighbours
-
-
-def _digamma(most: int) -> np.ndarray:
-    """digamma(1), ... digamma(most), after a 0."""
-    return np.concatenate(([0.0], -0.5772156649015329 + np.concatenate(([0.0], np.cumsum(1 / np.arange(1, most + 1))))))
-
-
-def mutual_information(k: int = 5, limit: float = 0.1) -> Test:
-    """Mutual information (Kraskov, Stoegbauer and Grassberger), natural units; standardised values."""
-
-    def kernel(part, rng):
-        x, y = _standard(part)
-        if len(x) < 3:
-            return np.zeros(2)
-        j = min(k, len(x) - 1)
-        dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
-        d = np.maximum(dx, dy)
-        np.fill_diagonal(d, np.inf)
-        reach = np.partition(d, j - 1, axis=1)[:, j - 1 : j]
-        nx, ny = (dx < reach).sum(1), (dy < reach).sum(1)  # with the point itself, if the reach isn't 0
-        psi = _digamma(len(x) + 1)
-        return np.array([len(x), (psi[j] + psi[len(x)] - psi[np.maximum(nx, 1)] - psi[np.maximum(ny, 1)]).sum()])
-
-    def finish(n, sums, rng):
-        mi = max(0.0, sums[1] / max(sums[0], 1))
-        return mi, 1 - min(mi / 2, 1), mi > limit
-
-    return Test(kernel, finish)
-
-
-def conditional_information(confounders: tuple[str, ...] = (), k: int = 5, limit: float = 0.01, z: float = 3.09) -> Test:
-    """The least, over confounders, of the information between x and y with the confounder known (neighbours in the joint space);
-    passes if its 99.9 % upper bound is within the limit. Without confounders: none can explain the relation, so it passes."""
-
-    def kernel(part, rng):
-        x, y = _standard(part)
-        out = [0.0]
-        for name in confounders:
-            c = part[name].to_numpy(float)
-            c = (c - np.nanmean(c)) / (np.nanstd(c) or 1)
-            ok = np.isfinite(c)
-            m = int(ok.sum())
-            if m < 3:
-                out += [0.0, 0.0, 0.0]
-                continue
-            j = min(k, m - 1)
-            dx, dy, dz = (np.abs(v[ok][:, None] - v[ok]) for v in (x, y, c))
-            d = np.maximum(np.maximum(dx, dy), dz)
-            np.fill_diagonal(d, np.inf)
-            reach = np.partition(d, j - 1, axis=1)[:, j - 1 : j]
-            near = dz < reach
-            psi = _digamma(m + 1)
-            at = lambda s: psi[np.maximum(s.sum(1), 1)]  # noqa: E731, B023
-            term = psi[j] - at(near & (dx < reach)) - at(near & (dy < reach)) + at(near)
-            out += [m, term.sum(), (term**2).sum()]
-        return np.array(out)
-
-    def finish(n, sums, rng):
-        found = [(s / m, np.sqrt(max(ss / m - (s / m) ** 2, 0) / m)) for m, s, ss in sums[1:].reshape(-1, 3) if m]
-        if not found:
-            return 0.0, 1.0, True
-        mean, error = min(found)
-        upper = max(mean, 0.0) + z * error
-        return max(mean, 0.0), upper, upper <= limit
-
-    return Test(kernel, finish)
-
-
 # --- form
 
 
@@ -500,17 +358,13 @@ def wavelet(scales: int = 32, rounds: int = 50, omega: float = 5.0) -> Test:
     return Test(kernel, finish, ordered=True)
 
 
-def _transfer_entropy(pairs: DataFrame) -> DataFrame:
-    return summed(chunks(followed(facts(pairs)), False), transfer())
-
-
-#: RESULT of each test of pairs(pair, idx, x, y).
+#: RESULT (and more columns) of each test of pairs(pair, idx, x, y).
 TESTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "permutation": lambda pairs: judged(pairs, permutation()),
-    "transfer_entropy": _transfer_entropy,
-    "cross_mapping": lambda pairs: judged(pairs, cross_mapping()),
-    "mutual_information": lambda pairs: judged(pairs, mutual_information()),
-    "conditional_mi": lambda pairs: judged(pairs, conditional_information(tuple(c for c in pairs.columns if c.startswith("z")))),
+    "transfer_entropy": information.transfer_entropy,
+    "cross_mapping": information.cross_mapping,
+    "mutual_information": information.mutual_information,
+    "conditional_mi": lambda pairs: information.conditional_information(pairs, tuple(c for c in pairs.columns if c.startswith("z"))),
     "functional_form": lambda pairs: judged(pairs, functional_form()),
     "homology": lambda pairs: judged(pairs, homology()),
     "lempel_ziv": lambda pairs: judged(pairs, lempel_ziv_synergy()),
