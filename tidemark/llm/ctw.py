@@ -13,14 +13,18 @@ them) are broadcast as hashes; the other words of a document are joined with the
 64-bit hashes.
 
 Nulls count as empty texts: one token (the end), no bytes, score 0. A null id counts as '' for the split. Repeated rows are
-each counted and scored. Very long texts are scored whole. An empty table gives an empty result. Extra columns don't matter.
+each counted and scored. Very long texts are worked through in parts (with the bytes before a part as its context), whose sums are added.
+An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,39 +33,82 @@ from .util import columns_of_binary, keep, mixed
 DEPTH = 4
 HEAD = 1 << 22
 GRAMS = 1 << 21
+#: Bytes of texts that are worked on at once, and different keys that a task holds back to add up.
+PART, HELD = 1 << 21, 1 << 23
 HELD_OUT, PARTS = 2, 7
 #: Stands for the end of a text among the hashes of words; no word is empty.
 END = b""
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(text: bytes) -> list[int]:
-    """Hashes of a text's lower-cased words (A-Z alone), then of the end."""
+    """Hashes of a text's lower-cased words (A-Z alone)."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    return [digest(w) for w in text.lower().split()] + [digest(END)]
+    return [digest(w) for w in text.lower().split()]
 
 
-def padded(raw: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes with `depth` zero bytes before each, and the places of their own bytes."""
-    sizes = np.diff(at)
-    where = np.arange(len(raw)) + np.repeat(np.arange(1, len(at)) * depth, sizes)
-    out = np.zeros(len(raw) + (len(at) - 1) * depth, np.uint8)
-    out[where] = raw
-    return out, where
+@dataclass
+class Part:
+    """Texts d to e - 1 of a batch, or a part of the one text d: the raw bytes, their bounds among themselves, the places of their own
+    bytes in data, where each text's context stands before them, and the hashes of each text's words, with the end's at its end."""
+
+    d: int
+    e: int
+    bounds: np.ndarray
+    data: np.ndarray
+    where: np.ndarray
+    words: list[list[int]]
+    first: bool = True
 
 
-def _pieces(raw: np.ndarray, at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about `most` bytes together."""
+def parts_of(raw: np.ndarray, at: np.ndarray, depth: int, most: int) -> Iterator[Part]:
+    """A batch's texts in parts of about `most` bytes; a longer text in several, cut where words end (a longer word stays whole)."""
+    end = [word_hashes_of_end()]
     d = 0
     while d < len(at) - 1:
         e = d + 1
         while e < len(at) - 1 and at[e + 1] - at[d] <= most:
             e += 1
-        yield d, e
+        own = at[d : e + 1]
+        if e > d + 1 or own[-1] - own[0] <= most:
+            bounds = own - own[0]
+            data, where = padded(raw[own[0] : own[-1]], bounds, depth)
+            yield Part(d, e, bounds, data, where, [word_hashes(raw[x:y].tobytes()) + end for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)])
+        else:
+            low, high = int(own[0]), int(own[-1])
+            begin = low
+            while begin < high:
+                stop = min(begin + most, high)
+                while stop < high and not _BLANK.match(raw[stop : stop + 1].tobytes()):
+                    ahead = _BLANK.search(raw[stop : min(stop + most, high)].tobytes())
+                    stop = stop + ahead.start() if ahead else min(stop + most, high)
+                lead = min(depth, begin - low)
+                data = np.concatenate((np.zeros(depth - lead, np.uint8), raw[begin - lead : stop]))
+                words = word_hashes(raw[begin:stop].tobytes()) + (end if stop == high else [])
+                yield Part(d, e, np.array([0, stop - begin]), data, np.arange(depth, len(data)), [words], begin == low)
+                begin = stop
         d = e
 
 
+def word_hashes_of_end() -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(END)
+
+
+def padded(raw: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes with `depth` zero bytes before each, and the places of their own bytes."""
+    sizes = np.diff(at)
+    where = np.arange(len(raw)) + np.repeat(np.arange(1, len(at)) * depth, sizes)
+    out = np.zeros(len(raw) + (len(at) - 1) * depth, np.uint8)
+    out[where] = raw
+    return out, where
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not any(map(len, keys)):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -89,27 +136,30 @@ def counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
         import pyarrow as pa
 
         kept: list[tuple[list, list]] = [([], []), ([], []), ([], [])]  # the last: grams of held-out texts
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            for kind, (keys, ns) in enumerate(kept):
+                k, n = _merged(keys, ns)
+                keys.clear()
+                ns.clear()
+                for i in range(0, len(k), 50_000):
+                    part = k[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + 50_000].astype(np.int64))], ["kind", "key", "n"])
+
         for b in batches:
             raw, at = columns_of_binary(b.column("text"))
             held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            for d, e in _pieces(raw, at):
-                own = at[d : e + 1]
-                data, where = padded(raw[own[0] : own[-1]], own - own[0], depth)
-                code = grams_of(data, where, depth)
-                out = np.repeat(held[d:e], np.diff(own))
-                words: list[int] = []
-                for x, y, h in zip(own[:-1].tolist(), own[1:].tolist(), held[d:e].tolist(), strict=True):
-                    if not h:
-                        words += word_hashes(raw[x:y].tobytes())
+            for p in parts_of(raw, at, depth, PART):
+                code = grams_of(p.data, p.where, depth)
+                out = np.repeat(held[p.d : p.e], np.diff(p.bounds))
+                words = [w for own, h in zip(p.words, held[p.d : p.e].tolist(), strict=True) if not h for w in own]
                 for (keys, ns), values in zip(kept, (code[~out], np.array(words, np.uint64), code[out]), strict=True):
                     u, n = np.unique(values, return_counts=True)
                     keys.append(u)
                     ns.append(n)
-        for kind, (keys, ns) in enumerate(kept):
-            k, n = _merged(keys, ns)
-            for i in range(0, len(k), 50_000):
-                part = k[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + 50_000].astype(np.int64))], ["kind", "key", "n"])
+                if sum(len(k) for keys, _ in kept for k in keys) > HELD:
+                    yield from merged()
+        yield from merged()
 
     each = texts.select("text", "held_out").mapInArrow(run, "kind int, key bigint, n bigint")
     train = F.when(F.col("kind") < 2, F.col("n")).otherwise(0).alias("n")
@@ -268,43 +318,40 @@ def scores(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         head_keys, head_logs = known.value
+        number = TaskContext.get().partitionId() << 33  # of a text
         for b in batches:
             raw, at = columns_of_binary(b.column("text"))
-            for d, e in _pieces(raw, at):
-                bounds = at[d : e + 1]
-                data, where = padded(raw[bounds[0] : bounds[-1]], bounds - bounds[0], DEPTH)
-                code = grams_of(data, where)
+            for p in parts_of(raw, at, DEPTH, PART):
+                m = p.e - p.d
+                code = grams_of(p.data, p.where)
                 here, log10p = frequent.value.find(code)
-                running = np.concatenate(([0], np.cumsum(log10p, dtype=np.float64)))
-                score = running[bounds[1:] - bounds[0]] - running[bounds[:-1] - bounds[0]]
-                seldom = np.repeat(np.arange(e - d), np.diff(bounds))[~here]
-                hashes: list[int] = []
-                n_tokens = []
-                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    h = word_hashes(raw[x:y].tobytes())
-                    n_tokens.append(len(h))
-                    hashes += h
-                doc = np.repeat(np.arange(e - d), n_tokens)
-                h = np.array(hashes, np.uint64)
+                total_so_far = np.concatenate(([0], np.cumsum(log10p, dtype=np.float64)))
+                score = total_so_far[p.bounds[1:]] - total_so_far[p.bounds[:-1]]
+                seldom = np.repeat(np.arange(m), np.diff(p.bounds))[~here]
+                n_tokens = [len(w) for w in p.words]
+                doc = np.repeat(np.arange(m), n_tokens)
+                h = np.array([x for w in p.words for x in w], np.uint64)
                 place = np.searchsorted(head_keys, h)
                 hit = np.zeros(len(h), bool)
                 if len(head_keys):
                     hit = head_keys[np.minimum(place, len(head_keys) - 1)] == h
-                logs = np.bincount(doc[hit], head_logs[place[hit]], e - d) if hit.any() else np.zeros(e - d)
-                n_known = np.bincount(doc[hit], minlength=e - d)
+                logs = np.bincount(doc[hit], head_logs[place[hit]], m) if hit.any() else np.zeros(m)
+                n_known = np.bincount(doc[hit], minlength=m)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(d, e - d), b.column("held_out").slice(d, e - d), pa.array(np.array(n_tokens, np.int64)), pa.array(n_known.astype(np.int64)), pa.array(logs), pa.array(score), pa.array(np.diff(bounds)),
-                     *_distinct(h[~hit], doc[~hit], e - d), *_distinct(code[~here], seldom, e - d)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "rare", "times", "grams", "gram_times"],
+                    [pa.array(number + np.arange(p.d, p.e)), b.column("doc_id").slice(p.d, m), b.column("held_out").slice(p.d, m), pa.array(np.array(n_tokens, np.int64)), pa.array(n_known.astype(np.int64)), pa.array(logs), pa.array(score), pa.array(np.diff(p.bounds)),
+                     *_distinct(h[~hit], doc[~hit], m), *_distinct(code[~here], seldom, m)],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "rare", "times", "grams", "gram_times"],
                 )
+            number += len(at) - 1
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_bytes bigint, rare array<bigint>, times array<int>, grams array<bigint>, gram_times array<int>"
-    rows = keep(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, n_bytes bigint, rare array<bigint>, times array<int>, grams array<bigint>, gram_times array<int>"
+    rows = keep(own.mapInArrow(run, schema), "scored")  # a text has a row for each of its parts
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), "w.times")
     more = rare.join(words.where(F.col("n") < least), "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"), F.sum("times").alias("more_known"))
     seldom = rows.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("key"), "g.gram_times")
     more_score = seldom.join(likely.where(F.col("n_all") < many), "key").groupBy("row").agg(F.sum(F.col("gram_times") * F.col("log10p").cast("double")).alias("more_score"))
-    out = rows.drop("rare", "times", "grams", "gram_times").join(more, "row", "left").join(more_score, "row", "left")
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score", "n_bytes")]
+    out = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums).join(more, "row", "left").join(more_score, "row", "left")
     out = out.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
