@@ -218,6 +218,9 @@ def find(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
             with system.open_input_file(f"{base}/{name}") as f:
                 return gzip.decompress(f.read_at(f.size() if length is None else length, offset))
 
+        def rows_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in CAPTURES.split(", ")])
+
         at: str | None = None
         blocks: list[tuple[bytes, bytes, int, int]] = []
         opened, names, lines = -1, [], []
@@ -235,10 +238,10 @@ def find(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
                         opened, names = i, [r[0].encode() for r in lines]
                     out += [tuple(r) for r in lines[bisect_left(names, k) : bisect_right(names, k)]]
                     i += 1
-                if len(out) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in CAPTURES.split(", ")])
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], [x.split()[0] for x in CAPTURES.split(", ")])
+                    if len(out) >= 10_000:  # a key may have any number of captures
+                        yield rows_of(out)
+                        out = []
+            yield rows_of(out)
 
     dealt = keys.mapInArrow(deal, "key string, file string")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
