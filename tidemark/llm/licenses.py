@@ -2,8 +2,9 @@ r"""License scans: winnowed fingerprints of templates pick candidates, banded al
 
 Templates are tokenised (ASCII words, lower case) and their k-grams hashed; of each window of WINDOW hashes the least is kept.
 An inverted index leads from a kept hash to (template, place). All k-grams of a document are looked up in it, so no fingerprint of a
-template is missed; hits of a template near a diagonal make a candidate, and a banded alignment of the whole template with the document's tokens around the
-diagonal gives the matched share of the template and the span. Templates shorter than a window keep all hashes, so that notices
+template is missed; hits of a template near a diagonal make a candidate. If the document's tokens around the diagonal, in any order,
+can't hold the least share of the template's, that is all; else a banded alignment of the whole template with them gives the matched
+share of the template and the span. Templates shorter than a window keep all hashes, so that notices
 of a single line are found. The template set is a rule table given by parameter (TEMPLATES if none is); tasks get its index by
 broadcast; documents never move.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -141,6 +142,35 @@ def align(template: list[str], tokens: list[str], begin: int, band: int) -> tupl
     return m, first, last + 1
 
 
+class Around:
+    """How many of a template's tokens the document has around a diagonal, whatever their order: no alignment there matches more. The
+    diagonals asked for must not fall."""
+
+    def __init__(self, template: list[str], tokens: list[str], band: int):
+        self.wanted = Counter(template)
+        self.tokens, self.band, self.length = tokens, band, len(template)
+        self.held: Counter = Counter()
+        self.low = self.high = 0
+        self.common = 0
+
+    def at(self, diagonal: int) -> int:
+        low, high = max(0, diagonal - self.band), min(len(self.tokens), diagonal + self.length + self.band)
+        if low >= self.high:
+            self.held.clear()
+            self.common, self.low, self.high = 0, low, low
+        while self.high < high:
+            word = self.tokens[self.high]
+            self.held[word] += 1
+            self.common += self.held[word] <= self.wanted[word]
+            self.high += 1
+        while self.low < low:
+            word = self.tokens[self.low]
+            self.common -= self.held[word] <= self.wanted[word]
+            self.held[word] -= 1
+            self.low += 1
+        return self.common
+
+
 def scan(text: str, rules: Index, least: float = LEAST) -> list[tuple[str, float, int, int, int, int, int]]:
     """license, coverage, matched, begin, end, start_char, end_char of each occurrence, by place."""
     import xxhash
@@ -158,8 +188,9 @@ def scan(text: str, rules: Index, least: float = LEAST) -> list[tuple[str, float
         template = templates[name]
         band = max(BAND_LEAST, int(len(template) * BAND_SHARE))
         done = -len(template) - 1
+        around = Around(template, tokens, band)
         for d in sorted(diagonals):
-            if d <= done:
+            if d <= done or around.at(d) < least * len(template):
                 continue
             matched, begin, end = align(template, tokens, d, band)
             if matched >= least * len(template):
