@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .packing import encoder
 from .util import head_of, hot_from, keep, lookup, row_key, small_batches
 
-#: So many stretches at most are broadcast, of up to LONG characters; and so many id pairs.
+#: So many stretches at most are broadcast, of up to LONG bytes; and so many id pairs.
 HEAD, LONG, PAIRS = 1 << 19, 32, 1 << 19
 #: Different stretches a task counts before it hands them on.
 COUNTED = 500_000
@@ -111,7 +111,7 @@ SIZE_BITS = 10
 
 
 def encoded(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The rows of found(stretch, n) with their tokens, those of A (n_a of them) and then those of B."""
+    """n, n_a and tokens of found(stretch, n): the tokens of A, n_a of them, and then those of B. Those of A tell the stretch."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -133,39 +133,38 @@ def encoded(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
             flat[~of_b] = flat[~of_b] << SIZE_BITS | size_a[flat[~of_b]]
             flat[of_b] = flat[of_b] << SIZE_BITS | b.sizes[flat[of_b]]
             at = pa.array(np.concatenate(([0], np.cumsum(counts)[1::2])).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), pa.array(counts[::2].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(flat))], ["stretch", "n", "n_a", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(counts[::2].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(flat))], ["n", "n_a", "tokens"])
 
-    return found.select("stretch", "n").mapInArrow(run, "stretch string, n bigint, n_a int, tokens array<int>")
+    return found.select("stretch", "n").mapInArrow(run, "n bigint, n_a int, tokens array<int>")
 
 
 def ends(texts: DataFrame) -> DataFrame:
-    """key, side (0: A, 1: B), id and end (in bytes) of all tokens of texts(key, n_a, tokens)."""
-    each = texts.select("key", "n_a", F.posexplode("tokens").alias("pos", "t")).select("key", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "t")
+    """key, n, side (0: A, 1: B), id and end (in bytes) of all tokens of texts(key, n, n_a, tokens)."""
+    each = texts.select("key", "n", "n_a", F.posexplode("tokens").alias("pos", "t")).select("key", "n", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "t")
     before = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("key", "side", F.shiftright("t", SIZE_BITS).alias("id"), F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(before).alias("end"))
+    return each.select("key", "n", "side", F.shiftright("t", SIZE_BITS).alias("id"), F.sum(F.col("t").bitwiseAND((1 << SIZE_BITS) - 1)).over(before).alias("end"))
 
 
 def numbered(texts: DataFrame) -> DataFrame:
-    """key, end, a, b (the tokens that end there, one of them null if it isn't a cut) and group, the number of cuts before."""
+    """key, n, end, a, b (the tokens that end there, one of them null if it isn't a cut) and group, the number of cuts before."""
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))  # noqa: E731  no token is empty, so a side has one there
-    met = ends(texts).groupBy("key", "end").agg(of(0).alias("a"), of(1).alias("b"))
+    met = ends(texts).groupBy("key", "end").agg(F.max("n").alias("n"), of(0).alias("a"), of(1).alias("b"))
     so_far = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     return met.withColumn("group", F.coalesce(F.sum(F.expr("if(a IS NOT NULL AND b IS NOT NULL, 1, 0)")).over(so_far), F.lit(0)))
 
 
 def groups(texts: DataFrame) -> DataFrame:
-    """stretch, n, n_a, n_b, n_groups, groups ('a1,a2|b1;a3|b2': the tokens between cuts, in order) and links (the pairs that end together)
-    of texts(key, stretch, n, n_a, tokens)."""
+    """n, size (in bytes), n_a, n_b, n_groups, groups ('a1,a2|b1;a3|b2': the tokens between cuts, in order) and links (the pairs that end
+    together) of texts(key, n, n_a, tokens)."""
     token = lambda side, c: F.when(F.col(c).isNotNull(), F.struct("group", F.lit(side).alias("side"), "end", F.col(c).alias("id")))
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     each = numbered(texts).groupBy("key").agg(
-        F.count("b").alias("n_b"), F.count_if(cut).alias("n_groups"), F.collect_list(token(0, "a")).alias("of_a"), F.collect_list(token(1, "b")).alias("of_b"), F.collect_list(F.when(cut, F.struct("a", "b"))).alias("links")
+        F.max("n").alias("n"), F.max("end").alias("size"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(cut).alias("n_groups"), F.collect_list(token(0, "a")).alias("of_a"), F.collect_list(token(1, "b")).alias("of_b"), F.collect_list(F.when(cut, F.struct("a", "b"))).alias("links")
     )
     each = each.withColumn("told", F.sort_array(F.concat("of_a", "of_b")))
     before = lambda t, last: F.when(last.isNull(), "").when(last["group"] != t["group"], ";").when(last["side"] != t["side"], "|").otherwise(",")
     said = F.array_join(F.transform("told", lambda t, i: F.concat(before(t, F.get("told", i - 1)), t["id"].cast("string"))), "")
-    each = each.select("key", "n_b", "n_groups", said.alias("groups"), "links")
-    return texts.select("key", "stretch", "n", F.col("n_a").cast("long").alias("n_a")).join(each, "key").select("stretch", "n", "n_a", "n_b", "n_groups", "groups", "links")
+    return each.select("n", "size", "n_a", "n_b", "n_groups", said.alias("groups"), "links")
 
 
 def _code(a: Column, b: Column) -> Column:
@@ -187,7 +186,8 @@ FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 class Scorer:
     """Turns rows of the stored groups() into stretch, n and FIGURES, with the corpus-wide counts of their links."""
 
-    def __init__(self, aligned: DataFrame, pairs: int):
+    def __init__(self, aligned: DataFrame, path_a: str, pairs: int):
+        self.path_a = path_a
         self.count = counts(aligned)
         self.frequent = head_of(self.count, "rows", pairs)
         often = self.count.where(self.frequent).select("code", "count", "best").toArrow()
@@ -196,13 +196,15 @@ class Scorer:
         self.all_known = not self.count.where(~self.frequent).take(1)
 
     def told(self, aligned: DataFrame) -> DataFrame:
-        known = self.known
+        known, path_a = self.known, self.path_a
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             code, count, best = known.value
+            token = {str(i): t for t, i in encoder(path_a).coder._mergeable_ranks.items()}
             for b in batches:
+                stretch = [b"".join([token[i] for g in s.split(";") for i in g[: g.index("|")].split(",")]).decode() for s in b.column("groups").to_pylist()]
                 lists = b.column("codes")
                 at = lists.offsets.to_numpy().astype(np.int64)
                 flat = lists.values.to_numpy()[at[0] : at[-1]]
@@ -212,10 +214,10 @@ class Scorer:
                 sums = [np.concatenate(([0], np.cumsum(np.where(hit, x[place], 0) if len(code) else hit.astype(np.int64)))) for x in (best, count)]
                 n_rare = np.concatenate(([0], np.cumsum(~hit)))
                 rare = pa.ListArray.from_arrays(pa.array(n_rare[at].astype(np.int32)), pa.array(flat[~hit]))
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), *(pa.array(x[at[1:]] - x[at[:-1]]) for x in (np.arange(len(flat) + 1), *sums)), rare], [*b.schema.names[:7], "n_links", "n_best", "count_sum", "rare"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(stretch, pa.string()), *(pa.array(x[at[1:]] - x[at[:-1]]) for x in (np.arange(len(flat) + 1), *sums)), rare], [*b.schema.names[:6], "stretch", "n_links", "n_best", "count_sum", "rare"])
 
-        own = aligned.select(F.monotonically_increasing_id().alias("key"), "stretch", "n", "n_a", "n_b", "n_groups", "groups", F.transform("links", lambda p: _code(p["a"], p["b"])).alias("codes"))
-        schema = "key bigint, stretch string, n bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, n_links bigint, n_best bigint, count_sum bigint, rare array<bigint>"
+        own = aligned.select(F.monotonically_increasing_id().alias("key"), "n", "n_a", "n_b", "n_groups", "groups", F.transform("links", lambda p: _code(p["a"], p["b"])).alias("codes"))
+        schema = "key bigint, n bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, stretch string, n_links bigint, n_best bigint, count_sum bigint, rare array<bigint>"
         told = own.mapInArrow(run, schema)
         if not self.all_known:
             told = keep(told, "figures")
@@ -259,8 +261,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     spark = docs.sparkSession
     coded = keep(encoded(counted(docs), path_a, path_b).withColumn("key", F.monotonically_increasing_id()), "tokens")
     each = keep(groups(coded.repartition("key")), "stretches-aligned")
-    scorer = Scorer(each, pairs)
-    short = F.length("stretch") <= LONG
+    scorer = Scorer(each, path_a, pairs)
+    short = F.col("size") <= LONG
     frequent = head_of(each.where(short), "n", head) & short
     often = scorer.told(each.where(frequent)).select("stretch", *FIGURES).toArrow()
     known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist()))
@@ -269,19 +271,22 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
 
     def seldom(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         of = known.value.place
+        hashed = lambda s: (xxhash.xxh64_intdigest(s.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)  # noqa: E731  as Spark has it
         for b in batches:
-            each = [list(set(stretches(t)).difference(of)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__hash"), pa.array(each, pa.list_(pa.string()))], ["__hash", "rare"])
+            each = [[hashed(s) for s in set(stretches(t)).difference(of)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__hash"), pa.array(each, pa.list_(pa.int64()))], ["__hash", "rare"])
 
-    rare = keep(texts.select("__hash", "text").mapInArrow(seldom, "__hash bigint, rare array<string>"), "rare-stretches")
+    rare = keep(texts.select("__hash", "text").mapInArrow(seldom, "__hash bigint, rare array<bigint>"), "rare-stretches")
     n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
     asked = copies.select("__hash", F.explode("rare").alias("stretch"))
-    others = each.where(~frequent)
-    rest = scorer.told(others).select("stretch", F.concat_ws(" ", *FIGURES, "stretch").alias("figures"))
-    met = lookup(asked, rest, ["stretch"], n_rare, "inner", hot=others.where(F.col("n") > hot_from(n_rare)))
+    # joined by hashes: the figures name their stretch, so one of another with the same hash does no harm
+    rest = scorer.told(each.where(~frequent)).select(F.xxhash64("stretch").alias("stretch"), F.concat_ws(" ", *FIGURES, "stretch").alias("figures"))
+    few = each.where(~short & (F.col("n") > hot_from(n_rare)))  # a short one's occurrences are less than HEAD others' have
+    met = lookup(asked, rest, ["stretch"], n_rare, "inner", hot=scorer.told(few).select(F.xxhash64("stretch").alias("stretch")))
     more = met.groupBy("__hash").agg(F.collect_list("figures").alias("more"))
     joined = lookup(texts, more, ["__hash"], n_rows, hot=rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n_rows)))
 
