@@ -232,20 +232,27 @@ class Scorer:
 class Told:
     """Figures by stretch, from columns of stretches, FIGURES without groups, and groups."""
 
-    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str]):
+    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str], tokens: dict[bytes, int]):
         self.place = {s: i for i, s in enumerate(stretches)}
         self.numbers = np.stack(numbers, axis=1) if numbers[0].size else np.zeros((0, 6), np.int64)
         self.groups = [g.encode() for g in groups]
+        self.token = {str(i): t for t, i in tokens.items()}
+
+    def unpacked(self, row: str) -> tuple[str, np.ndarray, bytes]:
+        """A rare stretch, its figures and groups, from packed()."""
+        best, total, groups = row.split(" ")
+        parts = groups.split(";")
+        a = [i for p in parts for i in p[: p.index("|")].split(",")]
+        n = len(parts)  # each group ends with a link
+        return b"".join([self.token[i] for i in a]).decode(), np.array([len(a), groups.count(",") + 2 * n - len(a), n, n, int(best), int(total)]), groups.encode()
 
     def of(self, text: str | None, more: list[str] | None) -> tuple[np.ndarray, str]:
-        """The sums and the groups' hash of a text; more: its rare stretches, each after its figures."""
+        """The sums and the groups' hash of a text; more: its rare stretches' packed()."""
         each = stretches(text or "")
         if not each:
             return np.zeros(6, np.int64), ""
-        own, get = {}, self.place.get
-        for m in more or ():
-            *numbers, groups, stretch = m.split(" ", 7)
-            own[stretch] = np.array(numbers, np.int64), groups.encode()
+        get = self.place.get
+        own = {stretch: (numbers, groups) for stretch, numbers, groups in map(self.unpacked, more or ())}
         places = [get(s, -1) for s in each]
         known = np.array(places)
         sums = self.numbers[known[known >= 0]].sum(axis=0)
@@ -256,6 +263,21 @@ class Told:
         return sums, hashlib.sha256(b";".join(parts)).hexdigest()
 
 
+def packed() -> Column:
+    """What Told.unpacked() takes: the groups tell the stretch and the other figures."""
+    return F.concat_ws(" ", "n_best", "count_sum", "groups")
+
+
+def joined_apart(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
+    """left with right's columns by the key; rows of the stored hot keys (few) meet theirs by a broadcast. right, where it is dealt by the
+    key, stays."""
+    if not hot.take(1):
+        return left.join(right, key, how)
+    hot = F.broadcast(hot.select(key))
+    cold = left.join(hot, key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how))
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs: int = PAIRS) -> DataFrame:
     """doc_id, FIGURES without groups, and groups_sha256 of every row."""
     spark = docs.sparkSession
@@ -265,7 +287,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     short = F.col("size") <= LONG
     frequent = head_of(each.where(short), "n", head) & short
     often = scorer.told(each.where(frequent)).select("stretch", *FIGURES).toArrow()
-    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist()))
+    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist(), encoder(path_a).coder._mergeable_ranks))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs)[1], F.col("text").cast("string").alias("text"))
 
@@ -283,12 +305,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
     asked = copies.select("__hash", F.explode("rare").alias("stretch"))
-    # joined by hashes: the figures name their stretch, so one of another with the same hash does no harm
-    rest = scorer.told(each.where(~frequent)).select(F.xxhash64("stretch").alias("stretch"), F.concat_ws(" ", *FIGURES, "stretch").alias("figures"))
+    # joined by hashes: the figures tell their stretch, so those of another with the same hash do no harm
+    rest = scorer.told(each.where(~frequent)).select(F.xxhash64("stretch").alias("stretch"), packed().alias("figures"))
     few = each.where(~short & (F.col("n") > hot_from(n_rare)))  # a short one's occurrences are less than HEAD others' have
-    met = lookup(asked, rest, ["stretch"], n_rare, "inner", hot=scorer.told(few).select(F.xxhash64("stretch").alias("stretch")))
+    met = joined_apart(asked, rest, "stretch", keep(scorer.told(few).select(F.xxhash64("stretch").alias("stretch")).distinct(), "hot-stretches"), "inner")
     more = met.groupBy("__hash").agg(F.collect_list("figures").alias("more"))
-    joined = lookup(texts, more, ["__hash"], n_rows, hot=rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n_rows)))
+    hot = keep(rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n_rows)), "hot-texts")
+    joined = joined_apart(texts, more, "__hash", hot, "left")
 
     def told_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
