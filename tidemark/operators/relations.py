@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import profile as P
-from tidemark.session import stored
 from tidemark.operators.merge import TIME_NAMES, TIME_WORDS
+from tidemark.operators.sampling import numbered
+from tidemark.session import stored
 
 # Words of numeric and categorical names, and of frequencies.
 NUMERIC = ("count", "amount", "value", "price", "cost", "rate", "ratio", "percentage", "score", "metric", "quantity")
@@ -118,18 +119,32 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def reached(steps: DataFrame, depths: Sequence[int]) -> DataFrame:
+    """node and, for each depth d, reach_d: how many other nodes are within d steps(a, b; both ways).
+
+    All nodes are sources at once, 64 of them (neighbours of one node, where that can be) in the bits of a long. A row says which sources of a
+    batch have reached a node; a step is a join with the node's links and a bit_or. Counts are sums of bits, so no table of all reachable
+    pairs is made."""
+    steps = stored(steps.where("a <> b").select("a", "b").distinct())
+    first = steps.groupBy("a").agg(F.min("b").alias("near"))  # nodes with a neighbour in common come one after the other
+    number = numbered(first.select(F.least("near", "a").alias("near"), "a"), ["near", "a"], "i")
+    at = stored(number.select(F.col("a").alias("node"), F.floor(F.col("i") / 64).alias("batch"), F.expr("shiftleft(1L, cast(i % 64 AS int))").alias("bits"), (F.col("i") % 64).cast("int").alias("bit")))
+    out, now = at.select("node", "batch", "bit"), at.select("node", "batch", "bits")
+    for d in range(1, max(depths) + 1):
+        moved = now.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "batch", "bits")
+        now = stored(now.union(moved).groupBy("node", "batch").agg(F.bit_or("bits").alias("bits")))
+        if d in depths:
+            sums = now.groupBy("batch").agg(F.array(*[F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(1)) for k in range(64)]).alias("sums"))
+            out = out.join(sums, "batch").withColumn(f"reach_{d}", F.element_at("sums", F.col("bit") + 1) - 1).drop("sums")
+    return out.drop("batch", "bit")
+
+
 def blast_radius(edges: DataFrame, least: float = 0.3, depth: int = 3) -> DataFrame:
     """node, degree, reach within 2 steps, mean |effect|, reach within `depth` steps. edges(a, b, effect), undirected."""
     strong = edges.where(F.abs("effect") >= least)
     both = strong.select("a", "b", "effect").union(strong.select("b", "a", "effect")).distinct()
-    steps = both.select("a", "b").distinct()
-    reach, out = steps, both.groupBy(F.col("a").alias("node")).agg(F.countDistinct("b").alias("degree"), F.avg(F.abs("effect")).alias("mean_effect"))
-    for d in range(2, depth + 1):
-        more = reach.join(steps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).where("a <> b")
-        reach = reach.union(more).distinct()
-        if d in (2, depth):
-            out = out.join(reach.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias(f"reach_{d}")), "node")
-    return out
+    out = both.groupBy(F.col("a").alias("node")).agg(F.countDistinct("b").alias("degree"), F.avg(F.abs("effect")).alias("mean_effect"))
+    return out.join(reached(both, sorted({2, depth})), "node")
 
 
 def twins(edges: DataFrame, least: float = 0.85) -> DataFrame:

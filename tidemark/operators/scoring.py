@@ -10,8 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.columns import age_days, bucketize, clip, jaccard, ratio, words
+from tidemark.session import stored
 
 INF = float("inf")
 # The weights of the composite score.
@@ -187,15 +189,67 @@ def field_problems(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
 # --- markets
 
 
+def _prefixes(tokens: DataFrame, share: float) -> DataFrame:
+    """The rarest tokens of each set of tokens(ticker, side, series, category, place, size, token), as many as a set that is `share` alike must
+    hold one of."""
+    return tokens.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1)
+
+
+def _meeting(tokens: DataFrame, share: float, same_category: bool) -> DataFrame:
+    """Pairs of tickers of a series whose tags or title words may be `share` alike: they share one of their prefixes' tokens, and what comes
+    from it on can still be enough (alike sets meet at the first token that they share, and there all that they share is yet to come)."""
+    kept = _prefixes(tokens, share)
+    a, b = kept.alias("a"), kept.alias("b")
+    keys = ["side", "series", "token", *(["category"] if same_category else [])]
+    near = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    rest = 1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    enough = rest >= (F.col("a.size") + F.col("b.size")) * (share / (1 + share)) - 1e-9
+    other = F.lit(True) if same_category else ~F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(False))
+    return a.join(b, near & (F.col("a.ticker") < F.col("b.ticker")) & enough & other).select(F.col("a.ticker").alias("ticker_1"), F.col("b.ticker").alias("ticker_2"))
+
+
+def candidates(markets: DataFrame, least: float = 0.6) -> DataFrame:
+    """Pairs of tickers that may reach `least`, each once. Of the four weights, the series gives .1 and the category .2 if it is the same; what
+    is left must come from tags (.3) and titles (.4), so one of the two is alike by that over .7. Tokens are ordered by how rare they are in
+    their series, and only pairs that share one of the first are compared. Where tags and titles needn't be alike at all, the series (and
+    category) alone pair."""
+    sides = F.array(F.struct(F.lit("tag").alias("side"), F.array_distinct("tags").alias("tokens")), F.struct(F.lit("word").alias("side"), words(F.col("title")).alias("tokens")))
+    sets = markets.select("ticker", "series", "category", F.explode(sides).alias("s")).select("ticker", "series", "category", "s.side", F.coalesce("s.tokens", F.array().cast("array<string>")).alias("tokens"))
+    # empty sets are alike: they share a token of their own
+    each = sets.select("ticker", "series", "category", "side", F.greatest(F.size("tokens"), F.lit(1)).alias("size"), F.explode(F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.col("tokens"))).alias("token"))
+    each = stored(each)
+    often = each.groupBy("side", "series", "token").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("ticker", "side").orderBy("often", "token")  # of one set's tokens
+    tokens = stored(each.join(often, ["side", "series", "token"]).withColumn("place", F.row_number().over(order)))
+    found = []
+    for same, given in ((True, 0.3), (False, 0.1)):
+        share = (least - given) / 0.7
+        if share > 1:
+            continue
+        if share > 1e-6:
+            found.append(_meeting(tokens, share, same))
+        else:
+            a, b = (markets.select("ticker", "series", "category").alias(x) for x in "ab")
+            equal = F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(False))
+            on = (F.col("a.series") == F.col("b.series")) & (F.col("a.ticker") < F.col("b.ticker"))
+            on = on & (F.col("a.category") == F.col("b.category")) if same else on & ~equal
+            found.append(a.join(b, on).select(F.col("a.ticker").alias("ticker_1"), F.col("b.ticker").alias("ticker_2")))
+    if not found:
+        return markets.sparkSession.createDataFrame([], "ticker_1 string, ticker_2 string")
+    return reduce(DataFrame.union, found).distinct()
+
+
 def market_pairs(markets: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs of one series whose weighted likeness of tags (.3), titles (.4), category (.2) and series (.1) is `least` or more.
+    """Pairs of one series whose weighted likeness of tags (.3), titles (.4), category (.2) and series (.1) is `least` or more, exactly, of
+    the candidates().
 
-    markets(ticker, series, title, category, tags, last_price, volume_24h); pairs come from an equi-join on the series.
+    markets(ticker, series, title, category, tags, last_price, volume_24h), a row per ticker.
     """
-    a, b = markets.alias("a"), markets.alias("b")
-    both = a.join(b, (F.col("a.series") == F.col("b.series")) & (F.col("a.ticker") < F.col("b.ticker")))
-    alike = 0.3 * jaccard(F.array_distinct("a.tags"), F.array_distinct("b.tags")) + 0.4 * jaccard(words(F.col("a.title")), words(F.col("b.title"))) + _points(F.col("a.category") == F.col("b.category"), 0.2) + 0.1
-    return both.select(F.col("a.ticker").alias("ticker_1"), F.col("b.ticker").alias("ticker_2"), "a.series", alike.alias("similarity"), F.col("a.last_price").alias("p1"), F.col("b.last_price").alias("p2"), ((F.col("a.volume_24h") + F.col("b.volume_24h")) / 2).alias("volume")).where(F.col("similarity") >= least)
+    own = stored(markets.select("ticker", "series", "category", "last_price", "volume_24h", F.array_distinct("tags").alias("tags"), words(F.col("title")).alias("words")))
+    a, b = (own.select(*[F.col(c).alias(f"{x}_{c}") for c in own.columns]) for x in "ab")
+    both = candidates(markets, least).join(a, F.col("ticker_1") == F.col("a_ticker")).join(b, F.col("ticker_2") == F.col("b_ticker"))
+    alike = 0.3 * jaccard(F.col("a_tags"), F.col("b_tags")) + 0.4 * jaccard(F.col("a_words"), F.col("b_words")) + _points(F.col("a_category") == F.col("b_category"), 0.2) + 0.1
+    return both.select("ticker_1", "ticker_2", F.col("a_series").alias("series"), alike.alias("similarity"), F.col("a_last_price").alias("p1"), F.col("b_last_price").alias("p2"), ((F.col("a_volume_24h") + F.col("b_volume_24h")) / 2).alias("volume")).where(F.col("similarity") >= least)
 
 
 def arbitrage(pairs: DataFrame) -> DataFrame:
