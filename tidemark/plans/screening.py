@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.merge import TIME_NAMES, TIME_WORDS
-from tidemark.operators import evidence, information, pairs, referees, relations, sampling, vectors
+from tidemark.operators import breaks, evidence, information, pairs, referees, relations, sampling, vectors
 from tidemark.plans.registry import query, rounded, table
 from tidemark.session import stored
 
@@ -194,6 +194,31 @@ def referee_alpha_decay(spark, d):
     return rounded(referees.alpha_decay(_lines(spark, d)).drop("p"), "statistic", digits=5)
 
 
+_AT = f"l0 AS (SELECT pair, idx, x + y / 100 AS x, y FROM (WITH {_LINES} SELECT * FROM l))"
+
+
+def _spread_lines(spark, d):
+    """_lines() whose x has nearly as many values as rows."""
+    return _lines(spark, d).withColumn("x", F.col("x") + F.col("y") / 100)
+
+
+@query(f"""WITH {_AT}, s AS (SELECT pair, x, lead(x) OVER w AS nx, {_SUMS} FROM l0 WINDOW w AS (PARTITION BY pair ORDER BY x, idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY pair)),
+f AS (SELECT pair, x, cn, tn, (({_sse("t")}) - ({_sse("c")}) - ({_sse("c", "t")})) / 2 / ((({_sse("c")}) + ({_sse("c", "t")})) / (tn - 4)) AS f, (cn * csxy - csx * csy) / (cn * csxx - csx * csx) AS l, ((tn - cn) * (tsxy - csxy) - (tsx - csx) * (tsy - csy)) / ((tn - cn) * (tsxx - csxx) - (tsx - csx) ** 2) AS r
+FROM s WHERE nx > x AND cn >= greatest(floor(tn * 0.15), 3) AND cn <= least(floor(tn * 0.85), tn - 3)), b AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY f DESC, cn) AS k FROM f)
+SELECT pair, tn::BIGINT AS n, x AS breakpoint, round(f, 4) AS statistic, round(l, 4) AS left, round(r, 4) AS right, f > 6.91 AS found FROM b WHERE k = 1""")
+def breakpoints(spark, d):
+    return rounded(breaks.breakpoints(_spread_lines(spark, d)), "statistic", "left", "right", digits=4)
+
+
+@query(f"""WITH {_AT}, s AS (SELECT pair, idx, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM l0 WINDOW w AS (PARTITION BY pair ORDER BY idx)),
+o AS (SELECT pair, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, stddev_pop(y) AS dy, arg_min(x, idx) AS x0, arg_min(y, idx) AS y0, arg_max(x, idx) AS x1, arg_max(y, idx) AS y1 FROM l0 GROUP BY 1),
+g AS (SELECT pair, avg(gap) AS gap FROM (SELECT pair, least(floor((x - lx) / (hx - lx) * 10), 9) AS part, avg(y) FILTER (x > px) - avg(y) FILTER (x < px) AS gap FROM s JOIN o USING (pair) WHERE px IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT pair, count(*) FILTER (x > px) AS rising, count(*) FILTER (x < px) AS falling, sum(px * y - x * py) AS twice FROM s GROUP BY 1)
+SELECT pair, n, rising, falling, round((twice + x1 * y0 - x0 * y1) / 2 / ((hx - lx) * (hy - ly)), 5) AS loop, round(gap / dy, 5) AS gap, abs(gap / dy) > 0.2 AS found FROM o JOIN t USING (pair) JOIN g USING (pair)""")
+def hysteresis(spark, d):
+    return rounded(breaks.hysteresis(_spread_lines(spark, d)), "loop", "gap", digits=5)
+
+
 @query()
 def referee_gates(spark, d):
     """statistic, p and verdict of the tests whose certainty is a seeded bootstrap's: no SQL form."""
@@ -257,8 +282,7 @@ e AS (SELECT * FROM (SELECT *, lag(x) OVER o AS x1, lag(x, 2) OVER o AS x2, lag(
 a AS ({_mapped("y", "x")}), b AS ({_mapped("x", "y")})
 SELECT pair, round(a.skill, 5) AS there, round(b.skill, 5) AS back FROM a JOIN b USING (pair)""")
 def cross_mapping_skill(spark, d):
-    lines = _lines(spark, d).withColumn("x", F.col("x") + F.col("y") / 100)  # else x has so few values that neighbours tie
-    skill = information.cross_mapping_skill(lines, fractions=(1.0,)).groupBy("pair").pivot("way", ["there", "back"]).agg(F.first("skill"))
+    skill = information.cross_mapping_skill(_spread_lines(spark, d), fractions=(1.0,)).groupBy("pair").pivot("way", ["there", "back"]).agg(F.first("skill"))
     return rounded(skill, "there", "back", digits=5)
 
 
