@@ -234,17 +234,17 @@ class Told:
 
     def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str], tokens: dict[bytes, int]):
         self.place = {s: i for i, s in enumerate(stretches)}
-        self.numbers = np.stack(numbers, axis=1) if numbers[0].size else np.zeros((0, 6), np.int64)
+        self.small = np.stack(numbers[:-1], axis=1).astype(np.uint8)  # a stretch has LONG bytes at most
+        self.sums = numbers[-1]
         self.groups = [g.encode() for g in groups]
         self.token = {str(i): t for t, i in tokens.items()}
 
-    def unpacked(self, row: str) -> tuple[str, np.ndarray, bytes]:
+    def unpacked(self, row: str) -> tuple[str, tuple]:
         """A rare stretch, its figures and groups, from packed()."""
         best, total, groups = row.split(" ")
-        parts = groups.split(";")
-        a = [i for p in parts for i in p[: p.index("|")].split(",")]
-        n = len(parts)  # each group ends with a link
-        return b"".join([self.token[i] for i in a]).decode(), np.array([len(a), groups.count(",") + 2 * n - len(a), n, n, int(best), int(total)]), groups.encode()
+        a = [i for p in groups.split(";") for i in p[: p.index("|")].split(",")]
+        n = groups.count(";") + 1  # each group ends with a link
+        return b"".join([self.token[i] for i in a]).decode(), (len(a), groups.count(",") + 2 * n - len(a), n, n, int(best), int(total), groups.encode())
 
     def of(self, text: str | None, more: list[str] | None) -> tuple[np.ndarray, str]:
         """The sums and the groups' hash of a text; more: its rare stretches' packed()."""
@@ -252,14 +252,18 @@ class Told:
         if not each:
             return np.zeros(6, np.int64), ""
         get = self.place.get
-        own = {stretch: (numbers, groups) for stretch, numbers, groups in map(self.unpacked, more or ())}
-        places = [get(s, -1) for s in each]
-        known = np.array(places)
-        sums = self.numbers[known[known >= 0]].sum(axis=0)
-        parts = [self.groups[p] if p >= 0 else b"" for p in places]
-        for i in np.flatnonzero(known < 0).tolist():
-            numbers, parts[i] = own[each[i]]
-            sums = sums + numbers
+        places = np.array([get(s, -1) for s in each])
+        known = places[places >= 0]
+        sums = np.append(self.small[known].sum(axis=0, dtype=np.int64), self.sums[known].sum())
+        groups = self.groups
+        parts = [groups[p] for p in places.tolist()] if groups else [b""] * len(each)  # at rare ones any
+        if len(known) < len(each):
+            own = dict(map(self.unpacked, more or ()))
+            rows = []
+            for i in np.flatnonzero(places < 0).tolist():
+                rows.append(row := own[each[i]])
+                parts[i] = row[6]
+            sums += np.array([r[:6] for r in rows]).sum(axis=0)
         return sums, hashlib.sha256(b";".join(parts)).hexdigest()
 
 
@@ -301,6 +305,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
             each = [[hashed(s) for s in set(stretches(t)).difference(of)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__hash"), pa.array(each, pa.list_(pa.int64()))], ["__hash", "rare"])
 
+    def pressed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__hash"), pa.array([press.compress(t.encode()) if t else None for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "__hash", "text"])
+
     rare = keep(texts.select("__hash", "text").mapInArrow(seldom, "__hash bigint, rare array<bigint>"), "rare-stretches")
     n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
@@ -311,13 +323,16 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     met = joined_apart(asked, rest, "stretch", keep(scorer.told(few).select(F.xxhash64("stretch").alias("stretch")).distinct(), "hot-stretches"), "inner")
     more = met.groupBy("__hash").agg(F.collect_list("figures").alias("more"))
     hot = keep(rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_from(n_rows)), "hot-texts")
-    joined = joined_apart(texts, more, "__hash", hot, "left")
+    joined = joined_apart(texts.mapInArrow(pressed, "doc_id bigint, __hash bigint, text binary"), more, "__hash", hot, "left")
 
     def told_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [known.value.of(*x) for x in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True)]
+            texts = [t and press.decompress(t).decode() for t in batch.column("text").to_pylist()]
+            rows = [known.value.of(*x) for x in zip(texts, batch.column("more").to_pylist(), strict=True)]
             sums = np.array([r[0] for r in rows], np.int64).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sums[:, i].copy()) for i in range(6)), pa.array([r[1] for r in rows], pa.string())], ["doc_id", *FIGURES[:-1], "groups_sha256"])
 
