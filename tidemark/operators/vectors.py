@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import special
-from tidemark.operators import information
+from tidemark.operators import complexity, information
 
 CHUNK = 2048
 SEED = 42
@@ -34,11 +34,14 @@ POINTS = (0.1, 0.25, 0.5, 0.6, 0.75, 0.9)
 @dataclass(frozen=True)
 class Test:
     """kernel(chunk, rng): sums of a chunk (a frame of idx, x, y, what `facts` adds, and `n`, the pair's rows); finish(n, sums, rng):
-    statistic, p, passed. ordered: chunks are stretches of the order."""
+    statistic, p, passed. ordered: chunks are stretches of the order. before and after: so many rows around a stretch come with it, with
+    core false; `at` is a row's place from 0 (idx must have no gaps)."""
 
     kernel: Callable[[pd.DataFrame, np.random.Generator], np.ndarray]
     finish: Callable[[int, np.ndarray, np.random.Generator], tuple[float, float, bool]]
     ordered: bool = False
+    before: int = 0
+    after: int = 0
 
 
 def facts(pairs: DataFrame, least: int = 10) -> DataFrame:
@@ -62,9 +65,20 @@ def chunks(rows: DataFrame, ordered: bool) -> DataFrame:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("pair", "idx", F.lit(SEED)), parts))
 
 
+def with_surroundings(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """rows, as facts() has them, with their chunk (a stretch), at and core; and again in the chunks whose surroundings they are."""
+    parts = F.ceil(F.col("n") / CHUNK)
+    length = F.ceil(F.col("n") / parts)
+    at = rows.withColumns({"at": F.col("idx") - F.col("from"), "parts": parts}).withColumn("length", length)
+    own = F.floor(F.col("at") / F.col("length"))
+    low, high = (F.greatest(F.least(F.floor(v / F.col("length")), F.col("parts") - 1), F.lit(0)) for v in (F.col("at") - after, F.col("at") + before))
+    return at.withColumn("chunk", F.explode(F.sequence(low, high))).withColumn("core", F.col("chunk") == own).drop("parts", "length")
+
+
 def judged(pairs: DataFrame, test: Test, least: int = 10) -> DataFrame:
     """RESULT of a test for each pair."""
-    return summed(chunks(facts(pairs, least), test.ordered), test)
+    rows = facts(pairs, least)
+    return summed(with_surroundings(rows, test.before, test.after) if test.before or test.after else chunks(rows, test.ordered), test)
 
 
 def summed(rows: DataFrame, test: Test) -> DataFrame:
@@ -159,7 +173,7 @@ def functional_form(folds: int = 5) -> Test:
 # --- topology
 
 
-def homology(cells: int = 32, rounds: int = 50) -> Test:
+def homology(cells: int = 32, rounds: int = 200) -> Test:
     """Persistence of connected components: the longest edge of the least spanning tree over the median one, against shuffles.
     Points count by the cell of a fixed grid that they lie in, so the tree has at most cells * cells nodes."""
 
@@ -183,7 +197,7 @@ def homology(cells: int = 32, rounds: int = 50) -> Test:
     def finish(n, sums, rng):
         observed, *null = (ratio(g) for g in sums.reshape(-1, cells * cells))
         p = _p(np.array(null), observed)
-        return observed, p, observed >= 3 and p < 0.05
+        return observed, p, observed >= 3 and p < 0.01
 
     return Test(kernel, finish)
 
@@ -220,39 +234,6 @@ def lempel_ziv_synergy(rounds: int = 100) -> Test:
     return Test(kernel, finish, ordered=True)
 
 
-def compressed_stability(pairs: DataFrame, width: int = 30, steps: int = 10, rounds: int = 100, least: int = 10) -> DataFrame:
-    """RESULT: how even the compressed lengths of windows of y's codes are (1 - cv), against windows of shuffled codes. The test looks
-    at windows of `width` rows at every tenth of the series; shuffles draw from the counts of all codes."""
-    import zlib
-
-    rows = facts(pairs, least)
-    counts = rows.groupBy("pair").agg(*[F.count_if(F.col("b") == i).alias(f"c{i}") for i in range(8)])
-    step = F.greatest(F.floor(F.col("n") / steps), F.lit(1))
-    number = F.explode(F.sequence(F.lit(0), F.ceil(F.lit(width) / step).cast("int")))
-    first = F.col("idx") - F.col("from")
-    near = rows.select("pair", "n", "idx", "b", first.alias("at"), step.alias("step"), number.alias("back"))
-    window = F.floor(F.col("at") / F.col("step")) - F.col("back")
-    near = near.withColumn("window", window).where((F.col("window") >= 0) & (F.col("at") - F.col("window") * F.col("step") < width) & (F.col("window") * F.col("step") + width <= F.greatest("n", F.lit(width))))
-
-    def sizes(windows: list[np.ndarray]) -> float:
-        size = np.array([len(zlib.compress(w.astype(np.uint8).tobytes(), 9)) for w in windows], float)
-        return 1 - size.std() / size.mean()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:  # at most a few hundred rows
-        part = part.sort_values(["window", "idx"])
-        pair, n = part["pair"].iloc[0], int(part["n"].iloc[0])
-        rng = np.random.default_rng([SEED, crc32(pair.encode())])
-        windows = [g["b"].to_numpy() for _, g in part.groupby("window")]
-        observed = sizes(windows)
-        left = part[[f"c{i}" for i in range(8)]].iloc[0].to_numpy(np.int64)
-        draw = lambda: rng.permutation(np.repeat(np.arange(8), rng.multivariate_hypergeometric(left, min(width, int(left.sum())))))
-        null = np.array([sizes([draw() for _ in windows]) for _ in range(rounds)])
-        p = float((1 + (null <= observed).sum()) / (rounds + 1))
-        return pd.DataFrame({"pair": [pair], "n": [n], "statistic": [observed], "p": [p], "passed": [observed > 0.6 and p > 0.05]})
-
-    return near.join(counts, "pair").groupBy("pair").applyInPandas(run, RESULT)
-
-
 # --- counterfactual
 
 
@@ -289,22 +270,40 @@ def segment_size(n: int) -> int:
     return int(max(8, min(256, 2 * n // 9)))
 
 
-def welch(rounds: int = 100) -> Test:
-    """Welch's coherence: cross spectra averaged over half-overlapping Hann windows, without the mean; against shuffles."""
+def tapers(method: str, size: int) -> tuple[np.ndarray, int]:
+    """Weights of a window's rows, a row for each taper, and how far windows lie apart. welch: a Hann window, half overlapping; periodogram:
+    none; multitaper: five orthogonal sine tapers."""
+    if method == "welch":
+        return np.hanning(size)[None], max(1, size // 2)
+    if method == "periodogram":
+        return np.ones((1, size)), size
+    if method == "multitaper":
+        return np.sqrt(2 / (size + 1)) * np.sin(np.pi * np.outer(np.arange(1, 6), np.arange(1, size + 1)) / (size + 1)), size
+    raise ValueError(method)
 
-    def spectra(v: np.ndarray, size: int) -> np.ndarray:
-        parts = np.lib.stride_tricks.sliding_window_view(v, size)[:: max(1, size // 2)]
-        return np.fft.rfft((parts - parts.mean(1, keepdims=True)) * np.hanning(size), axis=1)[:, 1:]
+
+def spectral(method: str = "welch", rounds: int = 100, limit: float = 0.5) -> Test:
+    """The mean coherence: cross spectra averaged over windows (without their mean) and tapers; against shuffles. A window belongs to the
+    chunk that it starts in, which holds the rows up to its end."""
+
+    def spectra(v: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        parts = np.lib.stride_tricks.sliding_window_view(v, size)[starts]
+        weights, _ = tapers(method, size)
+        return np.fft.rfft((parts - parts.mean(1, keepdims=True))[:, None] * weights, axis=2)[:, :, 1:].reshape(-1, size // 2)
 
     def kernel(part, rng):
         x, y = _standard(part)
         size = segment_size(int(part["n"].iloc[0]))
-        if len(x) < size:
+        _, step = tapers(method, size)
+        at = part["at"].to_numpy(np.int64)
+        starts = np.flatnonzero((at % step == 0) & part["core"].to_numpy(bool))
+        starts = starts[starts + size <= len(x)]
+        if not len(starts):
             return np.zeros(size // 2 * (1 + 3 * (rounds + 1)))
-        a = spectra(x, size)
+        a = spectra(x, starts, size)
         out = [(np.abs(a) ** 2).sum(0)]
         for v in [y, *(rng.permutation(y) for _ in range(rounds))]:
-            b = spectra(v, size)
+            b = spectra(v, starts, size)
             cross = (a * b.conj()).sum(0)
             out += [cross.real, cross.imag, (np.abs(b) ** 2).sum(0)]
         return np.concatenate(out)
@@ -315,24 +314,35 @@ def welch(rounds: int = 100) -> Test:
         power = xx * rest[:, 2]
         c = (np.where(power > 0, (rest[:, 0] ** 2 + rest[:, 1] ** 2) / np.where(power > 0, power, 1), 0)).mean(1)
         p = _p(c[1:], c[0])
-        return c[0], p, c[0] > 0.4 and p < 0.05
+        return c[0], p, c[0] > limit and p < 0.05
 
-    return Test(kernel, finish, ordered=True)
+    return Test(kernel, finish, ordered=True, before=0, after=256)
 
 
-def wavelet(scales: int = 32, rounds: int = 50, omega: float = 5.0) -> Test:
-    """Wavelet coherence: Morlet transforms at periods from 2 to 100 rows, smoothed over time and neighbouring scales before they are
-    compared (without smoothing it is 1 everywhere); the mean outside the stretches' edges, against shuffles."""
-    s = np.geomspace(2, 100, scales) * omega / (2 * np.pi)
+#: A wavelet's scale for a period, and its transform at scale times frequency.
+WAVELETS: dict[str, tuple[float, Callable[[np.ndarray], np.ndarray]]] = {
+    "morlet": (5.0 / (2 * np.pi), lambda w: np.exp(-0.5 * (w - 5.0) ** 2) * (w > 0)),
+    "paul": (9 / (4 * np.pi), lambda w: np.where(w > 0, np.maximum(w, 0) ** 4 * np.exp(-np.maximum(w, 0)), 0.0)),
+    "dog": (np.sqrt(2.5) / (2 * np.pi), lambda w: w**2 * np.exp(-0.5 * w**2)),
+}
+
+
+def wavelet(form: str = "morlet", scales: int = 32, rounds: int = 50, limit: float = 0.4) -> Test:
+    """Wavelet coherence: transforms (Morlet's, Paul's of order 4, or the second derivative of a Gaussian) at periods from 2 to 100 rows,
+    smoothed over time and neighbouring scales before they are compared (without smoothing it is 1 everywhere); the mean outside the
+    series' edges, against shuffles. Chunks hold the rows around them that their transforms reach."""
+    per_period, transform_of = WAVELETS[form]
+    s = np.geomspace(2, 100, scales) * per_period
 
     def kernel(part, rng):
         x, y = _standard(part)
         n = len(x)
         size = 1 << (2 * n - 1).bit_length()
         f = 2 * np.pi * np.fft.fftfreq(size)
-        mother = np.exp(-0.5 * (s[:, None] * f - omega) ** 2) * (f > 0)
+        mother = transform_of(s[:, None] * f)
         blur = np.exp(-0.5 * (s[:, None] * f) ** 2)
-        far = np.minimum(np.arange(n), n - 1 - np.arange(n)) >= np.sqrt(2) * s[:, None]  # from the edges
+        at, core, of = part["at"].to_numpy(np.int64), part["core"].to_numpy(bool), int(part["n"].iloc[0])
+        far = core & (np.minimum(at, of - 1 - at) >= np.sqrt(2) * s[:, None])  # from the edges
 
         def smooth(w: np.ndarray) -> np.ndarray:
             t = np.fft.ifft(np.fft.fft(w, size, axis=1) * blur, axis=1)[:, :n]
@@ -353,9 +363,9 @@ def wavelet(scales: int = 32, rounds: int = 50, omega: float = 5.0) -> Test:
     def finish(n, sums, rng):
         c = np.clip(sums[1:] / max(sums[0], 1), 0, 1)
         p = _p(c[1:], c[0])
-        return c[0], p, c[0] > 0.4 and p < 0.05
+        return c[0], p, c[0] > limit and p < 0.05
 
-    return Test(kernel, finish, ordered=True)
+    return Test(kernel, finish, ordered=True, before=1024, after=1024)
 
 
 #: RESULT (and more columns) of each test of pairs(pair, idx, x, y).
@@ -368,8 +378,8 @@ TESTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "functional_form": lambda pairs: judged(pairs, functional_form()),
     "homology": lambda pairs: judged(pairs, homology()),
     "lempel_ziv": lambda pairs: judged(pairs, lempel_ziv_synergy()),
-    "complexity": compressed_stability,
+    "complexity": complexity.algorithmic,
     "intervention": lambda pairs: judged(pairs, intervention()),
     "wavelet_coherence": lambda pairs: judged(pairs, wavelet()),
-    "spectral_analysis": lambda pairs: judged(pairs, welch()),
+    "spectral_analysis": lambda pairs: judged(pairs, spectral()),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.merge import TIME_NAMES, TIME_WORDS
-from tidemark.operators import breaks, evidence, information, pairs, referees, relations, sampling, vectors
+from tidemark.operators import breaks, complexity, evidence, information, pairs, referees, relations, sampling, vectors
 from tidemark.plans.registry import query, rounded, table
 from tidemark.session import stored
 
@@ -219,6 +219,42 @@ def hysteresis(spark, d):
     return rounded(breaks.hysteresis(_spread_lines(spark, d)), "loop", "gap", digits=5)
 
 
+@query(f"""WITH {_LINES}, n AS (SELECT pair, count(*) AS n, greatest(floor(count(*) / 10), 1) AS step, min(idx) AS low FROM l GROUP BY 1), w AS (SELECT pair, unnest(range(10))::INTEGER AS window, step, low FROM n),
+v AS (SELECT l.pair, window, 2 * idx + k AS i, CASE WHEN k = 0 THEN x ELSE y END AS v FROM l JOIN w ON l.pair = w.pair AND idx - low >= window * step AND idx - low < window * step + 30 CROSS JOIN (SELECT unnest([0, 1]) AS k)),
+s AS (SELECT *, v - lag(v) OVER (PARTITION BY pair, window ORDER BY i) AS d FROM v)
+SELECT pair, window, (count(*) // 2)::INTEGER AS "rows", round(least(1, 2.0::DOUBLE * (1 + count(*) FILTER (d <> 0)) / count(*)), 6) AS run_length, round(CASE WHEN max(v) > min(v) THEN least(1, stddev_pop(d) / (max(v) - min(v))) ELSE 0.5 END, 6) AS delta FROM s GROUP BY 1, 2""")
+def complexity_windows(spark, d):
+    return rounded(complexity.windows(_lines(spark, d)).drop("lz77"), "run_length", "delta")
+
+
+_SIZE = "greatest(8, least(256, 2 * count(*) // 9))"
+_COHERENCE = f"""{_LINES}, n AS (SELECT pair, count(*) AS n, {_SIZE}::BIGINT AS size FROM l GROUP BY 1),
+z AS (SELECT pair, idx - 1 AS place, (x - avg(x) OVER p) / stddev_pop(x) OVER p AS x, (y - avg(y) OVER p) / stddev_pop(y) OVER p AS y FROM l WINDOW p AS (PARTITION BY pair)),
+t AS (SELECT pair, size, n, j, k, method, CASE method WHEN 'welch' THEN 0.5 - 0.5 * cos(2 * pi() * j / (size - 1)) WHEN 'periodogram' THEN 1 ELSE sqrt(2.0::DOUBLE / (size + 1)) * sin(pi() * k * (j + 1) / (size + 1)) END AS h, CASE method WHEN 'welch' THEN size // 2 ELSE size END AS step
+  FROM (SELECT pair, size, n, unnest(range(size)) AS j FROM n), (VALUES ('welch', 1), ('periodogram', 1), ('multitaper', 1), ('multitaper', 2), ('multitaper', 3), ('multitaper', 4), ('multitaper', 5)) AS m(method, k)),
+w AS (SELECT pair, method, k, unnest(range(0, n - size + 1, step)) AS start FROM (SELECT DISTINCT pair, method, k, n, size, step FROM t)),
+m AS (SELECT w.pair, method, k, start, avg(x) AS mx, avg(y) AS my FROM w JOIN n USING (pair) JOIN z ON z.pair = w.pair AND place >= start AND place < start + size GROUP BY 1, 2, 3, 4),
+f AS (SELECT pair, unnest(range(1, size // 2 + 1)) AS f, size FROM n),
+v AS MATERIALIZED (SELECT m.pair, m.method, m.k, m.start, t.j, t.size, h * (x - mx) AS x, h * (y - my) AS y FROM m JOIN t ON t.pair = m.pair AND t.method = m.method AND t.k = m.k JOIN z ON z.pair = m.pair AND z.place = m.start + t.j),
+c AS (SELECT v.pair, method, k, start, f, sum(x * cos(2 * pi() * f * j / v.size)) AS xr, sum(x * sin(2 * pi() * f * j / v.size)) AS xi, sum(y * cos(2 * pi() * f * j / v.size)) AS yr, sum(y * sin(2 * pi() * f * j / v.size)) AS yi FROM v JOIN f ON f.pair = v.pair GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT pair, method, f, (sum(xr * yr + xi * yi) ** 2 + sum(xi * yr - xr * yi) ** 2) / (sum(xr ** 2 + xi ** 2) * sum(yr ** 2 + yi ** 2)) AS c FROM c GROUP BY 1, 2, 3)"""
+
+
+#: The transform written out; the p of shuffles is the tests'.
+@query(f"WITH {_COHERENCE} SELECT pair, method, round(avg(c), 6) AS statistic FROM g GROUP BY 1, 2")
+def spectral_coherence(spark, d):
+    rows = stored(_lines(spark, d))
+    told = [vectors.judged(rows, vectors.spectral(m, rounds=0)).select("pair", F.lit(m).alias("method"), "statistic") for m in ("welch", "periodogram", "multitaper")]
+    return rounded(reduce(DataFrame.union, told))
+
+
+@query()
+def wavelet_forms(spark, d):
+    """statistic, p and verdict of the three wavelets: no SQL form."""
+    rows = stored(_lines(spark, d))
+    return reduce(DataFrame.union, [rounded(vectors.judged(rows, vectors.wavelet(f)).select("pair", F.lit(f).alias("form"), "n", "statistic", "p", "passed")) for f in vectors.WAVELETS])
+
+
 @query()
 def referee_gates(spark, d):
     """statistic, p and verdict of the tests whose certainty is a seeded bootstrap's: no SQL form."""
