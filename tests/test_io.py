@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import relations
 from tidemark.sources import readers, sinks
 from tidemark.streaming import streams
 
@@ -91,10 +92,54 @@ def test_stream_windows_and_sessions(spark, tmp_path):
     assert sorted(r["n"] for r in runs)[:2] in ([1, 2], [2, 2])
 
 
-def test_stream_sequence_and_release(spark, tmp_path):
+def let_through(spark, frame, name, stale=None):
+    with streams.stateful(spark):
+        return streams.completed(streams.released(frame, stale), spark, name).collect()
+
+
+def test_stream_release(spark, tmp_path):
     rows = [("s", "b", "a"), ("s", "c", "b"), ("s", "a", None), ("s", "d", "x"), ("t", "b", "a")]
-    got = streams.completed(streams.released(stream(spark, tmp_path, rows, "scope string, id string, waits_for string")), spark, "t_release").collect()
-    assert {(r["scope"], r["id"]) for r in got} == {("s", "a"), ("s", "b"), ("s", "c")}
+    got = let_through(spark, stream(spark, tmp_path, rows, "scope string, id string, waits_for string"), "t_release")
+    assert sorted((r["scope"], r["id"]) for r in got) == [("s", "a"), ("s", "b"), ("s", "c")]
+
+
+def test_stream_release_over_many_batches(spark, tmp_path):
+    """Items wait for one that comes batches later; chains and crowds are let through once."""
+    schema = "scope string, id string, waits_for string"
+    for n in range(6):
+        items = [("s", f"{n}-{i}", f"{n + 1}-{i}" if n < 5 else None) for i in range(40)] + [("s", f"crowd-{n}-{i}", "late") for i in range(30)] + [("t", f"{n}", None)]
+        stream(spark, tmp_path, items + ([("s", "late", None)] if n == 4 else []), schema)
+    frame = streams.events(spark, str(tmp_path), spark.createDataFrame([], schema).schema, maxFilesPerTrigger="1")
+    got = [(r["scope"], r["id"]) for r in let_through(spark, frame, "t_release_many")]
+    assert len(got) == len(set(got)) == 6 * 40 + 6 * 30 + 6 + 1
+
+
+def test_stale_scopes_are_forgotten(spark, tmp_path):
+    t, schema = datetime(2024, 1, 1), "scope string, id string, waits_for string, ts timestamp"
+    batches = [[("old", "a", None, t), ("old", "b", "late", t), ("new", "b", "late", t)], [("new", "x", None, t + timedelta(minutes=20)), ("other", "y", None, t + timedelta(minutes=20))],
+               [("new", "x2", None, t + timedelta(minutes=45)), ("other", "z", None, t + timedelta(minutes=45))], [("other", "w", None, t + timedelta(minutes=46))], [("old", "late", None, t + timedelta(minutes=47)), ("old", "c", "a", t + timedelta(minutes=47)), ("new", "late", None, t + timedelta(minutes=47))]]
+    for rows in batches:
+        stream(spark, tmp_path, rows, schema)
+    frame = streams.events(spark, str(tmp_path), spark.createDataFrame([], schema).schema, maxFilesPerTrigger="1").withWatermark("ts", "0 seconds")
+    got = {(r["scope"], r["id"]) for r in let_through(spark, frame, "t_stale", 30)}
+    assert {("new", "b"), ("new", "late"), ("old", "a"), ("old", "late")} <= got  # the new scope still knew what waits
+    assert ("old", "b") not in got and ("old", "c") not in got  # the old one had forgotten what waited, and what had come
+
+
+def test_stream_sequence(spark, tmp_path):
+    rows = [("u", datetime(2024, 1, 1, 0, i % 7), i) for i in range(30)]
+    got = streams.completed(streams.sequenced(stream(spark, tmp_path, rows, "session_id string, ts timestamp, event_id long")), spark, "t_sequence").collect()
+    order = [i for _, _, i in sorted(rows, key=lambda r: (r[1], r[2]))]
+    assert {r["event_id"]: r["seq"] for r in got} == {i: n + 1 for n, i in enumerate(order)}
+
+
+def test_drift_guard_parts_batches(spark, tmp_path):
+    base = spark.createDataFrame([(float(i % 50), f"k{i % 5}") for i in range(400)], "v double, k string")
+    kept, apart = [], []
+    check = streams.drift_guard(relations.fingerprint(base, ["v", "k"]), ["v", "k"], lambda b, n: kept.append((n, b.count())), lambda b, n: apart.append((n, b.count())))
+    check(base, 1)
+    check(spark.createDataFrame([(float(i % 50),) for i in range(300)], "v double"), 2)
+    assert kept == [(1, 400)] and apart == [(2, 300)]
 
 
 def test_entry_points():

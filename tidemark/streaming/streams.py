@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
 from tidemark.operators import relations
@@ -60,37 +62,96 @@ def sequenced(stream: DataFrame, key: str = "session_id") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(number, f"{key} string, event_id bigint, seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def released(stream: DataFrame) -> DataFrame:
-    """Items let through once what they wait for has come. stream(scope, id, waits_for): an item without waits_for comes at once and
-    releases those that wait for its id within the scope, at any later or earlier time; chains are released in one go."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, ids, needs = (list(x) for x in state.get) if state.exists else ([], [], [])
-        here, waiting = set(done), defaultdict(list)
-        free, out = [], []
-        for i, need in [*zip(ids, needs, strict=True), *((r.id, r.waits_for) for part in parts for r in part.itertuples())]:
-            if need is None or need != need or need in here:
-                free.append(i)
-            else:
-                waiting[need].append(i)
-        while free:  # each item is let through once
-            i = free.pop()
-            out.append(i)
-            here.add(i)
-            free += waiting.pop(i, [])
-        left = [(i, need) for need, those in waiting.items() for i in those]
-        state.update((sorted(here), [i for i, _ in left], [need for _, need in left]))
-        yield pd.DataFrame({"scope": [k[0]] * len(out), "id": out})
+class Release(StatefulProcessor):
+    """Lets items through once what they wait for has come.
+
+    State is kept by id, in maps: the ids that came, how many items wait for an id, and the n-th of them. So a batch reads and writes what
+    its items name and release, however many ids a scope has. With `stale` (minutes), a scope without rows for so long is forgotten by a
+    timer that each batch puts off; what still waits there never comes.
+    """
+
+    def __init__(self, stale: int | None):
+        self.stale = stale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getMapState("done", "id string", "here boolean")
+        self.count = handle.getMapState("count", "need string", "n int")
+        self.waiting = handle.getMapState("waiting", "need string, n int", "id string")
+        self.timer = handle.getValueState("timer", "at bigint")
 
-    return stream.groupBy("scope").applyInPandasWithState(step, "scope string, id string", "done array<string>, ids array<string>, needs array<string>", "append", GroupStateTimeout.NoTimeout)
+    def _pushed_off(self, timers: TimerValues) -> None:
+        now = timers.getCurrentWatermarkInMs()
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(now + self.stale * 60_000)
+        self.timer.update((now + self.stale * 60_000,))
+
+    def _freed(self, item: str) -> Iterator[str]:
+        """The item and what waited for it, and so on; each once."""
+        free = [item]
+        while free:
+            i = free.pop()
+            self.done.updateValue((i,), (True,))
+            yield i
+            if self.count.containsKey((i,)):
+                n = self.count.getValue((i,))[0]
+                for k in range(n):
+                    free.append(self.waiting.getValue((i, k))[0])
+                    self.waiting.removeKey((i, k))
+                self.count.removeKey((i,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.stale is not None:
+            self._pushed_off(timerValues)
+        for part in rows:
+            out = []
+            for item, need in zip(part["id"], part["waits_for"], strict=True):
+                if need is None or need != need or self.done.containsKey((need,)):
+                    out += self._freed(item)
+                else:
+                    n = self.count.getValue((need,))[0] if self.count.containsKey((need,)) else 0
+                    self.waiting.updateValue((need, n), (item,))
+                    self.count.updateValue((need,), (n + 1,))
+            yield pd.DataFrame({"scope": [key[0]] * len(out), "id": out}, dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.done, self.count, self.waiting, self.timer):
+            state.clear()
+        yield pd.DataFrame({"scope": [], "id": []}, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def released(stream: DataFrame, stale: int | None = None) -> DataFrame:
+    """Items let through once what they wait for has come. stream(scope, id, waits_for): an item without waits_for comes at once and
+    releases those that wait for its id within the scope, at any later or earlier time; chains are released in one go. stale: scopes
+    without rows for so many minutes of event time are forgotten; the stream then has a watermark. Needs the state store of
+    stateful()."""
+    mode = "None" if stale is None else "EventTime"
+    return stream.groupBy("scope").transformWithStateInPandas(Release(stale), "scope string, id string", "append", mode)
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in the store that maps and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def drift_guard(baseline: DataFrame, columns: list[str], accept: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: batches whose drift from the baseline's fingerprint is high go to quarantine."""
+    """A foreachBatch function: batches whose drift from the baseline's fingerprint is high go to quarantine. Columns that a batch lacks count
+    as removed."""
 
     def check(batch: DataFrame, number: int) -> None:
         batch.persist()
-        changes = relations.drift(baseline, relations.fingerprint(batch, columns))
+        changes = relations.drift(baseline, relations.fingerprint(batch, [c for c in columns if c in batch.columns]))
         (quarantine if relations.drift_summary(changes).first()["quarantined"] else accept)(batch, number)
         batch.unpersist()
 
