@@ -66,3 +66,27 @@ def test_reach_equals_breadth_first_search(spark, nodes, links):
     steps = spark.createDataFrame(edges + [(b, a) for a, b in edges], "a string, b string")
     got = {r["node"]: (r["reach_1"], r["reach_2"], r["reach_4"]) for r in relations.reached(steps, (1, 2, 4)).collect()}
     assert got == {n: tuple(plain_reach(edges, d)[n] for d in (1, 2, 4)) for n in plain_reach(edges, 1)}
+
+
+@pytest.mark.parametrize("least", [0.85, 0.6])
+def test_twins_equal_all_pairs(spark, least):
+    r = random.Random(7)
+    near = {}
+    for g in range(12):
+        members = r.sample(range(60), r.randrange(1, 6))
+        for k in range(3):
+            near[f"g{g}-{k}"] = {m: r.choice((0.5, 0.52, 0.9)) for m in members if r.random() < 0.9} | {0: 0.5}
+    edges = [(n, f"m{m}", e) for n, x in near.items() for m, e in x.items()]
+    both = {}
+    for a, b, e in edges:
+        both.setdefault(a, {})[b] = e
+        both.setdefault(b, {})[a] = e
+    want = {}
+    for u, v in combinations(sorted(both), 2):
+        common = both[u].keys() & both[v].keys()
+        if common:
+            s = (len(common) / min(len(both[u]), len(both[v])) + 1 - sum(abs(both[u][c] - both[v][c]) for c in common) / len(common)) / 2
+            if s >= least:
+                want[u, v] = s
+    got = {(t["u"], t["v"]): t["similarity"] for t in relations.twins(spark.createDataFrame(edges, "a string, b string, effect double"), least).collect()}
+    assert got == pytest.approx(want) and len(want) > 10

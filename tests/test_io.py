@@ -77,6 +77,21 @@ def test_sinks(spark, tmp_path):
     assert good.count() == 1 and {tuple(r["broken"]) for r in bad.collect()} == {("small",), ("kind",)}
 
 
+def test_tables_of_a_database(spark):
+    """The embedded database that comes with Spark."""
+    url, driver = "jdbc:derby:memory:tidemark;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.createDataFrame([(i if i % 10 else None, f"r{i}", datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(100)], "id long, name string, at timestamp")
+    rows.write.format("jdbc").options(url=url, dbtable="items", driver=driver).mode("overwrite").save()
+    for column in ("id", "at"):
+        got = readers.read_table(spark, url, "items", column, 7, driver=driver)
+        assert got.rdd.getNumPartitions() == 7 and sorted(r["name"] for r in got.collect()) == sorted(f"r{i}" for i in range(100))
+    plan = readers.read_table(spark, url, "items", "id", 7, driver=driver).where("id > 90")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ID,90)" in plan.replace("id", "ID")
+    assert readers.read_table(spark, url, "items", driver=driver).count() == readers.read_table(spark, url, "(SELECT * FROM items) picked", "id", driver=driver).count() == 100
+    empty = readers.read_table(spark, url, "(SELECT * FROM items WHERE 1 = 0) picked", "id", driver=driver)
+    assert empty.count() == 0
+
+
 def stream(spark, tmp_path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
     return streams.events(spark, str(tmp_path), spark.createDataFrame([], schema).schema)

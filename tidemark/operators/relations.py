@@ -150,12 +150,20 @@ def blast_radius(edges: DataFrame, least: float = 0.3, depth: int = 3) -> DataFr
 def twins(edges: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs of nodes with like neighbours: ((shared / smaller degree) + (1 - mean difference of effects)) / 2 of `least` or more.
 
-    Pairs meet on shared neighbours only. edges(a, b, effect), undirected.
+    So 2 * least - 1 of the smaller one's neighbours must be shared: of its neighbours in the order of their degrees, one among the first is.
+    Nodes meet on those alone, and hubs come last. edges(a, b, effect), undirected.
     """
-    both = edges.select("a", "b", "effect").union(edges.select("b", "a", "effect"))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    met = both.alias("x").join(both.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.a") < F.col("y.a")))
-    shared = met.groupBy(F.col("x.a").alias("u"), F.col("y.a").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.avg(F.abs(F.col("x.effect") - F.col("y.effect"))).alias("gap"))
+    both = stored(edges.select("a", "b", "effect").union(edges.select("b", "a", "effect")))
+    degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("a").orderBy("nb", "b")  # of one node's neighbours
+    placed = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b").withColumn("place", F.row_number().over(order))
+    placed = stored(placed.select("a", "b", "n", "place"))
+    first = placed.where(F.col("place") <= F.col("n") - F.greatest(F.ceil(F.col("n") * (2 * least - 1) - 1e-9), F.lit(1)) + 1)
+    x, y = first.alias("x"), placed.alias("y")
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.a") != F.col("y.a")))
+    pairs = stored(met.select(F.least("x.a", "y.a").alias("u"), F.greatest("x.a", "y.a").alias("v")).distinct())
+    ours = pairs.join(both.select(F.col("a").alias("u"), "b", F.col("effect").alias("eu")), "u")
+    shared = ours.join(both.select(F.col("a").alias("v"), "b", F.col("effect").alias("ev")), ["v", "b"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.avg(F.abs(F.col("eu") - F.col("ev"))).alias("gap"))
     sized = shared.join(degree.select(F.col("a").alias("u"), F.col("n").alias("nu")), "u").join(degree.select(F.col("a").alias("v"), F.col("n").alias("nv")), "v")
     return sized.select("u", "v", "shared", ((F.col("shared") / F.least("nu", "nv") + 1 - F.col("gap")) / 2).alias("similarity")).where(F.col("similarity") >= least)
 
@@ -169,8 +177,8 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     number = lambda c: types[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or types[c].startswith("decimal")
     plain = df.select(*[(F.round(F.col(c).cast("double")).cast("string") if number(c) else F.col(c).cast("string")).alias(c) for c in columns])
     freq = P.frequencies(plain, columns)
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("field"))
-    entropy = freq.withColumn("p", p).groupBy("field").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    spread = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
+    entropy = freq.groupBy("field").agg(F.when(F.count(F.lit(1)) == 1, 0.0).otherwise(spread).alias("entropy"))
     aggs = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double") if number(c) else F.lit(None).cast("double")

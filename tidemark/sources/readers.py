@@ -228,3 +228,20 @@ def synthetic_matrix(spark: SparkSession, rows: int = 1000, seed: int = 42) -> D
     """entity_id and four related variables, by seeded generators: violations follow the inspection count."""
     base = spark.range(rows).select(F.format_string("entity_%d", "id").alias("entity_id"), F.floor(F.rand(seed) * 10).cast("double").alias("inspection_count"), F.randn(seed + 1).alias("__e"), F.floor(F.rand(seed + 2) * 4).cast("double").alias("region"))
     return base.select("entity_id", "inspection_count", (F.lit(50.0) + 4 * F.col("inspection_count") + 8 * F.col("__e")).alias("severity_score"), "region", (F.col("inspection_count") + F.col("__e") > 5).cast("double").alias("has_violation"))
+
+
+# --- databases
+
+
+def read_table(spark: SparkSession, url: str, table: str, column: str | None = None, partitions: int = 16, **options: str) -> DataFrame:
+    """A database's table (or a query in brackets with a name). With a whole-number or time column it is read in so many ranges of it at once,
+    whose ends the database tells; rows without a value go to the first. Filters and column lists are the database's work."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if column is None:
+        return reader.option("dbtable", table).load()
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    ends = reader.option("dbtable", f"(SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {table}) ends").load().first()
+    reader = reader.option("dbtable", table)
+    if ends[0] is None or ends[0] == ends[1]:
+        return reader.load()
+    return reader.options(partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=str(partitions)).load()
