@@ -232,19 +232,18 @@ class Scorer:
 class Told:
     """Figures by stretch, from columns of stretches, FIGURES without groups, and groups."""
 
-    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str], tokens: dict[bytes, int]):
+    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str]):
         self.place = {s: i for i, s in enumerate(stretches)}
         self.small = np.stack(numbers[:-1], axis=1).astype(np.uint8)  # a stretch has LONG bytes at most
         self.sums = numbers[-1]
         self.groups = [g.encode() for g in groups]
-        self.token = {str(i): t for t, i in tokens.items()}
 
-    def unpacked(self, row: str) -> tuple[str, tuple]:
+    @staticmethod
+    def unpacked(row: str) -> tuple[str, tuple]:
         """A rare stretch, its figures and groups, from packed()."""
-        best, total, groups = row.split(" ")
-        a = [i for p in groups.split(";") for i in p[: p.index("|")].split(",")]
+        best, total, n_a, groups, stretch = row.split(" ", 4)
         n = groups.count(";") + 1  # each group ends with a link
-        return b"".join([self.token[i] for i in a]).decode(), (len(a), groups.count(",") + 2 * n - len(a), n, n, int(best), int(total), groups.encode())
+        return stretch, (int(n_a), groups.count(",") + 2 * n - int(n_a), n, n, int(best), int(total), groups.encode())
 
     def of(self, text: str | None, more: list[str] | None) -> tuple[np.ndarray, str]:
         """The sums and the groups' hash of a text; more: its rare stretches' packed()."""
@@ -268,8 +267,8 @@ class Told:
 
 
 def packed() -> Column:
-    """What Told.unpacked() takes: the groups tell the stretch and the other figures."""
-    return F.concat_ws(" ", "n_best", "count_sum", "groups")
+    """What Told.unpacked() takes; the groups tell the other figures."""
+    return F.concat_ws(" ", "n_best", "count_sum", "n_a", "groups", "stretch")
 
 
 def joined_apart(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
@@ -291,7 +290,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     short = F.col("size") <= LONG
     frequent = head_of(each.where(short), "n", head) & short
     often = scorer.told(each.where(frequent)).select("stretch", *FIGURES).toArrow()
-    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist(), encoder(path_a).coder._mergeable_ranks))
+    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs)[1], F.col("text").cast("string").alias("text"))
 
@@ -317,7 +316,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
     asked = copies.select("__hash", F.explode("rare").alias("stretch"))
-    # joined by hashes: the figures tell their stretch, so those of another with the same hash do no harm
+    # joined by hashes: the figures name their stretch, so those of another with the same hash do no harm
     rest = scorer.told(each.where(~frequent)).select(F.xxhash64("stretch").alias("stretch"), packed().alias("figures"))
     few = each.where(~short & (F.col("n") > hot_from(n_rare)))  # a short one's occurrences are less than HEAD others' have
     met = joined_apart(asked, rest, "stretch", keep(scorer.told(few).select(F.xxhash64("stretch").alias("stretch")).distinct(), "hot-stretches"), "inner")
