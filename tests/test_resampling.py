@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import referees, resampling, sampling
 
@@ -99,3 +100,43 @@ def test_numbers_within_keys(spark):
     for i, (k, v) in enumerate(rows):
         want.setdefault(k, []).append((v, i))
     assert {(r["k"], r["i"]): r["at"] for r in got} == {(k, i): n + 1 for k, x in want.items() for n, (v, i) in enumerate(sorted(x))}
+
+
+@pytest.mark.parametrize("stretch", [4096, 16, 5])
+def test_series_by_stretches_equal_whole_ones(spark, monkeypatch, stretch):
+    from tidemark.operators import merge
+
+    r = np.random.default_rng(6)
+    days = np.sort(r.choice(np.arange(0, 300 * 24), 400, replace=False)) / 24  # whole hours
+    values = [None if i % 9 == 4 else float(v) for i, v in enumerate(r.normal(0, 5, 400))]
+    rows = [("s", float(round(t * 86_400)), v) for t, v in zip(days, values, strict=True)] + [("t", 0.0, 1.0), ("t", 86_400.0 * 5, 2.0), ("u", 7.0, None)]
+    points = spark.createDataFrame(rows, "series string, ts double, value double").selectExpr("series", "timestamp_micros(cast(ts * 1000000 AS bigint)) AS ts", "value").repartition(3)
+    monkeypatch.setattr(merge, "STRETCH", stretch)
+    known = [(t, v) for t, v in zip(days, values, strict=True) if v is not None]
+    got = {x["bucket"] / 86_400: x["value"] for x in merge.resampled(points.where("series = 's'"), "day").collect()}
+    line = {x["bucket"] / 86_400: x["value"] for x in merge.resampled(points.where("series = 's'"), "day", linear=True).collect()}
+    at = [days[0] + k for k in range(int(days[-1] - days[0]) + 1)]
+    assert len(got) == len(line) == len(at)
+    for b in at:
+        key = min(got, key=lambda g: abs(g - b))
+        before = [v for t, v in known if t <= b + 1e-9]
+        assert got[key] == (before[-1] if before else None)
+        if before:
+            assert line[min(line, key=lambda g: abs(g - b))] == pytest.approx(np.interp(b, *zip(*known, strict=True)) if b <= known[-1][0] else before[-1], abs=1e-6)
+    assert {x["series"]: x["n"] for x in merge.resampled(points, "day").groupBy("series").agg(F.count("bucket").alias("n")).collect()} == {"s": len(at), "t": 6, "u": 1}
+
+
+def test_splines_in_pieces_equal_whole_ones(spark, monkeypatch):
+    from tidemark.operators import merge
+
+    r = np.random.default_rng(7)
+    seen = {int(k): float(np.sin(k / 9) + r.normal(0, 0.1)) for k in np.sort(r.choice(1500, 700, replace=False))}
+    rows = [("s", float(k), seen.get(k), k in seen) for k in range(1500)] + [("t", float(k), float(k) if k in (0, 5) else None, k in (0, 5)) for k in range(6)] + [("none", 1.0, None, False)]
+    grid = spark.createDataFrame(rows, "series string, bucket double, value double, observed boolean").repartition(4)
+    whole = {(x["series"], x["bucket"]): x["value"] for x in merge.spline(grid).collect()}
+    monkeypatch.setattr(merge, "STRETCH", 100)
+    parts = {(x["series"], x["bucket"]): x["value"] for x in merge.spline(grid).collect()}
+    assert whole.keys() == parts.keys() and len(parts) == len(rows)
+    inside = {k: v for k, v in whole.items() if k[0] != "none" and min(seen) <= k[1] <= max(seen)}
+    assert all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in inside.items()) and all(parts["s", float(k)] == pytest.approx(v) for k, v in seen.items())
+    assert [parts["t", float(k)] for k in range(6)] == pytest.approx(range(6))

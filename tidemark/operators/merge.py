@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.columns import GRAINS, epoch, parse_timestamp
 from tidemark.operators.temporal import filled
+from tidemark.session import stored
 
 DUPLICATES = ("keep_first", "keep_last", "remove_all", "error")
 # Names of time columns, the likeliest first, and words that such names hold.
@@ -108,18 +109,45 @@ def without_outliers(df: DataFrame, columns: Sequence[str], z: float = 3.0, by:
     return both.where(~reduce(Column.__or__, far)).select(*df.columns)
 
 
+#: Rows of a stretch of a series, about; and knots around one, beyond which a spline isn't felt (each halves what is left and more).
+STRETCH, AROUND = 4096, 64
+
+
+def stretched(rows: DataFrame, by: Sequence[str], t: str = "t") -> DataFrame:
+    """rows with the stretch of their series that they lie in; equal times share one."""
+    of = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / STRETCH).alias("__parts"), F.min(t).alias("__low"), F.max(t).alias("__high"))
+    width = F.col("__high") - F.col("__low")
+    part = F.when(width > 0, F.least(F.floor((F.col(t) - F.col("__low")) * F.col("__parts") / F.when(width > 0, width)), F.col("__parts") - 1)).otherwise(0)
+    return rows.join(of, list(by)).withColumn("stretch", part).drop("__parts", "__low", "__high")
+
+
+def carried(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, ahead: bool = False) -> DataFrame:
+    """rows, which have their stretch, with the last value that isn't null up to each in the order (ahead: the first from it on). Taken within
+    stretches; what a stretch begins without comes from those before it."""
+    inside = Window.partitionBy(*by, "stretch").orderBy(*order)
+    found = F.first(value, True).over(inside.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    pick = F.min_by if ahead else F.max_by
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*by, "stretch").agg(pick(value, F.struct(*order)).alias("__end"))
+    every = rows.select(*by, "stretch").distinct().join(ends, [*by, "stretch"], "left")
+    over = Window.partitionBy(*by).orderBy(F.col("stretch").desc() if ahead else F.col("stretch")).rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+    came = every.select(*by, "stretch", F.last("__end", True).over(over).alias("__came"))
+    return rows.withColumn(name, found).join(came, [*by, "stretch"]).withColumn(name, F.coalesce(name, "__came")).drop("__came")
+
+
 def resampled(points: DataFrame, grain: str, ts: str = "ts", value: str = "value", by: Sequence[str] = ("series",), linear: bool = False) -> DataFrame:
     """by, bucket, value on a grid from each series' first time: the last row at or before a grid point, or linear between neighbours."""
     step = GRAINS[grain]
     first = points.groupBy(*by).agg(F.min(epoch(F.col(ts))).alias("t0"), F.max(epoch(F.col(ts))).alias("t1"))
     grid = first.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("t1") - F.col("t0")) / step).cast("bigint"))).alias("k"), "t0").select(*by, (F.col("t0") + F.col("k") * step).alias("t"), F.lit(True).alias("grid"), F.lit(None).cast("double").alias("v"))
     both = points.select(*by, epoch(F.col(ts)).alias("t"), F.lit(False).alias("grid"), F.col(value).cast("double").alias("v")).unionByName(grid)
-    w = Window.partitionBy(*by).orderBy("t", "grid")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    t = F.when(~F.col("grid"), F.col("t"))
-    marks = both.withColumns({"l": F.last("v", True).over(back), "lt": F.last(t, True).over(back), "r": F.first("v", True).over(ahead), "rt": F.first(t, True).over(ahead)}).where("grid")
-    between = F.col("l") + (F.col("r") - F.col("l")) * F.coalesce(F.try_divide(F.col("t") - F.col("lt"), F.col("rt") - F.col("lt")), F.lit(0.0))
-    return marks.select(*by, F.col("t").alias("bucket"), (F.coalesce(between, F.col("l")) if linear else F.col("l")).alias("value"))
+    known = F.when(F.col("v").isNotNull(), F.struct("v", "t"))
+    rows = stored(stretched(both, by).withColumn("known", known))
+    marks = carried(rows, by, ["t", "grid"], "known", "l")
+    if not linear:
+        return marks.where("grid").select(*by, F.col("t").alias("bucket"), F.col("l.v").alias("value"))
+    marks = carried(stored(marks), by, ["t", "grid"], "known", "r", ahead=True).where("grid")
+    between = F.col("l.v") + (F.col("r.v") - F.col("l.v")) * F.coalesce(F.try_divide(F.col("t") - F.col("l.t"), F.col("r.t") - F.col("l.t")), F.lit(0.0))
+    return marks.select(*by, F.col("t").alias("bucket"), F.coalesce(between, F.col("l.v")).alias("value"))
 
 
 def report(parts: Sequence[DataFrame], result: DataFrame) -> DataFrame:
@@ -130,13 +158,30 @@ def report(parts: Sequence[DataFrame], result: DataFrame) -> DataFrame:
 
 
 def spline(grid: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
-    """Missing grid values by a natural cubic through each series' observed ones. A series' grid, bounded by its span over its step, is one
-    Arrow group; its tridiagonal system is solved by one sweep forward and one back."""
+    """Missing grid values by a natural cubic through each series' observed ones. A series is cut into pieces of STRETCH knots, which are fitted
+    with the AROUND knots on either side; a tridiagonal system is solved by one sweep forward and one back."""
     import numpy as np
     import pandas as pd
 
+    from tidemark.operators.sampling import numbered_within
+
+    columns = grid.columns
+    rows = stretched(grid.withColumn("__t", epoch(F.col("bucket")) if dict(grid.dtypes)["bucket"].startswith("timestamp") else F.col("bucket").cast("double")), by, "__t")
+    knots = stored(numbered_within(grid.where("observed").select(*by, "bucket"), list(by), ["bucket"], "__k"))
+    placed = stored(carried(rows.join(knots, [*by, "bucket"], "left"), by, ["__t"], "__k", "__last"))
+    of = knots.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    placed = placed.join(of, list(by), "left").withColumn("__piece", F.floor(F.greatest(F.coalesce("__last", F.lit(1)) - 1, F.lit(0)) / STRETCH))
+    last = F.greatest(F.floor((F.coalesce("__n", F.lit(1)) - 1) / STRETCH), F.lit(0))
+    low, high = F.greatest(F.floor((F.col("__k") - 1 - AROUND) / STRETCH), F.lit(0)), F.least(F.floor((F.col("__k") - 1 + AROUND) / STRETCH), last)
+    around = F.when(F.col("__k").isNull(), F.array("__piece")).otherwise(F.sequence(low.cast("bigint"), high.cast("bigint")))
+    dealt = placed.withColumn("__own", F.col("__piece")).withColumn("__piece", F.explode(around))
+    dealt = dealt.select(*columns, "__piece", (F.col("__own") == F.col("__piece")).alias("__core"))
+
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bucket")
+        return fitted(part)[part["__core"].to_numpy(bool)][columns]
+
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
         seen = part[part["observed"]]
         x, y = seen["bucket"].to_numpy(float), seen["value"].to_numpy(float)
         if len(x) < 3:
@@ -155,7 +200,7 @@ def spline(grid: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
         b = (y[at + 1] - y[at]) / h[at] - h[at] * (2 * c[at] + c[at + 1]) / 3
         return part.assign(value=y[at] + b * d + c[at] * d**2 + (c[at + 1] - c[at]) / (3 * h[at]) * d**3)
 
-    return grid.groupBy(*by).applyInPandas(fit, grid.schema)
+    return dealt.groupBy(*by, "__piece").applyInPandas(fit, grid.schema)
 
 
 def gap_filled(grid: DataFrame, how: str, by: Sequence[str] = ("series",), longest_gap: int | None = None) -> DataFrame:
