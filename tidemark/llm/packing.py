@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import keep, mixed
+from .util import keep, mixed, small_batches
 
 SEQUENCE = 1024
 BUCKETS = 256
@@ -184,6 +184,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 
 def packed(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """The pieces of all documents: PIECES, ids as little-endian 32-bit numbers."""
+    small_batches(docs.sparkSession)  # ids take four times their place while they are cut
     rows = keep(encoded(docs, path).withColumn("row", F.monotonically_increasing_id()), "ids")
     placed = rows.select("row", "doc_id", "n_tokens", "ids").join(places(rows).hint("shuffle_hash"), "row").select("doc_id", "n_tokens", "ids", "at")
 
