@@ -77,6 +77,15 @@ def running(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     return sums.join(starts, ["pair", "stretch"]).select("pair", "idx", "size", *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in values])
 
 
+def row_at(rows: DataFrame, place: Column) -> DataFrame:
+    """The row of each pair of checked() rows at a place (from 1) of its order. Only the stretch that it lies in is put in order."""
+    counts = rows.groupBy("pair", "size", "stretch").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("pair").orderBy("stretch")) - F.col("__n")  # a row per stretch
+    own = counts.withColumn("__k", place - before).where("__k > 0 AND __k <= __n").select("pair", "stretch", "__k")
+    number = F.row_number().over(Window.partitionBy("pair", "stretch").orderBy("idx"))
+    return rows.join(own, ["pair", "stretch"]).withColumn("__at", number).where("__at = __k").drop("__at", "__k")
+
+
 def ranked(rows: DataFrame, keys: list[str], column: str, name: str, ranges: int = 64) -> DataFrame:
     """rows with `before`, the rows of the same keys with a lesser value, and `name`, the average rank of the value among them.
     Values are counted, dealt into ranges by approximate quantiles and numbered there; a range starts at the sum of those before."""
@@ -184,7 +193,7 @@ def cusum(pairs: DataFrame, limit: float = 5.0, slack: float = 0.5, most: float
     limit of .001 passes only what is calmer.
     """
     rows = checked(pairs)
-    third = running(rows, {"k": F.lit(1)}).where(F.col("k") == F.floor(F.col("size") / 3)).select("pair", F.col("idx").alias("__third"))
+    third = row_at(rows, F.floor(F.col("size") / 3)).select("pair", F.col("idx").alias("__third"))
     fit = rows.join(third, "pair").where(F.col("idx") <= F.col("__third")).groupBy("pair").agg(*[F.sum(c).alias(f"b{k}") for k, c in moments().items()])
     n, sx, sy, sxx, syy, sxy = (F.col(f"b{k}") for k in moments())
     slope = F.coalesce(F.try_divide(n * sxy - sx * sy, F.when(n * sxx - sx * sx > 0, n * sxx - sx * sx)), F.lit(0.0))
