@@ -220,3 +220,13 @@ def stream_first_seen(spark, d):
 @query("SELECT user_id::VARCHAR AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def stream_sequence(spark, d):
     return streams.completed(streams.sequenced(_stream(spark, d).select(F.col("user_id").cast("string").alias("session_id"), "event_id", "ts")), spark, "stream_sequence")
+
+
+#: An event whose number is a multiple of 5, but not of 20, waits for the one 5 before it, if that is of its kind.
+@query("""WITH RECURSIVE e AS (SELECT event_type AS scope, event_id AS i, CASE WHEN event_id % 5 = 0 AND event_id % 20 <> 0 THEN event_id - 5 END AS need FROM events),
+r AS (SELECT scope, i FROM e WHERE need IS NULL UNION SELECT e.scope, e.i FROM e JOIN r ON e.scope = r.scope AND e.need = r.i) SELECT scope, i::VARCHAR AS id FROM r""")
+def stream_release(spark, d):
+    i = F.col("event_id")
+    items = _stream(spark, d).select(F.col("event_type").alias("scope"), i.cast("string").alias("id"), F.when((i % 5 == 0) & (i % 20 != 0), (i - 5).cast("string")).alias("waits_for"))
+    with streams.stateful(spark):
+        return streams.completed(streams.released(items), spark, "stream_release")
