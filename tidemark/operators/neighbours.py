@@ -32,11 +32,16 @@ UNITS = 1 << 40
 
 
 def scaled(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """rows with the columns, less their mean, in 2**-40 of their deviation within the keys: whole numbers (0 for a constant)."""
+    """rows with the columns as whole numbers, UNITS to a deviation within the keys (0 for a constant): steps of 2**-30 of the range, or a bit
+    more, times a whole number. Only the latter depends on the deviation, so equal distances stay equal, in whatever order it is summed."""
     keys = list(keys)
-    of = rows.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("d", F.stddev_pop))])
-    told = {c: F.when(F.col(f"__d_{c}") > 0, F.round((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__d_{c}") * UNITS)).otherwise(0.0).cast("long") for c in columns}
-    return rows.join(of, keys).withColumns(told).drop(*[f"__{n}_{c}" for c in columns for n in "md"])
+    of = rows.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("l", F.min), ("h", F.max), ("d", F.stddev_pop))])
+    told = {}
+    for c in columns:
+        steps = F.pow(F.lit(2.0), F.lit(30) - F.ceil(F.log2(F.col(f"__h_{c}") - F.col(f"__l_{c}"))))
+        whole = F.round((F.col(c) - F.col(f"__l_{c}")) * steps).cast("long") * F.round(F.lit(float(UNITS)) / (F.col(f"__d_{c}") * steps)).cast("long")
+        told[c] = F.when((F.col(f"__h_{c}") > F.col(f"__l_{c}")) & (F.col(f"__d_{c}") > 0), whole).otherwise(F.lit(0).cast("long"))
+    return rows.join(of, keys).withColumns(told).drop(*[f"__{n}_{c}" for c in columns for n in "lhd"])
 
 
 class Grid:

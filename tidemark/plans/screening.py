@@ -219,10 +219,10 @@ def hysteresis(spark, d):
     return rounded(breaks.hysteresis(_spread_lines(spark, d)), "loop", "gap", digits=5)
 
 
-@query(f"""WITH {_LINES}, n AS (SELECT pair, count(*) AS n, greatest(floor(count(*) / 10), 1) AS step, min(idx) AS low FROM l GROUP BY 1), w AS (SELECT pair, unnest(range(10))::INTEGER AS window, step, low FROM n),
-v AS (SELECT l.pair, window, 2 * idx + k AS i, CASE WHEN k = 0 THEN x ELSE y END AS v FROM l JOIN w ON l.pair = w.pair AND idx - low >= window * step AND idx - low < window * step + 30 CROSS JOIN (SELECT unnest([0, 1]) AS k)),
-s AS (SELECT *, v - lag(v) OVER (PARTITION BY pair, window ORDER BY i) AS d FROM v)
-SELECT pair, window, (count(*) // 2)::INTEGER AS "rows", round(least(1, 2.0::DOUBLE * (1 + count(*) FILTER (d <> 0)) / count(*)), 6) AS run_length, round(CASE WHEN max(v) > min(v) THEN least(1, stddev_pop(d) / (max(v) - min(v))) ELSE 0.5 END, 6) AS delta FROM s GROUP BY 1, 2""")
+@query(f"""WITH {_LINES}, n AS (SELECT pair, count(*) AS n, greatest(floor(count(*) / 10), 1) AS step, min(idx) AS low FROM l GROUP BY 1), w AS (SELECT pair, unnest(range(10))::INTEGER AS win, step, low FROM n),
+v AS (SELECT l.pair, win, 2 * idx + k AS i, CASE WHEN k = 0 THEN x ELSE y END AS v FROM l JOIN w ON l.pair = w.pair AND idx - low >= win * step AND idx - low < win * step + 30 CROSS JOIN (SELECT unnest([0, 1]) AS k)),
+s AS (SELECT *, v - lag(v) OVER (PARTITION BY pair, win ORDER BY i) AS d FROM v)
+SELECT pair, win AS "window", (count(*) // 2)::INTEGER AS "rows", round(least(1, 2.0::DOUBLE * (1 + count(*) FILTER (d <> 0)) / count(*)), 6) AS run_length, round(CASE WHEN max(v) > min(v) THEN least(1, stddev_pop(d) / (max(v) - min(v))) ELSE 0.5 END, 6) AS delta FROM s GROUP BY 1, 2""")
 def complexity_windows(spark, d):
     return rounded(complexity.windows(_lines(spark, d)).drop("lz77"), "run_length", "delta")
 
@@ -270,7 +270,8 @@ def _with_confounders(spark, d):
     return sampling.numbered_within(e, ["pair"], ["event_id"], "idx").drop("event_id")
 
 
-_WHOLE = "round(({c} - avg({c}) OVER p) / stddev_pop({c}) OVER p * 1099511627776)::BIGINT AS {c}"
+_STEPS = "pow(2.0::DOUBLE, 30 - ceil(log2(max({c}) OVER p - min({c}) OVER p)))"
+_WHOLE = f"round(({{c}} - min({{c}}) OVER p) * {_STEPS})::BIGINT * round(1099511627776::DOUBLE / (stddev_pop({{c}}) OVER p * {_STEPS}))::BIGINT AS {{c}}"
 _PSI = "psi AS (SELECT n, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / nullif(n - 1, 0)) OVER (ORDER BY n), 0) AS v FROM (SELECT unnest(range(1, (SELECT max(c)::BIGINT + 2 FROM (SELECT count(*) AS c FROM events GROUP BY event_type)))) AS n))"
 
 
