@@ -90,8 +90,8 @@ def test_stretches_have_the_whole_texts_tokens():
     for t in ODD:
         each = alignment.stretches(t)
         if each:
-            assert "".join(each) == " " + t
-            assert [i for s in each for i in mine.ordinary(s)] == a.encode(" " + t, add_special_tokens=False).ids
+            assert "".join(" " + s for s in each) == " " + t
+            assert [i for s in each for i in mine.ordinary(" " + s)] == a.encode(" " + t, add_special_tokens=False).ids
             assert [i for x in pieces.ids(each) for i in x] == b.encode(t)
 
 

@@ -46,13 +46,14 @@ CUT = re.compile("(?<=[^\\t-\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u20
 
 
 def stretches(text: str) -> list[str]:
-    """A space and the text, parted before each space that follows a character other than white space; empty for a text without tokens."""
+    """A space and the text, parted before each space that follows a character other than white space; each without the space that it
+    begins with. None for a text without tokens."""
     if not text or MARK in text:
         return []
-    text = " " + text
-    if ODD.search(text):
-        return CUT.split(text)
-    return [" " + w for w in text[1:].split(" ")]
+    whole = " " + text
+    if ODD.search(whole):
+        return [s[1:] for s in CUT.split(whole)]
+    return text.split(" ")
 
 
 class Pieces:
@@ -70,7 +71,7 @@ class Pieces:
     def ids(self, stretches: list[str]) -> list[list[int]]:
         """The ids of stretches, whose first space the model adds."""
         space = [self.coder.piece_to_id(MARK)]
-        return [ids if len(s) > 1 else space for s, ids in zip(stretches, self.coder.encode([s[1:] for s in stretches], num_threads=1), strict=True)]
+        return [ids if s else space for s, ids in zip(stretches, self.coder.encode(stretches, num_threads=1), strict=True)]
 
 
 _pieces: dict[str, Pieces] = {}
@@ -124,7 +125,7 @@ def encoded(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             texts = batch.column("stretch").to_pylist()
             flat, counts = [], []
-            for own_a, own_b in zip(map(a.ordinary, texts), b.ids(texts), strict=True):
+            for own_a, own_b in zip((a.ordinary(" " + t) for t in texts), b.ids(texts), strict=True):
                 flat += own_a
                 flat += own_b
                 counts += (len(own_a), len(own_b))
@@ -204,7 +205,7 @@ class Scorer:
             code, count, best = known.value
             token = {str(i): t for t, i in encoder(path_a).coder._mergeable_ranks.items()}
             for b in batches:
-                stretch = [b"".join([token[i] for g in s.split(";") for i in g[: g.index("|")].split(",")]).decode() for s in b.column("groups").to_pylist()]
+                stretch = [b"".join([token[i] for g in s.split(";") for i in g[: g.index("|")].split(",")])[1:].decode() for s in b.column("groups").to_pylist()]
                 lists = b.column("codes")
                 at = lists.offsets.to_numpy().astype(np.int64)
                 flat = lists.values.to_numpy()[at[0] : at[-1]]
@@ -232,18 +233,19 @@ class Scorer:
 class Told:
     """Figures by stretch, from columns of stretches, FIGURES without groups, and groups."""
 
-    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str]):
+    def __init__(self, stretches: list[str], numbers: list[np.ndarray], groups: list[str], tokens: dict[bytes, int]):
         self.place = {s: i for i, s in enumerate(stretches)}
         self.small = np.stack(numbers[:-1], axis=1).astype(np.uint8)  # a stretch has LONG bytes at most
         self.sums = numbers[-1]
         self.groups = [g.encode() for g in groups]
+        self.token = {str(i): t for t, i in tokens.items()}
 
-    @staticmethod
-    def unpacked(row: str) -> tuple[str, tuple]:
+    def unpacked(self, row: str) -> tuple[str, tuple]:
         """A rare stretch, its figures and groups, from packed()."""
-        best, total, n_a, groups, stretch = row.split(" ", 4)
+        best, total, groups = row.split(" ")
+        a = [i for p in groups.split(";") for i in p[: p.index("|")].split(",")]
         n = groups.count(";") + 1  # each group ends with a link
-        return stretch, (int(n_a), groups.count(",") + 2 * n - int(n_a), n, n, int(best), int(total), groups.encode())
+        return b"".join([self.token[i] for i in a])[1:].decode(), (len(a), groups.count(",") + 2 * n - len(a), n, n, int(best), int(total), groups.encode())
 
     def of(self, text: str | None, more: list[str] | None) -> tuple[np.ndarray, str]:
         """The sums and the groups' hash of a text; more: its rare stretches' packed()."""
@@ -267,8 +269,8 @@ class Told:
 
 
 def packed() -> Column:
-    """What Told.unpacked() takes; the groups tell the other figures."""
-    return F.concat_ws(" ", "n_best", "count_sum", "n_a", "groups", "stretch")
+    """What Told.unpacked() takes: the groups tell the stretch and the other figures."""
+    return F.concat_ws(" ", "n_best", "count_sum", "groups")
 
 
 def joined_apart(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
@@ -290,7 +292,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     short = F.col("size") <= LONG
     frequent = head_of(each.where(short), "n", head) & short
     often = scorer.told(each.where(frequent)).select("stretch", *FIGURES).toArrow()
-    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist()))
+    known = spark.sparkContext.broadcast(Told(often["stretch"].to_pylist(), [often[c].to_numpy() for c in FIGURES[:-1]], often["groups"].to_pylist(), encoder(path_a).coder._mergeable_ranks))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs)[1], F.col("text").cast("string").alias("text"))
 
@@ -316,7 +318,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
     n_rows, n_rare = rare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()
     copies = rare.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.first("rare").alias("rare"))  # of a text
     asked = copies.select("__hash", F.explode("rare").alias("stretch"))
-    # joined by hashes: the figures name their stretch, so those of another with the same hash do no harm
+    # joined by hashes: the figures tell their stretch, so those of another with the same hash do no harm
     rest = scorer.told(each.where(~frequent)).select(F.xxhash64("stretch").alias("stretch"), packed().alias("figures"))
     few = each.where(~short & (F.col("n") > hot_from(n_rare)))  # a short one's occurrences are less than HEAD others' have
     met = joined_apart(asked, rest, "stretch", keep(scorer.told(few).select(F.xxhash64("stretch").alias("stretch")).distinct(), "hot-stretches"), "inner")
