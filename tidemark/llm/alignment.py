@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .packing import encoder
+from .packing import _encoders, encoder
 from .util import head_of, hot_from, keep, lookup, row_key, small_batches
 
 #: So many stretches at most are broadcast, of up to LONG bytes; and so many id pairs.
-HEAD, LONG, PAIRS = 1 << 19, 32, 1 << 19
+HEAD, LONG, PAIRS = 400_000, 32, 1 << 19
 #: Different stretches a task counts before it hands them on.
 COUNTED = 500_000
 #: Stands for the space in the pieces of B.
@@ -83,6 +83,12 @@ def pieces(path: str) -> Pieces:
     return _pieces[path]
 
 
+def forget() -> None:
+    """A worker that did encode needs its place for the figures."""
+    _pieces.clear()
+    _encoders.clear()
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """stretch, n (occurrences) of the corpus."""
 
@@ -300,6 +306,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
         import pyarrow as pa
         import xxhash
 
+        forget()
         of = known.value.place
         hashed = lambda s: (xxhash.xxh64_intdigest(s.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)  # noqa: E731  as Spark has it
         for b in batches:
@@ -330,6 +337,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, pairs:
         import pyarrow as pa
         import zstandard
 
+        forget()
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = [t and press.decompress(t).decode() for t in batch.column("text").to_pylist()]
