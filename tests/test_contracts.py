@@ -35,3 +35,7 @@ def leads(spark):
 
 def test_lead_score_of_customers_without_orders(spark, tmp_path):
     assert len(same_as_sql(spark, "lead_score", tmp_path, **leads(spark))) == 6
+
+
+def test_lead_summary_of_customers_without_orders(spark, tmp_path):
+    assert same_as_sql(spark, "lead_summary", tmp_path, **leads(spark))
