@@ -27,6 +27,11 @@ def customers(spark, n):
     return spark.range(n).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "cast(id % 25 AS int) AS c_nationkey", "id * 1.5D AS c_acctbal", "'BUILDING' AS c_mktsegment")
 
 
+def test_split_70_30_rounds_the_share_as_written(spark, tmp_path):
+    rows = same_as_sql(spark, "split_70_30", tmp_path, customer=customers(spark, 90))  # 90 * 0.7 is 62.99... in doubles
+    assert sum(part == "discovery" for _, part in rows) == 63
+
+
 def leads(spark):
     """Six customers, of whom three have orders."""
     orders = [(i, i % 3, "O", 60_000.0 * (i + 1), datetime(2001, 5, 1 + i), f"{i % 2}-X") for i in range(9)]
