@@ -32,6 +32,11 @@ def test_split_70_30_rounds_the_share_as_written(spark, tmp_path):
     assert sum(part == "discovery" for _, part in rows) == 63
 
 
+def test_stratified_split_rounds_the_share_as_written(spark, tmp_path):
+    rows = same_as_sql(spark, "stratified_split", tmp_path, customer=customers(spark, 45))  # 45 * 0.7 is 31.49... in doubles
+    assert sum(part == "discovery" for _, _, part in rows) == 32
+
+
 def leads(spark):
     """Six customers, of whom three have orders."""
     orders = [(i, i % 3, "O", 60_000.0 * (i + 1), datetime(2001, 5, 1 + i), f"{i % 2}-X") for i in range(9)]
