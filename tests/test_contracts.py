@@ -3,8 +3,10 @@
 from datetime import datetime
 
 import duckdb
+import pytest
 
 from tidemark import catalog
+from tidemark.operators import pairs
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -49,3 +51,13 @@ def test_lead_score_of_customers_without_orders(spark, tmp_path):
 
 def test_lead_summary_of_customers_without_orders(spark, tmp_path):
     assert same_as_sql(spark, "lead_summary", tmp_path, **leads(spark))
+
+
+def test_mann_whitney_of_millions(spark, monkeypatch):
+    """Two groups of 5 million values in turn: the product of their counts is beyond a long."""
+    n = 5_000_000
+    sums = spark.createDataFrame([("O", n, float(n * n)), ("F", n, float(n * n + n))], "g string, n long, ranks double")
+    monkeypatch.setattr(pairs, "rank_sums", lambda *_: sums)
+    got = pairs.mann_whitney(spark.range(1).selectExpr("'O' AS g", "0D AS v", "id"), "v", "g", "O", "F", ["id"], p_value=False).first()
+    u = n * n - n * (n + 1) // 2
+    assert (got["n1"], got["u"]) == (n, u) and got["z"] == pytest.approx((u - n * n / 2) / (n * n * (2 * n + 1) / 12) ** 0.5)
