@@ -4,9 +4,10 @@ from datetime import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.operators import pairs
+from tidemark.operators import pairs, relations, sampling
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -61,3 +62,19 @@ def test_mann_whitney_of_millions(spark, monkeypatch):
     got = pairs.mann_whitney(spark.range(1).selectExpr("'O' AS g", "0D AS v", "id"), "v", "g", "O", "F", ["id"], p_value=False).first()
     u = n * n - n * (n + 1) // 2
     assert (got["n1"], got["u"]) == (n, u) and got["z"] == pytest.approx((u - n * n / 2) / (n * n * (2 * n + 1) / 12) ** 0.5)
+
+
+def test_components_of_groups_need_a_link_per_member(spark, tmp_path):
+    """One day with 300 buyers of one amount, and two days that share a buyer: 300 links do what 45,000 pairs would."""
+    rows = [(i, datetime(2024, 1, 1), u, "purchase", 5.0 + u % 2 / 4, None) for i, u in enumerate(range(300))]
+    rows += [(900 + i, datetime(2024, 1, day), u, "purchase", 9.5, None) for i, (day, u) in enumerate([(2, 1000), (2, 1001), (3, 1001), (3, 1002), (4, 1003)])]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    assert len(same_as_sql(spark, "components", tmp_path, events=events)) == 303
+    assert relations.stars(events.withColumn("v", F.floor("value")), ["ts", "v"], "user_id").count() == 301
+
+
+def test_bootstrap_sizes_are_those_of_the_rounds(spark):
+    frame = spark.range(400).selectExpr("id % 300 AS k")  # some keys have two rows
+    want = sampling.bootstrap(frame, "k").groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("distinct"))
+    got = sampling.bootstrap_sizes(frame, "k")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 10
