@@ -78,3 +78,11 @@ def test_bootstrap_sizes_are_those_of_the_rounds(spark):
     want = sampling.bootstrap(frame, "k").groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("distinct"))
     got = sampling.bootstrap_sizes(frame, "k")
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 10
+
+
+@pytest.mark.parametrize("name", ["resample_linear", "resample_carry"])
+def test_resampling_of_equal_times_goes_by_the_event(spark, tmp_path, name):
+    """Each time has 40 events of other values: the SQL takes the last by its number before a grid point and the first after it."""
+    rows = [(t * 40 + i, datetime(2024, 1, 1 + t // 2, 12 * (t % 2), 7 * (t % 2)), i, "view", float((i * 7 + t) % 41), None) for t in range(9) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(5, F.hash("value"))
+    assert len(same_as_sql(spark, name, tmp_path, events=events)) == 5

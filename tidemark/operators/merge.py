@@ -134,18 +134,25 @@ def carried(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str
     return rows.withColumn(name, found).join(came, [*by, "stretch"]).withColumn(name, F.coalesce(name, "__came")).drop("__came")
 
 
-def resampled(points: DataFrame, grain: str, ts: str = "ts", value: str = "value", by: Sequence[str] = ("series",), linear: bool = False) -> DataFrame:
-    """by, bucket, value on a grid from each series' first time: the last row at or before a grid point, or linear between neighbours."""
-    step = GRAINS[grain]
-    first = points.groupBy(*by).agg(F.min(epoch(F.col(ts))).alias("t0"), F.max(epoch(F.col(ts))).alias("t1"))
-    grid = first.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("t1") - F.col("t0")) / step).cast("bigint"))).alias("k"), "t0").select(*by, (F.col("t0") + F.col("k") * step).alias("t"), F.lit(True).alias("grid"), F.lit(None).cast("double").alias("v"))
-    both = points.select(*by, epoch(F.col(ts)).alias("t"), F.lit(False).alias("grid"), F.col(value).cast("double").alias("v")).unionByName(grid)
-    known = F.when(F.col("v").isNotNull(), F.struct("v", "t"))
-    rows = stored(stretched(both, by).withColumn("known", known))
-    marks = carried(rows, by, ["t", "grid"], "known", "l")
+def resampled(points: DataFrame, grain: str, ts: str = "ts", value: str = "value", by: Sequence[str] = ("series",), linear: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """by, bucket, value on a grid from each series' first time: the last row at or before a grid point, or linear between neighbours. Rows of
+    one time are in the order of `ties`. Of the rows between two grid points only the first and the last are felt, so they are aggregated,
+    and what is carried is a row per grid point."""
+    step, by = GRAINS[grain], list(by)
+    of = points.select(*by, epoch(F.col(ts)).alias("t"), F.col(value).cast("double").alias("v"), F.struct(epoch(F.col(ts)), *ties).alias("at"))
+    first = of.groupBy(*by).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    grid = first.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("t1") - F.col("t0")) / step).cast("bigint"))).alias("k"), "t0").select(*by, "k", (F.col("t0") + F.col("k") * step).alias("t"))
+    point = lambda k: F.col("t0") + k * step
+    near = F.ceil((F.col("t") - F.col("t0")) / step).cast("bigint")  # the grid point at or after a row, but for rounding
+    k = F.when(F.col("t") > point(near), near + 1).when(F.col("t") <= point(near - 1), near - 1).otherwise(near)
+    known = F.struct("v", "t")
+    cells = stored(of.where("v IS NOT NULL").join(first, by).withColumn("k", k).groupBy(*by, "k").agg(F.max_by(known, "at").alias("last"), F.min_by(known, "at").alias("first")))
+    after = cells.select(*by, (F.col("k") - 1).alias("k"), "first")  # the rows after a grid point, up to the next
+    rows = stored(stretched(grid.join(cells.drop("first"), [*by, "k"], "left").join(after, [*by, "k"], "left"), by, "k"))
+    marks = carried(rows, by, ["k"], "last", "l")
     if not linear:
-        return marks.where("grid").select(*by, F.col("t").alias("bucket"), F.col("l.v").alias("value"))
-    marks = carried(stored(marks), by, ["t", "grid"], "known", "r", ahead=True).where("grid")
+        return marks.select(*by, F.col("t").alias("bucket"), F.col("l.v").alias("value"))
+    marks = carried(stored(marks), by, ["k"], "first", "r", ahead=True)
     between = F.col("l.v") + (F.col("r.v") - F.col("l.v")) * F.coalesce(F.try_divide(F.col("t") - F.col("l.t"), F.col("r.t") - F.col("l.t")), F.lit(0.0))
     return marks.select(*by, F.col("t").alias("bucket"), F.coalesce(between, F.col("l.v")).alias("value"))
 

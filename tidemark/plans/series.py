@@ -133,7 +133,7 @@ def temporal_trend(spark, d):
 @query("""WITH f AS (SELECT event_type AS series, min(epoch(ts)) AS t0, max(epoch(ts)) AS t1 FROM events GROUP BY 1), g AS (SELECT series, t0 + k * 86400 AS t FROM (SELECT *, unnest(range(0, floor((t1 - t0) / 86400)::BIGINT + 1)) AS k FROM f))
 SELECT g.series, round(g.t, 3) AS bucket, arg_max(value, struct_pack(a := e.ts, b := e.event_id)) AS value FROM g JOIN events e ON e.event_type = g.series AND epoch(e.ts) <= g.t + 1e-7 GROUP BY 1, 2""")
 def resample_carry(spark, d):
-    return merge.resampled(_events(spark, d), "day").withColumn("bucket", F.round("bucket", 3))
+    return merge.resampled(_events(spark, d), "day", ties=["event_id"]).withColumn("bucket", F.round("bucket", 3))
 
 
 @query("""WITH f AS (SELECT event_type AS series, min(epoch(ts)) AS t0, max(epoch(ts)) AS t1 FROM events GROUP BY 1), g AS (SELECT series, t0 + k * 86400 AS t FROM (SELECT *, unnest(range(0, floor((t1 - t0) / 86400)::BIGINT + 1)) AS k FROM f)),
@@ -141,7 +141,7 @@ l AS (SELECT g.series, g.t, max(epoch(e.ts)) AS lt, arg_max(value, struct_pack(a
 r AS (SELECT g.series, g.t, min(epoch(e.ts)) AS rt, arg_min(value, struct_pack(a := e.ts, b := e.event_id)) AS rv FROM g JOIN events e ON e.event_type = g.series AND epoch(e.ts) > g.t GROUP BY 1, 2)
 SELECT series, round(t, 4) AS bucket, round(CASE WHEN rt IS NULL OR lt = t THEN lv ELSE lv + (rv - lv) * (t - lt) / (rt - lt) END, 4) AS value FROM l LEFT JOIN r USING (series, t)""")
 def resample_linear(spark, d):
-    return rounded(merge.resampled(_events(spark, d), "day", linear=True), digits=4)
+    return rounded(merge.resampled(_events(spark, d), "day", linear=True, ties=["event_id"]), digits=4)
 
 
 @query("""SELECT event_type, count(*) AS n FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5 AND strftime(ts, '%Y-%m-%d') <> '2024-01-15' AND strftime(ts, '%H:%M') BETWEEN '09:00' AND '17:00' GROUP BY 1""")
