@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with every odd case, and on an empty table."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -329,6 +330,21 @@ def test_one_of_each_against_all_pairs(spark):
     same([(x["doc_id"],) for x in simhash.one_of_each(frame).collect()], [(min(g),) for g in want])
 
 
+def test_unlike_texts_of_a_group_are_not_paired(spark, monkeypatch):
+    """Copies edited so often that no two are alike share rare shingles: their sketches tell them apart before a pair is made."""
+    made = []
+    monkeypatch.setattr(resemblance, "alike", lambda pairs, *a, alike=resemblance.alike: made.append(pairs.count()) or alike(pairs, *a))
+    words = prose(8600, 150).split()
+    texts = [" ".join(f"x{i}y{j}" if j in edits else w for j, w in enumerate(words)) for i in range(40) for edits in [random.Random(i).sample(range(5, 145), 3)]]
+    assert len(like_groups(texts, 5, 0.8, -1)) == 40
+    frame = spark.createDataFrame(list(enumerate(texts)), "__hash bigint, text string")
+    nodes, entries = frame.selectExpr("__hash", "__hash AS component"), resemblance.prefixes(frame, 5, 0.8)
+    resemblance.settled(entries, nodes, frame, 5, 0.8, resemblance.sketches(frame, 5))
+    few = sum(made)
+    resemblance.settled(entries, nodes, frame, 5, 0.8)
+    assert few == 0 < sum(made)
+
+
 def test_left_over_texts_are_settled_without_bands(spark):
     """The exact join alone (every text left over) joins what is alike, over several rounds of hubs."""
     texts = [prose(8400 + i // 25, 60) + f" {i} " + prose(8500 + i // 5, 12) + f" {i}" for i in range(60)]

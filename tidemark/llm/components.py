@@ -27,16 +27,16 @@ def components(links: DataFrame) -> DataFrame:
         else:
             degree = edges.select("a").union(edges.select("b")).groupBy("a").agg((-F.count(F.lit(1))).alias("n"))
             degree = keep(degree, "degrees")
-            sided = lookup(edges, degree.select("a", F.col("n").alias("na")), ["a"], left)
-            sided = lookup(sided, degree.select(F.col("a").alias("b"), F.col("n").alias("nb")), ["b"], left)
+            sided = lookup(edges, degree.select("a", F.col("n").alias("na")), ["a"], left, held=2 * left)
+            sided = lookup(sided, degree.select(F.col("a").alias("b"), F.col("n").alias("nb")), ["b"], left, held=2 * left)
         rank = lambda n, c: F.struct(n, F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
         both = sided.select("a", "b", "na", "nb").union(sided.select("b", "a", "nb", "na"))
         near = both.groupBy("a").agg(F.min(rank(F.col("nb").alias("n"), "b")).alias("near"), F.first("na").alias("na"))
         least = near.select(F.col("a").alias("node"), F.least(F.col("near"), rank(F.col("na").alias("n"), "a"))["node"].alias("to"))
         to = keep(least, "pointers")
         pointers.append((to, left))
-        moved = lookup(edges, to.select(F.col("node").alias("a"), F.col("to").alias("x")), ["a"], left)
-        moved = lookup(moved, to.select(F.col("node").alias("b"), F.col("to").alias("y")), ["b"], left)
+        moved = lookup(edges, to.select(F.col("node").alias("a"), F.col("to").alias("x")), ["a"], left, held=2 * left)
+        moved = lookup(moved, to.select(F.col("node").alias("b"), F.col("to").alias("y")), ["b"], left, held=2 * left)
         edges = keep(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         left = edges.count()
     if not pointers:
@@ -44,6 +44,6 @@ def components(links: DataFrame) -> DataFrame:
     out = pointers[0][0].select("node", F.col("to").alias("component"))
     for to, n in pointers[1:]:
         out = keep(out, "pointers")
-        out = lookup(out, to.select(F.col("node").alias("component"), F.col("to").alias("__to")), ["component"], 2 * n)
+        out = lookup(out, to.select(F.col("node").alias("component"), F.col("to").alias("__to")), ["component"], 2 * n, held=2 * n)
         out = out.select("node", F.coalesce("__to", "component").alias("component"))
     return keep(out, "components")

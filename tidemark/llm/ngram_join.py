@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .resemblance import alike, labelled, settled, shingle_hashes
+from .resemblance import alike, labelled, settled, shingle_hashes, sketch
 from .util import bitmap_of, hot_from, in_bitmap, keep, lookup, mixed, row_key, small_batches
 
 WORDS = 3
@@ -43,8 +43,6 @@ PERCENT = 90
 UPGRADE = 1 << 14
 #: Bits of the bitmaps that thin out keys before a join; their size is fixed.
 BITS = 26
-#: Longs of a set's sketch.
-SKETCH = 16
 
 
 def bands(percent: int, largest: int) -> list[int]:
@@ -100,12 +98,6 @@ def set_of(text: str | None, words: int) -> tuple[np.ndarray, int]:
     return h, xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles in each of 64 * SKETCH cells, as longs."""
-    cells = np.bincount((mixed(h ^ np.uint64(0x2545F491)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(cells.astype(np.uint8)).view("<i8")
-
-
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, __id, __hash, size, node (the set's hash), sketch and, for each band asked, needed and keys, of every row."""
     small_batches(docs.sparkSession)

@@ -24,11 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .util import hot_from, keep, lookup, row_key
+from .util import hot_from, keep, lookup, mixed as scrambled, row_key
 
 BANDS, BAND = 12, 4
 #: Hubs of a bucket in the first round after the bands, and how their number grows.
 HUBS, GROWTH = 4, 8
+#: Comparisons of hubs with their buckets' texts, by entry, that one round may make: cheap ones, as most end at the sketches.
+AT_ONCE = 64
+#: Longs of a set's sketch.
+SKETCH = 16
 #: A bucket's texts are dealt to so many tasks.
 SPLIT = 16
 
@@ -48,6 +52,12 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of 64 * SKETCH cells, as longs."""
+    cells = np.bincount((scrambled(h ^ np.uint64(0x2545F491)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8)).view("<i8")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The stored pairs(x, y: hashes of texts) whose texts(__hash, text) have `similarity` of their shingles in common, stored."""
     n = pairs.count()
@@ -75,11 +85,24 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
 def labelled(nodes: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """The n stored nodes(__hash, component) after the links found(x, y)."""
     named = nodes.select(F.col("__hash"), "component")
-    ends = lookup(lookup(found, named.toDF("x", "a"), ["x"], n, "inner"), named.toDF("y", "b"), ["y"], n, "inner")
+    ends = lookup(lookup(found, named.toDF("x", "a"), ["x"], n, "inner", held=n), named.toDF("y", "b"), ["y"], n, "inner", held=n)
     moved = components(ends.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("to"))
     return keep(lookup(nodes, moved, ["component"], n).select("__hash", F.coalesce("to", "component").alias("component")), "labels")
 
 
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """__hash and sketch, as settled() has them, of texts(__hash, text). Stored."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            told = [sketch(np.unique(shingle_hashes(text.encode(), words)).astype(np.uint64)) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__hash"), pa.array(told, pa.list_(pa.int64()))], ["__hash", "sketch"])
+
+    return keep(texts.select("__hash", "text").mapInArrow(run, "__hash bigint, sketch array<bigint>"), "sketches")
+
+
 def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """__hash, h, place, size: the rarest shingles of texts(__hash, text) that occur in several, as many as a like text must share one
     of; the shingle's place (from 1) in the order by rarity, and the text's number of shingles. Stored."""
@@ -103,39 +126,41 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     return keep(first.where("n > 1").select("__hash", "h", F.col("place").cast("long").alias("place"), "size"), "prefixes")
 
 
-def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, sketches: DataFrame | None = None) -> list[DataFrame]:
+def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, sketched: DataFrame | None = None) -> list[DataFrame]:
     """Links between texts of different components of nodes(__hash, component) that share an h of entries (as prefixes() has them);
     enough of them to join the components that hold like texts. Two texts are compared only if the shingles from the shared one on
     can still be enough: like texts meet at the first shingle that they share, and there all that they share is yet to come.
-    sketches(__hash, sketch): parities of the shingles in each of some cells, as longs; no more of them differ than shingles do."""
+    sketched(__hash, sketch): parities of the shingles in each of some cells, as longs; no more of them differ than shingles do."""
     n, n_nodes, hubs = entries.count(), nodes.count(), HUBS
     rest = 1 + F.least(F.col("size") - F.col("place"), F.col("hub_rest"))
     enough = rest >= (F.col("size") + F.col("hub_size")) * (similarity / (1 + similarity)) - 1e-9
     extra = []
-    if sketches is not None:
+    if sketched is not None:
         extra = [F.col("sketch").alias("hub_sketch")]
         differing = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda sum, d: sum + d)
         enough = enough & (differing * (1 + similarity) <= (F.col("size") + F.col("hub_size")) * (1 - similarity) + 1e-6)
     links: list[DataFrame] = []
     done: list[DataFrame] = []
     while True:
-        at = keep(lookup(entries, nodes, ["__hash"], n, "inner"), "bucket-members")
+        at = keep(lookup(entries, nodes, ["__hash"], n, "inner", held=n_nodes), "bucket-members")
         share = at.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"))
         buckets = share.groupBy("h").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("big")).where("parts > 1")
         buckets = keep(buckets.select("h", (F.col("all") - F.col("big.m")).alias("outside"), F.col("big.component").alias("big"), "all"), "mixed-buckets")
-        most = buckets.agg(F.max("outside")).first()[0]
+        most, work = buckets.agg(F.max("outside"), F.sum(F.col("outside") * F.col("all"))).first()
         if not most:
             return links
+        if work <= AT_ONCE * n:  # so few that one round will do
+            hubs = max(hubs, most)
         mixed = lookup(at, buckets, ["h"], n, "inner", hot=buckets.where(F.col("all") > hot_from(n)))
         mixed = keep(mixed, "mixed-members")
-        if sketches is not None:
-            mixed = keep(lookup(mixed, sketches, ["__hash"], mixed.count(), "inner"), "mixed-members")
+        if sketched is not None:
+            mixed = keep(lookup(mixed, sketched, ["__hash"], mixed.count(), "inner"), "mixed-members")
         drawn = F.pmod(F.xxhash64("__hash", F.lit(7)), F.lit(1 << 30)) * F.col("outside") < F.lit(hubs << 30)
         hub = mixed.where((F.col("component") != F.col("big")) & drawn).select("h", F.col("__hash").alias("hub"), F.col("component").alias("of"), (F.col("size") - F.col("place")).alias("hub_rest"), F.col("size").alias("hub_size"), *extra, F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
         met = mixed.withColumn("part", F.pmod(F.xxhash64("__hash"), F.lit(SPLIT)).cast("int")).join(hub, ["h", "part"]).where((F.col("component") != F.col("of")) & enough)
         pairs = met.select(F.least("__hash", "hub").alias("x"), F.greatest("__hash", "hub").alias("y")).distinct()
-        for before in done:
-            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        if done:
+            pairs = pairs.join(reduce(DataFrame.union, done), ["x", "y"], "left_anti")
         pairs = keep(pairs, "pairs")
         done.append(pairs)
         found = alike(pairs, texts, words, similarity)
@@ -169,7 +194,7 @@ def similar(prints: DataFrame, docs: DataFrame, words: int, similarity: float) -
     left = keep(bodies.join(left.hint("shuffle_hash"), "__hash", "left_semi"), "left-over-texts")
     if left.take(1):
         entries = prefixes(left, words, similarity)
-        found += settled(entries, nodes, left, words, similarity)
+        found += settled(entries, nodes, left, words, similarity, sketches(left, words))
     every = keep(reduce(DataFrame.union, found), "text-links")
     k = every.count()
     print_of = texts.select("__hash", "fp")

@@ -16,6 +16,8 @@ from tidemark.session import checkpoint_folder
 
 #: A key is hot if it holds more than one row in so many; so at most that many keys are hot.
 HOT_SHARE = 256
+#: A table known to have no more rows of a few longs is broadcast whole.
+HELD = 1 << 15
 
 _own_folder: list[str] = []
 
@@ -48,16 +50,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, how: str = "left", hot: DataFrame | None = None, held: int | None = None) -> DataFrame:
     """left with right's other columns. right has one row per key (keys not null); left may have any number per key.
 
     Keys with more than rows/HOT_SHARE rows in left, HOT_SHARE of them at most, are joined by a broadcast; their rows
     then take part in the shuffled join under keys of their own and so don't meet in one task. rows: left's row count.
     Null keys match nothing. how: left or inner. left should be a stored table, as it is read twice; not where the hot keys
-    are known and given.
+    are known and given. held: right's row count at most, if that is known and its rows are a few longs; HELD of them are broadcast
+    whole, by one join instead of three.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
+    if held is not None and held <= HELD:
+        return left.join(F.broadcast(right), keys, how).select(*left.columns, *values)
     hot = hot.select(*keys) if hot is not None else (
         left.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
