@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.operators import pairs, relations, sampling
+from tidemark.plans import screening
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -86,3 +87,24 @@ def test_resampling_of_equal_times_goes_by_the_event(spark, tmp_path, name):
     rows = [(t * 40 + i, datetime(2024, 1, 1 + t // 2, 12 * (t % 2), 7 * (t % 2)), i, "view", float((i * 7 + t) % 41), None) for t in range(9) for i in range(40)]
     events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(5, F.hash("value"))
     assert len(same_as_sql(spark, name, tmp_path, events=events)) == 5
+
+
+def purchases(spark, copies):
+    """Purchases of 40 users and of their copies, which have other numbers and buy for the same amounts on the same days."""
+    rows = [(i, datetime(2024, 1, 1 + i % 3), i * i % 41 + c * 100, "purchase", None if i % 29 == 0 else float(i * 7 % 60)) for c in range(copies) for i in range(240)]
+    return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+
+
+@pytest.mark.parametrize("name", ["blast_radius", "twin_segments"])
+def test_links_of_copied_users(spark, tmp_path, name):
+    assert len(same_as_sql(spark, name, tmp_path, events=purchases(spark, 3))) > 20
+
+
+def test_links_do_not_grow_with_copies_of_users(spark, tmp_path):
+    counts = []
+    for copies in (1, 4):
+        purchases(spark, copies).write.parquet(f"{tmp_path}/{copies}/events.parquet")
+        edges, weights, kinds = screening._edges(spark, f"{tmp_path}/{copies}")
+        counts.append(edges.count())
+        assert kinds.count() == copies * weights.count()
+    assert counts[0] == counts[1] > 0
