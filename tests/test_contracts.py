@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.operators import pairs, relations, sampling
+from tidemark.operators import information, neighbours, pairs, profile, relations, sampling
 from tidemark.plans import screening
 
 
@@ -91,7 +91,7 @@ def test_resampling_of_equal_times_goes_by_the_event(spark, tmp_path, name):
 
 def purchases(spark, copies):
     """Purchases of 40 users and of their copies, which have other numbers and buy for the same amounts on the same days."""
-    rows = [(i, datetime(2024, 1, 1 + i % 3), i * i % 41 + c * 100, "purchase", None if i % 29 == 0 else float(i * 7 % 60)) for c in range(copies) for i in range(240)]
+    rows = [(i, datetime(2024, 1, 1 + i % 3, i % 24), i * i % 41 + c * 100, "purchase", None if i % 29 == 0 else float(i * 7 % 60)) for c in range(copies) for i in range(240)]
     return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
 
 
@@ -108,3 +108,25 @@ def test_links_do_not_grow_with_copies_of_users(spark, tmp_path):
         counts.append(edges.count())
         assert kinds.count() == copies * weights.count()
     assert counts[0] == counts[1] > 0
+
+
+@pytest.mark.parametrize("name", ["referee_mutual_information", "referee_conditional_mi"])
+def test_information_of_repeated_points(spark, tmp_path, name):
+    assert len(same_as_sql(spark, name, tmp_path, events=purchases(spark, 2).dropna())) == 1
+
+
+def test_equal_points_are_asked_for_once(spark, monkeypatch):
+    asked = []
+    nearest = neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda grid, queries, *a, **k: asked.append(queries.count()) or nearest(grid, queries, *a, **k))
+    for copies in (1, 3):
+        rows = [("p", c * 40 + i, float(i % 7), float(i)) for c in range(copies) for i in range(40)]
+        information.mutual_information(spark.createDataFrame(rows, "pair string, idx long, x double, y double"))
+    assert asked == [40, 40]
+
+
+def test_quartiles_of_repeated_values(spark, tmp_path):
+    rows = [("ANR"[i % 3], float(i * i % 37 + i % 3) + 0.25) for i in range(400)]
+    assert len(same_as_sql(spark, "distribution_shape", tmp_path, lineitem=spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double"))) == 3
+    plan = profile.shape_stats(spark.createDataFrame(rows, "g string, v double"), "v", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(__v" in plan and "percentile(v" not in plan
