@@ -74,3 +74,11 @@ def test_windows_and_stability(spark):
     assert told["n"] == 500 and told["statistic"] == pytest.approx(complexity.stability(np.array([g[1:] for _, g in sorted(got.items())])))
     short = frame(spark, x[:14], y[:14])
     assert complexity.windows(short).count() == 10 and complexity.algorithmic(short).count() == 1 and complexity.algorithmic(frame(spark, x[:5], y[:5])).count() == 0
+
+
+def test_wavelets_repeat_few_rows(spark):
+    """Stretches bring the rows around them along: a seventh more in all."""
+    test = vectors.wavelet("morlet", rounds=0)
+    rows = vectors.facts(spark.range(60_000).selectExpr("'p' AS pair", "id AS idx", "sin(id * 0.7) AS x", "cos(id * 1.1) AS y"))
+    assert vectors.with_surroundings(rows, test.before, test.after, test.chunk).count() < 72_000
+    assert all(n + 2048 <= vectors.transform_size(n) <= 1.35 * (n + 2048) for n in (4097, 9000, 14_336, 16_384))
