@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import components, ctw, decontam, licenses, packing, quality, resemblance, secrets, shards, simhash, suffix_dedup, warc_index
 from tidemark.llm.queries import vocabulary
-from tidemark.llm.util import lookup
+from tidemark.llm.util import bitmap_of, in_bitmap, keep, lookup
 
 from . import small_tree
 from .conftest import lines, prose
@@ -695,6 +695,24 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.deduplicated(none).collect() == []
 
 
+def shuffle_files(spark):
+    """The shuffle files that are on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_kept_tables_free_their_shuffles(spark):
+    before, frame = shuffle_files(spark), spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    kept = keep(frame, "counts")
+    bitmap = bitmap_of(kept, "k", 10)
+    deadline = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert kept.count() == frame.count() == 700 and in_bitmap(bitmap, np.arange(1000)).sum() == 700
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 @pytest.mark.parametrize("marks", [(0, 0), (1 << 22, 1 << 22), (0, 1 << 22), (1 << 22, 0)])
 def test_suffix_dedup_with_partial_overlaps(spark, monkeypatch, marks):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1500)  # so that texts are cut

@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs within gives its shuffle files back as it ends, and not only once the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: the lineage is cut and lost executors lose nothing."""
+    """Writes df to the shared folder and returns the written table: the lineage is cut and lost executors lose nothing. The shuffles
+    behind it are freed, as nothing reads them again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -149,7 +164,8 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits, each set if a hash in the column ends in its number. Its size is fixed, however many the hashes."""
     at = F.col(column).bitwiseAND((1 << bits) - 1)
     words = hashes.select(F.shiftright(at, 5).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 31L AS INT))").alias("bit"))
-    table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    with freed_shuffles(hashes.sparkSession):
+        table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
     for b in table.to_batches():
         out[b.column("word").to_numpy()] = b.column("bit").to_numpy().astype(np.uint32)
