@@ -130,3 +130,15 @@ def test_quartiles_of_repeated_values(spark, tmp_path):
     assert len(same_as_sql(spark, "distribution_shape", tmp_path, lineitem=spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double"))) == 3
     plan = profile.shape_stats(spark.createDataFrame(rows, "g string, v double"), "v", ["g"])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(__v" in plan and "percentile(v" not in plan
+
+
+def test_stream_release_of_repeated_events(spark, tmp_path):
+    """Events that come twice are let through once, as the SQL says; an event's kind parts it from what it waits for."""
+    rows = [(i, datetime(2024, 1, 1), i, "view" if i % 35 else "click", 1.0, None) for i in range(120)]
+    path = f"{tmp_path}/events.parquet"  # streams read one file of that name
+    spark.createDataFrame(rows + rows[::3], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").toPandas().to_parquet(path, coerce_timestamps="us")
+    got = [tuple(r) for r in catalog.QUERIES["stream_release"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+        want = db.sql(catalog.ORACLE_SQL["stream_release"]).fetchall()
+    assert sorted(got) == sorted(want) and 90 < len(got) < 120

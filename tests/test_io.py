@@ -129,6 +129,42 @@ def test_stream_release_over_many_batches(spark, tmp_path):
     assert len(got) == len(set(got)) == 6 * 40 + 6 * 30 + 6 + 1
 
 
+def reached(batches):
+    """What comes through: a plain loop over all items, batch after batch."""
+    done, items = set(), []
+    for batch in batches:
+        items, before = items + batch, None
+        while before != len(done):
+            before = len(done)
+            done |= {(s, i) for s, i, need in items if need is None or (s is not None and (s, need) in done)}
+    return sorted(done, key=repr)
+
+
+def test_whole_release_of_chains_circles_and_crowds(spark, tmp_path):
+    """Over batches: long chains either way, circles, repeated items, ids with several needs, crowds, nulls; scopes are apart."""
+    chain = [("s", f"c{i}", f"c{i - 1}" if i else None) for i in range(37)]
+    batches = [
+        chain[1::2] + [("s", "x", "y"), ("s", "y", "z"), ("s", "z", "x"), ("s", "m", "never"), ("s", "m2", "m"), ("s", "m3", "m2"), ("t", "c1", "c0"), (None, "n", None), (None, "n2", "n")],
+        chain[:0:-2] + [("s", f"w{i}", "late") for i in range(30)] + [("s", "m", "late"), ("s", "z", "w3"), ("t", "c1", "c0"), ("s", None, None), ("s", "self", "self")],
+        [("s", "c0", None), ("s", "late", "c36"), ("s", "late", "c36")],
+        [("s", "c5", None), ("s", "end", "m3"), ("s", "x", None), ("t", "c0", "c9")],
+    ]
+    schema = "scope string, id string, waits_for string"
+    for rows in batches:
+        stream(spark, tmp_path, rows, schema)
+    frame = streams.events(spark, str(tmp_path), spark.createDataFrame([], schema).schema, maxFilesPerTrigger="1")
+    got = [tuple(r) for r in streams.released_whole(frame, spark, "t_whole").collect()]
+    assert sorted(got, key=repr) == reached(batches) and len(got) == len(set(got)) > 70
+
+
+def test_release_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    rounds, of = [], streams.stored
+    monkeypatch.setattr(streams, "stored", lambda df: rounds.append(1) or of(df))
+    items = spark.createDataFrame([("s", str(i), str(i - 1) if i else None) for i in range(200)], "scope string, id string, waits_for string")
+    through, left = streams.let_through(items, items.limit(0))
+    assert through.count() == 200 and left.isEmpty() and len(rounds) <= 3 + 3 * 9
+
+
 def test_stale_scopes_are_forgotten(spark, tmp_path):
     t, schema = datetime(2024, 1, 1), "scope string, id string, waits_for string, ts timestamp"
     batches = [[("old", "a", None, t), ("old", "b", "late", t), ("new", "b", "late", t)], [("new", "x", None, t + timedelta(minutes=20)), ("other", "y", None, t + timedelta(minutes=20))],

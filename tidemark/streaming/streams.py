@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from pyspark.sql.types import StructType
 
 from tidemark.operators import relations
-from tidemark.session import scratch
+from tidemark.session import scratch, stored
 
 #: A week's window begins on Monday.
 OFFSETS = {"hour": ("1 hour", "0 seconds"), "day": ("1 day", "0 seconds"), "week": ("1 week", "4 days")}
@@ -133,6 +134,67 @@ def released(stream: DataFrame, stale: int | None = None) -> DataFrame:
     return stream.groupBy("scope").transformWithStateInPandas(Release(stale), "scope string, id string", "append", mode)
 
 
+def _of(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """rows whose column is (left_semi) or isn't (left_anti) one of the ids(scope, id). Nulls match none."""
+    named = ids.select(F.col("scope").alias("__scope"), F.col("id").alias("__id"))
+    return rows.join(named, (F.col("scope") == F.col("__scope")) & (F.col(column) == F.col("__id")), how)
+
+
+def let_through(items: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of items(scope, id, waits_for): the ids (scope, id) that come through, each once, and the items that still wait. done(scope, id): what
+    came before; it doesn't come again.
+
+    A round lets through what looks at an id of the round before; each item that is left then looks at what its need looks at, so that a
+    chain of n items takes about log2(n) rounds. Nothing left looks at an id of an earlier round, so a round that lets nothing through is the
+    last, also if items wait for each other in circles. An item is one row in all rounds: an id that comes with several needs isn't
+    looked through.
+    """
+    items = stored(items.select("scope", "id", "waits_for").distinct())
+    done = done.select("scope", "id")
+    asked = _of(items.where("waits_for IS NOT NULL"), done, "waits_for", "left_semi")
+    first = items.where("waits_for IS NULL").union(asked).select("scope", "id").distinct()
+    known = done.select(F.col("scope").alias("__scope"), F.col("id").alias("__id"))
+    new = stored(first.join(known, F.col("scope").eqNullSafe(F.col("__scope")) & F.col("id").eqNullSafe(F.col("__id")), "left_anti"))
+    left = _of(_of(items.where("waits_for IS NOT NULL"), done, "id", "left_anti"), new, "id", "left_anti")
+    left = stored(left.withColumn("at", F.col("waits_for")))
+    through = [new]
+    while not new.isEmpty() and not left.isEmpty():
+        new = stored(_of(left, new, "at", "left_semi").select("scope", "id").distinct())
+        through.append(new)
+        left = stored(_of(left, new, "id", "left_anti"))
+        single = left.groupBy("scope", "id").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("next")).where("n = 1")
+        single = single.select(F.col("scope").alias("__scope"), F.col("id").alias("__id"), "next")
+        met = left.join(single, (F.col("scope") == F.col("__scope")) & (F.col("at") == F.col("__id")), "left")
+        left = stored(met.select("scope", "id", "waits_for", F.coalesce("next", "at").alias("at")))
+    return reduce(DataFrame.union, through), left.select("scope", "id", "waits_for")
+
+
+def released_whole(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """As completed(released(stream)), by joins of each batch with what came through and what waits: no scope is in one task, and no item
+    asks a state store. For few large batches, as each reads the ids that came before; released() is for many small ones, and forgets.
+    Both are kept in the shared folder by batch, so that a batch that runs again reads and writes the same. An id comes through once.
+    """
+    path = scratch(spark, name)
+    rows, waits, before = f"{path}/rows", f"{path}/waiting", "scope string, id string, batch bigint"
+    spark.createDataFrame([], "scope string, id string").write.parquet(f"{rows}/batch=-1")
+    spark.createDataFrame([], "scope string, id string, waits_for string").write.parquet(f"{waits}/batch=-1")
+
+    def step(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        done = own.read.schema(before).parquet(rows).where(F.col("batch") < number)
+        waited = own.read.schema(f"waits_for string, {before}").parquet(waits).where(F.col("batch") == number - 1)
+        through, left = let_through(batch.select("scope", "id", "waits_for").unionByName(waited.drop("batch")), done)
+        through.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+        left.write.mode("overwrite").parquet(f"{waits}/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return spark.read.schema(before).parquet(rows).select("scope", "id")
+
+
 @contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
     """Queries started within keep their state in the store that maps and timers need."""
