@@ -1,12 +1,16 @@
 import hashlib
 import json
+import random
+import re
 from bisect import bisect_left
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import alignment
 from tidemark.llm.queries import vocabulary
+from tidemark.llm.util import sorted_aggregates
 
 A, B = vocabulary(), vocabulary("piece_bpe_32k.model")
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -106,3 +110,31 @@ def test_tokens_move_once(spark, docs, capsys):
     alignment.groups(texts.repartition("key")).explain("formatted")
     plan = capsys.readouterr().out
     assert plan.count("hashpartitioning(key") == plan.count("REPARTITION_BY_COL") > 0 == plan.count("ENSURE_REQUIREMENTS")
+
+
+def test_sorted_tokens_are_grouped_as_they_come(spark, capsys):
+    texts = spark.createDataFrame([(1, 2, 1, [5, 6])], "key long, n long, n_a int, tokens array<int>")
+    with sorted_aggregates(spark):
+        alignment.groups(texts.repartition("key")).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan and plan.count(") Sort\n") == 2  # those of the windows
+
+
+def test_cut_equals_a_pattern():
+    r = random.Random(5)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    near = "\x1b\x08\x84\x86\xa1\u0185\u01a0\u167f\u1681\u1fff\u200b\u2027\u202a\u202e\u205e\u2060\u2fff\u3001\u3040\u4080😀é"
+    texts = [None, "", *ODD, *("".join(r.choices([" "] * 30 + blanks + list(near) + ["a"] * 20 + ["▁"], k=r.randint(1, 30))) for _ in range(3000))]
+    pattern = re.compile("(?<=[^" + re.escape("".join(blanks)) + "])(?= )")
+    want = [[s.encode() for s in pattern.split(" " + t)] if t and "▁" not in t else [] for t in texts]
+    for given in (pa.array(texts, pa.string()), pa.array(["x y", *texts, "z"], pa.string())[1:-1]):
+        each, at = alignment.cut(given)
+        each = each.to_pylist()
+        assert [each[i:j] for i, j in zip(at[:-1], at[1:], strict=True)] == want
+    assert alignment.stretches(None) == [] and len(alignment.cut(pa.array([], pa.string()))[0]) == 0
+
+
+def test_texts_told_in_parts(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(alignment, "TOLD", 100)
+    got = alignment.aligned(docs, A, B, 40, 50)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain([(r[0], r[1]) for r in rows]), key=repr)

@@ -38,9 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """What runs within gives its shuffle files back as it ends, and not only once the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, name: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
     try:
@@ -49,6 +47,16 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def freed_shuffles(spark: SparkSession):
+    """What runs within gives its shuffle files back as it ends, and not only once the driver collects its garbage."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
+def sorted_aggregates(spark: SparkSession):
+    """What runs within groups rows that a window has sorted by their keys as they come, instead of hashing and sorting them again."""
+    return _set(spark, "spark.sql.execution.replaceHashWithSortAgg")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: the lineage is cut and lost executors lose nothing. The shuffles
     behind it are freed, as nothing reads them again."""
