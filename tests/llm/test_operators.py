@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import components, ctw, decontam, licenses, packing, quality, resemblance, secrets, shards, simhash, suffix_dedup, warc_index
 from tidemark.llm.queries import vocabulary
-from tidemark.llm.util import bitmap_of, in_bitmap, keep, lookup
+from tidemark.llm.util import bitmap_of, in_bitmap, keep, lookup, small_broadcasts
 
 from . import small_tree
 from .conftest import lines, prose
@@ -345,6 +345,22 @@ def test_unlike_texts_of_a_group_are_not_paired(spark, monkeypatch):
     assert few == 0 < sum(made)
 
 
+def test_no_table_of_the_rounds_is_broadcast_by_its_looks(spark, monkeypatch):
+    """Hubs are dealt to many parts and carry sketches, neither of which Spark reckons with as it sizes a table; other tables are
+    broadcast unasked only if they are small."""
+    plans = {}
+    monkeypatch.setattr(resemblance, "keep", lambda df, name, keep=resemblance.keep: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    texts = [prose(8700, 60) + f" x{i} " + prose(8710 + i // 4, 30) for i in range(24)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "__hash bigint, text string")
+    nodes, entries = frame.selectExpr("__hash", "__hash AS component"), resemblance.prefixes(frame, 5, 0.8)
+    resemblance.settled(entries, nodes, frame, 5, 0.8, resemblance.sketches(frame, 5))
+    assert "hub" in plans["pairs"] and "BroadcastHashJoin" not in plans["pairs"]
+    plan = lambda: spark.range(10**6).join(spark.range(300_000), "id")._jdf.queryExecution().executedPlan().toString()
+    with small_broadcasts(spark):
+        within = plan()
+    assert "BroadcastHashJoin" not in within and "BroadcastHashJoin" in plan()
+
+
 def test_left_over_texts_are_settled_without_bands(spark):
     """The exact join alone (every text left over) joins what is alike, over several rounds of hubs."""
     texts = [prose(8400 + i // 25, 60) + f" {i} " + prose(8500 + i // 5, 12) + f" {i}" for i in range(60)]

@@ -157,7 +157,8 @@ def settled(entries: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
             mixed = keep(lookup(mixed, sketched, ["__hash"], mixed.count(), "inner"), "mixed-members")
         drawn = F.pmod(F.xxhash64("__hash", F.lit(7)), F.lit(1 << 30)) * F.col("outside") < F.lit(hubs << 30)
         hub = mixed.where((F.col("component") != F.col("big")) & drawn).select("h", F.col("__hash").alias("hub"), F.col("component").alias("of"), (F.col("size") - F.col("place")).alias("hub_rest"), F.col("size").alias("hub_size"), *extra, F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
-        met = mixed.withColumn("part", F.pmod(F.xxhash64("__hash"), F.lit(SPLIT)).cast("int")).join(hub, ["h", "part"]).where((F.col("component") != F.col("of")) & enough)
+        # not left to Spark, which takes the hubs for as small as before they were dealt to SPLIT parts, and a sketch for one long
+        met = mixed.withColumn("part", F.pmod(F.xxhash64("__hash"), F.lit(SPLIT)).cast("int")).join(hub.hint("merge"), ["h", "part"]).where((F.col("component") != F.col("of")) & enough)
         pairs = met.select(F.least("__hash", "hub").alias("x"), F.greatest("__hash", "hub").alias("y")).distinct()
         if done:
             pairs = pairs.join(reduce(DataFrame.union, done), ["x", "y"], "left_anti")

@@ -19,6 +19,8 @@ from tidemark.session import checkpoint_folder
 HOT_SHARE = 256
 #: A table known to have no more rows of a few longs is broadcast whole.
 HELD = 1 << 15
+#: Bytes, by Spark's own estimate, of what a join may broadcast without being told to.
+AUTO = 1 << 20
 
 _own_folder: list[str] = []
 
@@ -38,9 +40,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _set(spark: SparkSession, name: str) -> Iterator[None]:
+def _set(spark: SparkSession, name: str, value: str = "true") -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -57,11 +59,18 @@ def sorted_aggregates(spark: SparkSession):
     return _set(spark, "spark.sql.execution.replaceHashWithSortAgg")
 
 
+def small_broadcasts(spark: SparkSession):
+    """In what is planned within, Spark broadcasts by itself only what it takes for AUTO bytes at most: it goes by the size of files and
+    of a default value of each type, so hashes and texts come out several times as large on the driver."""
+    set_to = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return _set(spark, "spark.sql.autoBroadcastJoinThreshold", str(min(set_to, AUTO)))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: the lineage is cut and lost executors lose nothing. The shuffles
     behind it are freed, as nothing reads them again."""
     path = new_path(df.sparkSession, name)
-    with freed_shuffles(df.sparkSession):
+    with freed_shuffles(df.sparkSession), small_broadcasts(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
