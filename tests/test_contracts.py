@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.operators import information, neighbours, pairs, profile, relations, sampling
+from tidemark.operators import cliques, information, neighbours, pairs, profile, relations, sampling
 from tidemark.plans import screening
 
 
@@ -110,6 +110,25 @@ def test_links_of_copied_users(spark, tmp_path, name):
     assert len(same_as_sql(spark, name, tmp_path, events=purchases(spark, 3))) > 20
 
 
+@pytest.mark.parametrize("name", ["blast_radius"])
+@pytest.mark.parametrize("copies, rows", [(1, 64), (3, 2048)])
+def test_graphs_by_groups(spark, tmp_path, monkeypatch, name, copies, rows):
+    """Users and their copies in one block and in several; the links are not written."""
+    monkeypatch.setattr(screening, "LINKS", 0)
+    monkeypatch.setattr(screening, "_linked", None)
+    monkeypatch.setattr(cliques, "ROWS", rows)
+    monkeypatch.setattr(cliques, "AT_ONCE", 64)
+    if rows == 64:
+        monkeypatch.setattr(cliques, "BYTES", 1 << 11)  # several parts, too
+    few = purchases(spark, copies).union(spark.createDataFrame([(900 + i, datetime(2024, 1, 2, i % 24), 500 + i % 140, "purchase", float(i * i % 17)) for i in range(400)], purchases(spark, 1).schema))
+    assert len(same_as_sql(spark, name, tmp_path, events=few)) > 20
+
+
+def test_crowded_graphs_are_searched_by_groups(spark):
+    e = lambda n, m: spark.createDataFrame([(i, i % m, 0) for i in range(n)], "user_id long, day int, v int")
+    assert screening._crowded(e(100, 5)) and not screening._crowded(e(100, 20)) and not screening._crowded(e(0, 1))
+
+
 def test_links_do_not_grow_with_copies_of_users(spark, tmp_path):
     counts = []
     for copies in (1, 4):
