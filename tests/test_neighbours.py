@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tidemark import session
 from tidemark.operators import information, neighbours
 
 
@@ -178,3 +179,22 @@ def test_no_rows(spark):
     few = spark.createDataFrame([("p", i, 1.0, None, 2.0) for i in range(30)], "pair string, idx long, x double, y double, z double")
     for rows in (none, few):
         assert information.mutual_information(rows).count() == information.transfer_entropy(rows, (1,)).count() == information.cross_mapping(rows).count() == information.conditional_information(rows, ("z",)).count() == 0
+
+
+def test_disk_and_rows_of_a_search(spark, monkeypatch):
+    """Each step's points go once the next ones are written, and visits to other cells bring back only what may be among the nearest."""
+    made, gone, away = [], [], []
+    monkeypatch.setattr(session.Written, "__init__", lambda self, df, name, init=session.Written.__init__: made.append(name) or init(self, df, name))
+    monkeypatch.setattr(session.Written, "dropped", lambda self, dropped=session.Written.dropped: gone.append(self.path) or dropped(self))
+    visited = neighbours.Grid.visited
+    monkeypatch.setattr(neighbours.Grid, "visited", lambda grid, visitors, *a: [df := visited(grid, visitors, *a), away.append(df) if "box" in visitors.columns else None][0])
+    r = np.random.default_rng(5)
+    rows = [("k", i, [int(x) for x in c], True, 1.0, 1) for i, c in enumerate(r.integers(0, 1 << 20, (600, 2)))]
+    points = spark.createDataFrame(rows, "key string, id long, c array<long>, self boolean, t double, w long")
+    grid = neighbours.Grid(points, 2, 16)
+    assert made.count("points") == len(gone) + 1 > 2
+    near = {x["id"]: [n["d"] for n in x["near"]] for x in neighbours.nearest(grid, points, 3).collect()}
+    at = np.array([x[2] for x in rows])
+    d = np.abs(at[:, None] - at[None]).max(2)
+    assert near == {i: sorted(np.delete(d[i], i).tolist())[:3] for i in range(len(rows))}
+    assert away[0].count() > 0 == away[0].where("size(near) = 0").count()
